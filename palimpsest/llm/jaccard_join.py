@@ -9,10 +9,10 @@ miss breaks k combinations and each foreign token k-1, so (e-r) + (k-1)(D-r) + 1
 that both texts index. No pair is lost, whichever tokens count as frequent; the class only decides
 how long the lists get. The frequent tokens are a bounded table found by counting all texts.
 
-Lists of up to ``small`` texts are paired; longer ones are compared with one pivot, and only the texts
-that the pivot does not link go on to the rest of their list, under exact bounds: sizes, rare tokens,
-and parity bitmaps, whose differing bits never exceed the symmetric difference. Pairs that remain are
-verified on the whole sets. Texts with equal sets are one class throughout.
+The texts of a list are compared with one of them, its pivot; only those in another component than the
+pivot's go on to the rest of their list, as links within a component change nothing. Exact bounds come
+first: sizes, and parity bitmaps, whose differing bits never exceed the symmetric difference. Pairs that
+remain are verified on the whole sets. Texts with equal sets are one class throughout.
 """
 
 from __future__ import annotations
@@ -157,32 +157,44 @@ def _can_link(x: str, y: str, a: int, b: int):
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, a: int, b: int, scratch: C.Scratch) -> DataFrame:
     """Of (x, y) pairs of classes, those whose whole sets have b * intersection >= a * union."""
 
-    def sets(batches: Iterator) -> Iterator:
-        import numpy as np
+    def packed(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import zstandard
+
+        from ._tokens import as_bytes
 
-        for block, _, token, first in _word_batches(batches, width):
-            raw = token.tobytes()
-            yield pa.RecordBatch.from_arrays([block["cls"], pa.array([raw[8 * i : 8 * j] for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["cls", "tokens"])
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for block in C.text_blocks(batches):
+            yield pa.RecordBatch.from_arrays([block["cls"], pa.array(map(pack, as_bytes(block["text"])), pa.binary())], ["cls", "packed"])
 
     def linked(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import zstandard
+
+        from ._tokens import Words
 
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            keep = []
-            for s, t in zip(batch["s"], batch["t"], strict=True):
-                s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
-                both = len(s) + len(t) - len(np.union1d(s, t))
-                keep.append(b * both >= a * (len(s) + len(t) - both))
+            keep, held = [], {}
+            for x, y, s, t in zip(*(batch[c].to_pylist() for c in "xyst"), strict=True):
+                for c, text in ((x, s), (y, t)):
+                    if c not in held:
+                        if len(held) >= 64:
+                            held.pop(next(iter(held)))
+                        held[c] = _sets(Words([unpack(text)]), width)[1]
+                n, m = len(held[x]), len(held[y])
+                both = n + m - len(np.union1d(held[x], held[y]))
+                keep.append(b * both >= a * (n + m - both))
+                held = {x: held[x]} if len(held) > 32 else held
             yield pa.RecordBatch.from_arrays([batch["x"], batch["y"]], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct().join(reps, "cls").select("cls", "doc_id")
     wanted = scratch.keep(wanted, "wanted")
     if wanted.count() <= 1_000_000:  # 16 MB at most
         wanted = F.broadcast(wanted)
-    texts = scratch.keep(docs.select("doc_id", "text").join(wanted, "doc_id").select("cls", "text").mapInArrow(sets, "cls long, tokens binary").dropDuplicates(["cls"]), "sets")
-    both = pairs.join(texts.select(F.col("cls").alias("x"), F.col("tokens").alias("s")), "x").join(texts.select(F.col("cls").alias("y"), F.col("tokens").alias("t")), "y")
+    texts = scratch.keep(docs.select("doc_id", "text").join(wanted, "doc_id").select("cls", "text").mapInArrow(packed, "cls long, packed binary").dropDuplicates(["cls"]), "texts")
+    both = pairs.join(texts.select(F.col("cls").alias("x"), F.col("packed").alias("s")), "x").join(texts.select(F.col("cls").alias("y"), F.col("packed").alias("t")), "y")
     return scratch.keep(both.select("x", "y", "s", "t").mapInArrow(linked, "x long, y long"), "links")
 
 
@@ -205,7 +217,7 @@ def components(links: DataFrame, scratch: C.Scratch) -> DataFrame:
             return roots
 
 
-def jaccard_join(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 100), k: int = 2, small: int = 32) -> DataFrame:
+def jaccard_join(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 100), k: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Two texts link when ``threshold[1] * intersection >= threshold[0] * union`` of their sets of distinct
@@ -230,28 +242,24 @@ def jaccard_join(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (
 
     # Lists of the index: how many entries, whether of several classes, and the pivot, the class with fewest rare tokens.
     entries = described.where("n > 0").select("cls", "n", "rare", *_PARITY, F.explode("entries").alias("sig"))
-    lists = entries.groupBy("sig").agg(F.count("*").alias("size"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min(F.struct("rare", "cls", "n", *_PARITY)).alias("pivot"))
-    lists = scratch.keep(lists.where("lo != hi").select("sig", "size", "pivot"), "lists")
-    members = scratch.keep(entries.join(lists.select("sig", "size"), "sig").dropDuplicates(["sig", "cls"]), "members")
-    few, many = members.where(F.col("size") <= small), members.where(F.col("size") > small)
+    lists = entries.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min(F.struct("rare", "cls", "n", *_PARITY)).alias("pivot"))
+    lists = scratch.keep(lists.where("lo != hi").select("sig", "pivot"), "lists")
+    members = scratch.keep(entries.join(lists.select("sig"), "sig").dropDuplicates(["sig", "cls"]), "members")
+    pivots = lists.select("sig", "pivot.*")
     in_order = [F.least("x.cls", "y.cls").alias("x"), F.greatest("x.cls", "y.cls").alias("y")]
+    on_list = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") != F.col("y.cls")) & _can_link("x", "y", a, b)
+    starred = scratch.keep(members.alias("x").join(pivots.alias("y"), on_list).select(*in_order).distinct(), "pairs")
+    links = _verified(starred, docs, reps, width, a, b, scratch)
+    roots = components(links, scratch)
 
-    paired = few.alias("x").join(few.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") < F.col("y.cls")) & _can_link("x", "y", a, b)).select(*in_order)
-    pivots = lists.where(F.col("size") > small).select("sig", "pivot.*")
-    starred = many.alias("x").join(pivots.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") != F.col("y.cls")) & _can_link("x", "y", a, b)).select(*in_order)
-    first_pairs = scratch.keep(paired.unionByName(starred).distinct(), "pairs")
-    links = _verified(first_pairs, docs, reps, width, a, b, scratch)
-
-    # What the pivot of a long list does not link is compared with the rest of that list.
-    by_pivot = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).select(F.col("x").alias("cls"), F.col("y").alias("pivot_cls"))
-    held = many.join(pivots.select("sig", F.col("cls").alias("pivot_cls")), "sig")
-    apart = held.where("cls != pivot_cls").join(by_pivot, ["cls", "pivot_cls"], "left_anti").select("sig", "cls", "n", "rare", *_PARITY)
-    more = apart.alias("x").join(many.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") != F.col("y.cls")) & _can_link("x", "y", a, b)).select(*in_order).distinct()
-    more = scratch.keep(more.join(first_pairs, ["x", "y"], "left_anti"), "more")
+    # What its pivot does not link is compared with the rest of the list, but for what other lists have joined by now.
+    placed = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    pivot_roots = pivots.select("sig", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("sig", F.coalesce("root", "cls").alias("pivot_root"))
+    apart = placed.join(pivot_roots, "sig").where("root != pivot_root").drop("pivot_root")
+    more = apart.alias("x").join(placed.alias("y"), on_list & (F.col("x.root") != F.col("y.root"))).select(*in_order).distinct()
+    more = scratch.keep(more.join(starred, ["x", "y"], "left_anti"), "more")
     if more.limit(1).count():
-        links = links.unionByName(_verified(more, docs, reps, width, a, b, scratch))
-
-    roots = components(links, scratch)
+        roots = components(links.unionByName(_verified(more, docs, reps, width, a, b, scratch)), scratch)
     with_root = described.select("doc_id", "n", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     names = with_root.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = with_root.join(names, "root", "left").select(
