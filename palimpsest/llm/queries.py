@@ -5,9 +5,25 @@ from __future__ import annotations
 from .fingerprints import op1_fingerprints
 from .jaccard_join import op3_ngram_jaccard_join
 from .kneser_ney import op6_language_model
+from .license_scan import op4_license_scan
 from .mixing import OP7_SQL, op7_mix_sources
+from .quality_classifier import op5_quality_classifier
 from .quality_rules import OP8_SQL, op8_quality_rules
+from .sampled_pieces import op9_sampled_pieces
+from .secret_scan import op10_secret_scan
 from .sharding import op2_shards
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_shards, op3_ngram_jaccard_join, op6_language_model, op7_mix_sources, op8_quality_rules)}
+_ALL = (
+    op1_fingerprints,
+    op2_shards,
+    op3_ngram_jaccard_join,
+    op4_license_scan,
+    op5_quality_classifier,
+    op6_language_model,
+    op7_mix_sources,
+    op8_quality_rules,
+    op9_sampled_pieces,
+    op10_secret_scan,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {"op7_mix_sources": OP7_SQL, "op8_quality_rules": OP8_SQL}
