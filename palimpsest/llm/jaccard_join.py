@@ -64,7 +64,7 @@ def frequent_tokens(docs: DataFrame, width: int):
             found, n = np.unique(token, return_counts=True)
             held, at = np.unique(np.concatenate((held, found)), return_inverse=True)
             counts = np.bincount(at, np.concatenate((counts, n)), len(held)).astype(np.int64)
-            if len(held) > 3_000_000:  # a lossy count: what is rare so far starts again
+            if len(held) > 1_000_000:  # a lossy count: what is rare so far starts again
                 keep = counts > 1
                 held, counts = held[keep], counts[keep]
         keep = np.flatnonzero(counts > 1)
@@ -111,6 +111,17 @@ def prefix_signatures(doc, token, first, frequent, a: int, b: int, k: int):
     return rare, np.concatenate((doc[single], doc[at])), np.concatenate((mix(token[single] ^ U(1)), h))
 
 
+def _parity(doc, token, width):
+    """For each text ``width`` bits, one text after the other: whether an odd number of its tokens falls on each. Widths are powers of two."""
+    import numpy as np
+
+    from ._tokens import U
+
+    at = np.cumsum(width) - width
+    place = at[doc] + ((token >> U(7)) & (width[doc] - 1).astype(U)).astype(np.int64)
+    return (np.bincount(place, minlength=int(width.sum())) & 1).astype(np.uint8)
+
+
 def _described(docs: DataFrame, frequent, width: int, a: int, b: int, k: int) -> DataFrame:
     """doc_id, class of equal sets and a second hash of it, size, rare tokens, parity bitmap, index entries."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -127,19 +138,21 @@ def _described(docs: DataFrame, frequent, width: int, a: int, b: int, k: int) ->
             for seed in (1, 2):
                 total = np.concatenate((np.zeros(1, U), np.cumsum(mix(token + U(seed)), dtype=U)))
                 sums.append(mix(total[first[1:]] - total[first[:-1]] + n.astype(U)).view(np.int64))
-            bits = np.zeros((len(n), 64 * PARITY_WORDS), np.uint8)
-            np.bitwise_xor.at(bits, (doc, (token >> U(7)) % U(64 * PARITY_WORDS)), np.uint8(1))
-            parity = np.packbits(bits, axis=1).view(np.int64)
+            parity = np.packbits(_parity(doc, token, np.full(len(n), 64 * PARITY_WORDS)).reshape(len(n), -1), axis=1).view(np.int64)
+            wide = 1 << np.ceil(np.log2(np.maximum(n, 128) / 2)).astype(np.int64)  # bits enough for the bound to tell
+            bytes_to = np.concatenate(([0], np.cumsum(wide // 8)))
+            raw = np.packbits(_parity(doc, token, wide)).tobytes()
+            sketch = pa.array([raw[i:j] for i, j in zip(bytes_to[:-1], bytes_to[1:], strict=True)], pa.binary())
             rare, at, entry = prefix_signatures(doc, token, first, shared.value, a, b, k)
             order = np.argsort(at, kind="stable")
             entry, starts = entry[order], np.searchsorted(at[order], np.arange(len(n) + 1))
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(entry.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [block["doc_id"], *map(pa.array, (*sums, n.astype(np.int64), rare.astype(np.int64), *(parity[:, i].copy() for i in range(PARITY_WORDS)))), lists],
-                ["doc_id", "cls", "cls2", "n", "rare", *_PARITY, "entries"],
+                [block["doc_id"], *map(pa.array, (*sums, n.astype(np.int64), rare.astype(np.int64), *(parity[:, i].copy() for i in range(PARITY_WORDS)))), sketch, lists],
+                ["doc_id", "cls", "cls2", "n", "rare", *_PARITY, "sketch", "entries"],
             )
 
-    schema = "doc_id long, cls long, cls2 long, n long, rare long, " + ", ".join(f"{p} long" for p in _PARITY) + ", entries array<long>"
+    schema = "doc_id long, cls long, cls2 long, n long, rare long, " + ", ".join(f"{p} long" for p in _PARITY) + ", sketch binary, entries array<long>"
     return docs.select("doc_id", "text").mapInArrow(describe, schema)
 
 
@@ -154,6 +167,28 @@ def _can_link(x: str, y: str, a: int, b: int):
     return (c(x, "n") * b >= c(y, "n") * a) & (c(y, "n") * b >= c(x, "n") * a) & (differ * (b + a) <= most)
 
 
+def _near(pairs: DataFrame, described: DataFrame, a: int, b: int) -> DataFrame:
+    """Of (x, y) pairs of classes, those that the parity bitmaps of their own width don't rule out."""
+
+    def near(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for n, m, s, t in zip(*(batch[c].to_pylist() for c in ("n", "m", "s", "t")), strict=True):
+                s, t = (np.frombuffer(v, np.uint8) for v in (s, t))
+                while len(s) != len(t):  # a bitmap folds to half its width
+                    s, t = (s, t) if len(s) > len(t) else (t, s)
+                    s = s[: len(s) // 2] ^ s[len(s) // 2 :]
+                keep.append(int(np.bitwise_count(s ^ t).sum()) * (b + a) <= (n + m) * (b - a))
+            yield pa.RecordBatch.from_arrays([batch["x"], batch["y"]], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    one = described.where("n > 0").select("cls", "n", "sketch").dropDuplicates(["cls"])
+    side = lambda c, n, s: one.select(F.col("cls").alias(c), F.col("n").alias(n), F.col("sketch").alias(s))
+    return pairs.join(side("x", "n", "s"), "x").join(side("y", "m", "t"), "y").select("x", "y", "n", "m", "s", "t").mapInArrow(near, "x long, y long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, a: int, b: int, scratch: C.Scratch) -> DataFrame:
     """Of (x, y) pairs of classes, those whose whole sets have b * intersection >= a * union."""
 
@@ -249,7 +284,8 @@ def jaccard_join(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (
     in_order = [F.least("x.cls", "y.cls").alias("x"), F.greatest("x.cls", "y.cls").alias("y")]
     on_list = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") != F.col("y.cls")) & _can_link("x", "y", a, b)
     starred = scratch.keep(members.alias("x").join(pivots.alias("y"), on_list).select(*in_order).distinct(), "pairs")
-    links = _verified(starred, docs, reps, width, a, b, scratch)
+    near = lambda pairs: scratch.keep(_near(pairs, described, a, b), "near")
+    links = _verified(near(starred), docs, reps, width, a, b, scratch)
     roots = components(links, scratch)
 
     # What its pivot does not link is compared with the rest of the list, but for what other lists have joined by now.
@@ -257,7 +293,7 @@ def jaccard_join(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (
     pivot_roots = pivots.select("sig", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("sig", F.coalesce("root", "cls").alias("pivot_root"))
     apart = placed.join(pivot_roots, "sig").where("root != pivot_root").drop("pivot_root")
     more = apart.alias("x").join(placed.alias("y"), on_list & (F.col("x.root") != F.col("y.root"))).select(*in_order).distinct()
-    more = scratch.keep(more.join(starred, ["x", "y"], "left_anti"), "more")
+    more = near(more.join(starred, ["x", "y"], "left_anti"))
     if more.limit(1).count():
         roots = components(links.unionByName(_verified(more, docs, reps, width, a, b, scratch)), scratch)
     with_root = described.select("doc_id", "n", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
