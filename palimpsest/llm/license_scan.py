@@ -120,11 +120,11 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     def grams(line):
         words = F.regexp_extract_all(line, F.lit(f"({_TOKEN})"), F.lit(1))
         pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-        return F.element_at(F.transform(F.array(words), lambda w: F.concat(w, pairs(w))), 1)
+        return F.element_at(F.transform(F.array(words), lambda w: F.array_distinct(F.concat(w, pairs(w)))), 1)
 
     lines = rows.select("_row", "doc_id", F.posexplode(F.concat(F.array(F.lit("")), "lines")).alias("place", "line"))
     each = lines.select("_row", "doc_id", (F.col("place") - 1).alias("place"), F.explode(F.when(F.col("place") == 0, F.array(F.lit(""))).otherwise(grams(F.col("line")))).alias("term"))
-    hits = each.join(F.broadcast(_table(docs.sparkSession, model)), "term").dropDuplicates(["_row", "place", "term"])
+    hits = each.join(F.broadcast(_table(docs.sparkSession, model)), "term")
     sums = hits.groupBy("_row", "doc_id", "place").agg(
         *(F.sum(F.round(F.col("w")[i] * 1e6).cast("long")).alias(f"z{i}") for i in range(len(CLASSES))),  # whole numbers: their sum has no order
         *(F.sum(F.col("t")[i]).alias(f"t{i}") for i in range(len(TEMPLATES))),
