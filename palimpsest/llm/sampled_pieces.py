@@ -1,18 +1,16 @@
 """Sampled segmentations of a SentencePiece vocabulary, and their lossless decoding.
 
-No piece reaches over the white space between words, so the lattice of a text falls into those of its
-units: spaces with the word after them, or a line break. A unit's lattice is filtered forward once,
-giving each place the probabilities of the pieces that can end there; each occurrence is then sampled
-backward from its end, all occurrences of a block at once. The random numbers come from a hash of the
-row's key, the unit's number and the step, so a row gets the same pieces in any partition and any run.
-A character that no piece holds goes by its UTF-8 bytes, which have pieces of their own; so every text
-decodes to itself.
+Where two neighbouring characters are together in no piece, none reaches over the place between them; so
+the lattice of a text falls into those of the units between such places. The lattices of a block's
+different units are filtered forward together, giving each place the probabilities of the pieces that can
+end there; each occurrence of a unit is then sampled backward from its end, all of a block at once. The
+random numbers come from a hash of the row's key, the unit's number and the step, so a row gets the
+same pieces in any partition and any run. A character that no piece holds alone can go by its UTF-8
+bytes, which have pieces of their own; so every text decodes to itself.
 """
 
 from __future__ import annotations
 
-import re
-from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +19,46 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-_UNIT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
-#: Lattices that a worker keeps; it then starts anew.
-CACHED_UNITS, CACHED_EDGES = 150_000, 4_000_000
+#: Text of a block, and characters of the units whose lattices are filtered together.
+ENCODE_BYTES, LATTICE_CHARS = 4 << 20, 1 << 19
+_FILTER_BITS, _PAIR_BITS = 20, 22
+
+
+def _codes(text: str):
+    """Code points."""
+    import numpy as np
+
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _prefix(codes):
+    import numpy as np
+
+    from ._tokens import U, _power_tables
+
+    up, _ = _power_tables(len(codes) + 1)
+    return np.concatenate((np.zeros(1, U), np.cumsum((codes.astype(U) + U(1)) * up[: len(codes)], dtype=U)))
+
+
+def _window_hashes(codes, size: int, prefix):
+    """64 bits of every run of ``size`` characters, wherever it stands."""
+    from ._tokens import U, _power_tables, mix
+
+    n = len(codes) - size + 1
+    _, down = _power_tables(len(codes) + 1)
+    return mix((prefix[size:] - prefix[:n]) * down[:n] + U(size))
+
+
+def _slot(hashes, bits: int):
+    from ._tokens import U
+
+    return (hashes >> U(64 - bits)).astype("int64")
+
+
+def _pair_slots(codes):
+    from ._tokens import U, mix
+
+    return _slot(mix((codes[:-1].astype(U) << U(32)) | codes[1:].astype(U)), _PAIR_BITS)
 
 
 class Pieces:
@@ -38,8 +73,8 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.raw: list[bytes] = []
-        self.prob: dict[str, tuple[int, float]] = {}
         self.byte: dict[int, int] = {}
+        texts, ids = [], []
         for i in range(model.vocab_size()):
             piece = model.id_to_piece(i)
             if model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
@@ -48,94 +83,124 @@ class Pieces:
                 self.byte[int(piece[3:5], 16)] = i
                 self.raw.append(bytes([int(piece[3:5], 16)]))
             else:
-                text = piece.replace("▁", " ")
-                self.raw.append(text.encode())
-                self.prob[text] = (i, (i + 10.0) ** -sharpness)
-        self.longest = max(map(len, self.prob))
-        self.fallback = (len(self.raw) + 10.0) ** (-2 * sharpness)
+                texts.append(piece.replace("▁", " "))
+                ids.append(i)
+                self.raw.append(texts[-1].encode())
         if len(self.byte) != 256:
             raise ValueError("the vocabulary has no piece for each byte")
-        if any(" " in x.strip(" ") or "\n" in x or (x.endswith(" ") and x.strip(" ")) for x in self.prob):
-            raise ValueError("a piece reaches over white space")
-        self.clear()
-        self._np = np
-
-    def clear(self) -> None:
-        self.units: dict[str, int] = {}
-        self.last = array("q")  # of a unit: the node at its end
-        self.edges = array("q", [0])  # of a node: where its edges end; a node's edges follow the last one's
-        self.upto, self.back, self.piece = array("d"), array("i"), array("q")  # of an edge: node + cumulative probability, characters, piece or a character's code point from the end of the ids
-        self._flat = None
-
-    def add(self, unit: str) -> int:
-        """Filters the lattice of ``unit`` forward; returns its number."""
-        prob, longest = self.prob, self.longest
-        alpha = [1.0]
-        first = len(self.edges) - 1
-        self.edges.append(len(self.upto))  # the node at the start has no edges
-        for end in range(1, len(unit) + 1):
-            found, total = [], 0.0
-            for size in range(1, min(end, longest) + 1):
-                hit = prob.get(unit[end - size : end])
-                if hit is not None:
-                    total += alpha[end - size] * hit[1]
-                    found.append((size, hit[0], total))
-            if not found or found[0][0] != 1:
-                total += alpha[end - 1] * self.fallback
-                found.append((1, len(self.raw) + ord(unit[end - 1]), total))
-            node = first + end
-            for size, piece, upto in found:
-                self.upto.append(node + upto / total)
-                self.back.append(size)
-                self.piece.append(piece)
-            self.upto[-1] = node + 1.0
-            self.edges.append(len(self.upto))
-            alpha.append(total)
-            if total < 1e-200:  # only ratios matter, and only of the places that a piece can reach
-                lo = max(0, end - longest)
-                alpha[lo:] = [a * 1e150 for a in alpha[lo:]]
-        number = self.units[unit] = len(self.last)
-        self.last.append(first + len(unit))
-        self._flat = None
-        return number
+        self.longest = max(map(len, texts))
+        self.fallback = -2 * sharpness * np.log(len(self.raw) + 10.0)
+        codes = [_codes(t) for t in texts]
+        keys = np.array([_window_hashes(c, len(c), _prefix(c))[0] for c in codes], np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], np.array(ids)[order]
+        if (self.keys[1:] == self.keys[:-1]).any():
+            raise ValueError("two pieces share a hash")
+        self.logp = -sharpness * np.log(self.ids + 10.0)
+        self.seen = np.zeros(1 << _FILTER_BITS, bool)
+        self.seen[_slot(self.keys, _FILTER_BITS)] = True
+        self.pairs = np.zeros(1 << _PAIR_BITS, bool)
+        for c in codes:
+            self.pairs[_pair_slots(c)] = True
+
+    def _lattices(self, codes, lengths):
+        """Of units one after the other: (rank of each character's node, first edge of each rank, edges' rank plus cumulative probability, characters, pieces)."""
+        import numpy as np
+
+        n = len(codes)
+        place = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        prefix, found = _prefix(codes), []
+        single = np.zeros(n, bool)
+        for size in range(1, min(self.longest, int(lengths.max())) + 1):
+            h = _window_hashes(codes, size, prefix)
+            first = np.flatnonzero((place[size - 1 :] >= size - 1) & self.seen[_slot(h, _FILTER_BITS)])
+            at = np.minimum(np.searchsorted(self.keys, h[first]), len(self.keys) - 1)
+            hit = self.keys[at] == h[first]
+            end, at = first[hit] + size - 1, at[hit]
+            if size == 1:
+                single[end] = True
+            found.append((end, np.full(len(end), size), self.ids[at], self.logp[at]))
+        alone = np.flatnonzero(~single)
+        found.append((alone, np.ones(len(alone), np.int64), len(self.raw) + codes[alone].astype(np.int64), np.full(len(alone), self.fallback)))
+        end, size, piece, logp = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((end, place[end]))
+        end, size, piece, logp = end[order], size[order], piece[order], logp[order]
+        new = np.flatnonzero(np.concatenate(([True], end[1:] != end[:-1])))
+        rank = np.empty(n, np.int64)
+        rank[end[new]] = np.arange(n)
+        starts = np.append(new, len(end))
+        level = np.concatenate(([0], np.cumsum(np.bincount(place))))  # ranks by place
+        alpha, upto = np.zeros(n), np.empty(len(end))
+        for p in range(len(level) - 1):
+            nodes = slice(level[p], level[p + 1])
+            lo, hi = starts[level[p]], starts[level[p + 1]]
+            groups, counts = starts[nodes] - lo, np.diff(starts[level[p] : level[p + 1] + 1])
+            before = np.where(size[lo:hi] == p + 1, 0.0, alpha[end[lo:hi] - size[lo:hi]])
+            w = logp[lo:hi] + before
+            top = np.maximum.reduceat(w, groups)
+            w = np.exp(w - np.repeat(top, counts))
+            total = np.add.reduceat(w, groups)
+            alpha[end[lo + groups]] = top + np.log(total)
+            run = np.cumsum(w)
+            run -= np.repeat(run[groups] - w[groups], counts)
+            upto[lo:hi] = np.repeat(np.arange(level[p], level[p + 1]), counts) + np.minimum(run / np.repeat(total, counts), 1.0)
+        return rank, starts, upto, size, piece
 
     def sample(self, texts: list[str], keys):
         """(pieces of all texts one after the other, where each text's begin and the last's end)."""
         import numpy as np
 
-        from ._tokens import U, mix
-
-        if len(self.units) > CACHED_UNITS or len(self.upto) > CACHED_EDGES:
-            self.clear()
-        split = [_UNIT.findall(t) for t in texts]
-        get = self.units.get
-        number = np.fromiter((n if (n := get(u)) is not None else self.add(u) for units in split for u in units), np.int64)
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        begin = np.concatenate(([0], np.cumsum(sizes)))
-        if self._flat is None:
-            self._flat = tuple(np.frombuffer(x, t).copy() for x, t in ((self.upto, np.float64), (self.back, np.int32), (self.piece, np.int64), (self.last, np.int64)))
-        upto, back, piece, last = self._flat
-        ordinal = np.arange(len(number)) - np.repeat(begin[:-1], sizes)
+        from ._tokens import U, mix, span_hash
+
+        codes = _codes("".join(texts))
+        text_at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
+        cut = np.ones(len(codes) + 1, bool)
+        if len(codes) > 1:
+            cut[1:-1] = ~self.pairs[_pair_slots(codes)]
+        cut[text_at] = True
+        bound = np.flatnonzero(cut)
+        begin, length = bound[:-1], np.diff(bound)
+        if not len(codes):
+            return np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+        text_units = np.searchsorted(begin, text_at)
+        text_units[-1] = len(begin)
+        sizes = np.diff(text_units)
+        _, example, unit = np.unique(span_hash(codes, begin, begin + length), return_index=True, return_inverse=True)
+
+        # Lattices of the different units, some at a time; ranks and edges of one chunk follow those of the last.
+        own, parts = length[example], []
+        chunk = np.cumsum(own) // LATTICE_CHARS
+        last, rank0, edge0, char0 = np.empty(len(own), np.int64), 0, 0, 0
+        for c in np.unique(chunk):
+            us = np.flatnonzero(chunk == c)
+            n = own[us]
+            chars = np.repeat(begin[example[us]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            rank, starts, upto, back, piece = self._lattices(codes[chars], n)
+            last[us] = char0 + np.cumsum(n) - 1
+            parts.append((rank + rank0, starts[:-1] + edge0, upto + rank0, back, piece))
+            rank0, edge0, char0 = rank0 + len(rank), edge0 + len(upto), char0 + len(rank)
+        rank, starts, upto, back, piece = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ends_of = np.append(starts[1:], edge0)
+
+        ordinal = np.arange(len(unit)) - np.repeat(text_units[:-1], sizes)
         seed = mix(np.repeat(mix(keys), sizes) + ordinal.astype(U) * U(0xD1B54A32D192ED03))
-        length = np.fromiter((len(u) for units in split for u in units), np.int64, len(number))
-        node, left, row = last[number], length.copy(), np.arange(len(number))
-        steps, taken = np.zeros(len(number), np.int64), []
-        step = 0
+        at, left, row = last[unit], length.copy(), np.arange(len(unit))
+        steps, taken, step = np.zeros(len(unit), np.int64), [], 0
         while len(row):
-            r = (mix(seed[row] + U(step)) >> U(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(upto, node[row] + r, "right")
-            edge = np.minimum(edge, len(upto) - 1)
+            u = (mix(seed[row] + U(step)) >> U(11)).astype(np.float64) * 2.0**-53
+            node = rank[at[row]]
+            edge = np.minimum(np.searchsorted(upto, node + u, "right"), ends_of[node] - 1)
             taken.append((row, piece[edge]))
-            node[row] -= back[edge]
+            at[row] -= back[edge]
             left[row] -= back[edge]
             steps[row] += 1
             row = row[left[row] > 0]
             step += 1
         ends = np.cumsum(steps)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+        out = np.empty(int(ends[-1]), np.int64)
         for k, (rows, ids) in enumerate(taken):
             out[ends[rows] - 1 - k] = ids
-        starts = np.concatenate(([0], ends))[begin]
+        places = np.concatenate(([0], ends))[text_units]
         extra = np.flatnonzero(out >= len(self.raw))
         if len(extra):  # characters by their bytes
             spelled = [[self.byte[b] for b in chr(c - len(self.raw)).encode()] for c in out[extra].tolist()]
@@ -143,10 +208,10 @@ class Pieces:
             width[extra] = list(map(len, spelled))
             place = np.concatenate(([0], np.cumsum(width)))
             whole = np.repeat(out, width)
-            for at, ids in zip(place[extra].tolist(), spelled, strict=True):
-                whole[at : at + len(ids)] = ids
-            out, starts = whole, place[starts]
-        return out, starts
+            for i, ids in zip(place[extra].tolist(), spelled, strict=True):
+                whole[i : i + len(ids)] = ids
+            out, places = whole, place[places]
+        return out, places
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids))
@@ -156,7 +221,7 @@ _loaded: dict[tuple, Pieces] = {}
 
 
 def pieces_of(path: str, sharpness: float) -> Pieces:
-    """The worker's vocabulary, with the lattices that it has kept."""
+    """The worker's copy of a vocabulary."""
     if (path, sharpness) not in _loaded:
         _loaded[path, sharpness] = Pieces(path, sharpness)
     return _loaded[path, sharpness]
@@ -182,7 +247,7 @@ def encode(docs: DataFrame, seed: int = 0, path: str = MODEL, sharpness: float =
         from ._tokens import U
 
         table = pieces_of(path, sharpness)
-        for b in C.text_blocks(batches):
+        for b in C.text_blocks(batches, ENCODE_BYTES):
             texts = [t or "" for t in b["text"].to_pylist()]
             keys = np.array([-1 if i is None else i for i in b["_key"].to_pylist()], np.int64).view(U) * U(0x9E3779B97F4A7C15) + U(seed)
             ids, starts = table.sample(texts, keys)
