@@ -73,16 +73,33 @@ def crc32_text(column: Column) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")))
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: a worker that waits for its next task holds no more than it needs."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def text_blocks(batches: Iterator, limit: int = BLOCK_BYTES) -> Iterator:
     """Slices of record batches with a column ``text`` of ``limit`` bytes or a single row."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
-        total, at = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(total, total[at] + limit, "right")) - 1)
-            yield pa.RecordBatch.from_arrays([x.slice(at, to - at) for x in batch.columns], schema=batch.schema)
-            at = to
+    try:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
+            total, at = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(total, total[at] + limit, "right")) - 1)
+                yield pa.RecordBatch.from_arrays([x.slice(at, to - at) for x in batch.columns], schema=batch.schema)
+                at = to
+    finally:
+        _give_back()

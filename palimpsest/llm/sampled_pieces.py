@@ -20,7 +20,7 @@ from . import _common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text of a block, and characters of the units whose lattices are filtered together.
-ENCODE_BYTES, LATTICE_CHARS = 4 << 20, 1 << 19
+ENCODE_BYTES, LATTICE_CHARS = 2 << 20, 1 << 18
 _FILTER_BITS, _PAIR_BITS = 20, 22
 
 
@@ -189,7 +189,9 @@ class Pieces:
         while len(row):
             u = (mix(seed[row] + U(step)) >> U(11)).astype(np.float64) * 2.0**-53
             node = rank[at[row]]
-            edge = np.minimum(np.searchsorted(upto, node + u, "right"), ends_of[node] - 1)
+            edge = ends_of[node] - 1  # the longest piece, as a rule the likeliest
+            other = np.flatnonzero((edge > starts[node]) & (node + u < upto[edge - 1]))
+            edge[other] = np.searchsorted(upto, node[other] + u[other], "right")
             taken.append((row, piece[edge]))
             at[row] -= back[edge]
             left[row] -= back[edge]
