@@ -12,7 +12,10 @@ from ..functions.text import token_set
 BOOST = 0.15
 ENTITY_NEIGHBOURS = 5
 
-_all = Window.partitionBy(F.lit(0))
+
+def _extremes(c: str) -> tuple[Column, Column]:
+    everything = Window.partitionBy(F.lit(0))
+    return F.min(c).over(everything), F.max(c).over(everything)
 
 
 def normalised(x: Column, low: Column, high: Column) -> Column:
@@ -46,7 +49,7 @@ def fuse(candidates: DataFrame, keywords: DataFrame, id_: str = "id") -> DataFra
     """
     kw = keywords.agg(F.min("keyword_score").cast("float").alias("_kmin"), F.max("keyword_score").cast("float").alias("_kmax"), F.count("*").alias("_hits"))
     joined = candidates.join(keywords.select(F.col(id_).alias("_id"), F.col("keyword_score").cast("float").alias("_kw")), candidates[id_] == F.col("_id"), "left").crossJoin(F.broadcast(kw))  # one row
-    sem = normalised(F.col("score"), F.min("score").over(_all), F.max("score").over(_all))
+    sem = normalised(F.col("score"), *_extremes("score"))
     key = F.coalesce(normalised(F.col("_kw"), F.col("_kmin"), F.col("_kmax")), F.lit(1.0).cast("float"))
     key = F.when(F.col("_kw").isNull(), F.lit(1.0)).otherwise(key)
     fused = F.when(F.col("_hits") > 0, midpoint(sem, key)).otherwise(F.col("score"))
@@ -79,7 +82,7 @@ Reranker = Callable[[DataFrame, str], DataFrame]
 
 def overlap_reranker(results: DataFrame, query: str) -> DataFrame:
     """The midpoint of the normalised score and the lexical distance; details stay as they are."""
-    base = normalised(F.col("score"), F.min("score").over(_all), F.max("score").over(_all))
+    base = normalised(F.col("score"), *_extremes("score"))
     return results.withColumn("score", midpoint(base, lexical_distance(F.lit(query), F.coalesce(F.col("content"), F.lit("")))))
 
 
