@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from . import _common as C
@@ -128,7 +128,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     return ranged.withColumn("extra", F.lit(False)).unionByName(extra).withColumn("tie", F.xxhash64("text"))
 
 
-order = Window.partitionBy("range").orderBy("extra", F.col("doc_id").desc_nulls_last(), "tie")
+def order() -> WindowSpec:
+    return Window.partitionBy("range").orderBy("extra", F.col("doc_id").desc_nulls_last(), "tie")
 
 
 def edits(docs: DataFrame) -> DataFrame:
@@ -138,11 +139,11 @@ def edits(docs: DataFrame) -> DataFrame:
     next document, by descending doc_id, the first after the last. A null text counts as empty; a table of one
     row is its own next; an empty table gives no rows; other columns are ignored.
     """
-    rows = with_next(docs).withColumn("next_text", F.lead("text").over(order)).withColumn("n_chars", F.char_length("text"))
+    rows = with_next(docs).withColumn("next_text", F.lead("text").over(order())).withColumn("n_chars", F.char_length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.when(F.col("extra"), F.lit("")).otherwise(F.concat(F.col("text").substr(F.lit(1), F.col("n_chars") - half), F.col("next_text").substr(F.lit(1), half))))
     rows = rows.select("range", "extra", "doc_id", "tie", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("f"), fingerprint(F.col("edited")).alias("g"))
-    rows = rows.withColumn("next_f", F.lead("f").over(order)).where(~F.col("extra"))
+    rows = rows.withColumn("next_f", F.lead("f").over(order())).where(~F.col("extra"))
     return rows.select(
         "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),
