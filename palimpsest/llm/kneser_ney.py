@@ -341,7 +341,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
     types = dict(docs.dtypes)
     schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["n_tokens long, n_known long, base_score double, score double"])
-    return docs.select(*keep, "text").mapInArrow(scored, schema)
+    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(scored, schema)
 
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

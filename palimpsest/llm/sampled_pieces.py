@@ -67,7 +67,7 @@ class Pieces:
     Merge ranks stand in for the scores of a unigram model, which the published vocabularies of this kind don't have.
     """
 
-    def __init__(self, path: str = MODEL, sharpness: float = 1.0):
+    def __init__(self, path: str = MODEL, sharpness: float = 0.5):
         import numpy as np
         import sentencepiece
 
@@ -229,7 +229,7 @@ def pieces_of(path: str, sharpness: float) -> Pieces:
     return _loaded[path, sharpness]
 
 
-def encode(docs: DataFrame, seed: int = 0, path: str = MODEL, sharpness: float = 1.0, keep: tuple[str, ...] = ("doc_id",), digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, seed: int = 0, path: str = MODEL, sharpness: float = 0.5, keep: tuple[str, ...] = ("doc_id",), digest: bool = False) -> DataFrame:
     """``keep`` and the sampled pieces of each row of ``docs`` (doc_id, text): n_pieces, pieces (ids, two bytes each, low first), lossless.
 
     The row's key is its doc_id, a null one counting as -1, and ``seed``: rows that repeat id and text get
@@ -265,7 +265,7 @@ def encode(docs: DataFrame, seed: int = 0, path: str = MODEL, sharpness: float =
     return source.mapInArrow(encoded, ", ".join([f"`{c}` {types[c]}" for c in keep] + ["n_pieces long, lossless boolean", tail]))
 
 
-def decode(pieces: DataFrame, path: str = MODEL, sharpness: float = 1.0) -> DataFrame:
+def decode(pieces: DataFrame, path: str = MODEL, sharpness: float = 0.5) -> DataFrame:
     """doc_id, text of rows (doc_id, pieces) as ``encode`` gives them; null pieces give a null text."""
 
     def decoded(batches: Iterator) -> Iterator:
