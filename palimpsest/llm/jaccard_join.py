@@ -123,7 +123,7 @@ def _parity(doc, token, width):
 
 
 def _described(docs: DataFrame, frequent, width: int, a: int, b: int, k: int) -> DataFrame:
-    """doc_id, class of equal sets and a second hash of it, size, rare tokens, parity bitmap, index entries."""
+    """doc_id, hash of the text, class of equal sets and a second hash of it, size, rare tokens, parity bitmap, index entries."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def describe(batches: Iterator) -> Iterator:
@@ -148,12 +148,12 @@ def _described(docs: DataFrame, frequent, width: int, a: int, b: int, k: int) ->
             entry, starts = entry[order], np.searchsorted(at[order], np.arange(len(n) + 1))
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(entry.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [block["doc_id"], *map(pa.array, (*sums, n.astype(np.int64), rare.astype(np.int64), *(parity[:, i].copy() for i in range(PARITY_WORDS)))), sketch, lists],
-                ["doc_id", "cls", "cls2", "n", "rare", *_PARITY, "sketch", "entries"],
+                [block["doc_id"], block["key"], *map(pa.array, (*sums, n.astype(np.int64), rare.astype(np.int64), *(parity[:, i].copy() for i in range(PARITY_WORDS)))), sketch, lists],
+                ["doc_id", "key", "cls", "cls2", "n", "rare", *_PARITY, "sketch", "entries"],
             )
 
-    schema = "doc_id long, cls long, cls2 long, n long, rare long, " + ", ".join(f"{p} long" for p in _PARITY) + ", sketch binary, entries array<long>"
-    return docs.select("doc_id", "text").mapInArrow(describe, schema)
+    schema = "doc_id long, key long, cls long, cls2 long, n long, rare long, " + ", ".join(f"{p} long" for p in _PARITY) + ", sketch binary, entries array<long>"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(describe, schema)
 
 
 _PARITY = [f"p{i}" for i in range(PARITY_WORDS)]
@@ -224,11 +224,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, a:
                 held = {x: held[x]} if len(held) > 32 else held
             yield pa.RecordBatch.from_arrays([batch["x"], batch["y"]], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct().join(reps, "cls").select("cls", "doc_id")
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct().join(reps, "cls").select("cls", F.col("doc_id").alias("_id"), "key")
     wanted = scratch.keep(wanted, "wanted")
-    if wanted.count() <= 1_000_000:  # 16 MB at most
+    if wanted.count() <= 1_000_000:  # 24 MB at most
         wanted = F.broadcast(wanted)
-    texts = scratch.keep(docs.select("doc_id", "text").join(wanted, "doc_id").select("cls", "text").mapInArrow(packed, "cls long, packed binary").dropDuplicates(["cls"]), "texts")
+    same = docs["doc_id"].eqNullSafe(wanted["_id"]) & (F.xxhash64(docs["text"]) == wanted["key"])  # ids may be null or repeat
+    texts = scratch.keep(docs.join(wanted, same).select("cls", "text").mapInArrow(packed, "cls long, packed binary").dropDuplicates(["cls"]), "texts")
     both = pairs.join(texts.select(F.col("cls").alias("x"), F.col("packed").alias("s")), "x").join(texts.select(F.col("cls").alias("y"), F.col("packed").alias("t")), "y")
     return scratch.keep(both.select("x", "y", "s", "t").mapInArrow(linked, "x long, y long"), "links")
 
@@ -262,6 +263,11 @@ def jaccard_join(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (
     larger than any other: it names a component only if the component has no other id. An empty
     table gives an empty result.
     """
+    return groups(docs, width, threshold, k).select("doc_id", "n_shingles", "component_id")
+
+
+def groups(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 100), k: int = 2) -> DataFrame:
+    """What ``jaccard_join`` returns, with the hash of the text and ``root``, which tells components apart that have no id."""
     import math
 
     spark = docs.sparkSession
@@ -270,10 +276,10 @@ def jaccard_join(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (
     a, b = threshold[0] // g, threshold[1] // g
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     described = scratch.keep(_described(docs, frequent_tokens(docs, width), width, a, b, k), "described")
-    classes = described.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), (F.min("cls2") != F.max("cls2")).alias("clash"))
+    classes = described.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("row"), (F.min("cls2") != F.max("cls2")).alias("clash"))
     if classes.where("clash").limit(1).count():
         raise RuntimeError("two different sets share a 64-bit hash")
-    reps = classes.select("cls", "doc_id")
+    reps = classes.select("cls", "row.doc_id", "row.key")
 
     # Lists of the index: how many entries, whether of several classes, and the pivot, the class with fewest rare tokens.
     entries = described.where("n > 0").select("cls", "n", "rare", *_PARITY, F.explode("entries").alias("sig"))
@@ -296,10 +302,10 @@ def jaccard_join(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (
     more = near(more.join(starred, ["x", "y"], "left_anti"))
     if more.limit(1).count():
         roots = components(links.unionByName(_verified(more, docs, reps, width, a, b, scratch)), scratch)
-    with_root = described.select("doc_id", "n", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    with_root = described.select("doc_id", "key", "n", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     names = with_root.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = with_root.join(names, "root", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "key", "root", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
     out = out.checkpoint()
     scratch.drop()
@@ -307,11 +313,23 @@ def jaccard_join(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that are their component's first, all columns kept; empty texts stay, and of rows that repeat both id and text one stays."""
-    groups = jaccard_join(docs, **how)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return kept
+    """One row of each component of ``docs``, all columns kept: the smallest doc_id's, null ids last, then that of the smallest hash of the text.
+
+    Of rows that repeat both id and text one stays; rows that only share an id are judged apart. Texts without words all stay.
+    """
+    found = groups(docs, **how)
+    rows = found.where("n_shingles > 0").groupBy("root", "doc_id", "key").count()
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "count")).alias("x")).select("x.doc_id", "x.key", (F.col("x.count") > 1).alias("repeats"))
+    bare = found.where("n_shingles = 0").select("doc_id", "key", F.lit(False).alias("repeats")).distinct()
+    chosen = first.unionByName(bare)
+
+    def rows_of(which: DataFrame) -> DataFrame:
+        which = which.select(F.col("doc_id").cast("long").alias("_id"), F.col("key").alias("_key"))
+        return docs.join(which, docs["doc_id"].eqNullSafe(which["_id"]) & (F.xxhash64(docs["text"]) == which["_key"]), "left_semi")
+
+    if not first.where("repeats").limit(1).count():
+        return rows_of(chosen)
+    return rows_of(chosen.where("NOT repeats")).unionByName(rows_of(chosen.where("repeats")).dropDuplicates(["doc_id", "text"]))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
