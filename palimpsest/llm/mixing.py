@@ -9,6 +9,8 @@ from . import _common as C
 
 #: Draws of a document: 32-bit numbers, eight from each SHA-256 of its key and a counter.
 DRAWS = 32
+#: Bytes of the table of sources up to which it is broadcast; a larger one meets the documents by salted keys.
+MAX_SOURCE_BYTES, SALTS = 8 << 20, 32
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -42,6 +44,16 @@ def _draws(key: Column) -> Column:
     return F.array(*(F.conv(F.substring(hashes, 8 * j + 1, 8), 16, 10).cast("double") / 2.0**32 for j in range(DRAWS)))
 
 
+def _join_sources(rows: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
+    """``rows`` (source, key, ...) with what ``sources`` (source, ...) says of their source; a source's rows are never all in one task."""
+    named = sources.withColumnRenamed("source", "_of")
+    if small:
+        return rows.join(F.broadcast(named), rows["source"].eqNullSafe(named["_of"])).drop("_of")
+    named = named.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    return rows.join(named, rows["source"].eqNullSafe(named["_of"]) & (rows["_part"] == named["_salt"])).drop("_of", "_salt", "_part")
+
+
 def plan(docs: DataFrame, **how) -> DataFrame:
     """doc_id, source, size, source_size, target, copies of each row of ``docs`` (doc_id, text, source).
 
@@ -54,17 +66,18 @@ def plan(docs: DataFrame, **how) -> DataFrame:
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
     base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"))
-    base = C.Scratch(spark).keep(base, "sizes")
+    scratch = C.Scratch(spark)
+    base = scratch.keep(base, "sizes")
     rates = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), **how)
     rates = rates.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    rates = rates.withColumn("whole", F.floor("rate").cast("long")).withColumn("part", F.col("rate") - F.floor("rate"))
-    same = base["source"].eqNullSafe(rates["source"])
-    joined = base.join(rates, same).select(base["*"], "source_size", "target", "whole", "part")
-    joined = joined.withColumn("u", _draws(F.col("key")))
+    rates = rates.select("source", "source_size", "target", F.floor("rate").cast("long").alias("whole"), (F.col("rate") - F.floor("rate")).alias("part"))
+    rates = scratch.keep(rates, "rates")
+    small = (rates.agg(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 64)).first()[0] or 0) <= MAX_SOURCE_BYTES
+    joined = _join_sources(base, rates, small).withColumn("u", _draws(F.col("key")))
     sums = joined.groupBy("source", "target", "whole").agg(F.sum("size").alias("words"), *(F.sum(F.when(F.col("u")[j] < F.col("part"), F.col("size")).otherwise(0)).alias(f"s{j}") for j in range(DRAWS)))
     off = [F.struct(F.abs(F.col("words") * F.col("whole") + F.col(f"s{j}") - F.col("target")).alias("off"), F.lit(j).alias("j")) for j in range(DRAWS)]
-    choice = sums.select(F.col("source").alias("chosen_source"), F.least(*off)["j"].alias("j"))
-    drawn = joined.join(choice, joined["source"].eqNullSafe(choice["chosen_source"]))
+    choice = sums.select("source", F.least(*off)["j"].alias("j"))
+    drawn = _join_sources(joined, choice, small)
     u = F.element_at("u", F.col("j") + 1)
     return drawn.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + (u < F.col("part")).cast("long")).alias("copies"))
 
