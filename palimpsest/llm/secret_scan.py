@@ -19,6 +19,8 @@ from . import _common as C
 
 MARK = "[SECRET]"
 SHORTEST = 10
+#: Code points beside a candidate that its features look at.
+CONTEXT = 200
 #: Words that stand before keys, words that stand before other long codes, words of samples. Fixed values.
 KEY_WORDS = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "auth", "bearer", "credential", "credentials", "private")
 CODE_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "uuid", "id", "isbn", "order", "ticket", "build", "version", "phone", "card", "revision", "etag")
@@ -191,6 +193,7 @@ def _candidates(texts: list[bytes]):
     digits = np.concatenate(([0], np.cumsum((words.raw >= 48) & (words.raw <= 57))))
     has_digit = digits[words.end] > digits[words.start]
     prefixed = np.zeros(len(words), bool)
+    points = np.concatenate(([0], np.cumsum((words.raw & 0xC0) != 0x80)))  # code points before each byte
     text = words.raw.tobytes()
     for prefix in PREFIXES:
         at = text.find(p := prefix.encode())
@@ -208,11 +211,11 @@ def _candidates(texts: list[bytes]):
             if not any(c.isdigit() for c in value) and not _PREFIX.match(value):
                 continue
             if base is None:
-                base = len(text[int(words.text_start[d]) : start].decode())
+                base = int(points[start] - points[int(words.text_start[d])])
                 first = max(int(words.first[d]), i - 3)
-                lead = text[int(words.start[first]) : start].decode()
-                after = text[int(words.start[i + 1]) : int(words.end[i + 1])].decode() if i + 1 < words.first[d + 1] else ""
-            out[d].append((base + m.start(), base + m.end(), value, lead + word[: m.start()], after))
+                lead = text[int(words.start[first]) : start].decode()[-CONTEXT:]
+                after = text[int(words.start[i + 1]) : int(words.end[i + 1])].decode()[:CONTEXT] if i + 1 < words.first[d + 1] else ""
+            out[d].append((base + m.start(), base + m.end(), value, (lead + word[max(0, m.start() - CONTEXT) : m.start()])[-CONTEXT:], after))
     return out
 
 
