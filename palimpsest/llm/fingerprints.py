@@ -3,7 +3,7 @@
 A paragraph hashes to a wide vector and a document to the sum of its paragraphs' vectors modulo powers
 of two, so paragraphs may come in any order, and may be added to or taken from a fingerprint without
 the rest of the text. The vector has two parts. Sixteen 32-bit lanes of SHA-512 tell multisets of
-paragraphs apart. Forty-eight 20-bit lanes count, for each bit of a 64-bit hash, the paragraph's
+paragraphs apart. Sixty 20-bit lanes count, for each bit of a 64-bit hash, the paragraph's
 three-word runs that have it set; with the number of runs these are sums of random signs, whose
 squared difference estimates how many runs two documents don't share.
 """
@@ -19,7 +19,7 @@ from . import _common as C
 
 EXACT_LANES, EXACT_MOD = 16, 1 << 32
 #: The counting lanes stand three to a number, 20 bits each.
-PACKED, PACKED_LANES, LANE_BITS = 16, 3, 20
+PACKED, PACKED_LANES, LANE_BITS = 20, 3, 20
 PACKED_MOD = 1 << (PACKED_LANES * LANE_BITS)
 _LANE_MASK = sum(1 << (LANE_BITS * i) for i in range(PACKED_LANES))
 RUN = 3
@@ -91,8 +91,10 @@ def likeness(a: Column, b: Column) -> Column:
     """0 to 1: estimated share of common three-word runs, 2 * common / all for runs that don't repeat; 1 for equal fingerprints."""
 
     def lanes(f: Column) -> Column:
-        """Sums of random signs: twice the count less the number of runs."""
-        one = lambda i: F.transform(f["counts"], lambda x: 2 * F.shiftrightunsigned(x, LANE_BITS * i).bitwiseAND(F.lit((1 << LANE_BITS) - 1)) - f["runs"])
+        """Sums of random signs: twice the count less the number of runs. A lane counts modulo its width; the sum is the value nearest to 0, as it grows with the root of the runs."""
+        half = 1 << (LANE_BITS - 1)
+        near_0 = lambda v: F.pmod(v + half, F.lit(2 * half)) - half
+        one = lambda i: F.transform(f["counts"], lambda x: near_0(2 * F.shiftrightunsigned(x, LANE_BITS * i).bitwiseAND(F.lit((1 << LANE_BITS) - 1)) - f["runs"]))
         return F.concat(*(one(i) for i in range(PACKED_LANES)))
 
     def compare(p: Column) -> Column:
