@@ -74,6 +74,20 @@ def test_fingerprints_add_up(spark):
     assert row[0] == row[1] == row[2] and row[3] == row[4] and row[0] != row[4] and row[5] == 1.0
 
 
+def test_likeness_of_halves_and_long_texts(spark):
+    f = fingerprints
+    part = lambda x, n=300: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit(f"{x}"), i.cast("string"))), " ")
+    found = []
+    for x in range(12):
+        a, b = F.concat(part(f"a{x}_"), F.lit("\n"), part(f"b{x}_")), F.concat(part(f"a{x}_"), F.lit("\n"), part(f"c{x}_"))
+        found.append(spark.range(1).select(f.likeness(f.fingerprint(a), f.fingerprint(b))).first()[0])
+    assert abs(sum(found) / 12 - 0.5) < 0.15
+    # More runs than a lane counts to.
+    lanes = F.struct(F.array(*(F.lit(0).cast("long") for _ in range(f.EXACT_LANES))).alias("exact"), F.array(*(F.lit(((1 << 20) - 5) // 2 + i).cast("long") for i in range(f.PACKED))).alias("counts"), F.lit((1 << 20) - 5).cast("long").alias("runs"))
+    more = F.struct(lanes["exact"].alias("exact"), F.transform(lanes["counts"], lambda x: x + 3).alias("counts"), (lanes["runs"] + 6).alias("runs"))
+    assert spark.range(1).select(f.likeness(lanes, more)).first()[0] > 0.9
+
+
 def test_shards(odd, empty):
     for docs, k in ((odd, 24), (odd, 3), (odd, 1)):
         out = sharding.shard(docs, k).collect()
@@ -157,13 +171,22 @@ def test_jaccard_join_on_near_copies(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for a in (80, 90):
         assert Counter(tuple(x) for x in jaccard_join.jaccard_join(docs, 3, (a, 100)).collect()) == brute_components(rows, 3, a, 100)
+    rows = [(None if i % 3 == 0 else i // 4, t) for i, t in rows]  # null and repeated ids
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(x) for x in jaccard_join.jaccard_join(docs, 3, (90, 100)).collect()) == brute_components(rows, 3, 90, 100)
 
 
 def test_one_of_each(spark, odd):
     kept = jaccard_join.one_of_each(odd, width=5, threshold=(80, 100))
     assert kept.columns == odd.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert 15 in ids and 18 not in ids and 0 in ids
+    ids = Counter(r["doc_id"] for r in kept.collect())
+    assert ids[15] == 1 and ids[18] == 0 and ids[0] == 1 and ids[3] == 2 and ids[None] == 1
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(2, a), (5, a + " end"), (5, b), (5, b), (None, c), (None, c + " end"), (None, None), (7, "")]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), width=5, threshold=(80, 100)).collect()
+    assert len(kept) == 5
+    counted = Counter((r["doc_id"], (r["text"] or "")[:1]) for r in kept)
+    assert counted == {(2, "a"): 1, (5, "b"): 1, (None, "c"): 1, (None, ""): 1, (7, ""): 1}
 
 
 def test_licences(odd, empty):
@@ -227,12 +250,15 @@ def test_language_model(spark, odd, empty):
     model.delete()
 
 
-def test_mixing(spark, sf, odd, empty):
+def test_mixing(spark, sf, odd, empty, monkeypatch):
     out = mixing.plan(odd).collect()
     assert len(out) == len(rows_of()) and mixing.plan(empty).count() == 0
     assert all(r["copies"] <= 2 for r in out) and Counter(r["size"] for r in out) == Counter(len(words(t)) for _, t, *_ in rows_of())
     assert sorted(map(tuple, out), key=repr) == sorted(map(tuple, mixing.plan(odd.repartition(2)).collect()), key=repr)
     assert mixing.mix(odd).columns == odd.columns
+    monkeypatch.setattr(mixing, "MAX_SOURCE_BYTES", 0)  # many sources: salted keys
+    assert sorted(map(tuple, out), key=repr) == sorted(map(tuple, mixing.plan(odd).collect()), key=repr)
+    monkeypatch.undo()
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     plan = {(r["doc_id"], r["source"]): r["copies"] for r in mixing.plan(docs).collect()}
     mixed = Counter((r["doc_id"], r["source"]) for r in mixing.mix(docs).collect())
@@ -313,6 +339,9 @@ def test_secrets(spark, odd, empty):
     row = clean.where("doc_id = 45").first()
     assert row["text"] == 'token = "[SECRET]" end' and row["n_chars"] == len(row["text"])
     assert clean.where("doc_id = 36").first()["text"] == next(t for i, t, *_ in rows_of() if i == 36)
+    glued = "é" + ";".join(f"k{i}:0123456789abcdef{i:08}" for i in range(20_000))  # one word of 600,000 characters
+    spans = secret_scan._candidates([b"", glued.encode()])[1]
+    assert len(spans) == 20_000 and all(glued[c[0] : c[1]] == c[2] and len(c[3]) <= secret_scan.CONTEXT for c in spans)
     fresh = secret_scan.findings(1000, seed=99)
     import numpy as np
 
