@@ -28,6 +28,8 @@ from . import _common as C
 MAX_FREQUENT = 100_000
 FREQUENT_FROM = 24
 PARITY_WORDS = 4
+#: Keys that hold more than this part of all rows are fewer than this number; a table of them is broadcast (32 bytes each).
+MAX_HOT = 1 << 14
 
 
 def _sets(words, width: int):
@@ -266,6 +268,16 @@ def jaccard_join(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (
     return groups(docs, width, threshold, k).select("doc_id", "n_shingles", "component_id")
 
 
+def _by_key(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``table``, which has each key's number of ``rows``; ``total`` is the sum of these numbers.
+
+    A key with more than one in MAX_HOT of all rows meets its rows where they are, by a broadcast, so that
+    no task gets all of them; the others meet by a shuffle.
+    """
+    hot = F.broadcast(table.where(F.col("rows") > total / MAX_HOT).drop("rows"))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(table.drop("rows"), key, "left"))
+
+
 def groups(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 100), k: int = 2) -> DataFrame:
     """What ``jaccard_join`` returns, with the hash of the text and ``root``, which tells components apart that have no id."""
     import math
@@ -276,7 +288,8 @@ def groups(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 10
     a, b = threshold[0] // g, threshold[1] // g
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     described = scratch.keep(_described(docs, frequent_tokens(docs, width), width, a, b, k), "described")
-    classes = described.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("row"), (F.min("cls2") != F.max("cls2")).alias("clash"))
+    classes = described.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("row"), F.count("*").alias("rows"), (F.min("cls2") != F.max("cls2")).alias("clash"))
+    classes = scratch.keep(classes, "classes")
     if classes.where("clash").limit(1).count():
         raise RuntimeError("two different sets share a 64-bit hash")
     reps = classes.select("cls", "row.doc_id", "row.key")
@@ -302,11 +315,15 @@ def groups(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 10
     more = near(more.join(starred, ["x", "y"], "left_anti"))
     if more.limit(1).count():
         roots = components(links.unionByName(_verified(more, docs, reps, width, a, b, scratch)), scratch)
-    with_root = described.select("doc_id", "key", "n", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    names = with_root.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = with_root.join(names, "root", "left").select(
-        "doc_id", "key", "root", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    linked = scratch.keep(classes.select("cls", "row.doc_id", "rows").join(roots.withColumnRenamed("node", "cls"), "cls"), "linked")
+    names = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
+    named = _by_key(linked.select("cls", "root", F.col("rows").alias("_rows")), scratch.keep(names, "names"), "root", linked.count()).withColumnRenamed("_rows", "rows")
+    alone = classes.join(linked.select("cls"), "cls", "left_anti").select("cls", F.col("cls").alias("root"), "rows", F.col("row.doc_id").alias("component_id"))
+    homes = scratch.keep(named.unionByName(alone), "homes")
+    rows = described.select("doc_id", "key", F.col("n").alias("n_shingles"), "cls")
+    bare = rows.where("n_shingles = 0").select("doc_id", "key", F.col("cls").alias("root"), "n_shingles", F.col("doc_id").alias("component_id"))
+    rows = rows.where("n_shingles > 0")
+    out = _by_key(rows, homes, "cls", rows.count()).select(*bare.columns).unionByName(bare)
     out = out.checkpoint()
     scratch.drop()
     return out

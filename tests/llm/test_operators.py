@@ -173,7 +173,9 @@ def test_jaccard_join_on_near_copies(spark, monkeypatch):
         assert Counter(tuple(x) for x in jaccard_join.jaccard_join(docs, 3, (a, 100)).collect()) == brute_components(rows, 3, a, 100)
     rows = [(None if i % 3 == 0 else i // 4, t) for i, t in rows]  # null and repeated ids
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert Counter(tuple(x) for x in jaccard_join.jaccard_join(docs, 3, (90, 100)).collect()) == brute_components(rows, 3, 90, 100)
+    for most in (1, 20, jaccard_join.MAX_HOT):  # no hot keys, some, all
+        monkeypatch.setattr(jaccard_join, "MAX_HOT", most)
+        assert Counter(tuple(x) for x in jaccard_join.jaccard_join(docs, 3, (90, 100)).collect()) == brute_components(rows, 3, 90, 100)
 
 
 def test_one_of_each(spark, odd):
