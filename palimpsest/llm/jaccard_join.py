@@ -294,11 +294,13 @@ def groups(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 10
         raise RuntimeError("two different sets share a 64-bit hash")
     reps = classes.select("cls", "row.doc_id", "row.key")
 
-    # Lists of the index: how many entries, whether of several classes, and the pivot, the class with fewest rare tokens.
-    entries = described.where("n > 0").select("cls", "n", "rare", *_PARITY, F.explode("entries").alias("sig"))
-    lists = entries.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min(F.struct("rare", "cls", "n", *_PARITY)).alias("pivot"))
-    lists = scratch.keep(lists.where("lo != hi").select("sig", "pivot"), "lists")
-    members = scratch.keep(entries.join(lists.select("sig"), "sig").dropDuplicates(["sig", "cls"]), "members")
+    # Lists of the index of several classes. Entries are shuffled as bare numbers; what bounds need joins those that are left.
+    entries = described.where("n > 0").select("cls", F.explode("entries").alias("sig"))
+    shared = entries.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("sig")
+    bounds = described.where("n > 0").select("cls", "n", "rare", *_PARITY).dropDuplicates(["cls"])
+    members = scratch.keep(entries.join(shared, "sig").distinct().join(bounds, "cls"), "members")
+    # The pivot of a list is the class with fewest rare tokens.
+    lists = scratch.keep(members.groupBy("sig").agg(F.min(F.struct("rare", "cls", "n", *_PARITY)).alias("pivot")), "lists")
     pivots = lists.select("sig", "pivot.*")
     in_order = [F.least("x.cls", "y.cls").alias("x"), F.greatest("x.cls", "y.cls").alias("y")]
     on_list = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") != F.col("y.cls")) & _can_link("x", "y", a, b)
@@ -317,7 +319,7 @@ def groups(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 10
         roots = components(links.unionByName(_verified(more, docs, reps, width, a, b, scratch)), scratch)
     linked = scratch.keep(classes.select("cls", "row.doc_id", "rows").join(roots.withColumnRenamed("node", "cls"), "cls"), "linked")
     names = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
-    named = _by_key(linked.select("cls", "root", F.col("rows").alias("_rows")), scratch.keep(names, "names"), "root", linked.count()).withColumnRenamed("_rows", "rows")
+    named = _by_key(linked.select("cls", "root", F.col("rows").alias("_rows")), names, "root", linked.count()).withColumnRenamed("_rows", "rows")
     alone = classes.join(linked.select("cls"), "cls", "left_anti").select("cls", F.col("cls").alias("root"), "rows", F.col("row.doc_id").alias("component_id"))
     homes = scratch.keep(named.unionByName(alone), "homes")
     rows = described.select("doc_id", "key", F.col("n").alias("n_shingles"), "cls")
