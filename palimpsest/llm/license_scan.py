@@ -2,8 +2,9 @@
 
 The model has a class for paragraphs without a licence and one for each family, and a temperature fitted
 on variants it hasn't seen. A paragraph that is licence-like but not surely of one family, or not borne
-out by one of the family's templates, is ``unknown``. Scoring is one pass: words and pairs meet the model's
-few hundred terms in a broadcast join, and only matches are summed by paragraph.
+out by one of the family's templates, is ``unknown``. Paragraphs are lines, blocks of lines that no blank one parts, and
+the runs of lines in a block that bear out a template, so a wrapped notice is found within any text. Scoring is one
+pass: words and pairs meet the model's few hundred terms in a broadcast join, and only matches are summed by paragraph.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import json
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
@@ -43,6 +44,8 @@ FAMILIES = tuple(dict.fromkeys(f for f, _ in TEMPLATES))
 CLASSES = ("none", "unknown", *FAMILIES)
 _TOKEN = r"[a-z0-9][a-z0-9.\-]*[a-z0-9]|[a-z0-9]"
 SURE, BORNE_OUT = 0.8, 0.6
+#: Lines of the longest runs: as many as the longest template has words, so that any wrapping of it fits.
+LONGEST = max(len(text.split()) for _, text in TEMPLATES)
 
 
 def terms(text: str) -> set[str]:
@@ -112,43 +115,101 @@ def _table(spark: SparkSession, model: Model) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<term: string, w: array<double>, t: array<int>>>")))
 
 
-def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
-    """_row, doc_id, place (-1 once for each row), family, probability, borne_out of the paragraphs with any term of the model."""
-    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.split(text, "\n").alias("lines"))
+def _let(column: Column, use) -> Column:
+    """``use`` of ``column``, which is worked out once."""
+    return F.element_at(F.transform(F.array(column), use), 1)
+
+
+def _grams(text: Column) -> Column:
+    """The distinct words and pairs of a text; pairs cross line breaks."""
+    words = F.regexp_extract_all(text, F.lit(f"({_TOKEN})"), F.lit(1))
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    return _let(words, lambda w: F.array_distinct(F.concat(w, pairs(w))))
+
+
+def _bears_out(grams: Column) -> Column:
+    """Whether the terms reach BORNE_OUT of any template; if a text's don't, no part's do."""
+    own = [F.array(*map(F.lit, sorted(terms(text)))) for _, text in TEMPLATES]
+    every = F.array(*map(F.lit, sorted({t for _, text in TEMPLATES for t in terms(text)})))
+    reaches = lambda held: F.exists(F.array(*own), lambda t: F.size(F.array_intersect(t, held)) >= BORNE_OUT * F.size(t))
+    return _let(F.array_intersect(every, grams), lambda held: F.exists(held, lambda t: t.contains(" ")) & reaches(held))
+
+
+def _units(lines: Column, first: Column) -> Column:
+    """Of a block of lines, the first being number ``first``: a, b (first and last line), terms of each line, of the block, and of the runs of lines that bear out a template."""
+    n, unit = F.size(lines), lambda a, b, t: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), t.alias("terms"))
+    run = lambda i, k: _grams(F.array_join(F.slice(lines, i + 1, k), "\n"))
+    sizes = lambda i: F.sequence(F.lit(2), F.least(F.lit(LONGEST), n - i))
+    # The terms of a run are among those of the longest run from its first line, and these among the block's.
+    from_line = lambda i: F.filter(F.transform(sizes(i), lambda k: unit(first + i, first + i + k - 1, run(i, k))), lambda u: (u["b"] - u["a"] < n - 1) & _bears_out(u["terms"]))
+    starts = F.filter(F.sequence(F.lit(0), n - 2), lambda i: _bears_out(run(i, F.lit(LONGEST))))
+    none = F.array().cast("array<struct<a: int, b: int, terms: array<string>>>")
+    whole = _let(_grams(F.array_join(lines, "\n")), lambda t: F.concat(F.array(unit(first, first + n - 1, t)), F.when(_bears_out(t), F.flatten(F.transform(starts, from_line))).otherwise(none)))
+    return F.concat(F.transform(lines, lambda x, i: unit(first + i, first + i, _grams(x))), F.when(n > 1, whole).otherwise(none))
 
-    def grams(line):
-        words = F.regexp_extract_all(line, F.lit(f"({_TOKEN})"), F.lit(1))
-        pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-        return F.element_at(F.transform(F.array(words), lambda w: F.array_distinct(F.concat(w, pairs(w)))), 1)
 
-    lines = rows.select("_row", "doc_id", F.posexplode(F.concat(F.array(F.lit("")), "lines")).alias("place", "line"))
-    each = lines.select("_row", "doc_id", (F.col("place") - 1).alias("place"), F.explode(F.when(F.col("place") == 0, F.array(F.lit(""))).otherwise(grams(F.col("line")))).alias("term"))
+def _blocks(text: Column) -> Column:
+    """first (number of the first line), lines of each block of consecutive lines with a letter or digit; and one of no lines at -1."""
+    full = lambda lines: F.transform(lines, lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    edge = lambda f, step: F.filter(F.transform(f, lambda x, i: F.when(x & ~F.coalesce(F.get(f, i + step), F.lit(False)), i)), lambda i: i.isNotNull())
+    cut = lambda lines: _let(full(lines), lambda f: F.zip_with(edge(f, -1), edge(f, 1), lambda a, b: F.struct(a.alias("first"), F.slice(lines, a + 1, b - a + 1).alias("lines"))))
+    no_lines = F.struct(F.lit(-1).alias("first"), F.array().cast("array<string>").alias("lines"))
+    return _let(F.split(text, "\n"), lambda lines: F.concat(F.array(no_lines), cut(lines)))
+
+
+def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
+    """_row, doc_id, block, place, last (numbers of lines; -1 once for each row), family, probability, borne_out of the lines, blocks and runs of lines with any term of the model."""
+    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", text.alias("text"))
+    blocks = rows.select("_row", "doc_id", F.explode(_blocks(F.col("text"))).alias("b")).select("_row", "doc_id", F.col("b.first").alias("block"), "b.lines")
+    none = F.array(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.array(F.lit("")).alias("terms")))
+    units = blocks.select("_row", "doc_id", "block", F.explode(F.when(F.col("block") < 0, none).otherwise(_units(F.col("lines"), F.col("block")))).alias("u"))
+    each = units.select("_row", "doc_id", "block", F.col("u.a").alias("place"), F.col("u.b").alias("last"), F.explode("u.terms").alias("term"))
     hits = each.join(F.broadcast(_table(docs.sparkSession, model)), "term")
-    sums = hits.groupBy("_row", "doc_id", "place").agg(
+    unit = ["_row", "doc_id", "block", "place", "last"]
+    sums = hits.groupBy(*unit).agg(
         *(F.sum(F.round(F.col("w")[i] * 1e6).cast("long")).alias(f"z{i}") for i in range(len(CLASSES))),  # whole numbers: their sum has no order
         *(F.sum(F.col("t")[i]).alias(f"t{i}") for i in range(len(TEMPLATES))),
     )
     z = [(F.col(f"z{i}") / 1e6 + float(model.bias[i])) / model.temperature for i in range(len(CLASSES))]
     top = F.greatest(*z)
     e = [F.exp(x - top) for x in z]
-    scored = sums.select("_row", "doc_id", "place", F.array(*e).alias("e"), F.greatest(*e[2:]).alias("best"), sum(e, F.lit(0.0)).alias("all"), *(F.col(f"t{i}") / len(terms(t)) for i, (_, t) in enumerate(TEMPLATES)))
-    share = {f: [scored.columns[6 + i] for i, (g, _) in enumerate(TEMPLATES) if g == f] for f in FAMILIES}
-    borne = F.coalesce(*(F.when(F.col("e")[2 + k] == F.col("best"), F.greatest(F.lit(0.0), *(F.col(f"`{c}`") for c in share[f]))) for k, f in enumerate(FAMILIES)))
+    scored = sums.select(*unit, F.array(*e).alias("e"), F.greatest(*e[2:]).alias("best"), sum(e, F.lit(0.0)).alias("all"), *((F.col(f"t{i}") / len(terms(t))).alias(f"share{i}") for i, (_, t) in enumerate(TEMPLATES)))
+    share = {f: [f"share{i}" for i, (g, _) in enumerate(TEMPLATES) if g == f] for f in FAMILIES}
+    borne = F.coalesce(*(F.when(F.col("e")[2 + k] == F.col("best"), F.greatest(F.lit(0.0), *map(F.col, share[f]))) for k, f in enumerate(FAMILIES)))
     named = F.coalesce(*(F.when(F.col("e")[2 + k] == F.col("best"), F.lit(f)) for k, f in enumerate(FAMILIES)))
     sure = (F.col("best") / F.col("all") >= SURE) & (borne >= BORNE_OUT)
     family = F.when((F.col("place") < 0) | (F.col("e")[0] > (1 - SURE) * F.col("all")), F.lit(None).cast("string")).when(sure, named).otherwise("unknown")
-    return scored.select("_row", "doc_id", "place", family.alias("family"), (F.col("best") / F.col("all")).alias("probability"), borne.alias("borne_out"))
+    return scored.select(*unit, family.alias("family"), (F.col("best") / F.col("all")).alias("probability"), borne.alias("borne_out"))
+
+
+def _settled(units: Column) -> Column:
+    """Of the licence-like units of a block, its notices.
+
+    Lines of a family stay. Of runs of lines, the best borne out and then shortest goes first, unless it meets a notice
+    of its family; an ``unknown`` line stays unless a run holds it, and a block is ``unknown`` if nothing else is in it.
+    """
+    meets = lambda u, v: (u["place"] <= v["last"]) & (v["place"] <= u["last"])
+    known, single = lambda u: u["family"] != "unknown", lambda u: u["place"] == u["last"]
+    lines = F.filter(units, lambda u: known(u) & single(u))
+    runs = F.array_sort(F.filter(units, lambda u: known(u) & ~single(u)))
+    taken = lambda kept: F.aggregate(runs, kept, lambda acc, u: F.when(F.exists(acc, lambda v: (u["family"] == v["family"]) & meets(u, v)), acc).otherwise(F.concat(acc, F.array(u))))
+    rest = lambda kept: F.concat(kept, F.filter(units, lambda u: ~known(u) & single(u) & ~F.exists(kept, lambda v: ~single(v) & meets(u, v))))
+    return _let(_let(taken(lines), rest), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(units))
 
 
 def licences(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, n_notices, families (in order of name), notices (place of the paragraph, family, probability, borne_out) of each row of ``docs`` (doc_id, text).
+    """doc_id, n_notices, families (in order of name), notices (place of the first line, family, probability, borne_out) of each row of ``docs`` (doc_id, text).
 
-    Paragraphs are the lines of a text. A null or empty text has none; rows that repeat each other are judged apart and alike; other columns are ignored.
+    Notices are lines of a text, or runs of lines without a blank one between. A null or empty text has none; rows that
+    repeat each other are judged apart and alike; other columns are ignored.
     """
     found = paragraphs(docs, model or train())
-    notice = F.when(F.col("family").isNotNull(), F.struct("place", "family", F.round("probability", 6).alias("probability"), F.round("borne_out", 6).alias("borne_out")))
-    by_row = found.groupBy("_row", "doc_id").agg(F.array_sort(F.collect_list(notice)).alias("notices"))
+    rank = (F.round(-F.col("borne_out"), 6).alias("rank"), (F.col("last") - F.col("place")).alias("more"), F.round(-F.col("probability"), 6).alias("less"))
+    unit = F.when(F.col("family").isNotNull(), F.struct(*rank, "place", "last", "family", "probability", "borne_out"))
+    by_block = found.groupBy("_row", "doc_id", "block").agg(F.collect_list(unit).alias("units")).select("_row", "doc_id", _settled(F.col("units")).alias("units"))
+    notice = lambda u: F.struct(u["place"].alias("place"), u["family"].alias("family"), F.round(u["probability"], 6).alias("probability"), F.round(u["borne_out"], 6).alias("borne_out"))
+    by_row = by_block.groupBy("_row", "doc_id").agg(F.array_sort(F.transform(F.flatten(F.collect_list("units")), notice)).alias("notices"))
     return by_row.select("doc_id", F.size("notices").cast("long").alias("n_notices"), F.array_sort(F.array_distinct(F.col("notices.family"))).alias("families"), "notices")
 
 

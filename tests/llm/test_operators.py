@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -202,6 +203,25 @@ def test_every_template_is_recognised(spark):
     assert [r["families"] for r in license_scan.licences(docs).orderBy("doc_id").collect()] == [[f] for f, _ in license_scan.TEMPLATES]
 
 
+def test_wrapped_licences(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'
+    prose = ["The general public was free to see the work and the terms of it.", "They use a version of the file at school.", "All of this was in the water by the public house."] * 20
+    texts, want = [], []
+    for width in (30, 72, 80):
+        for family, text in (("bsd", bsd), ("gpl", gpl), ("mit", mit)):
+            lines = textwrap.wrap(text, width)
+            marked = "\n".join(["/*", " * Copyright 2020 The Authors", " *", *(f" * {x}" for x in lines), " */", "int main() {"])
+            texts += ["\n".join(lines), marked, "\n".join([*prose, *lines, *prose])]
+            want += [family] * 3
+    both = "\n".join([*textwrap.wrap(mit, 72), *textwrap.wrap(bsd, 72), *prose, *textwrap.wrap(mit, 60)])
+    docs = spark.createDataFrame(list(enumerate([*texts, both])), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in license_scan.licences(docs).collect()}
+    assert [[f for f in out[i]["families"] if f != "unknown"] for i in range(len(texts))] == [[f] for f in want]
+    assert [n["family"] for n in out[len(texts)]["notices"] if n["family"] != "unknown"] == ["mit", "bsd", "mit"]
+
+
 def test_quality_classifier(spark, sf, odd, empty):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     model = quality_classifier.train(docs, labels)
