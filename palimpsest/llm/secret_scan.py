@@ -1,6 +1,7 @@
 """Secret scans: candidates by shape, then a random forest that removes false positives.
 
-A candidate is a run of key characters with a digit, or with a known key prefix. The forest sees its
+A candidate is a run of key characters with a digit, or with a known key prefix; or any value that a key word
+and = or : stand before, to its closing quote or else the next space. The forest sees its
 length, its character transitions, how much of it dictionary words cover, the path it stands in and the words
 beside it. It is trained on labelled findings; ``findings`` writes a set by rule, and a table of real ones
 can take its place.
@@ -33,13 +34,22 @@ DICTIONARY = (
     "press report run said same sample say see sentence set she should show side small so some sound state still stop story study such table take tell test than that the them then there these they thing think this "
     "time title to too tree try turn two under up us use user value very view want was water way we well were what when where which while who why will with word work world would write year you your"
 ).split()
+#: Words of passphrases, and plain words and names of types that stand after key words. Fixed values.
+PASS_WORDS = "apple arrow banjo barrel bishop bottle candle canyon copper cobalt dragon eagle falcon feather garden ginger hammer harbor island ivory jacket jungle kitten lantern lemon magnet marble meadow nickel ocean orange parrot pepper pirate pocket purple quartz rabbit ribbon river rocket saddle salmon silver spider sunset thunder tiger timber turtle velvet violet walnut whisper winter yellow zebra".split()
+PLAIN_WORDS = "required optional authentication authorization identifier unavailable undefined description information application international confidential importantly everything understanding string|null unspecified deprecated configuration expiration_date case-sensitive Optional[str] process.env credentials_provider username/password encryption documentation permissions environment".split()
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{%d,}={0,2}" % SHORTEST)
 _PREFIX = re.compile("|".join(map(re.escape, PREFIXES)))
 _WORD = re.compile(r"[a-z_]+[0-9]*")
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+#: A key word, = or :, and a value: in quotes, or up to a space or quote.
+_ASSIGNED = re.compile(
+    r"(?:(?<![A-Za-z])|(?<=[a-z0-9])(?=[A-Z]))(?i:%s)[\"'`\]]{0,2}[ \t]*[=:]+[ \t]*" % "|".join(sorted(KEY_WORDS, key=len, reverse=True))
+    + r"""(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|["'`]?([^\s"'`]+))"""
+)
 _PATHS = re.compile(r"(?i)(^|[/_.\-])(tests?|examples?|samples?|docs?|fixtures?)([/_.\-]|$)|\.(md|rst|html?|lock|svg)\b")
 _LONG_WORDS = frozenset(w for w in DICTIONARY if len(w) > 2)
 _PAIRS = frozenset(w[i : i + 2] for w in DICTIONARY for i in range(len(w) - 1))
-FEATURES = ("length", "transitions", "word_pairs", "digits", "capitals", "distinct", "hex", "coverage", "path", "key_word", "code_word", "sample_word", "assigned", "prefix")
+FEATURES = ("length", "transitions", "word_pairs", "digits", "capitals", "distinct", "hex", "coverage", "path", "key_word", "code_word", "sample_word", "assigned", "prefix", "symbols", "spaces", "quoted")
 
 
 def features(value: str, before: str, after: str, path: str) -> list[float]:
@@ -53,7 +63,7 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
         size = next((k for k in range(min(10, n - i), 2, -1) if low[i : i + k] in _LONG_WORDS), 0)
         covered += size
         i += size or 1
-    near = _WORD.findall(before.lower())[-3:]
+    near = _WORD.findall(_CAMEL.sub("_", before).lower())[-3:]
     parts = {p for w in near for p in (w, *w.split("_"))}
     around = f"{before} {value} {after}".lower()
     return [
@@ -69,8 +79,11 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
         float(any(p in KEY_WORDS for p in parts)),
         float(any(p in CODE_WORDS for p in parts)),
         float(any(w in around for w in SAMPLE_WORDS)),
-        float(before.rstrip(" \"'").endswith(("=", ":"))),
+        float(before.rstrip(" \t\"'`").endswith(("=", ":"))),
         float(bool(_PREFIX.match(value))),
+        sum(not c.isalnum() and not c.isspace() for c in value) / n,
+        sum(c.isspace() for c in value) / n,
+        float(before.endswith(('"', "'", "`"))),
     ]
 
 
@@ -113,6 +126,52 @@ def findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str, str, in
         else:
             value = f"{r.randint(200, 999)}-{r.randint(100, 999)}-{r.randint(1000, 9999)}"
         out.append((value, before, after, path, 0))
+    return out + _assigned(n // 2, seed + 1)
+
+
+def _assigned(n: int, seed: int) -> list[tuple[str, str, str, str, int]]:
+    """Labelled values after a key word: passwords and passphrases, and plain words, sentences, code and samples."""
+    import random
+
+    r = random.Random(seed)
+    letters, symbols = "abcdefghijklmnopqrstuvwxyz", "!@#$%^&*?.~+-_"
+    text = lambda chars, lo, hi: "".join(r.choice(chars) for _ in range(r.randint(lo, hi)))
+    rare = lambda: r.choice(PASS_WORDS) if r.random() < 0.5 else text(letters, 4, 8)
+    plain = lambda: r.choice(DICTIONARY)
+    out = []
+    for i in range(n):
+        key = r.choice(KEY_WORDS)
+        key = r.choice((key, key, key.upper(), f"db_{key}", f"user{key.capitalize()}"))
+        before, quote = f"{plain()} {plain()} {key}{r.choice(('=', ' = ', ': ', ':'))}", r.choice(('"', "'", '"', ""))
+        if i % 2:
+            kind = r.randrange(5)
+            if kind == 0:
+                value = "".join(rare() for _ in range(r.randint(3, 5)))
+            elif kind == 1:
+                value, quote = r.choice((" ", "-", ".")).join(rare() for _ in range(r.randint(4, 6))), quote or '"'
+            elif kind == 2:
+                value = text(letters + letters.upper(), 12, 40)
+            elif kind == 3:
+                value = text(letters + letters.upper() + "0123456789" + symbols, 10, 24)
+            else:
+                word = "".join(r.choice((c, c, c.upper(), {"a": "@", "o": "0", "i": "1", "s": "$", "e": "3"}.get(c, c))) for c in rare() + rare())
+                value = (word + r.choice(symbols) + text(letters + "0123456789" + symbols, 3, 8))[:24]
+        else:
+            kind = r.randrange(6)
+            if kind == 0:
+                value, quote = r.choice(PLAIN_WORDS), r.choice(("", "", quote))
+            elif kind == 1:
+                value, quote = " ".join(plain() for _ in range(r.randint(3, 12))).capitalize() + r.choice(("", ".")), quote or '"'
+            elif kind == 2:
+                value, quote = r.choice((f"{plain()}.{plain()}({plain()})", f"get_{plain()}_{plain()}()", f"os.environ[{plain().upper()}]", f"${{{plain().upper()}_{plain().upper()}}}", f"self.{plain()}_{plain()}", f"{{{{{plain()}.{plain()}}}}}")), r.choice(("", "", quote))
+            elif kind == 3:
+                value = r.choice(SAMPLE_WORDS) + r.choice(("_", "-", "")) + r.choice((key.lower(), plain())) + r.choice(("", "_here", "-here"))
+            elif kind == 4:
+                value = f"<{plain()}_{plain()}>" if r.random() < 0.5 else "*" * r.randint(10, 16)
+            else:
+                value = r.choice(("https://", "http://", "/")) + "/".join(plain() for _ in range(r.randint(2, 5)))
+        if len(value) >= SHORTEST:
+            out.append((value, before + quote, plain(), r.choice(("src0", "web", "src12", "config/app.ini", "notes")), i % 2))
     return out
 
 
@@ -216,6 +275,39 @@ def _candidates(texts: list[bytes]):
                 lead = text[int(words.start[first]) : start].decode()[-CONTEXT:]
                 after = text[int(words.start[i + 1]) : int(words.end[i + 1])].decode()[:CONTEXT] if i + 1 < words.first[d + 1] else ""
             out[d].append((base + m.start(), base + m.end(), value, (lead + word[max(0, m.start() - CONTEXT) : m.start()])[-CONTEXT:], after))
+    for own, raw in zip(out, texts, strict=True):
+        if b"=" in raw or b":" in raw:
+            known = {c[:2] for c in own}
+            own += [c for c in _values(raw.decode()) if c[:2] not in known]
+            own.sort(key=lambda c: c[:2])
+    return out
+
+
+def _values(text: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """The values after a key word and = or :, as candidates."""
+    for m in _ASSIGNED.finditer(text):
+        start, end = m.span(m.lastindex)
+        value = m[m.lastindex]
+        if m.lastindex == 4:
+            value = value.rstrip(",;")
+            end = start + len(value)
+        if len(value) < SHORTEST:
+            continue
+        lead, rest = text[max(0, start - CONTEXT) : start], text[end : end + 2 * CONTEXT]
+        words, later = lead.split(), rest.split()
+        near = " ".join(words[-3 if lead[-1:].isspace() else -4 :])
+        own = 0 if rest[:1].isspace() else 1
+        yield start, end, value, near, later[own][:CONTEXT] if len(later) > own else ""
+
+
+def _apart(spans: list[dict]) -> list[dict]:
+    """Spans in order of their start, those that overlap as one with the higher score."""
+    out: list[dict] = []
+    for s in spans:
+        if out and s["start"] < out[-1]["end"]:
+            out[-1] = {"start": out[-1]["start"], "end": max(s["end"], out[-1]["end"]), "score": max(s["score"], out[-1]["score"])}
+        else:
+            out.append(s)
     return out
 
 
@@ -243,7 +335,7 @@ def scan(docs: DataFrame, forest: Forest, path: str = "source", threshold: float
             candidates = _candidates(as_bytes(b["text"]))
             rows = [features(c[2], c[3], c[4], p) for own, p in zip(candidates, paths, strict=True) for c in own]
             scores = iter(shared.value.score(np.array(rows)).tolist() if rows else [])
-            spans = [[s for c in own if (s := {"start": c[0], "end": c[1], "score": next(scores)})["score"] >= threshold] for own in candidates]
+            spans = [_apart([s for c in own if (s := {"start": c[0], "end": c[1], "score": next(scores)})["score"] >= threshold]) for own in candidates]
             columns = {c: b[c] for c in kept}
             if redact and any(spans):
                 texts = b["text"].to_pylist()

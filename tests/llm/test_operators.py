@@ -371,6 +371,22 @@ def test_secrets(spark, odd, empty):
     assert right.mean() > 0.95
 
 
+def test_secrets_without_digits(spark):
+    secret = {
+        'password = "correcthorsebatterystaple" end': "correcthorsebatterystaple", 'é dbPassword: \'P@ss-w0rd!x\', end': "P@ss-w0rd!x", "password=P@ss-w0rd!x": "P@ss-w0rd!x",
+        '{"secret": "qwertzuiopasdfgh"}': "qwertzuiopasdfgh", 'password = "correct horse battery staple"': "correct horse battery staple",
+        "key: https://h.org/x?token=0123456789abcdef0123456789abcdef": "0123456789abcdef0123456789abcdef",
+    }
+    plain = ['key: "The name of the thing to look for"', "password = getpass.getpass()", "token: authentication", "monkey: abcdefghijkl", 'secret = "your_secret_here"']
+    docs = spark.createDataFrame(list(enumerate([*secret, *plain])), "doc_id long, text string")
+    forest = secret_scan.train()
+    out = secret_scan.scan(docs, forest).orderBy("doc_id").collect()
+    assert [[r["text"][s["start"] : s["end"]] for s in r["secrets"]] for r in out] == [[v] for v in secret.values()] + [[]] * len(plain)
+    clean = secret_scan.scan(docs, forest, redact=True).orderBy("doc_id").collect()
+    assert [r["text"] for r in clean] == [t.replace(v, "[SECRET]") for t, v in secret.items()] + plain
+    assert secret_scan._apart([{"start": 0, "end": 9, "score": 0.6}, {"start": 2, "end": 5, "score": 0.9}]) == [{"start": 0, "end": 9, "score": 0.9}]
+
+
 def test_texts_of_equal_rows_and_crc(spark):
     from palimpsest.llm._common import crc32_text
 
