@@ -49,7 +49,7 @@ _ASSIGNED = re.compile(
 _PATHS = re.compile(r"(?i)(^|[/_.\-])(tests?|examples?|samples?|docs?|fixtures?)([/_.\-]|$)|\.(md|rst|html?|lock|svg)\b")
 _LONG_WORDS = frozenset(w for w in DICTIONARY if len(w) > 2)
 _PAIRS = frozenset(w[i : i + 2] for w in DICTIONARY for i in range(len(w) - 1))
-FEATURES = ("length", "transitions", "word_pairs", "digits", "capitals", "distinct", "hex", "coverage", "path", "key_word", "code_word", "sample_word", "assigned", "prefix", "symbols", "spaces", "quoted")
+FEATURES = ("length", "transitions", "word_pairs", "digits", "capitals", "distinct", "hex", "coverage", "path", "key_word", "code_word", "sample_word", "assigned", "prefix", "symbols", "spaces", "quoted", "slashes")
 
 
 def features(value: str, before: str, after: str, path: str) -> list[float]:
@@ -75,7 +75,7 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
         len(set(value)) / n,
         float(all(c in "0123456789abcdef" for c in low)),
         covered / n,
-        float(bool(_PATHS.search(path)) or value.count("/") > 1),
+        float(bool(_PATHS.search(path))),
         float(any(p in KEY_WORDS for p in parts)),
         float(any(p in CODE_WORDS for p in parts)),
         float(any(w in around for w in SAMPLE_WORDS)),
@@ -84,6 +84,7 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
         sum(not c.isalnum() and not c.isspace() for c in value) / n,
         sum(c.isspace() for c in value) / n,
         float(before.endswith(('"', "'", "`"))),
+        value.count("/") / n,
     ]
 
 
@@ -122,11 +123,31 @@ def findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str, str, in
             value = "/".join(word() for _ in range(3)) + "/" + hexed(6, 10)
         elif kind == 6:
             value, path = r.choice((hexed(16, 40), mixed(16, 40))), r.choice(("tests/data.md", "docs/sample.html", "examples/a.rst", "package.lock"))
-            before += f" {r.choice(KEY_WORDS)}: "
+            before += f" {r.choice(SAMPLE_WORDS)} {r.choice(KEY_WORDS)}: "
         else:
             value = f"{r.randint(200, 999)}-{r.randint(100, 999)}-{r.randint(1000, 9999)}"
         out.append((value, before, after, path, 0))
-    return out + _assigned(n // 2, seed + 1)
+    return out + _assigned(n // 2, seed + 1) + _base64(n // 5, seed + 2)
+
+
+def _base64(n: int, seed: int) -> list[tuple[str, str, str, str, int]]:
+    """Labelled findings: base64 secrets, with slashes and plus signs, and others, of which half stand in test and docs paths."""
+    import random
+    import string
+
+    r = random.Random(seed)
+    alphabet = string.ascii_letters + string.digits
+    out = []
+    for i in range(n):
+        size = r.choice((24, 32, 40, 44, 64, 88))
+        if i % 3:
+            value = "".join(r.choice(alphabet + "+/") for _ in range(size)) + r.choice(("", "", "=", "=="))
+        else:
+            value = "".join(r.choice(r.choice(("0123456789abcdef", alphabet))) for _ in range(size))
+        path = r.choice(("src0", "web", "config/app.ini", "notes")) if r.random() < 0.5 else r.choice(("tests/data.md", "docs/index.html", "examples/a.rst", "test", "docs"))
+        before = f"{r.choice(DICTIONARY)} {r.choice(KEY_WORDS)}{r.choice(('=', ' = ', ': ', ' = ' + chr(34), '=' + chr(39)))}"
+        out.append((value, before, r.choice(DICTIONARY), path, 1))
+    return out
 
 
 def _assigned(n: int, seed: int) -> list[tuple[str, str, str, str, int]]:
@@ -170,6 +191,8 @@ def _assigned(n: int, seed: int) -> list[tuple[str, str, str, str, int]]:
                 value = f"<{plain()}_{plain()}>" if r.random() < 0.5 else "*" * r.randint(10, 16)
             else:
                 value = r.choice(("https://", "http://", "/")) + "/".join(plain() for _ in range(r.randint(2, 5)))
+                if r.random() < 0.6:  # the secret in it is a candidate of its own
+                    value += f"?{r.choice(KEY_WORDS)}={text('0123456789abcdef' if r.random() < 0.5 else letters + letters.upper() + '0123456789', 16, 48)}"
         if len(value) >= SHORTEST:
             out.append((value, before + quote, plain(), r.choice(("src0", "web", "src12", "config/app.ini", "notes")), i % 2))
     return out

@@ -387,6 +387,23 @@ def test_secrets_without_digits(spark):
     assert secret_scan._apart([{"start": 0, "end": 9, "score": 0.6}, {"start": 2, "end": 5, "score": 0.9}]) == [{"start": 0, "end": 9, "score": 0.9}]
 
 
+def test_base64_secrets_and_secrets_in_docs():
+    import base64
+    import random
+
+    import numpy as np
+
+    r, forest = random.Random(4), secret_scan.train()
+    keys = [base64.b64encode(r.randbytes(k)).decode() for k in (30, 64) * 400]
+    keys = [k for k in keys if k.count("/") > 1]
+    for values, path in ((keys, "src0"), (keys, "docs/a.html"), ([r.randbytes(20).hex() for _ in range(200)], "tests")):
+        scores = forest.score(np.array([secret_scan.features(v, 'the secret = "', "end", path) for v in values]))
+        assert len(values) >= 100 and (scores >= 0.5).mean() > 0.95
+    sample = ("0123456789abcdef0123456789abcdef", "the fake token: ", "end", "tests/data.md")
+    paths = ("users/home/files/a1b2c3d4", "the file ", "end", "src0")
+    assert (forest.score(np.array([secret_scan.features(*sample), secret_scan.features(*paths)])) < 0.5).all()
+
+
 def test_texts_of_equal_rows_and_crc(spark):
     from palimpsest.llm._common import crc32_text
 
