@@ -1,35 +1,63 @@
 """N-gram Jaccard join over token-combination prefixes.
 
-Each text's set holds the hashes of its distinct word shingles. Tokens are ordered by class, rare
-before frequent, then by hash. A text indexes a prefix of its ordered set: every rare token by
-itself, and frequent tokens as combinations of ``k`` neighbours in that order. With J >= a/b and n
-tokens, a partner lacks at most e = n(b-a)//b of them and differs in D = n(b-a)//a at most. If all r
-rare tokens of the prefix are lacking, the frequent part has e-r misses and D-r differences left, each
-miss breaks k combinations and each foreign token k-1, so (e-r) + (k-1)(D-r) + 1 combinations leave one
-that both texts index. No pair is lost, whichever tokens count as frequent; the class only decides
-how long the lists get. The frequent tokens are a bounded table found by counting all texts.
-
-The texts of a list are compared with one of them, its pivot; only those in another component than the
-pivot's go on to the rest of their list, as links within a component change nothing. Exact bounds come
-first: sizes, and parity bitmaps, whose differing bits never exceed the symmetric difference. Pairs that
-remain are verified on the whole sets. Texts with equal sets are one class throughout.
+Each text's set holds the hashes of its distinct word shingles. Tokens have classes by how many texts hold
+them: class 0 is rare, and each class above it holds tokens STEP times as frequent. They are ordered by class, then by
+hash. A text indexes a prefix of its ordered set: rare tokens by themselves, those of class j as combinations of
+k_j neighbours of that class, k_j = 2, 3, 4 and so on.
+
+No pair is lost. With J >= a/b and n tokens, a partner lacks m <= e = n(b-a)//b of them and adds f foreign ones,
+m + f <= D = n(b-a)//a. A lacking token breaks k combinations of k neighbours and a foreign one k-1, so in one class at
+most m + (k-1)(m+f) are broken. If no earlier class i left a common entry, all its w_i entries were broken, which
+takes k w_i / k_i at least of what class j could break. So
+
+    wanted_j = e + (k_j - 1) D + 1 - sum over i < j of k_j w_i // k_i
+
+entries of class j leave one that both texts index; what lies before the first common entry is all broken, so
+it is within both texts' prefixes. A text of which no class has enough also indexes its first e + 1 tokens singly,
+the plain prefix. Which tokens count as frequent never matters for the result, only for the lists' lengths.
+
+The table of classes is bounded and goes to every worker. A rare token that the table missed shows by its list,
+longer than LONG: the texts of such lists are indexed again with these tokens in class 1, from a distributed table,
+until no list of a rare token is long.
+
+The texts of a list are compared with one of them, its pivot. Those in another component than their pivot's
+are left; links within a component change nothing.
+
+* On a rare token's list, at most LONG texts, they are compared with the others of the list.
+* Lists of combinations are many for the same texts, so a text is left once for each component that its pivots are in,
+  not once for each list. Two texts without a common rare token differ by r + r' + |f - f'| at least (r rare and
+  f other tokens), so they link only if the intervals [f + g, f - g], g = r - n(b-a)/(b+a), meet: A <= B' and A' <= B.
+  Texts with g > 0 never meet each other; they, and those with g <= 0, are dealt to cells of a logarithmic grid of
+  f, where each pair meets once. Pairs with a common rare token have a list of it.
+
+Exact bounds come before the whole sets: sizes, and parity bitmaps, whose differing bits never exceed the symmetric
+difference. Pairs that remain are verified on the whole sets. Texts with equal sets are one class throughout.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
 
-#: Upper bounds of the table of frequent tokens that goes to every worker (8 bytes each).
+#: Upper bound of the table of frequent tokens that goes to every worker (9 bytes each); lists find the others.
 MAX_FREQUENT = 100_000
-FREQUENT_FROM = 24
+#: A token of so many texts is frequent; STEP times as many make the next class.
+FREQUENT_FROM, STEP = 24, 16
+#: Tokens of a combination at most; thresholds may allow fewer.
+MAX_K = 4
+#: A rare token's list of more classes is refined.
+LONG = 96
 PARITY_WORDS = 4
 #: Keys that hold more than this part of all rows are fewer than this number; a table of them is broadcast (32 bytes each).
 MAX_HOT = 1 << 14
+#: A key's pairs are dealt to tasks by this part of all pairs.
+SPLIT = 1 << 10
+#: Cells of the grid between a size and the least that links with it.
+CELLS = 8
 
 
 def _sets(words, width: int):
@@ -54,8 +82,14 @@ def _word_batches(batches: Iterator, width: int) -> Iterator:
         yield block, *_sets(Words(as_bytes(block["text"])), width)
 
 
+def combination_sizes(a: int, b: int) -> tuple[int, ...]:
+    """k of each class: 1 for rare tokens, then 2, 3, ... as long as a text of 32 tokens of one class can fulfil the guarantee."""
+    n = 32
+    return (1, 2, *(k for k in range(3, MAX_K + 1) if n * (b - a) // b + (k - 1) * (n * (b - a) // a) + 1 <= n - k + 1))
+
+
 def frequent_tokens(docs: DataFrame, width: int):
-    """Tokens of many texts, at most MAX_FREQUENT, from the counts that each partition keeps of its common ones."""
+    """(tokens, classes) of tokens of many texts, at most MAX_FREQUENT, from the counts that each partition keeps of its common ones."""
     import numpy as np
 
     def count(batches: Iterator) -> Iterator:
@@ -77,40 +111,70 @@ def frequent_tokens(docs: DataFrame, width: int):
     found = (
         docs.select("text").mapInArrow(count, "token long, n long")
         .groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
-        .orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).select("token").toArrow()
+        .orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toArrow()
     )
-    return np.sort(found["token"].to_numpy().view(np.uint64))
+    token, n = found["token"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(token)
+    level = 1 + np.floor(np.log(n[order] / FREQUENT_FROM) / np.log(STEP) + 1e-9)
+    return token[order], level.astype(np.int8)
+
+
+def _levels(token, table, more=()):
+    """Each token's class: the table's, or 1 for those whose single entry is in ``more``."""
+    import numpy as np
+
+    known, of = table
+    level = np.zeros(len(token), np.int8)
+    if len(known) and len(token):
+        at = np.minimum(np.searchsorted(known, token), len(known) - 1)
+        level = np.where(known[at] == token, of[at], np.int8(0))
+    if len(more):
+        level = np.where((level == 0) & np.isin(_single(token), more), np.int8(1), level)
+    return level
 
 
-def prefix_signatures(doc, token, first, frequent, a: int, b: int, k: int):
+def _single(token):
+    """The entry of a rare token: odd, while those of frequent tokens are even."""
+    from ._tokens import U, mix
+
+    return mix(token ^ U(1)) | U(1)
+
+
+def prefix_signatures(doc, token, first, level, a: int, b: int, ks: tuple[int, ...]):
     """(rare tokens of each text, text and hash of each index entry)."""
     import numpy as np
 
     from ._tokens import U, mix
 
     n = np.diff(first)
-    if len(frequent) and len(token):
-        at = np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)
-        common = frequent[at] == token
-    else:
-        common = np.zeros(len(token), bool)
-    order = np.lexsort((token, common, doc))
-    token, common = token[order], common[order]
-    rare = n - np.bincount(doc[common], minlength=len(n))  # doc is sorted, so the order keeps it
+    level = np.minimum(level, len(ks) - 1)
+    order = np.lexsort((token, level, doc))
+    token, level = token[order], level[order]  # doc is sorted, so the order keeps it
     e, d = n * (b - a) // b, n * (b - a) // a
     rank = np.arange(len(doc)) - first[:-1][doc]
-    partners = d[doc] > 0  # else only an equal set can link
-    single = ~common & (rank <= e[doc]) & partners
-    rest = rank - rare[doc]
-    wanted = np.where(rare <= e, (e - rare) + (k - 1) * (d - rare) + 1, 0)
-    windows = n - rare - k + 1
-    combined = common & (rest < np.minimum(wanted, windows)[doc]) & partners
-    single |= common & ((wanted > windows) & (wanted > 0))[doc] & partners  # too few for the count above: each by itself
-    at = np.flatnonzero(combined)
-    h = np.full(len(at), U(k), U)
-    for i in range(k):
-        h = mix(h * U(0x9E3779B97F4A7C15) + token[at + i])
-    return rare, np.concatenate((doc[single], doc[at])), np.concatenate((mix(token[single] ^ U(1)), h))
+    unmet = d > 0  # else only an equal set can link
+    texts, entries, used, before, rare = [], [], [], np.zeros(len(n), np.int64), None
+    for j, k in enumerate(ks):
+        at = np.flatnonzero(level == j)
+        size = np.bincount(doc[at], minlength=len(n))
+        rare = size if rare is None else rare
+        have = np.maximum(size - k + 1, 0)
+        wanted = e + (k - 1) * d + 1 - sum(k * w // ks[i] for i, w in enumerate(used))
+        used.append(np.where(unmet, np.clip(wanted, 0, have), 0))
+        at = at[(rank - before[doc])[at] < used[-1][doc[at]]]
+        if j:
+            h = np.full(len(at), U(k), U)
+            for i in range(k):
+                h = mix(h * U(0x9E3779B97F4A7C15) + token[at + i])
+            h &= ~U(1)
+        else:
+            h = _single(token[at])
+        texts.append(doc[at])
+        entries.append(h)
+        unmet &= wanted > have
+        before += size
+    at = np.flatnonzero((level > 0) & unmet[doc] & (rank <= e[doc]))
+    return rare, np.concatenate((*texts, doc[at])), np.concatenate((*entries, _single(token[at]) & ~U(1)))
 
 
 def _parity(doc, token, width):
@@ -124,9 +188,19 @@ def _parity(doc, token, width):
     return (np.bincount(place, minlength=int(width.sum())) & 1).astype(np.uint8)
 
 
-def _described(docs: DataFrame, frequent, width: int, a: int, b: int, k: int) -> DataFrame:
+def _entries_of(doc, token, first, level, a: int, b: int, ks: tuple[int, ...]):
+    """(rare tokens of each text, its entries as a list) as Arrow arrays."""
+    import numpy as np
+    import pyarrow as pa
+
+    rare, at, entry = prefix_signatures(doc, token, first, level, a, b, ks)
+    order = np.argsort(at, kind="stable")
+    starts = np.searchsorted(at[order], np.arange(len(first)))
+    return pa.array(rare.astype(np.int64)), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(entry[order].view(np.int64)))
+
+
+def _described(docs: DataFrame, shared, width: int, a: int, b: int, ks: tuple[int, ...]) -> DataFrame:
     """doc_id, hash of the text, class of equal sets and a second hash of it, size, rare tokens, parity bitmap, index entries."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def describe(batches: Iterator) -> Iterator:
         import numpy as np
@@ -145,12 +219,9 @@ def _described(docs: DataFrame, frequent, width: int, a: int, b: int, k: int) ->
             bytes_to = np.concatenate(([0], np.cumsum(wide // 8)))
             raw = np.packbits(_parity(doc, token, wide)).tobytes()
             sketch = pa.array([raw[i:j] for i, j in zip(bytes_to[:-1], bytes_to[1:], strict=True)], pa.binary())
-            rare, at, entry = prefix_signatures(doc, token, first, shared.value, a, b, k)
-            order = np.argsort(at, kind="stable")
-            entry, starts = entry[order], np.searchsorted(at[order], np.arange(len(n) + 1))
-            lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(entry.view(np.int64)))
+            rare, lists = _entries_of(doc, token, first, _levels(token, shared.value), a, b, ks)
             yield pa.RecordBatch.from_arrays(
-                [block["doc_id"], block["key"], *map(pa.array, (*sums, n.astype(np.int64), rare.astype(np.int64), *(parity[:, i].copy() for i in range(PARITY_WORDS)))), sketch, lists],
+                [block["doc_id"], block["key"], *map(pa.array, (*sums, n.astype(np.int64))), rare, *(pa.array(parity[:, i].copy()) for i in range(PARITY_WORDS)), sketch, lists],
                 ["doc_id", "key", "cls", "cls2", "n", "rare", *_PARITY, "sketch", "entries"],
             )
 
@@ -161,15 +232,41 @@ def _described(docs: DataFrame, frequent, width: int, a: int, b: int, k: int) ->
 _PARITY = [f"p{i}" for i in range(PARITY_WORDS)]
 
 
-def _can_link(x: str, y: str, a: int, b: int):
-    """Exact bounds that any linked pair meets: sizes, and the symmetric difference by parity bitmaps."""
+def _told_apart(described: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """``described`` where different sets that share their first hash, to be expected once in 10**9 to 10**10 texts, have classes of their own."""
+    for turn in range(1, 9):
+        clash = described.groupBy("cls").agg((F.min("cls2") != F.max("cls2")).alias("clash")).where("clash")
+        clash = scratch.keep(clash, "clash")
+        if not clash.limit(1).count():
+            break
+        described = described.join(clash, "cls", "left").withColumn("cls", F.when(F.col("clash"), F.xxhash64("cls2", F.lit(turn))).otherwise(F.col("cls"))).drop("clash")
+        described = scratch.keep(described, "described")
+    return described
+
+
+def _can_link(x: str, y: str, a: int, b: int, rare_list: Column | None = None) -> Column:
+    """Exact bounds that any linked pair meets: sizes, and the symmetric difference by parity bitmaps; and, but on a rare token's list, by rare tokens that aren't common."""
     c = lambda side, name: F.col(f"{side}.{name}")
     most = (c(x, "n") + c(y, "n")) * (b - a)
     differ = sum((F.bit_count(c(x, p).bitwiseXOR(c(y, p))).cast("long") for p in _PARITY), F.lit(0).cast("long"))
-    return (c(x, "n") * b >= c(y, "n") * a) & (c(y, "n") * b >= c(x, "n") * a) & (differ * (b + a) <= most)
+    bounds = (c(x, "n") * b >= c(y, "n") * a) & (c(y, "n") * b >= c(x, "n") * a) & (differ * (b + a) <= most)
+    if rare_list is None:
+        return bounds
+    others = c(x, "n") - c(x, "rare") - c(y, "n") + c(y, "rare")
+    return bounds & (rare_list | ((c(x, "rare") + c(y, "rare") + F.abs(others)) * (b + a) <= most))
+
+
+def _meet(pairs: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
+    """``pairs`` joined with ``table``, one row for each ``key``. A key with more than one in SPLIT of all pairs has its pairs dealt by the column ``by`` and its row repeated, so that no task gets all of them."""
+    total = pairs.count()
+    hot = pairs.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * SPLIT > total).select(key, F.ceil(F.col("_n") * SPLIT / total).cast("int").alias("_parts"))
+    hot = F.broadcast(hot)  # fewer than SPLIT rows
+    left = pairs.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0).cast("long"))).drop("_parts")
+    right = table.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)).cast("long") - 1))).drop("_parts")
+    return left.join(right, [key, "_part"]).drop("_part")
 
 
-def _near(pairs: DataFrame, described: DataFrame, a: int, b: int) -> DataFrame:
+def _near(pairs: DataFrame, described: DataFrame, a: int, b: int, scratch: C.Scratch) -> DataFrame:
     """Of (x, y) pairs of classes, those that the parity bitmaps of their own width don't rule out."""
 
     def near(batches: Iterator) -> Iterator:
@@ -186,9 +283,20 @@ def _near(pairs: DataFrame, described: DataFrame, a: int, b: int) -> DataFrame:
                 keep.append(int(np.bitwise_count(s ^ t).sum()) * (b + a) <= (n + m) * (b - a))
             yield pa.RecordBatch.from_arrays([batch["x"], batch["y"]], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    one = described.where("n > 0").select("cls", "n", "sketch").dropDuplicates(["cls"])
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
+    one = scratch.keep(described.where("n > 0").select("cls", "n", "sketch").join(asked, "cls", "left_semi").dropDuplicates(["cls"]), "sketches")
     side = lambda c, n, s: one.select(F.col("cls").alias(c), F.col("n").alias(n), F.col("sketch").alias(s))
-    return pairs.join(side("x", "n", "s"), "x").join(side("y", "m", "t"), "y").select("x", "y", "n", "m", "s", "t").mapInArrow(near, "x long, y long")
+    both = _meet(_meet(pairs, side("x", "n", "s"), "x", "y"), side("y", "m", "t"), "y", "x")
+    return scratch.keep(both.select("x", "y", "n", "m", "s", "t").mapInArrow(near, "x long, y long"), "near")
+
+
+def _texts_of(classes: DataFrame, docs: DataFrame, reps: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """cls and the text of its first row, for each of ``classes`` (cls)."""
+    wanted = scratch.keep(classes.join(reps, "cls").select("cls", F.col("doc_id").alias("_id"), "key"), "wanted")
+    if wanted.count() <= 1_000_000:  # 24 MB at most
+        wanted = F.broadcast(wanted)
+    same = docs["doc_id"].eqNullSafe(wanted["_id"]) & (F.xxhash64(docs["text"]) == wanted["key"])  # ids may be null or repeat
+    return docs.join(wanted, same).select("cls", "text")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, a: int, b: int, scratch: C.Scratch) -> DataFrame:
@@ -226,16 +334,28 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, a:
                 held = {x: held[x]} if len(held) > 32 else held
             yield pa.RecordBatch.from_arrays([batch["x"], batch["y"]], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct().join(reps, "cls").select("cls", F.col("doc_id").alias("_id"), "key")
-    wanted = scratch.keep(wanted, "wanted")
-    if wanted.count() <= 1_000_000:  # 24 MB at most
-        wanted = F.broadcast(wanted)
-    same = docs["doc_id"].eqNullSafe(wanted["_id"]) & (F.xxhash64(docs["text"]) == wanted["key"])  # ids may be null or repeat
-    texts = scratch.keep(docs.join(wanted, same).select("cls", "text").mapInArrow(packed, "cls long, packed binary").dropDuplicates(["cls"]), "texts")
-    both = pairs.join(texts.select(F.col("cls").alias("x"), F.col("packed").alias("s")), "x").join(texts.select(F.col("cls").alias("y"), F.col("packed").alias("t")), "y")
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
+    texts = scratch.keep(_texts_of(wanted, docs, reps, scratch).mapInArrow(packed, "cls long, packed binary").dropDuplicates(["cls"]), "texts")
+    side = lambda c, s: texts.select(F.col("cls").alias(c), F.col("packed").alias(s))
+    both = _meet(_meet(pairs, side("x", "s"), "x", "y"), side("y", "t"), "y", "x")
     return scratch.keep(both.select("x", "y", "s", "t").mapInArrow(linked, "x long, y long"), "links")
 
 
+def _hot(rows: DataFrame, key: str) -> DataFrame:
+    """Keys with more than one in MAX_HOT of all rows, which are fewer than MAX_HOT."""
+    return rows.groupBy(key).count().where(F.col("count") > rows.count() / MAX_HOT).select(key)
+
+
+def _by_key(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``rows`` left-joined with ``table``, which has one row of a few numbers for each key.
+
+    The keys of ``hot`` meet their rows where they are, by a broadcast, so that no task gets all rows of one; the
+    others meet by a shuffle.
+    """
+    few = F.broadcast(table.join(F.broadcast(hot), key, "left_semi"))
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key, "left"))
+
+
 def components(links: DataFrame, scratch: C.Scratch) -> DataFrame:
     """(node, root) of every node of undirected links (x, y); root is the smallest node reachable.
 
@@ -244,10 +364,12 @@ def components(links: DataFrame, scratch: C.Scratch) -> DataFrame:
     """
     edges = scratch.keep(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x != y").distinct(), "edges")
     roots = scratch.keep(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("root")), "roots")
+    hubs = scratch.keep(_hot(edges, "y"), "hubs")
     while True:
-        seen = edges.join(roots, edges.y == roots.node).select(F.col("x").alias("node"), "root").unionByName(roots).groupBy("node").agg(F.min("root").alias("root"))
+        of_neighbours = _by_key(edges, roots.select(F.col("node").alias("y"), "root"), "y", hubs).select(F.col("x").alias("node"), "root")
+        seen = scratch.keep(of_neighbours.unionByName(roots).groupBy("node").agg(F.min("root").alias("root")), "seen")
         up = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        after = seen.join(up, "root", "left").select("node", F.least("root", F.coalesce("above", "root")).alias("root"))
+        after = _by_key(seen, up, "root", _hot(seen, "root")).select("node", F.least("root", F.coalesce("above", "root")).alias("root"))
         after = scratch.keep(after, "roots")
         changed = after.join(roots.withColumnRenamed("root", "old"), "node").where("root != old").limit(1).count()
         roots = after
@@ -255,30 +377,93 @@ def components(links: DataFrame, scratch: C.Scratch) -> DataFrame:
             return roots
 
 
-def jaccard_join(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 100), k: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text; other columns are ignored).
+def jaccard_join(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 100)) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text; other columns, whatever their names, are ignored).
 
     Two texts link when ``threshold[1] * intersection >= threshold[0] * union`` of their sets of distinct
     shingles of ``width`` words. component_id is the smallest doc_id reachable by links. A text with fewer
     words has one token; null and empty texts have none and link with nothing. Rows with equal texts are
     linked; rows that repeat a doc_id are kept, each with its own set. A null doc_id is kept and counts as
     larger than any other: it names a component only if the component has no other id. An empty
-    table gives an empty result.
+    table gives an empty result. A text of any length is read whole; one above a block is a block of its own,
+    and takes about 60 bytes for each of its words in one worker.
     """
-    return groups(docs, width, threshold, k).select("doc_id", "n_shingles", "component_id")
+    return groups(docs, width, threshold).select("doc_id", "n_shingles", "component_id")
 
 
-def _by_key(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` left-joined with ``table``, which has each key's number of ``rows``; ``total`` is the sum of these numbers.
+def _shared(entries: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """Of (cls, sig), the different rows on lists of several classes."""
+    lists = entries.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("sig")
+    return scratch.keep(entries.join(lists, "sig").distinct(), "members")
 
-    A key with more than one in MAX_HOT of all rows meets its rows where they are, by a broadcast, so that
-    no task gets all of them; the others meet by a shuffle.
-    """
-    hot = F.broadcast(table.where(F.col("rows") > total / MAX_HOT).drop("rows"))
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(table.drop("rows"), key, "left"))
 
+def _refined(entries: DataFrame, sizes: DataFrame, docs: DataFrame, reps: DataFrame, shared, width: int, a: int, b: int, ks: tuple[int, ...], scratch: C.Scratch):
+    """(members, sizes with new ``rare``) once no rare token's list is longer than LONG: those texts' entries are made anew with its token in class 1."""
+
+    def rare_tokens(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for block, doc, token, _ in _word_batches(batches, width):
+            own = _levels(token, shared.value) == 0
+            yield pa.RecordBatch.from_arrays([block["cls"].take(pa.array(doc[own])), pa.array(_single(token[own]).view("int64"))], ["cls", "sig"])
 
-def groups(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 100), k: int = 2) -> DataFrame:
+    def again(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for block, doc, token, first in _word_batches(batches, width):
+            more = block["more"].flatten().to_numpy(zero_copy_only=False).view(np.uint64)  # each text's are complete, so all hold for all
+            yield pa.RecordBatch.from_arrays([block["cls"], *_entries_of(doc, token, first, _levels(token, shared.value, more), a, b, ks)], ["cls", "rare", "entries"])
+
+    members, known = _shared(entries, scratch), None
+    while True:
+        long = scratch.keep(members.where("sig & 1 = 1").groupBy("sig").count().where(F.col("count") > LONG).select("sig"), "long")
+        if not long.limit(1).count():
+            return members, sizes
+        known = long if known is None else scratch.keep(known.unionByName(long).distinct(), "known")
+        texts = scratch.keep(_texts_of(members.join(long, "sig", "left_semi").select("cls").distinct(), docs, reps, scratch).dropDuplicates(["cls"]), "texts")
+        found = texts.mapInArrow(rare_tokens, "cls long, sig long").join(known, "sig").groupBy("cls").agg(F.collect_list("sig").alias("more"))  # a text's own tokens
+        anew = scratch.keep(texts.join(found, "cls").mapInArrow(again, "cls long, rare long, entries array<long>"), "anew")
+        entries = scratch.keep(entries.join(anew, "cls", "left_anti").unionByName(anew.select("cls", F.explode("entries").alias("sig"))), "entries")
+        sizes = sizes.join(anew.select("cls", F.col("rare").alias("_rare")), "cls", "left").withColumn("rare", F.coalesce("_rare", "rare")).drop("_rare")
+        sizes = scratch.keep(sizes, "sizes")
+        members = _shared(entries, scratch)
+
+
+def _left_over(members: DataFrame, pivots: DataFrame, roots: DataFrame, a: int, b: int, scratch: C.Scratch) -> DataFrame:
+    """(x, y) pairs of classes on one list that are in different components and may link, where one isn't in its pivot's."""
+    rooted = roots.withColumnRenamed("node", "cls")
+    pivot_roots = pivots.select("sig", "cls").join(rooted, "cls", "left").select("sig", F.coalesce("root", "cls").alias("home"))
+    placed = members.join(rooted, "cls", "left").withColumn("root", F.coalesce("root", "cls")).join(pivot_roots, "sig")
+    mixed = placed.groupBy("sig").agg(F.bool_or(F.col("root") != F.col("home")).alias("mixed")).where("mixed").select("sig")
+    placed = scratch.keep(placed.join(mixed, "sig", "left_semi"), "placed")
+
+    rare = placed.where("sig & 1 = 1")
+    on_list = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & _can_link("x", "y", a, b)
+    listed = rare.where("root != home").alias("x").join(rare.alias("y"), on_list).select("x.cls", F.col("y.cls").alias("other"))
+
+    own = [F.first(c).alias(c) for c in ("root", "n", "rare", *_PARITY)]
+    texts = placed.where("sig & 1 = 0").groupBy("home", "cls").agg(*own)
+    g, f = F.col("rare") * (b + a) - F.col("n") * (b - a), (F.col("n") - F.col("rare")) * (b + a)
+    cell = lambda x: F.floor(F.log(F.greatest(x, F.lit(1)).cast("double")) * (CELLS / _log(b, a))).cast("int")
+    poor = g <= 0
+    texts = texts.withColumn("lo", f + g).withColumn("hi", f - g).withColumn("poor", poor)
+    texts = texts.withColumn("cells", F.when(poor, F.sequence(cell(F.col("lo")), cell(F.col("hi")))).otherwise(F.array(cell(f))))
+    texts = scratch.keep(texts.withColumn("start", F.col("cells")[0]).withColumn("cell", F.explode("cells")).drop("cells"), "cells")
+    once = F.when(F.col("x.poor") & F.col("y.poor"), F.col("x.cell") == F.greatest("x.start", "y.start")).otherwise(F.col("x.poor") | F.col("y.poor"))
+    in_cell = (F.col("x.home") == F.col("y.home")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.root") != F.col("y.root"))
+    in_cell = in_cell & once & (F.col("x.lo") <= F.col("y.hi")) & (F.col("y.lo") <= F.col("x.hi")) & _can_link("x", "y", a, b)
+    met = texts.where("root != home").alias("x").join(texts.alias("y"), in_cell).select("x.cls", F.col("y.cls").alias("other"))
+    return listed.unionByName(met).select(F.least("cls", "other").alias("x"), F.greatest("cls", "other").alias("y")).distinct()
+
+
+def _log(b: int, a: int) -> float:
+    import math
+
+    return math.log(b / a) if b > a else 1.0
+
+
+def groups(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 100)) -> DataFrame:
     """What ``jaccard_join`` returns, with the hash of the text and ``root``, which tells components apart that have no id."""
     import math
 
@@ -286,46 +471,40 @@ def groups(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 10
     scratch = C.Scratch(spark)
     g = math.gcd(*threshold)
     a, b = threshold[0] // g, threshold[1] // g
+    ks = combination_sizes(a, b)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    described = scratch.keep(_described(docs, frequent_tokens(docs, width), width, a, b, k), "described")
-    classes = described.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("row"), F.count("*").alias("rows"), (F.min("cls2") != F.max("cls2")).alias("clash"))
+    shared = spark.sparkContext.broadcast(frequent_tokens(docs, width))  # 900 KB at most
+    described = _told_apart(scratch.keep(_described(docs, shared, width, a, b, ks), "described"), scratch)
+    classes = described.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("row"), F.count("*").alias("rows"))
     classes = scratch.keep(classes, "classes")
-    if classes.where("clash").limit(1).count():
-        raise RuntimeError("two different sets share a 64-bit hash")
     reps = classes.select("cls", "row.doc_id", "row.key")
 
-    # Lists of the index of several classes. Entries are shuffled as bare numbers; what bounds need joins those that are left.
+    # Entries are shuffled as bare numbers; what bounds need joins those on lists of several classes.
     entries = described.where("n > 0").select("cls", F.explode("entries").alias("sig"))
-    shared = entries.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("sig")
-    bounds = described.where("n > 0").select("cls", "n", "rare", *_PARITY).dropDuplicates(["cls"])
-    members = scratch.keep(entries.join(shared, "sig").distinct().join(bounds, "cls"), "members")
+    sizes = described.where("n > 0").select("cls", "n", "rare", *_PARITY).dropDuplicates(["cls"])
+    members, sizes = _refined(entries, sizes, docs, reps, shared, width, a, b, ks, scratch)
+    members = scratch.keep(members.join(sizes, "cls"), "members")
     # The pivot of a list is the class with fewest rare tokens.
-    lists = scratch.keep(members.groupBy("sig").agg(F.min(F.struct("rare", "cls", "n", *_PARITY)).alias("pivot")), "lists")
-    pivots = lists.select("sig", "pivot.*")
+    pivots = scratch.keep(members.groupBy("sig").agg(F.min(F.struct("rare", "cls", "n", *_PARITY)).alias("pivot")), "lists").select("sig", "pivot.*")
     in_order = [F.least("x.cls", "y.cls").alias("x"), F.greatest("x.cls", "y.cls").alias("y")]
-    on_list = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") != F.col("y.cls")) & _can_link("x", "y", a, b)
+    on_list = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") != F.col("y.cls")) & _can_link("x", "y", a, b, F.col("x.sig").bitwiseAND(1) == 1)
     starred = scratch.keep(members.alias("x").join(pivots.alias("y"), on_list).select(*in_order).distinct(), "pairs")
-    near = lambda pairs: scratch.keep(_near(pairs, described, a, b), "near")
-    links = _verified(near(starred), docs, reps, width, a, b, scratch)
+    links = _verified(_near(starred, described, a, b, scratch), docs, reps, width, a, b, scratch)
     roots = components(links, scratch)
-
-    # What its pivot does not link is compared with the rest of the list, but for what other lists have joined by now.
-    placed = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    pivot_roots = pivots.select("sig", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("sig", F.coalesce("root", "cls").alias("pivot_root"))
-    apart = placed.join(pivot_roots, "sig").where("root != pivot_root").drop("pivot_root")
-    more = apart.alias("x").join(placed.alias("y"), on_list & (F.col("x.root") != F.col("y.root"))).select(*in_order).distinct()
-    more = near(more.join(starred, ["x", "y"], "left_anti"))
+    more = scratch.keep(_left_over(members, pivots, roots, a, b, scratch).join(starred, ["x", "y"], "left_anti"), "pairs")
     if more.limit(1).count():
-        roots = components(links.unionByName(_verified(more, docs, reps, width, a, b, scratch)), scratch)
+        roots = components(links.unionByName(_verified(_near(more, described, a, b, scratch), docs, reps, width, a, b, scratch)), scratch)
+
     linked = scratch.keep(classes.select("cls", "row.doc_id", "rows").join(roots.withColumnRenamed("node", "cls"), "cls"), "linked")
-    names = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
-    named = _by_key(linked.select("cls", "root", F.col("rows").alias("_rows")), names, "root", linked.count()).withColumnRenamed("_rows", "rows")
+    names = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = _by_key(linked.select("cls", "root", "rows"), names, "root", _hot(linked, "root"))
     alone = classes.join(linked.select("cls"), "cls", "left_anti").select("cls", F.col("cls").alias("root"), "rows", F.col("row.doc_id").alias("component_id"))
-    homes = scratch.keep(named.unionByName(alone), "homes")
+    homes = scratch.keep(named.select(*alone.columns).unionByName(alone), "homes")
     rows = described.select("doc_id", "key", F.col("n").alias("n_shingles"), "cls")
     bare = rows.where("n_shingles = 0").select("doc_id", "key", F.col("cls").alias("root"), "n_shingles", F.col("doc_id").alias("component_id"))
     rows = rows.where("n_shingles > 0")
-    out = _by_key(rows, homes, "cls", rows.count()).select(*bare.columns).unionByName(bare)
+    large = homes.where(F.col("rows") > rows.count() / MAX_HOT).select("cls")
+    out = _by_key(rows, homes.drop("rows"), "cls", large).select(*bare.columns).unionByName(bare)
     out = out.checkpoint()
     scratch.drop()
     return out
