@@ -3,14 +3,16 @@
 The model has a class for paragraphs without a licence and one for each family, and a temperature fitted
 on variants it hasn't seen. A paragraph that is licence-like but not surely of one family, or not borne
 out by one of the family's templates, is ``unknown``. Paragraphs are lines, blocks of lines that no blank one parts, and
-the runs of lines in a block that bear out a template, so a wrapped notice is found within any text. Scoring is one
-pass: words and pairs meet the model's few hundred terms in a broadcast join, and only matches are summed by paragraph.
+the runs of lines in a block that bear out a template, so a wrapped notice is found within any text. Everything happens within the
+row: the words of each line are found once, and a block or line is scored only if its words could make it licence-like. That bound
+is exact: the weights that speak for a class, of all the model's words in it and of pairs of such words, must outweigh what speaks for none.
 """
 
 from __future__ import annotations
 
-import json
+import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,26 +109,54 @@ def train(n: int = 1600, seed: int = 3) -> Model:
     return Model(vocabulary, w, b, float(min(np.geomspace(0.3, 5, 40), key=loss)))
 
 
-def _table(spark: SparkSession, model: Model) -> DataFrame:
-    """term, w (a weight for each class), t (for each template whether it has the term): a few hundred rows. The empty term matches every row once."""
-    own = [terms(text) for _, text in TEMPLATES]
-    rows = [{"term": t, "w": [round(float(v), 6) for v in model.weights[i]], "t": [int(t in o) for o in own]} for i, t in enumerate(model.vocabulary)]
-    rows.append({"term": "", "w": [0.0] * len(CLASSES), "t": [0] * len(own)})
-    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<term: string, w: array<double>, t: array<int>>>")))
-
-
 def _let(column: Column, use) -> Column:
     """``use`` of ``column``, which is worked out once."""
     return F.element_at(F.transform(F.array(column), use), 1)
 
 
-def _grams(text: Column) -> Column:
-    """The distinct words and pairs of a text; pairs cross line breaks."""
-    words = F.regexp_extract_all(text, F.lit(f"({_TOKEN})"), F.lit(1))
-    pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+def _words(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit(f"({_TOKEN})"), F.lit(1))
+
+
+def _grams(words: Column) -> Column:
+    """The distinct words and pairs of a sequence of words."""
+    less = lambda w: F.greatest(F.size(w) - 1, F.lit(0))
+    pairs = lambda w: F.zip_with(F.slice(w, 1, less(w)), F.slice(w, 2, less(w)), lambda a, b: F.concat_ws(" ", a, b))
     return _let(words, lambda w: F.array_distinct(F.concat(w, pairs(w))))
 
 
+def _whole(x: float, up: bool = False) -> int:
+    """Weights and bounds in millionths: sums of whole numbers have no order."""
+    return math.ceil(round(x * 1e6, 3)) if up else round(x * 1e6)
+
+
+def _may_be_licence(model: Model):
+    """A test of a sequence of words: False only where no part of it, in any order of its words, is licence-like.
+
+    With z the logits, a paragraph isn't licence-like if exp(z_0) > (1 - SURE) sum exp(z), which holds if z_c - z_0 is below
+    ln(SURE / (1 - SURE) / other classes) for every class c but none. Terms of a part are among those of the whole.
+    """
+    least = math.log(SURE / (1 - SURE) / (len(CLASSES) - 1)) * model.temperature
+    gains = [[_whole(max(round(float(w[c]), 6) - round(float(w[0]), 6), 0.0), up=True) for c in range(1, len(CLASSES))] for w in model.weights]
+    needs = [_whole(least - float(model.bias[c]) + float(model.bias[0])) - 1 for c in range(1, len(CLASSES))]
+    numbers = lambda g: [F.lit(x).cast("long").alias(f"g{c}") for c, x in enumerate(g)]
+    singles = [(t, g) for t, g in zip(model.vocabulary, gains, strict=True) if " " not in t]
+    pairs = [(t.split(" "), g) for t, g in zip(model.vocabulary, gains, strict=True) if " " in t and any(g)]
+    known = F.array(*(F.lit(t) for t, _ in singles))
+    word_table = F.array(*(F.struct(F.lit(t).alias("a"), F.lit(t).alias("b"), *numbers(g)) for t, g in singles if any(g)))
+    pair_table = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), *numbers(g)) for (a, b), g in pairs))
+    table = F.concat(word_table, pair_table)
+
+    def reaches(held: Column) -> Column:
+        here = F.filter(table, lambda v: F.array_contains(held, v["a"]) & F.array_contains(held, v["b"]))
+        zero = F.struct(*(F.lit(0).cast("long").alias(f"g{c}") for c in range(len(needs))))
+        add = lambda acc, v: F.struct(*((acc[f"g{c}"] + v[f"g{c}"]).alias(f"g{c}") for c in range(len(needs))))
+        enough = lambda acc: sum(((acc[f"g{c}"] >= needs[c]).cast("int") for c in range(len(needs))), F.lit(0)) > 0
+        return F.aggregate(here, zero, add, enough)
+
+    return lambda words: _let(F.array_intersect(known, words), lambda held: F.when(F.size(held) > 0, reaches(held)).otherwise(F.lit(max(needs) <= 0)))
+
+
 def _bears_out(grams: Column) -> Column:
     """Whether the terms reach BORNE_OUT of any template; if a text's don't, no part's do."""
     own = [F.array(*map(F.lit, sorted(terms(text)))) for _, text in TEMPLATES]
@@ -135,52 +165,57 @@ def _bears_out(grams: Column) -> Column:
     return _let(F.array_intersect(every, grams), lambda held: F.exists(held, lambda t: t.contains(" ")) & reaches(held))
 
 
-def _units(lines: Column, first: Column) -> Column:
-    """Of a block of lines, the first being number ``first``: a, b (first and last line), terms of each line, of the block, and of the runs of lines that bear out a template."""
-    n, unit = F.size(lines), lambda a, b, t: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), t.alias("terms"))
-    run = lambda i, k: _grams(F.array_join(F.slice(lines, i + 1, k), "\n"))
+def _units(tokens: Column, first: Column, may: Callable[[Column], Column]) -> Column:
+    """Of a block of lines, given as the words of each, the first being number ``first``: a, b (first and last line) and terms of each line that may be a licence, of the block, and of the runs of lines that bear out a template."""
+    n, unit = F.size(tokens), lambda a, b, t: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), t.alias("terms"))
+    run = lambda i, k: F.flatten(F.slice(tokens, i + 1, k))
     sizes = lambda i: F.sequence(F.lit(2), F.least(F.lit(LONGEST), n - i))
     # The terms of a run are among those of the longest run from its first line, and these among the block's.
-    from_line = lambda i: F.filter(F.transform(sizes(i), lambda k: unit(first + i, first + i + k - 1, run(i, k))), lambda u: (u["b"] - u["a"] < n - 1) & _bears_out(u["terms"]))
-    starts = F.filter(F.sequence(F.lit(0), n - 2), lambda i: _bears_out(run(i, F.lit(LONGEST))))
+    one = lambda i, k, w: F.when(may(w), _let(_grams(w), lambda t: F.when(_bears_out(t), unit(first + i, first + i + k - 1, t))))
+    from_line = lambda i: F.filter(F.transform(sizes(i), lambda k: F.when(k < n, _let(run(i, k), lambda w: one(i, k, w)))), lambda u: u.isNotNull())
+    starts = F.filter(F.sequence(F.lit(0), n - 2), lambda i: _let(run(i, F.lit(LONGEST)), lambda w: F.when(may(w), _bears_out(_grams(w))).otherwise(F.lit(False))))
     none = F.array().cast("array<struct<a: int, b: int, terms: array<string>>>")
-    whole = _let(_grams(F.array_join(lines, "\n")), lambda t: F.concat(F.array(unit(first, first + n - 1, t)), F.when(_bears_out(t), F.flatten(F.transform(starts, from_line))).otherwise(none)))
-    return F.concat(F.transform(lines, lambda x, i: unit(first + i, first + i, _grams(x))), F.when(n > 1, whole).otherwise(none))
+    whole = _let(_grams(F.flatten(tokens)), lambda t: F.concat(F.array(unit(first, first + n - 1, t)), F.when(_bears_out(t), F.flatten(F.transform(starts, from_line))).otherwise(none)))
+    lines = F.filter(F.transform(tokens, lambda x, i: F.when(may(x), unit(first + i, first + i, _grams(x)))), lambda u: u.isNotNull())
+    return F.concat(lines, F.when(n > 1, whole).otherwise(none))
 
 
 def _blocks(text: Column) -> Column:
-    """first (number of the first line), lines of each block of consecutive lines with a letter or digit; and one of no lines at -1."""
+    """first (number of the first line), tokens (words of each line) of each block of consecutive lines with a letter or digit."""
     full = lambda lines: F.transform(lines, lambda x: x.rlike(r"[\p{L}\p{N}]"))
     edge = lambda f, step: F.filter(F.transform(f, lambda x, i: F.when(x & ~F.coalesce(F.get(f, i + step), F.lit(False)), i)), lambda i: i.isNotNull())
-    cut = lambda lines: _let(full(lines), lambda f: F.zip_with(edge(f, -1), edge(f, 1), lambda a, b: F.struct(a.alias("first"), F.slice(lines, a + 1, b - a + 1).alias("lines"))))
-    no_lines = F.struct(F.lit(-1).alias("first"), F.array().cast("array<string>").alias("lines"))
-    return _let(F.split(text, "\n"), lambda lines: F.concat(F.array(no_lines), cut(lines)))
-
-
-def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
-    """_row, doc_id, block, place, last (numbers of lines; -1 once for each row), family, probability, borne_out of the lines, blocks and runs of lines with any term of the model."""
-    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", text.alias("text"))
-    blocks = rows.select("_row", "doc_id", F.explode(_blocks(F.col("text"))).alias("b")).select("_row", "doc_id", F.col("b.first").alias("block"), "b.lines")
-    none = F.array(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.array(F.lit("")).alias("terms")))
-    units = blocks.select("_row", "doc_id", "block", F.explode(F.when(F.col("block") < 0, none).otherwise(_units(F.col("lines"), F.col("block")))).alias("u"))
-    each = units.select("_row", "doc_id", "block", F.col("u.a").alias("place"), F.col("u.b").alias("last"), F.explode("u.terms").alias("term"))
-    hits = each.join(F.broadcast(_table(docs.sparkSession, model)), "term")
-    unit = ["_row", "doc_id", "block", "place", "last"]
-    sums = hits.groupBy(*unit).agg(
-        *(F.sum(F.round(F.col("w")[i] * 1e6).cast("long")).alias(f"z{i}") for i in range(len(CLASSES))),  # whole numbers: their sum has no order
-        *(F.sum(F.col("t")[i]).alias(f"t{i}") for i in range(len(TEMPLATES))),
-    )
-    z = [(F.col(f"z{i}") / 1e6 + float(model.bias[i])) / model.temperature for i in range(len(CLASSES))]
-    top = F.greatest(*z)
-    e = [F.exp(x - top) for x in z]
-    scored = sums.select(*unit, F.array(*e).alias("e"), F.greatest(*e[2:]).alias("best"), sum(e, F.lit(0.0)).alias("all"), *((F.col(f"t{i}") / len(terms(t))).alias(f"share{i}") for i, (_, t) in enumerate(TEMPLATES)))
-    share = {f: [f"share{i}" for i, (g, _) in enumerate(TEMPLATES) if g == f] for f in FAMILIES}
-    borne = F.coalesce(*(F.when(F.col("e")[2 + k] == F.col("best"), F.greatest(F.lit(0.0), *map(F.col, share[f]))) for k, f in enumerate(FAMILIES)))
-    named = F.coalesce(*(F.when(F.col("e")[2 + k] == F.col("best"), F.lit(f)) for k, f in enumerate(FAMILIES)))
-    sure = (F.col("best") / F.col("all") >= SURE) & (borne >= BORNE_OUT)
-    family = F.when((F.col("place") < 0) | (F.col("e")[0] > (1 - SURE) * F.col("all")), F.lit(None).cast("string")).when(sure, named).otherwise("unknown")
-    return scored.select(*unit, family.alias("family"), (F.col("best") / F.col("all")).alias("probability"), borne.alias("borne_out"))
+    block = lambda lines, a, b: F.struct(a.alias("first"), F.transform(F.slice(lines, a + 1, b - a + 1), _words).alias("tokens"))
+    return _let(F.split(text, "\n"), lambda lines: _let(full(lines), lambda f: F.zip_with(edge(f, -1), edge(f, 1), lambda a, b: block(lines, a, b))))
+
+
+def _judged(unit: Column, model: Model) -> Column:
+    """rank, more, less (what ``_settled`` orders by), place, last (numbers of lines), family, probability, borne_out of a unit; null if it isn't licence-like."""
+    own = [terms(text) for _, text in TEMPLATES]
+    z_names, t_names = [f"z{i}" for i in range(len(CLASSES))], [f"t{i}" for i in range(len(own))]
+    row = lambda t, w: F.struct(F.lit(t).alias("term"), *(F.lit(_whole(round(float(x), 6))).cast("long").alias(n) for n, x in zip(z_names, w, strict=True)), *(F.lit(int(t in o)).cast("long").alias(n) for n, o in zip(t_names, own, strict=True)))
+    table = F.array(*(row(t, w) for t, w in zip(model.vocabulary, model.weights, strict=True)))
+    known = F.array(*map(F.lit, model.vocabulary))
+    zero = F.struct(*(F.lit(0).cast("long").alias(n) for n in (*z_names, *t_names)))
+    add = lambda acc, v: F.struct(*((acc[n] + v[n]).alias(n) for n in (*z_names, *t_names)))
+
+    def judge(sums: Column) -> Column:
+        z = [(sums[n] / 1e6 + float(model.bias[i])) / model.temperature for i, n in enumerate(z_names)]
+        return _let(F.struct(*(x.alias(n) for x, n in zip(z, z_names, strict=True)), *((sums[n] / len(o)).alias(n) for n, o in zip(t_names, own, strict=True))), weigh)
+
+    def weigh(s: Column) -> Column:
+        top = F.greatest(*(s[n] for n in z_names))
+        return _let(F.struct(*(F.exp(s[n] - top).alias(n) for n in z_names), *(s[n].alias(n) for n in t_names)), name)
+
+    def name(e: Column) -> Column:
+        best, every = F.greatest(*(e[n] for n in z_names[2:])), sum((e[n] for n in z_names), F.lit(0.0))
+        share = {f: [e[n] for n, (g, _) in zip(t_names, TEMPLATES, strict=True) if g == f] for f in FAMILIES}
+        borne = F.coalesce(*(F.when(e[z_names[2 + k]] == best, F.greatest(F.lit(0.0), *share[f])) for k, f in enumerate(FAMILIES)))
+        named = F.coalesce(*(F.when(e[z_names[2 + k]] == best, F.lit(f)) for k, f in enumerate(FAMILIES)))
+        family = F.when((best / every >= SURE) & (borne >= BORNE_OUT), named).otherwise("unknown")
+        order = (F.round(-borne, 6).alias("rank"), (unit["b"] - unit["a"]).alias("more"), F.round(-(best / every), 6).alias("less"))
+        return F.when(e["z0"] <= (1 - SURE) * every, F.struct(*order, unit["a"].alias("place"), unit["b"].alias("last"), family.alias("family"), (best / every).alias("probability"), borne.alias("borne_out")))
+
+    return _let(F.array_intersect(known, unit["terms"]), lambda held: F.aggregate(F.filter(table, lambda v: F.array_contains(held, v["term"])), zero, add, judge))
 
 
 def _settled(units: Column) -> Column:
@@ -198,19 +233,27 @@ def _settled(units: Column) -> Column:
     return _let(_let(taken(lines), rest), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(units))
 
 
+def notices(text: Column, model: Model) -> Column:
+    """array<struct<place, family, probability, borne_out>> of a text: its notices by place."""
+    may = _may_be_licence(model)
+
+    def of_block(b: Column) -> Column:
+        judged = F.filter(F.transform(_units(b["tokens"], b["first"], may), lambda u: _judged(u, model)), lambda u: u.isNotNull())
+        return F.when(may(F.flatten(b["tokens"])), _let(judged, _settled))
+
+    found = F.flatten(F.filter(F.transform(_blocks(F.lower(F.coalesce(text.cast("string"), F.lit("")))), of_block), lambda x: x.isNotNull()))
+    return F.array_sort(F.transform(found, lambda u: F.struct(u["place"].alias("place"), u["family"].alias("family"), F.round(u["probability"], 6).alias("probability"), F.round(u["borne_out"], 6).alias("borne_out"))))
+
+
 def licences(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, n_notices, families (in order of name), notices (place of the first line, family, probability, borne_out) of each row of ``docs`` (doc_id, text).
 
     Notices are lines of a text, or runs of lines without a blank one between. A null or empty text has none; rows that
-    repeat each other are judged apart and alike; other columns are ignored.
+    repeat each other are judged apart and alike; a text of any length is read whole; an empty table gives no rows; other
+    columns, whatever their names, are ignored. Each row is judged by itself: nothing is shuffled.
     """
-    found = paragraphs(docs, model or train())
-    rank = (F.round(-F.col("borne_out"), 6).alias("rank"), (F.col("last") - F.col("place")).alias("more"), F.round(-F.col("probability"), 6).alias("less"))
-    unit = F.when(F.col("family").isNotNull(), F.struct(*rank, "place", "last", "family", "probability", "borne_out"))
-    by_block = found.groupBy("_row", "doc_id", "block").agg(F.collect_list(unit).alias("units")).select("_row", "doc_id", _settled(F.col("units")).alias("units"))
-    notice = lambda u: F.struct(u["place"].alias("place"), u["family"].alias("family"), F.round(u["probability"], 6).alias("probability"), F.round(u["borne_out"], 6).alias("borne_out"))
-    by_row = by_block.groupBy("_row", "doc_id").agg(F.array_sort(F.transform(F.flatten(F.collect_list("units")), notice)).alias("notices"))
-    return by_row.select("doc_id", F.size("notices").cast("long").alias("n_notices"), F.array_sort(F.array_distinct(F.col("notices.family"))).alias("families"), "notices")
+    found = docs.select("doc_id", notices(F.col("text"), model or train()).alias("notices"))
+    return found.select("doc_id", F.size("notices").cast("long").alias("n_notices"), F.array_sort(F.array_distinct(F.col("notices.family"))).alias("families"), "notices")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
