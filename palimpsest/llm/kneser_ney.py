@@ -264,7 +264,7 @@ def _shard_of(key, span: int, rows: int):
 
 
 def train(docs: DataFrame) -> Model:
-    """A model of the texts of ``docs`` (text). A null text counts as empty: it has an end only."""
+    """A model of the texts of ``docs`` (text; other columns are ignored). A null text counts as empty: it has an end only. Of an empty table, every word is unknown."""
     spark = docs.sparkSession
     path = C.new_path(spark, "ngrams")
     texts = docs.select("text")
@@ -328,7 +328,12 @@ def train(docs: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """``keep``, n_tokens, n_known, base_score, score of each row of ``docs`` (text); a null text counts as empty."""
+    """``keep``, n_tokens, n_known, base_score, score of each row of ``docs`` (text).
+
+    A null or empty text has its end only; an empty table gives no rows; rows that repeat each other score alike; a text of any
+    length is scored whole; a column of ``keep`` that is named as a result is left out.
+    """
+    keep = tuple(c for c in keep if c not in ("n_tokens", "n_known", "base_score", "score"))
 
     def scored(batches: Iterator) -> Iterator:
         import pyarrow as pa

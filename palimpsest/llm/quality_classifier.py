@@ -59,11 +59,11 @@ def index_vectors():
     return out
 
 
-def context_vectors(texts: list[bytes], index, window: int = 2):
-    """``index`` with each word's own vector replaced by its normalised sum of neighbours plus half of its own."""
+def context_sums(texts: list[bytes], index, window: int = 2):
+    """For each word code the sum of the index vectors around it: whole numbers, so that their sum has no order."""
     import numpy as np
 
-    sums = np.zeros((WORD_CODES, DIM), np.float64)
+    sums = np.zeros((WORD_CODES, DIM), np.int64)
     for block in _blocks(texts):
         words, word, ending, shape = _codes(block)
         around = index[word] + index[ending] + index[shape]
@@ -75,7 +75,14 @@ def context_vectors(texts: list[bytes], index, window: int = 2):
         order = np.argsort(word, kind="stable")
         if len(order):
             new = np.flatnonzero(np.concatenate(([True], np.diff(word[order]) > 0)))
-            sums[word[order][new]] += np.add.reduceat(near[order], new, axis=0)
+            sums[word[order][new]] += np.add.reduceat(near[order], new, axis=0, dtype=np.int64)
+    return sums
+
+
+def context_vectors(sums, index):
+    """``index`` with each word's own vector replaced by its normalised sum of neighbours plus half of its own."""
+    import numpy as np
+
     out = index.copy()
     norm = np.linalg.norm(sums, axis=1, keepdims=True)
     out[:WORD_CODES] = 0.5 * index[:WORD_CODES] + sums / np.maximum(norm, 1e-9)
@@ -137,15 +144,12 @@ class Model:
         return (np.tanh((features - self.center) / self.scale @ w1 + b1) @ w2 + b2)[:, 0].astype(np.float64)
 
 
-def fit(texts: list[bytes], labels, calibrate) -> Model:
-    """A model of ``texts``; those that ``calibrate`` marks only set the temperature. With one class only, scores lean to it."""
+def fit(vectors, x, labels, calibrate) -> Model:
+    """A model on the pooled features ``x``; texts that ``calibrate`` marks only set the temperature. With one class only, scores lean to it."""
     import numpy as np
 
-    index = index_vectors()
     y, held = np.asarray(labels, np.float64), np.asarray(calibrate, bool)
     train = ~held
-    vectors = context_vectors([t for t, use in zip(texts, train, strict=True) if use], index)
-    x = np.concatenate([pooled(b, vectors) for b in _blocks(texts)]) if texts else np.zeros((0, 3 * DIM + 1), np.float32)
     rng = np.random.default_rng(SEED)
     layers = [[rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN)], [rng.normal(0, HIDDEN**-0.5, (HIDDEN, 1)), np.zeros(1)]]
     if not train.any():
@@ -173,15 +177,55 @@ def fit(texts: list[bytes], labels, calibrate) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, test: tuple[int, int] = (5, 0)) -> Model:
-    """A model fitted on at most SAMPLE_PER_CLASS labelled documents of each class; ids with crc32 of ``test`` are left out, the next remainder calibrates."""
+    """A model fitted on at most SAMPLE_PER_CLASS labelled documents of each class; ids with crc32 of ``test`` are left out, the next remainder calibrates.
+
+    An id that is labelled both ways isn't used; of rows that repeat an id, the text of smallest hash is. Null ids, null
+    labels and ids without a document are left out; null texts count as empty; without any labels every score is
+    about one half. Texts stay on the executors: the driver gets the sums of the context vectors (8 MB) and 97 numbers for each text.
+    """
+    import numpy as np
+
+    spark = docs.sparkSession
+    scratch = C.Scratch(spark)
     fold = C.crc32_text(F.col("doc_id")) % test[0]
-    usable = labels.select("doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold != test[1])).dropDuplicates(["doc_id"])
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where((F.col("quality") == F.col("most")) & (fold != test[1])).drop("most")
     sample = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS) for q in (0, 1)]
     chosen = sample[0].unionByName(sample[1])
-    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).withColumn("fold", fold).toArrow().sort_by("doc_id")
-    from ._tokens import as_bytes
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    first = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = scratch.keep(first.withColumn("held", fold == (test[1] + 1) % test[0]), "labelled")
+
+    def summed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        from ._tokens import as_bytes
+
+        index, total = index_vectors(), np.zeros((WORD_CODES, DIM), np.int64)
+        for b in C.text_blocks(batches):
+            total += context_sums(as_bytes(b["text"]), index)
+        used = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(total[used, i]) for i in range(DIM))], ["code", *(f"s{i}" for i in range(DIM))])
+
+    parts = rows.where("NOT held").select("text").mapInArrow(summed, "code long, " + ", ".join(f"s{i} long" for i in range(DIM)))
+    found = parts.groupBy("code").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(DIM))).toArrow()
+    sums = np.zeros((WORD_CODES, DIM), np.int64)
+    sums[found["code"].to_numpy()] = np.stack([found[f"s{i}"].to_numpy() for i in range(DIM)], axis=1)
+    vectors = context_vectors(sums, index_vectors())
+    shared = spark.sparkContext.broadcast(vectors)
+
+    def features(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        from ._tokens import as_bytes
+
+        for b in C.text_blocks(batches, POOL_BYTES):
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["quality"].cast(pa.int64()), b["held"], pa.array(list(pooled(as_bytes(b["text"]), shared.value)), pa.list_(pa.float32()))], ["doc_id", "quality", "held", "x"])
 
-    return fit(as_bytes(rows["text"].combine_chunks()), rows["quality"].to_numpy(), rows["fold"].to_numpy() == (test[1] + 1) % test[0])
+    kind = dict(rows.dtypes)["doc_id"]
+    table = rows.mapInArrow(features, f"doc_id {kind}, quality long, held boolean, x array<float>").toArrow().sort_by("doc_id")
+    x = np.stack(table["x"].to_pylist()).astype(np.float32) if table.num_rows else np.zeros((0, 3 * DIM + 1), np.float32)
+    scratch.drop()
+    return fit(vectors, x, table["quality"].to_numpy(), table["held"].to_numpy(zero_copy_only=False))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

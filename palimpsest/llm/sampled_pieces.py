@@ -67,11 +67,11 @@ class Pieces:
     Merge ranks stand in for the scores of a unigram model, which the published vocabularies of this kind don't have.
     """
 
-    def __init__(self, path: str = MODEL, sharpness: float = 0.5):
+    def __init__(self, path: str = MODEL, sharpness: float = 0.5, data: bytes | None = None):
         import numpy as np
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = sentencepiece.SentencePieceProcessor(**({"model_file": path} if data is None else {"model_proto": data}))
         self.raw: list[bytes] = []
         self.byte: dict[int, int] = {}
         texts, ids = [], []
@@ -88,6 +88,8 @@ class Pieces:
                 self.raw.append(texts[-1].encode())
         if len(self.byte) != 256:
             raise ValueError("the vocabulary has no piece for each byte")
+        #: How an id is packed: in two bytes, or in four where the vocabulary needs them; low byte first.
+        self.packing = "<u2" if len(self.raw) <= 1 << 16 else "<u4"
         self.longest = max(map(len, texts))
         self.fallback = -2 * sharpness * np.log(len(self.raw) + 10.0)
         codes = [_codes(t) for t in texts]
@@ -222,21 +224,32 @@ class Pieces:
 _loaded: dict[tuple, Pieces] = {}
 
 
-def pieces_of(path: str, sharpness: float) -> Pieces:
-    """The worker's copy of a vocabulary."""
-    if (path, sharpness) not in _loaded:
-        _loaded[path, sharpness] = Pieces(path, sharpness)
-    return _loaded[path, sharpness]
+def pieces_of(data: bytes, sharpness: float) -> Pieces:
+    """The worker's copy of a vocabulary, given as the bytes of its model file."""
+    import hashlib
+
+    key = hashlib.sha256(data).digest(), sharpness
+    if key not in _loaded:
+        _loaded[key] = Pieces("", sharpness, data)
+    return _loaded[key]
+
+
+def _sent(spark: SparkSession, path: str):
+    """The model file, read on the driver, for the workers: a vocabulary of some hundred KB."""
+    with open(path, "rb") as file:
+        return spark.sparkContext.broadcast(file.read())
 
 
 def encode(docs: DataFrame, seed: int = 0, path: str = MODEL, sharpness: float = 0.5, keep: tuple[str, ...] = ("doc_id",), digest: bool = False) -> DataFrame:
-    """``keep`` and the sampled pieces of each row of ``docs`` (doc_id, text): n_pieces, pieces (ids, two bytes each, low first), lossless.
+    """``keep`` and the sampled pieces of each row of ``docs`` (doc_id, text): n_pieces, pieces (ids, two bytes each, low first, or four if the vocabulary has more than 65,536), lossless (the packed ids decode to the text).
 
     The row's key is its doc_id, a null one counting as -1, and ``seed``: rows that repeat id and text get
-    the same pieces. A null or empty text has none. With ``digest``, pieces are given by pieces_crc32 and the
+    the same pieces. A null or empty text has none, an empty table gives no rows, a text of any length is one row, and a
+    column of ``keep`` that is named as a result is left out. With ``digest``, pieces are given by pieces_crc32 and the
     SHA-256 of the decoded text instead. Nothing is shuffled.
     """
-    types = dict(docs.dtypes)
+    types, model = dict(docs.dtypes), _sent(docs.sparkSession, path)
+    keep = tuple(c for c in keep if c not in ("n_pieces", "lossless", "pieces", "pieces_crc32", "decoded_sha256"))
     tail = "pieces_crc32 long, decoded_sha256 string" if digest else "pieces binary"
 
     def encoded(batches: Iterator) -> Iterator:
@@ -248,14 +261,14 @@ def encode(docs: DataFrame, seed: int = 0, path: str = MODEL, sharpness: float =
 
         from ._tokens import U
 
-        table = pieces_of(path, sharpness)
+        table = pieces_of(model.value, sharpness)
         for b in C.text_blocks(batches, ENCODE_BYTES):
             texts = [t or "" for t in b["text"].to_pylist()]
             keys = np.array([-1 if i is None else i for i in b["_key"].to_pylist()], np.int64).view(U) * U(0x9E3779B97F4A7C15) + U(seed)
             ids, starts = table.sample(texts, keys)
-            packed = ids.astype("<u2").tobytes()
-            own = [packed[2 * i : 2 * j] for i, j in zip(starts[:-1], starts[1:], strict=True)]
-            decoded = [table.decode(ids[i:j].tolist()) for i, j in zip(starts[:-1], starts[1:], strict=True)]
+            packed, w = ids.astype(table.packing).tobytes(), int(table.packing[-1])
+            own = [packed[w * i : w * j] for i, j in zip(starts[:-1], starts[1:], strict=True)]
+            decoded = [table.decode(np.frombuffer(x, table.packing).tolist()) for x in own]
             same = [d == t.encode() for d, t in zip(decoded, texts, strict=True)]
             out = [pa.array(np.diff(starts)), pa.array(same)]
             out += [pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string())] if digest else [pa.array(own, pa.binary())]
@@ -268,13 +281,15 @@ def encode(docs: DataFrame, seed: int = 0, path: str = MODEL, sharpness: float =
 def decode(pieces: DataFrame, path: str = MODEL, sharpness: float = 0.5) -> DataFrame:
     """doc_id, text of rows (doc_id, pieces) as ``encode`` gives them; null pieces give a null text."""
 
+    model = _sent(pieces.sparkSession, path)
+
     def decoded(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        table = pieces_of(path, sharpness)
+        table = pieces_of(model.value, sharpness)
         for b in batches:
-            texts = [None if x is None else table.decode(np.frombuffer(x, "<u2").tolist()).decode() for x in b["pieces"].to_pylist()]
+            texts = [None if x is None else table.decode(np.frombuffer(x, table.packing).tolist()).decode() for x in b["pieces"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return pieces.select("doc_id", "pieces").mapInArrow(decoded, f"doc_id {dict(pieces.dtypes)['doc_id']}, text string")

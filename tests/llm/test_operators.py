@@ -409,3 +409,89 @@ def test_texts_of_equal_rows_and_crc(spark):
 
     row = spark.range(1).select(crc32_text(F.lit(17)), crc32_text(F.lit(None).cast("long"))).first()
     assert list(row) == [zlib.crc32(b"17"), 0]
+
+
+def test_mix_draws_null_ids_apart(spark):
+    """Sums of the words taken, plan against mix, where ids are null or repeat."""
+    import random
+
+    r = random.Random(5)
+    rows = [(None if i % 2 else i // 6, " ".join(["w"] * r.randint(1, 9) + [str(i)]), ("a", "b", "c", None)[i % 4], 1, 2) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `_key` int, `copies` int")
+    plan = mixing.plan(docs).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    taken = {x["source"]: x["taken"] for x in mixed.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("taken")).collect()}
+    assert taken == {x["source"]: x["taken"] for x in plan if x["taken"]}
+    assert all(abs(x["taken"] - x["target"]) <= 0.02 * x["target"] for x in plan)
+    assert set(Counter(x["text"] for x in mixed.collect()).values()) <= {1, 2}
+
+
+def test_targets_of_many_sources(spark):
+    rows = [(f"s{i:05}", 1 + i * i % 977) for i in range(3000)] + [(None, 400)]
+    got = {x["source"]: x["target"] for x in mixing.targets(spark.createDataFrame(rows, "source string, source_size long")).collect()}
+    weight = {k: (3, 1, 2)[i % 3] for i, k in enumerate([*sorted(k for k, _ in rows if k), None])}
+    size, left, open_, want = dict(rows), 1.5 * sum(n for _, n in rows), {k for k, _ in rows}, {}
+    while True:
+        unit = left / sum(weight[k] for k in open_)
+        full = {k for k in open_ if 2.0 * size[k] <= weight[k] * unit}
+        if not full:
+            break
+        want |= {k: 2.0 * size[k] for k in full}
+        left, open_ = left - sum(want[k] for k in full), open_ - full
+    assert got == pytest.approx(want | {k: weight[k] * unit for k in open_})
+
+
+def test_quality_labels_and_texts_that_disagree(spark):
+    """An id labelled both ways isn't learnt from, and of repeated ids one text is, whatever the order of the rows."""
+    docs = spark.createDataFrame([(i, f"good plain words of the text {i}" if i % 2 else f"zz## {i} zz## 00 zz##") for i in range(200)] + [(3, "another text"), (None, "no id")], "doc_id long, text string")
+    labels = [(i, i % 2, 0) for i in range(200)] + [(5, 0, 0), (None, 1, 0), (7, None, 0), (9999, 1, 0)]
+    a = quality_classifier.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    b = quality_classifier.train(docs.orderBy(F.desc("text")).repartition(7), spark.createDataFrame(labels[::-1], "doc_id long, quality int, toxic int"))
+    assert (a.vectors == b.vectors).all() and all((p == q).all() for x, y in zip(a.layers, b.layers, strict=True) for p, q in zip(x, y, strict=True))
+    scores = a.score([b"good plain words of the text 901", b"zz## 900 zz## 00 zz##"])
+    assert scores[0] > 0.8 and scores[1] < 0.2
+
+
+def test_jaccard_join_of_texts_that_share_long_passages(spark, monkeypatch):
+    """Texts that consist mostly of common passages, by the table of frequent tokens, by none, and by lists that are refined."""
+    import random
+
+    r = random.Random(3)
+    passages = [[f"p{k}_{i}" for i in range(30)] for k in range(3)]
+    rows = []
+    for i in range(240):
+        own = [f"o{i}_{j}" for j in range(r.choice((0, 1, 3, 6, 12)))]
+        text = passages[i % 3] + (passages[(i + 1) % 3][: r.choice((0, 10, 30))]) + own
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for table, least, long in ((100_000, 12, 96), (4, 12, 10), (100_000, 3, 8)):
+        monkeypatch.setattr(jaccard_join, "MAX_FREQUENT", table)
+        monkeypatch.setattr(jaccard_join, "FREQUENT_FROM", least)
+        monkeypatch.setattr(jaccard_join, "STEP", 4)
+        monkeypatch.setattr(jaccard_join, "LONG", long)
+        for a in (80, 90):
+            assert Counter(tuple(x) for x in jaccard_join.jaccard_join(docs, 3, (a, 100)).collect()) == brute_components(rows, 3, a, 100)
+
+
+def test_prefix_entries_never_miss_a_pair():
+    """Any two sets that link have an entry in common, whatever classes their tokens have."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for a, b in ((4, 5), (9, 10), (1, 2)):
+        ks = jaccard_join.combination_sizes(a, b)
+        for _ in range(1500):
+            n = int(r.integers(1, 90))
+            x = np.unique(r.integers(1, 1 << 62, n))
+            lost = int(r.integers(0, max(1, (b - a) * len(x) // b + 1)))
+            y = np.unique(np.concatenate((r.permutation(x)[lost:], r.integers(1, 1 << 62, int(r.integers(0, lost + 2))))))
+            both = len(np.intersect1d(x, y))
+            if not both or b * both < a * (len(x) + len(y) - both):
+                continue
+            level = {int(t): int(c) for t, c in zip(np.union1d(x, y), r.choice(5, len(np.union1d(x, y)), p=r.dirichlet(np.ones(5))), strict=True)}
+            found = []
+            for s in (x, y):
+                token = s.astype(np.uint64)
+                found.append(set(jaccard_join.prefix_signatures(np.zeros(len(s), int), token, np.array([0, len(s)]), np.array([level[int(t)] for t in s], np.int8), a, b, ks)[2].tolist()))
+            assert found[0] & found[1] or set(x.tolist()) == set(y.tolist())
