@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import Provider
 
+#: Fixed values.
 DIMENSIONS, MODULUS, CYCLE = 8, 1_000_003, 8
 
 
@@ -34,3 +38,12 @@ def embed_text(text: str) -> list[float]:
             acc = (acc * (b + 1) + i % CYCLE + 1) % MODULUS
         out.append(float(acc))
     return out
+
+
+@dataclass(frozen=True)
+class Embedding:
+    """A provider: the same embedding of a text on the driver, for queries, and of a Column, for records."""
+
+    of_text: Callable[[str], list[float]] = embed_text
+    of_column: Callable[[Column], Column] = hash_embedding
+    dimension: int = DIMENSIONS

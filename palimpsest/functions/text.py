@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: What separates tokens, what surrounds a word, a capitalised word, white space of any script at the ends. Fixed values.
 TOKEN_BREAK = r"[^\p{IsAlphabetic}\p{N}]+"
 WORD_EDGE = r"^[^\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+$"
-CAPITALISED = r"^\p{IsUppercase}\p{IsAlphabetic}*$"
+CAPITALISED_RAW = r"^[^\p{IsAlphabetic}\p{N}]*\p{IsUppercase}\p{IsAlphabetic}*[^\p{IsAlphabetic}\p{N}]*$"
 ENDS = r"(?U)^\s+|\s+$"
 SINGLE_QUOTED = r"(?U)(?:^|(?<=[\s(\[{,;]))'([^']*)'(?=\z|[\s.,;:!?)\]])"
 
@@ -27,21 +27,15 @@ def token_set(text: Column) -> Column:
 
 
 def proper_spans(text: Column) -> Column:
-    """Runs of two or more capitalised words; a word that ends a sentence ends its run."""
+    """Runs of two or more capitalised words; a word that ends a sentence ends its run. Linear in the text: what ends a run is marked, and the marked words are joined and cut at the marks."""
+    mark = F.lit("\x01")
 
-    def close(out: Column, run: Column) -> Column:
-        return F.when(F.size(run) >= 2, F.concat(out, F.array(F.array_join(run, " ")))).otherwise(out)
-
-    def step(acc: Column, raw: Column) -> Column:
+    def marked(raw: Column) -> Column:
         word = F.regexp_replace(raw, WORD_EDGE, "")
-        fits = word.rlike(CAPITALISED)
-        run = F.when(fits, F.concat(acc["run"], F.array(word))).otherwise(acc["run"])
-        ends = ~fits | raw.rlike("[.!?]$")
-        none = F.array().cast("array<string>")
-        return F.struct(F.when(ends, none).otherwise(run).alias("run"), F.when(ends, close(acc["out"], run)).otherwise(acc["out"]).alias("out"))
+        return F.when(~raw.rlike(CAPITALISED_RAW), mark).when(raw.rlike("[.!?]$"), F.concat(word, mark)).otherwise(word)
 
-    none = F.array().cast("array<string>")
-    return F.aggregate(F.split(text, r"(?U)\s+"), F.struct(none.alias("run"), none.alias("out")), step, lambda acc: close(acc["out"], acc["run"]))
+    runs = F.split(F.array_join(F.transform(F.split(text, r"(?U)\s+"), marked), " "), "\x01")
+    return F.filter(F.transform(runs, lambda x: F.trim(x)), lambda x: x.contains(" "))
 
 
 def _quoted(spans: Column) -> Column:
@@ -121,6 +115,12 @@ def project_id(remote: Column) -> Column:
     return F.when(found != "", F.concat_ws("-", *parts))
 
 
+def faulty(content: Column, max_bytes: int | None = None) -> Column:
+    """Whether a content can't be stored: none, blank in any script, or longer than ``max_bytes``."""
+    blank = content.isNull() | (trimmed(content) == "")
+    return blank if max_bytes is None else blank | (F.octet_length(content) > max_bytes)
+
+
 def state_key(user: Column, agent: Column) -> Column:
     return F.substring(F.sha2(F.concat(user, F.lit("\0"), agent), 256), 1, 16)
 

@@ -16,9 +16,9 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 def query_terms(query: str) -> list[str]:
     """The distinct tokens of a query's words, in order; an empty query has none and finds nothing."""
-    import re
+    import regex
 
-    return list(dict.fromkeys(t for t in re.split(r"[\W_]+", query.lower()) if t))
+    return list(dict.fromkeys(t for t in regex.split(r"[^\p{Alphabetic}\p{N}]+", query.lower()) if t))
 
 
 def _weight(tf: Column, df: Column, n: Column, length: Column, average: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,14 +25,26 @@ def nearest(rows: DataFrame, query: Sequence[float], k: int, metric: str = "l1",
     return found.drop(vector).orderBy("score", id_).limit(k)
 
 
+#: Bytes of query vectors that are broadcast together.
+MAX_QUERY_BYTES = 8 << 20
+
+
 def nearest_for_each(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l1", vector: str = "vector", id_: str = "id") -> DataFrame:
     """query_id, id, score, rank: the k nearest rows for each of a stated set of ``queries`` (query_id, query_vector).
 
     The rows meet the queries where they lie, and the rank's limit holds within a partition before the shuffle,
-    so that k rows for each query and partition move at most. Queries are broadcast: they are the caller's
-    stated set, a block at a time if there are many.
+    so that k rows for each query and partition move at most. Queries are measured and broadcast in blocks of
+    MAX_QUERY_BYTES or less, each against all rows.
     """
-    pairs = rows.select(F.col(id_).alias("id"), F.col(vector).alias("v")).crossJoin(F.broadcast(queries.select("query_id", "query_vector")))
-    scored = pairs.select("query_id", "id", METRICS[metric](F.col("v"), F.col("query_vector")).alias("score"))
+    asked = queries.select("query_id", "query_vector")
+    size = asked.agg(F.sum(F.size("query_vector") * 4 + 32).alias("bytes"), F.count("*").alias("n")).first()
+    blocks = max(1, -(-(size["bytes"] or 0) * 2 // MAX_QUERY_BYTES))  # blocks of a hash are uneven: half full on average
     by_query = Window.partitionBy("query_id").orderBy("score", "id")
-    return scored.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+    own = rows.select(F.col(id_).alias("id"), F.col(vector).alias("v"))
+
+    def block(i: int) -> DataFrame:
+        some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        scored = own.crossJoin(F.broadcast(some)).select("query_id", "id", METRICS[metric](F.col("v"), F.col("query_vector")).alias("score"))
+        return scored.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+
+    return reduce(DataFrame.unionByName, map(block, range(blocks)))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import NotFound, Validation
+from ..errors import DimensionMismatch, NotFound, Validation
 from ..functions import filters
-from ..functions.embed import hash_embedding
-from ..functions.text import rendered, sentence_facts
+from ..functions.embed import Embedding
+from ..functions.text import faulty, rendered, sentence_facts
 from ..schema import SCOPE_KEYS, key, promote
 from .entities import links
 
@@ -33,45 +34,90 @@ def need_scope(scope: dict[str, str]) -> None:
         raise Validation("a scope names a user, an agent or a run")
 
 
-def facts_of(conversations: DataFrame, infer: bool = True) -> DataFrame:
-    """conv_id, pos, fact: the sentences of each conversation's last message, or every message as it is."""
+def facts_of(conversations: DataFrame, infer: bool = True, extract: Callable[[Column], Column] = sentence_facts) -> DataFrame:
+    """conv_id, pos, fact: what ``extract``, by default the sentences, gives for each conversation's last message; without ``infer`` every message as it is, and its role."""
     if not infer:
-        return conversations.select("conv_id", F.col("turn").alias("pos"), F.col("text").alias("fact")).where("trim(fact) <> ''")
+        return conversations.select("conv_id", F.col("turn").alias("pos"), F.col("text").alias("fact"), "role").where(~faulty(F.col("fact")))
     last = conversations.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
-    return last.select("conv_id", F.posexplode(sentence_facts(F.coalesce("text", F.lit("")))).alias("pos", "fact"))
+    return last.select("conv_id", F.posexplode(extract(F.coalesce("text", F.lit("")))).alias("pos", "fact"))
 
 
-def procedures(conversations: DataFrame) -> DataFrame:
-    """conv_id, summary: all messages of a conversation as one text, what a summarising provider is given."""
-    turns = F.collect_list(F.struct("turn", "role", "text"))
-    return conversations.groupBy("conv_id").agg(rendered(turns).alias("summary"))
+def described(messages: DataFrame, describe: Callable[[Column], Column]) -> DataFrame:
+    """``messages`` with a column ``images`` (array<binary>) whose text is replaced, where there are any, by what a provider says of them."""
+    return messages.withColumn("text", F.when(F.size("images") > 0, describe(F.col("images"))).otherwise(F.col("text"))).drop("images")
+
+
+def procedures(conversations: DataFrame, summarise: Callable[[Column], Column] | None = None) -> DataFrame:
+    """conv_id, summary: what a provider makes of all messages of a conversation, given as one text; without one, that text."""
+    turns = F.collect_list(F.struct("turn", "role", "text"))  # of one conversation
+    whole = conversations.groupBy("conv_id").agg(rendered(turns).alias("summary"))
+    return whole if summarise is None else whole.select("conv_id", summarise(F.col("summary")).alias("summary"))
 
 
 def new_facts(incoming: DataFrame, existing: DataFrame, scope: list[str]) -> DataFrame:
     """``incoming`` (scope..., content, seq): the first of each content in a scope, unless ``existing`` has it there. An existing row may have more keys."""
-    first = incoming.withColumn("_n", F.row_number().over(Window.partitionBy(*scope, "content").orderBy("seq"))).where("_n = 1").drop("_n")
+    rest = [F.min_by(c, "seq").alias(c) for c in incoming.columns if c not in (*scope, "content", "seq")]
+    first = incoming.groupBy(*scope, "content").agg(*rest, F.min("seq").alias("seq"))  # repeats meet before the shuffle
     return first.join(existing.select(*scope, "content").distinct(), [*scope, "content"], "left_anti")
 
 
-def add(tables: Tables, facts: DataFrame, scope: dict[str, str], metadata: dict[str, str] | None = None, max_bytes: int | None = None, max_metadata_bytes: int | None = None) -> Tables:
-    """``tables`` with ``facts`` (seq, content) under a scope: those it doesn't have become memories with history and entity links. A ``content`` in the scope stands for the text in the payload only."""
+def metadata_bytes(payload: Column) -> Column:
+    """UTF-8 bytes of all keys and values of a map."""
+    return F.aggregate(F.map_entries(payload), F.lit(0).cast("long"), lambda n, e: n + F.octet_length(e["key"]) + F.octet_length(e["value"]))
+
+
+def add(tables: Tables, facts: DataFrame, scope: dict[str, str], metadata: dict[str, str] | None = None, max_bytes: int | None = None, max_metadata_bytes: int | None = None, embedding: Embedding | None = None, plain: bool = False) -> Tables:
+    """``added``, without the new rows."""
+    return added(tables, facts, scope, metadata, max_bytes, max_metadata_bytes, embedding, plain)[0]
+
+
+def added(tables: Tables, facts: DataFrame, scope: dict[str, str], metadata: dict[str, str] | None = None, max_bytes: int | None = None, max_metadata_bytes: int | None = None, embedding: Embedding | None = None, plain: bool = False) -> tuple[Tables, DataFrame]:
+    """``tables`` with ``facts`` (seq, content, role if they have one) under a scope, and the new rows: facts it doesn't have become memories with history and entity links.
+
+    A ``content`` in the scope stands for the text in the payload only. A ``plain`` fact is stored whether or not it is
+    known, and has no links. An id is fixed by scope, content, place and how much has happened in the store so far, so that no
+    memory ever gets an id that another has or had.
+    """
     need_scope(scope)
     payload = {**scope, **(metadata or {})}
     if max_metadata_bytes is not None and sum(len(k.encode()) + len(v.encode()) for k, v in payload.items()) > max_metadata_bytes:
         raise Validation("the metadata is too long")
-    long = facts.where(F.octet_length("content") > max_bytes) if max_bytes is not None else None
-    if facts.where(F.trim("content") == "").limit(1).count() or (long is not None and long.limit(1).count()):
+    if facts.where(faulty(F.col("content"), max_bytes)).limit(1).count():
         raise Validation("a content is empty or too long")
     keys = [k for k in scope if k != "content"]
     known = tables.memories.where(filters.in_scope({k: scope[k] for k in keys}, value_of(tables.memories))).select("content")
-    fresh = new_facts(facts, known, [])
-    made = F.map_from_arrays(F.array(*map(F.lit, [*payload, "content"])), F.array(*map(F.lit, payload.values()), F.col("content"))) if "content" not in payload else F.create_map(*(F.lit(x) for kv in payload.items() for x in kv))
-    scope_id = "\0".join(f"{k}={scope[k]}" for k in sorted(scope))
-    records = fresh.select(F.concat(F.lit("rec-"), F.substring(F.sha2(F.concat(F.lit(scope_id), F.lit("\0"), F.col("content")), 256), 1, 24)).alias("id"), hash_embedding(F.col("content")).alias("vector"), made.alias("payload"), F.col("content").alias("_fact"), "seq")
+    fresh = facts if plain else new_facts(facts, known, [])
+    entries = [F.lit(x) for kv in payload.items() for x in kv] + ([] if "content" in payload else [F.lit("content"), F.col("content")])
+    made = F.create_map(*entries)
+    if "role" in facts.columns and "role" not in payload:
+        made = F.when(F.col("role").isNull(), made).otherwise(F.map_concat(made, F.create_map(F.lit("role"), F.col("role"))))
+    scope_id = "\0".join(f"{k}={scope[k]}" for k in sorted(scope)) + f"\0{tables.history.count()}"
+    id_ = F.concat(F.lit("rec-"), F.substring(F.sha2(F.concat(F.lit(scope_id), F.lit("\0"), F.col("seq").cast("string"), F.lit("\0"), F.col("content")), 256), 1, 24))
+    records = fresh.select(id_.alias("id"), (embedding or Embedding()).of_column(F.col("content")).alias("vector"), made.alias("payload"), F.col("content").alias("_fact"), "seq")
     memories = promote(records)
-    entries = records.select("id", F.col("seq").cast("bigint"), F.lit("Added").alias("event"), F.col("_fact").alias("content"))
+    log = records.select("id", F.col("seq").cast("bigint"), F.lit("Added").alias("event"), F.col("_fact").alias("content"))
     own = records.select(*(F.lit(scope.get(k)).cast("string").alias(k) for k in SCOPE_KEYS), "id", F.col("seq").cast("bigint"), F.col("_fact").alias("content"))
-    return Tables(tables.memories.unionByName(memories), tables.history.unionByName(entries), tables.links.unionByName(links(own)))
+    linked = tables.links if plain else tables.links.unionByName(links(own))
+    return Tables(tables.memories.unionByName(memories), tables.history.unionByName(log), linked), memories
+
+
+def upsert(memories: DataFrame, records: DataFrame, dimension: int) -> DataFrame:
+    """``memories`` with ``records`` (id, vector, payload): one of a known id replaces it. Every vector has ``dimension`` numbers, else nothing is stored; of records that share an id the last by payload is."""
+    wrong = records.where(F.coalesce(F.size("vector"), F.lit(-1)) != dimension).select(F.size("vector").alias("n")).first()
+    if wrong is not None:
+        raise DimensionMismatch(dimension, wrong["n"])
+    one = records.groupBy("id").agg(F.max_by(F.struct("vector", "payload"), F.to_json("payload")).alias("r")).select("id", "r.vector", "r.payload")
+    return memories.join(one.select("id"), "id", "left_anti").unionByName(promote(one))
+
+
+def fetch(memories: DataFrame, ids: DataFrame) -> DataFrame:
+    """pos and the memory of each of ``ids`` (pos, id), in the order of pos; unknown ids are left out."""
+    return ids.join(memories, "id").orderBy("pos")
+
+
+def count_memories(memories: DataFrame, scope: dict[str, str] | None, today: str, most: int | None = None) -> int:
+    """How many live memories a scope has; with ``most``, as a client counts that lists so many at most."""
+    return list_memories(memories, scope, today, limit=most).count()
 
 
 def merged(payload: Column, changes: dict[str, str]) -> Column:
@@ -80,7 +126,7 @@ def merged(payload: Column, changes: dict[str, str]) -> Column:
     return F.map_concat(rest, F.create_map(*(F.lit(x) for kv in changes.items() for x in kv)))
 
 
-def update(tables: Tables, id_: str, content: str | None = None, metadata: dict[str, str] | None = None) -> Tables:
+def update(tables: Tables, id_: str, content: str | None = None, metadata: dict[str, str] | None = None, embedding: Embedding | None = None) -> Tables:
     """One memory with new content, embedded anew, or merged metadata. Scope keys can't change; history and links stay."""
     if set(metadata or {}) & set(SCOPE_KEYS):
         raise Validation("the scope of a memory can't change")
@@ -90,7 +136,7 @@ def update(tables: Tables, id_: str, content: str | None = None, metadata: dict[
     if not changes:
         return tables
     hit = F.col("id") == id_
-    rows = tables.memories.select("id", F.when(hit & F.lit(content is not None), hash_embedding(F.lit(content or ""))).otherwise(F.col("vector")).alias("vector"), F.when(hit, merged(F.col("payload"), changes)).otherwise(F.col("payload")).alias("payload"))
+    rows = tables.memories.select("id", F.when(hit & F.lit(content is not None), (embedding or Embedding()).of_column(F.lit(content or ""))).otherwise(F.col("vector")).alias("vector"), F.when(hit, merged(F.col("payload"), changes)).otherwise(F.col("payload")).alias("payload"))
     return Tables(promote(rows), tables.history, tables.links)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import token_set
 
+#: Fixed values.
 BOOST = 0.15
 ENTITY_NEIGHBOURS = 5
 

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import Config, Validation
+from ..errors import Config, Provider, Validation
 from ..functions import filters
-from ..functions.embed import embed_text
-from ..functions.text import entities
+from ..functions.embed import Embedding
+from ..functions.text import entities, sentence_facts
 from ..operators import keyword, lifecycle, ranking
 from ..operators.entities import boosted_ids
 from ..operators.knn import nearest, window_size
 from ..operators.lifecycle import Tables, value_of
+from . import batch
 from ..schema import ENTITY_LINKS, HISTORY, MEMORIES
 
 
@@ -44,11 +46,17 @@ class Engine:
     spark: SparkSession
     settings: Settings = field(default_factory=Settings)
     tables: Tables | None = None
-    embed: object = staticmethod(embed_text)
+    embedding: Embedding = field(default_factory=Embedding)
+    #: A provider's facts of a message, its summary of a conversation, its words for images; Columns of Columns.
+    extract: Callable[[Column], Column] = sentence_facts
+    summarise: Callable[[Column], Column] | None = None
+    describe: Callable[[Column], Column] | None = None
     reranker: ranking.Reranker | None = ranking.overlap_reranker
 
     def __post_init__(self):
         self.settings.validate()
+        if self.settings.dimension != self.embedding.dimension:
+            raise Config("the settings and the embedding differ in dimension")
         if self.tables is None:
             empty = lambda schema: self.spark.createDataFrame([], schema)
             self.tables = Tables(empty(MEMORIES), empty(HISTORY), empty(ENTITY_LINKS))
@@ -72,7 +80,7 @@ class Engine:
         wanted = filters.compile_filter(filters.parse(spec), of) if spec is not None else F.lit(True)
         if not show_expired:
             wanted = wanted & filters.is_live(today, of("expiration_date"))
-        near = nearest(memories, self.embed(query), window_size(top_k), self.settings.metric, threshold, scoped & wanted if prefilter else scoped)
+        near = nearest(memories, self.embedding.of_text(query), window_size(top_k), self.settings.metric, threshold, scoped & wanted if prefilter else scoped)
         found = ranking.details(near if prefilter else near.where(wanted), explain)
         hits = keyword.search(memories.select("id", "content", *[c for c in memories.columns if c in scope and c != "content"], "payload"), query)
         hits = hits.where(filters.in_scope(scope, value_of(hits))).orderBy("keyword_score", "id").limit(window_size(top_k))
@@ -86,18 +94,34 @@ class Engine:
             best = self.reranker(best, query).orderBy("score", "id")
         return best.select("id", "score", "payload", "score_details")
 
+    def search_each(self, queries: DataFrame, top_k: int, scope: dict[str, str], today: str, spec: dict | None = None, show_expired: bool = False, index: DataFrame | None = None) -> DataFrame:
+        """query_id, rank, id, score, payload of a batch of ``queries`` (query_id, query)."""
+        if top_k < 1 or (self.settings.max_top_k is not None and top_k > self.settings.max_top_k):
+            raise Validation("top_k is out of range")
+        return batch.search_each(self.tables, queries, top_k, scope, today, spec, show_expired, self.settings.metric, self.embedding, index)
+
     def add(self, conversations: DataFrame, scope: dict[str, str], infer: bool = True, metadata: dict[str, str] | None = None) -> DataFrame:
         """The rows that a batch of messages (conv_id, turn, role, text) adds under a scope."""
-        before = self.tables.memories
-        if scope.get("memory_type") == "procedural_memory" and "agent_id" in scope:
-            facts = lifecycle.procedures(conversations).select(F.col("conv_id").alias("seq"), F.col("summary").alias("content"))
+        if "images" in conversations.columns:
+            if self.describe is None:
+                raise Provider("no provider describes images")
+            conversations = lifecycle.described(conversations, self.describe)
+        plain = scope.get("memory_type") == "procedural_memory" and "agent_id" in scope
+        seq = lambda pos: (F.col("conv_id") * 1_000_000 + pos).alias("seq")
+        if plain:  # one summary a conversation, neither compared with what is known nor linked
+            facts = lifecycle.procedures(conversations, self.summarise).select(seq(F.lit(0)), F.col("summary").alias("content"))
         else:
-            facts = lifecycle.facts_of(conversations, infer).select((F.col("conv_id") * 1_000_000 + F.col("pos")).alias("seq"), F.col("fact").alias("content"))
-        self.tables = lifecycle.add(self.tables, facts, scope, metadata, self.settings.max_content_bytes, self.settings.max_metadata_bytes)
-        return self.tables.memories.join(before.select("id"), "id", "left_anti")
+            found = lifecycle.facts_of(conversations, infer, self.extract)
+            facts = found.select(seq(F.col("pos")), F.col("fact").alias("content"), *([] if infer else ["role"]))
+        self.tables, new = lifecycle.added(self.tables, facts, scope, metadata, self.settings.max_content_bytes, self.settings.max_metadata_bytes, self.embedding, plain)
+        return new
+
+    def update(self, id_: str, content: str | None = None, metadata: dict[str, str] | None = None) -> None:
+        self.tables = lifecycle.update(self.tables, id_, content, metadata, self.embedding)
 
     def health_check(self) -> bool:
-        """The embedding and the tables answer."""
-        self.embed("probe")
+        """The providers and the tables answer, in this order."""
+        self.spark.range(1).select(self.extract(F.lit("A probe."))).collect()
+        self.embedding.of_text("probe")
         self.tables.memories.limit(1).count()
         return True

@@ -15,7 +15,7 @@ from .functions.embed import embed_text, hash_embedding
 from .functions.vector import METRICS
 from .operators import entities, keyword, lifecycle, ranking
 from .operators.knn import nearest, nearest_for_each, window_size
-from .schema import SCOPE_KEYS
+from .schema import SCOPE_KEYS, promote
 from .streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -213,9 +213,16 @@ def entities_double_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").where(F.col("text").contains('"')).select("doc_id", F.array_join(text.double_quoted(F.col("text")), "|").alias("spans"))
 
 
-@_register("entities_proper")
+_MARKED_SQL = (
+    r"list_transform(string_split_regex(text, '\s+'), lambda raw: CASE WHEN regexp_full_match(raw, '[^\p{L}\p{N}]*\p{Lu}\p{L}*[^\p{L}\p{N}]*')"
+    r" THEN regexp_replace(raw, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g') || CASE WHEN regexp_matches(raw, '[.!?]$') THEN chr(1) ELSE '' END ELSE chr(1) END)"
+)
+_PROPER = f"list_filter(list_transform(string_split(array_to_string({_MARKED_SQL}, ' '), chr(1)), lambda x: trim(x)), lambda x: contains(x, ' '))"
+
+
+@_register("entities_proper", f"SELECT doc_id, array_to_string({_PROPER}, '|') AS spans FROM documents")
 def entities_proper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", text.proper_spans(F.col("text")).alias("spans"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(text.proper_spans(F.col("text")), "|").alias("spans"))
 
 
 @_register("entities_single_quoted")
@@ -228,11 +235,16 @@ def entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.summary(entities.links(_memories(spark, sf_dir)))
 
 
-@_register("entity_boost")
-def entity_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _memories(spark, sf_dir)
-    scored = rows.select("id", F.lit(10.0).cast("float").alias("score"))
-    return ranking.boost(scored, entities.boosted_ids(entities.links(rows), [("proper", "Bob Smith")]))
+def _proper_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.links(_memories(spark, sf_dir)).where("entity_type = 'proper'")
+
+
+_LINKS_SQL = f"SELECT DISTINCT {_ID} AS id, source AS user_id, lang AS agent_id, doc_id, unnest({_PROPER}) AS entity_text FROM documents"
+
+
+@_register("entity_links_proper", f"SELECT user_id, agent_id, entity_text, count(*) AS n_memories, arg_min(id, doc_id) AS first_id FROM ({_LINKS_SQL}) GROUP BY ALL")
+def entity_links_proper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.summary(_proper_links(spark, sf_dir)).select("user_id", "agent_id", "entity_text", "n_memories", "first_id")
 
 
 _BYTES = "list_transform(regexp_extract_all(hex({}), '..'), lambda h, i: ('0x' || h)::BIGINT * 8 + (i - 1) % 8)"
@@ -244,6 +256,22 @@ def _hash_sql(x: str) -> str:
     return f"list_transform(range(8), lambda d: ((d * {_FACTOR.format(x)} + {_TERM.format(x)}) % 1000003)::FLOAT)"
 
 
+ASKED = "Old Town"
+_AV = "[" + ", ".join(f"{int(x)}" for x in embed_text(ASKED)) + "]"
+_NEAR_ASKED = f"list_reduce(list_transform(list_zip({_hash_sql('entity_text')}, {_AV}), lambda x: abs(x[1] - x[2])::FLOAT), lambda a, b: (a + b)::FLOAT, 0::FLOAT)"
+
+
+@_register(
+    "entity_boost",
+    f"WITH l AS ({_LINKS_SQL}), near AS (SELECT entity_text FROM (SELECT DISTINCT entity_text FROM l) ORDER BY {_NEAR_ASKED}, entity_text LIMIT 5) "
+    f"SELECT {_ID} AS id, CASE WHEN {_ID} IN (SELECT id FROM l WHERE entity_text IN (SELECT entity_text FROM near)) THEN round(doc_id * 0.85, 2) ELSE doc_id END::DOUBLE AS score FROM documents",
+)
+def entity_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _memories(spark, sf_dir).select("id", F.col("seq").cast("float").alias("score"))
+    boosted = ranking.boost(scored, entities.boosted_ids(_proper_links(spark, sf_dir), [("proper", ASKED)]))
+    return boosted.select("id", F.round(F.col("score").cast("double"), 2).alias("score"))
+
+
 @_register("hash_embed", f"SELECT conv_id, turn, array_to_string(list_transform({_hash_sql('text')}, lambda v: v::BIGINT::VARCHAR), ' ') AS vector FROM conversations WHERE text <> ''")
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "conversations").where("text <> ''").select("conv_id", "turn", F.array_join(F.transform(hash_embedding(F.col("text")), lambda x: x.cast("long").cast("string")), " ").alias("vector"))
@@ -292,6 +320,12 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword.search(docs, TERMS).orderBy("keyword_score", "id").limit(20).select("id", F.round("keyword_score", 5).alias("keyword_score"))
 
 
+@_register("keyword_all_terms", f"WITH {_bm25_sql('documents', 'doc_id', 'licensed under')} SELECT id, round(keyword_score, 5) AS keyword_score FROM kw WHERE tf0 > 0 AND tf1 > 0 ORDER BY kw.keyword_score, id LIMIT 20")
+def keyword_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return keyword.search(docs, "licensed under", require_all=True).orderBy("keyword_score", "id").limit(20).select("id", F.round("keyword_score", 5).alias("keyword_score"))
+
+
 @_register("bm25_scope_after_score", f"WITH {_bm25_sql('documents', 'doc_id', TERMS)} SELECT id, round(keyword_score, 5) AS keyword_score FROM kw WHERE source = 'src1' ORDER BY kw.keyword_score, id LIMIT 20")
 def bm25_scope_after_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source")
@@ -376,11 +410,16 @@ def _tables(spark: SparkSession, sf_dir: str) -> lifecycle.Tables:
     return lifecycle.Tables(rows.withColumn("vector", F.lit(None).cast("array<float>")), history, none)
 
 
-@_register("update_merge_metadata", f"SELECT {_ID} AS id, source AS user_id, CASE WHEN doc_id = 5 THEN 'high' END AS priority, CASE WHEN doc_id = 5 THEN 'xx' ELSE lang END AS agent FROM documents")
+@_register("update_merge_metadata", f"SELECT {_ID} AS id, source AS user_id, CASE WHEN doc_id = 5 THEN 'high' END AS priority, CASE WHEN doc_id = 5 THEN 'Changed.' ELSE text END AS content FROM documents")
 def update_merge_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = F.when(F.col("seq") == 5, lifecycle.merged(F.col("payload"), {"priority": "high", "agent_id": "xx"})).otherwise(F.col("payload"))
-    rows = _memories(spark, sf_dir).withColumn("payload", changed)
-    return rows.select("id", F.col("payload")["user_id"].alias("user_id"), F.col("payload")["priority"].alias("priority"), F.col("payload")["agent_id"].alias("agent"))
+    rows = lifecycle.update(_tables(spark, sf_dir), "rec-000000000005", "Changed.", {"priority": "high"}).memories
+    return rows.select("id", "user_id", F.col("payload")["priority"].alias("priority"), "content")
+
+
+@_register("update_embeds_anew", "SELECT " + ", ".join(f"{int(x)}::BIGINT AS v{i}" for i, x in enumerate(embed_text("Changed."))))
+def update_embeds_anew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lifecycle.update(_tables(spark, sf_dir), "rec-000000000005", "Changed.").memories.where("id = 'rec-000000000005'")
+    return rows.select(*(F.col("vector")[i].cast("long").alias(f"v{i}") for i in range(8)))
 
 
 @_register("delete_with_history", f"SELECT {_ID} AS id, 0::BIGINT AS seq, 'Added' AS event FROM documents UNION ALL SELECT {_ID}, 1, 'Deleted' FROM documents WHERE doc_id = 5")
@@ -393,6 +432,114 @@ def reset_scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.reset(_tables(spark, sf_dir), {"user_id": "src1"}, {"agent_id": "en"})[0].memories.select("id")
 
 
+@_register("reset_counts", "SELECT count(*) AS n FROM documents WHERE source = 'src1' AND lang = 'en'")
+def reset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(1).select(F.lit(lifecycle.reset(_tables(spark, sf_dir), {"user_id": "src1"}, {"agent_id": "en"})[1]).cast("long").alias("n"))
+
+
+@_register("count_memories", "SELECT count(*) AS n, least(count(*), 25) AS as_listed FROM documents WHERE source = 'src1'")
+def count_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, scope = _memories(spark, sf_dir), {"user_id": "src1"}
+    return spark.range(1).select(F.lit(lifecycle.count_memories(rows, scope, TODAY)).cast("long").alias("n"), F.lit(lifecycle.count_memories(rows, scope, TODAY, 25)).cast("long").alias("as_listed"))
+
+
+@_register("fetch_in_order", f"SELECT (row_number() OVER (ORDER BY doc_id DESC) - 1)::BIGINT AS pos, {_ID} AS id, text AS content FROM documents WHERE doc_id % 50 = 0")
+def fetch_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _memories(spark, sf_dir)
+    asked = [r["id"] for r in rows.where("seq % 50 = 0").select("id").orderBy(F.desc("id")).toLocalIterator()]
+    ids = spark.createDataFrame([*enumerate(asked), (len(asked), "rec-unknown")], "pos long, id string")
+    return lifecycle.fetch(rows, ids).select("pos", "id", "content")
+
+
+@_register("upsert_records", "SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE label::VARCHAR END AS label, round(CASE WHEN vec_id % 3 = 0 THEN embedding[1] + 1 ELSE embedding[1] END::DOUBLE, 4) AS first FROM embeddings")
+def upsert_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "vector", F.create_map(F.lit("label"), F.col("label").cast("string")).alias("payload"))
+    more = rows.where("id % 3 = 0").select("id", F.transform("vector", lambda x: (x + 1).cast("float")).alias("vector"), F.create_map(F.lit("label"), F.lit("new")).alias("payload"))
+    kept = lifecycle.upsert(promote(rows), more, len(_vector_of(spark, sf_dir, 0)))
+    return kept.select(F.col("id").cast("long").alias("id"), F.col("payload")["label"].alias("label"), F.round(F.col("vector")[0].cast("double"), 4).alias("first"))
+
+
+@_register("add_raw_messages", "SELECT text AS content, arg_min(role, conv_id * 1000000 + turn) AS role, min(conv_id * 1000000 + turn) AS seq FROM conversations WHERE trim(text) <> '' GROUP BY text")
+def add_raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.engine import Engine
+
+    engine = Engine(spark)
+    new = engine.add(_t(spark, sf_dir, "conversations"), {"user_id": "u"}, infer=False)
+    return new.join(engine.tables.history.select("id", "seq"), "id").select("content", F.col("payload")["role"].alias("role"), "seq")
+
+
+@_register("add_procedural", "SELECT 'Conversation:' || chr(10) || string_agg(upper(role[1]) || role[2:] || ': ' || text, chr(10) ORDER BY turn) AS content, 0 AS n_links FROM conversations GROUP BY conv_id")
+def add_procedural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.engine import Engine
+
+    engine, scope = Engine(spark), {"agent_id": "a", "memory_type": "procedural_memory"}
+    return engine.add(_t(spark, sf_dir, "conversations"), scope).select("content", F.lit(engine.tables.links.count()).cast("int").alias("n_links"))
+
+
+# Small functions
+
+
+@_register("fact_lines", r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(text, '\r?\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), '|') AS facts FROM documents")
+def fact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(text.facts_of_lines(F.col("text")), "|").alias("facts"))
+
+
+@_register("first_chars", "SELECT doc_id, md5(substr(text, 1, 4000)) AS hash FROM documents")
+def first_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(text.first_chars(F.col("text"))).alias("hash"))
+
+
+@_register("content_checks", r"SELECT doc_id, text IS NULL OR regexp_replace(text, '^\s+|\s+$', '', 'g') = '' OR strlen(text) > 1500 AS faulty FROM documents")
+def content_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", text.faulty(F.col("text"), 1500).alias("faulty"))
+
+
+@_register("metadata_bytes", "SELECT doc_id, strlen('user_id' || source || 'agent_id' || lang || 'content' || text) AS n FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
+def metadata_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _memories(spark, sf_dir).where("user_id IS NOT NULL AND agent_id IS NOT NULL AND content IS NOT NULL")
+    return rows.select(F.col("seq").alias("doc_id"), lifecycle.metadata_bytes(F.col("payload")).alias("n"))
+
+
+@_register("roles", "SELECT conv_id, turn, role IN ('system', 'user', 'assistant') AS known, upper(role) IN ('system', 'user', 'assistant') AS known_upper FROM conversations")
+def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", text.is_role(F.col("role")).alias("known"), text.is_role(F.upper("role")).alias("known_upper"))
+
+
+@_register("date_shapes", "SELECT o_orderkey, regexp_full_match(CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%d.%m.%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AS is_date FROM orders")
+def date_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "dd.MM.yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", text.is_date_shaped(day).alias("is_date"))
+
+
+@_register("auth_kinds", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'bearer' WHEN 1 THEN 'api_key' WHEN 2 THEN 'none' ELSE 'bearer' END AS kind FROM events")
+def auth_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headers = F.expr("CASE event_id % 4 WHEN 0 THEN map('Authorization', 'Bearer x') WHEN 1 THEN map('X-API-Key', 'k', 'authorization', 'Basic y') WHEN 2 THEN map('Accept', '*') ELSE map('x-api-key', 'k', 'AUTHORIZATION', 'Bearer z') END")
+    return _t(spark, sf_dir, "events").select("event_id", text.auth_kind(headers).alias("kind"))
+
+
+@_register("project_ids", "SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN 'owner' || c_custkey || '-' || 'repo' || c_custkey END AS project FROM customer")
+def project_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remote = F.expr("CASE c_custkey % 3 WHEN 0 THEN concat('git@host:owner', c_custkey, '/repo', c_custkey, '.git') WHEN 1 THEN concat('https://host/owner', c_custkey, '/repo', c_custkey) ELSE 'nothing' END")
+    return _t(spark, sf_dir, "customer").select("c_custkey", text.project_id(remote).alias("project"))
+
+
+@_register("state_keys", "SELECT c_custkey, substr(sha256(c_name || chr(0) || c_mktsegment), 1, 16) AS state FROM customer")
+def state_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "customer").select("c_custkey", text.state_key(F.col("c_name"), F.col("c_mktsegment")).alias("state"))
+
+
+@_register("parts_text", r"SELECT conv_id, turn, regexp_replace(' ' || text || chr(10) || role, '^\s+|\s+$', '', 'g') AS said FROM conversations")
+def parts_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda kind, x: F.struct(F.lit(kind).alias("type"), x.alias("text"))
+    parts = F.array(part("text", F.concat(F.lit(" "), F.col("text"))), part("image", F.lit("x")), part("text", F.col("role")))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", text.text_of_parts(parts).alias("said"))
+
+
+@_register("sigmoid_scores", "SELECT event_id, round((1 / (1 + exp(-(value / 100))))::FLOAT::DOUBLE, 5) AS score FROM events")
+def sigmoid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").select("event_id", F.round(ranking.sigmoid(F.col("value") / 100).cast("double"), 5).alias("score"))
+
+
 # Logs and streams
 
 
@@ -411,6 +558,19 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.windowed_counts(_t(spark, sf_dir, "events"))
 
 
+@_register(
+    "consolidation_due",
+    "WITH l AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events), g AS (SELECT user_id, sum(CASE WHEN b IS NULL OR b <> event_type THEN 1 ELSE 0 END)::BIGINT AS n_sessions FROM l GROUP BY user_id), "
+    "m AS (SELECT user_id, count(*) AS n_memories, min(ts) AS last_at FROM events WHERE event_id % 2 = 0 GROUP BY user_id) "
+    "SELECT g.user_id, n_sessions, coalesce(n_memories, 0) AS n_memories, n_sessions >= 5 AND coalesce(n_memories, 0) >= 20 AND (last_at IS NULL OR epoch(TIMESTAMP '2024-01-20 00:00:00') - floor(epoch(last_at)) >= 86400) AS due FROM g LEFT JOIN m USING (user_id)",
+)
+def consolidation_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _t(spark, sf_dir, "events")
+    half = events.where("event_id % 2 = 0")
+    gates = ingest.session_gate(events, "user_id", "event_type", "event_id")
+    return ingest.consolidation_due(gates, half, half.groupBy("user_id").agg(F.min("ts").alias("at")), "2024-01-20 00:00:00", "user_id")
+
+
 @_register("dates_of_seconds", "SELECT event_id, strftime(epoch_ms(epoch_ms(ts)), '%Y-%m-%d') AS day FROM events")
 def dates_of_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").select("event_id", text.date_of(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("day"))
@@ -426,3 +586,17 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["search"] = flagship
+
+
+@_register("search_batch")
+def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search for the first 60 characters of every conversation's first turn, over all turns as memories."""
+    from .plans.engine import Engine
+
+    c = _t(spark, sf_dir, "conversations").where("text <> ''")
+    payload = F.create_map(F.lit("user_id"), F.lit("u"), F.lit("agent_id"), F.col("role"), F.lit("content"), F.col("text"))
+    rows = promote(c.select(F.concat_ws("-", F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("id"), hash_embedding(F.col("text")).alias("vector"), payload.alias("payload")))
+    linked = entities.links(rows.withColumn("seq", F.lit(0).cast("long")))
+    asked = c.where("turn = 0").select(F.col("conv_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    found = Engine(spark, tables=lifecycle.Tables(rows, None, linked)).search_each(asked, 5, {"user_id": "u"}, TODAY)
+    return found.select("query_id", "rank", "id", "score")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import Config
+from ..errors import Config, DimensionMismatch, NotFound
+from ..operators import keyword, lifecycle
+from ..operators.knn import nearest
 from ..operators.lifecycle import Tables
 from ..schema import ENTITY_LINKS, HISTORY, MEMORIES, RECORDS, promote
 
@@ -47,15 +49,84 @@ class ParquetStore:
         self.spark.range(1).select(F.lit(version).alias("version")).write.mode("append").json(f"{self.path}/current")
 
 
-def load_json(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a JSON array; a missing or unreadable file is an empty store."""
+def _load_arrays(spark: SparkSession, path: str, schema: str, lenient: bool = False) -> DataFrame:
+    """Rows of a file, or a folder of files, that hold a JSON array each; a missing one has none. A bad file is an error, or with ``lenient`` left out."""
     if not _exists(spark, path):
-        return spark.createDataFrame([], MEMORIES)
-    return promote(spark.read.schema(RECORDS).option("multiLine", True).option("mode", "DROPMALFORMED").json(path).where("id IS NOT NULL"))
+        return spark.createDataFrame([], schema)
+    mode = "DROPMALFORMED" if lenient else "FAILFAST"
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", mode).option("recursiveFileLookup", True).json(path)
+    return rows
 
 
-def save_json(memories: DataFrame, path: str) -> None:
-    memories.select("id", "vector", "payload").write.mode("overwrite").json(path)
+def _save_arrays(df: DataFrame, path: str, key: str, files: int) -> None:
+    """``df`` as ``files`` files of a JSON array each, dealt by ``key``; an array is made in one task, so large tables need many files."""
+    dealt = df.select(F.pmod(F.xxhash64(key), F.lit(files)).cast("int").alias("file"), F.to_json(F.struct(*df.columns)).alias("row"))
+    arrays = dealt.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("row"), ",\n"), F.lit("]")).alias("value"))
+    arrays.write.mode("overwrite").partitionBy("file").text(path)
+
+
+def load_json(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
+    """Records of JSON arrays of {id, vector, payload}; a missing file is an empty store."""
+    return promote(_load_arrays(spark, path, RECORDS, lenient).where("id IS NOT NULL"))
+
+
+def save_json(memories: DataFrame, path: str, files: int = 1) -> None:
+    _save_arrays(memories.select("id", "vector", "payload"), path, "id", files)
+
+
+class JsonStore:
+    """The three tables as JSON arrays in a folder, links and history included."""
+
+    def __init__(self, spark: SparkSession, path: str, files: int = 1):
+        self.spark, self.path, self.files = spark, path.rstrip("/"), files
+
+    def load(self) -> Tables:
+        read = lambda name, schema: _load_arrays(self.spark, f"{self.path}/{name}", schema)
+        return Tables(load_json(self.spark, f"{self.path}/memories"), read("history", HISTORY), read("links", ENTITY_LINKS))
+
+    def save(self, tables: Tables) -> None:
+        save_json(tables.memories, f"{self.path}/memories", self.files)
+        _save_arrays(tables.history, f"{self.path}/history", "id", self.files)
+        _save_arrays(tables.links, f"{self.path}/links", "id", self.files)
+
+
+class MemoryStore:
+    """The protocol of a store over tables in the session: every operation reads or replaces them."""
+
+    def __init__(self, spark: SparkSession, dimension: int, memories: DataFrame | None = None):
+        self.spark, self.dimension = spark, dimension
+        self.memories = memories if memories is not None else spark.createDataFrame([], MEMORIES)
+
+    def insert(self, records: DataFrame) -> None:
+        self.memories = lifecycle.upsert(self.memories, records, self.dimension)
+
+    def search(self, query: list[float], k: int, metric: str = "l1", threshold: float | None = None, where: Column | None = None) -> DataFrame:
+        if len(query) != self.dimension:
+            raise DimensionMismatch(self.dimension, len(query))
+        return nearest(self.memories, query, k, metric, threshold, where)
+
+    def keyword_search(self, query: str, k: int) -> DataFrame:
+        return keyword.search(self.memories.select("id", "content"), query).orderBy("keyword_score", "id").limit(k)
+
+    def get(self, id_: str) -> DataFrame:
+        return lifecycle.get(self.memories, id_)
+
+    def update(self, records: DataFrame) -> None:
+        """Replaces known records; an unknown id is an error."""
+        unknown = records.join(self.memories, "id", "left_anti").select("id").first()
+        if unknown is not None:
+            raise NotFound(unknown["id"])
+        self.insert(records)
+
+    def delete(self, id_: str) -> None:
+        self.memories = self.memories.where(F.col("id") != id_)
+
+    def list(self, offset: int = 0, limit: int | None = None) -> DataFrame:
+        rows = self.memories.orderBy("id").offset(offset)
+        return rows if limit is None else rows.limit(limit)
+
+    def reset(self) -> None:
+        self.memories = self.memories.limit(0)
 
 
 def load_text_layout(rows: DataFrame) -> DataFrame:

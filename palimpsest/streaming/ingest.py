@@ -31,3 +31,11 @@ def session_gate(events: DataFrame, user: str, session: str, order: str, least:
     before = F.lag(session).over(Window.partitionBy(user).orderBy(order))
     changes = events.withColumn("_new", (before.isNull() | (F.col(session) != before)).cast("int"))
     return changes.groupBy(user).agg(F.sum("_new").alias("n_sessions")).withColumn("due", F.col("n_sessions") >= least)
+
+
+def consolidation_due(gates: DataFrame, memories: DataFrame, last: DataFrame, now: str, user: str, hours: int = 24, least: int = 20) -> DataFrame:
+    """user, n_sessions, n_memories, due: whether ``session_gate`` says so, the last consolidation (user, at) is ``hours`` ago or more, if there was one, and there are ``least`` memories."""
+    counted = memories.groupBy(user).agg(F.count("*").alias("n_memories"))
+    rows = gates.join(counted, user, "left").join(last, user, "left").withColumn("n_memories", F.coalesce("n_memories", F.lit(0)))
+    rested = F.col("at").isNull() | (F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col("at").cast("timestamp")) >= hours * 3600)
+    return rows.select(user, "n_sessions", "n_memories", (F.col("due") & rested & (F.col("n_memories") >= least)).alias("due"))

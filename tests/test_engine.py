@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.errors import Config, NotFound, Validation
+from palimpsest.errors import Config, DimensionMismatch, NotFound, Provider, Validation
+from palimpsest.functions.embed import Embedding
 from palimpsest.operators import keyword, lifecycle, ranking
 from palimpsest.operators.knn import nearest, window_size
 from palimpsest.plans.engine import Engine, Settings
@@ -72,6 +73,107 @@ def test_procedural_memory(spark):
     e = Engine(spark)
     e.add(said(spark, "step one"), {"agent_id": "a", "memory_type": "procedural_memory"})
     assert e.tables.memories.first()["content"] == "Conversation:\nUser: step one"
+    e.summarise = lambda x: F.when(~x.contains("nothing"), F.concat(F.lit("Done by Ada Brandt: "), F.length(x).cast("string"))).otherwise("")
+    for n in (2, 3):  # neither compared with what is known nor linked
+        assert e.add(said(spark, "step one"), {"agent_id": "a", "memory_type": "procedural_memory"}).first()["content"] == "Done by Ada Brandt: 28"
+        assert e.tables.memories.count() == n and e.tables.links.count() == 0
+    assert e.tables.memories.select("id").distinct().count() == 3
+    with pytest.raises(Validation):
+        e.add(said(spark, "nothing"), {"agent_id": "a", "memory_type": "procedural_memory"})
+
+
+def test_ids_stay_apart(spark):
+    e, scope = Engine(spark), {"user_id": "u"}
+    first = e.add(said(spark, "Tea is hot."), scope).first()["id"]
+    e.update(first, "Tea is cold.")
+    second = e.add(said(spark, "Tea is hot."), scope).first()["id"]
+    e.update(second, "Tea is gone.")
+    third = e.add(said(spark, "Tea is hot."), scope).first()["id"]
+    assert len({first, second, third}) == 3 and e.tables.memories.count() == 3
+    assert lifecycle.history(e.tables, first).count() == 1
+
+
+def test_providers_serve_records_and_queries(spark):
+    embedding = Embedding(lambda t: [float(len(t)), 0.0], lambda c: F.array(F.length(c).cast("float"), F.lit(0).cast("float")), 2)
+    with pytest.raises(Config):
+        Engine(spark, embedding=embedding)
+    e = Engine(spark, Settings(dimension=2), embedding=embedding, extract=lambda c: F.split(c, ";"))
+    e.add(said(spark, "aa;bbbb"), {"user_id": "u"})
+    assert {tuple(r["vector"]) for r in e.tables.memories.collect()} == {(2.0, 0.0), (4.0, 0.0)}
+    assert e.search("zzzz", 1, {"user_id": "u"}, TODAY).first()["payload"]["content"] == "bbbb"
+    raw = e.add(spark.createDataFrame([(0, 0, "assistant", "hello", [b"x"]), (0, 1, "user", "hi", [])], "conv_id long, turn long, role string, text string, images array<binary>").drop("images"), {"user_id": "v"}, infer=False)
+    assert {(r["content"], r["payload"]["role"]) for r in raw.collect()} == {("hello", "assistant"), ("hi", "user")}
+    pictured = spark.createDataFrame([(0, 0, "user", "see", [b"x"]), (0, 1, "user", "plain", [])], "conv_id long, turn long, role string, text string, images array<binary>")
+    with pytest.raises(Provider):
+        e.add(pictured, {"user_id": "w"}, infer=False)
+    e.describe = lambda images: F.concat(F.lit("images: "), F.size(images).cast("string"))
+    assert {r["content"] for r in e.add(pictured, {"user_id": "w"}, infer=False).collect()} == {"images: 1", "plain"}
+
+
+def test_store_operations(spark):
+    store = snapshots.MemoryStore(spark, 2)
+    rows = lambda *r: spark.createDataFrame(r, "id string, vector array<float>, payload map<string,string>")
+    store.insert(rows(("a", [1.0, 0.0], {"content": "red tea"}), ("b", [0.0, 1.0], {"content": "blue sea"})))
+    store.insert(rows(("b", [3.0, 1.0], {"content": "green sea"})))
+    assert [(r["id"], r["content"]) for r in store.list().collect()] == [("a", "red tea"), ("b", "green sea")]
+    assert [r["id"] for r in store.search([3.0, 1.0], 1).collect()] == ["b"] and [r["id"] for r in store.keyword_search("tea", 5).collect()] == ["a"]
+    for bad in (rows(("c", [1.0], {})), rows(("c", None, {}))):
+        with pytest.raises(DimensionMismatch):
+            store.insert(bad)
+    with pytest.raises(DimensionMismatch):
+        store.search([1.0], 1)
+    with pytest.raises(NotFound):
+        store.update(rows(("zz", [1.0, 1.0], {})))
+    store.update(rows(("a", [9.0, 9.0], {"content": "tea"})))
+    assert store.get("a").first()["vector"] == [9.0, 9.0]
+    store.delete("a")
+    assert [r["id"] for r in store.list().collect()] == ["b"]
+    store.reset()
+    assert store.list().count() == 0
+
+
+def test_batch_search_is_each_search(spark):
+    e, scope = Engine(spark), {"user_id": "u"}
+    e.add(said(spark, *(f"Ada Brandt keeps {n} in the {p}" for n in ("tea", "milk", "bread") for p in ("kitchen", "cellar")), "Ove Lind sleeps", "tea tea milk"), scope, infer=False)
+    e.add(said(spark, "old tea"), scope, infer=False, metadata={"expiration_date": "2020-01-01"})
+    asked = [(1, "where is the tea"), (2, "Ada Brandt"), (3, "zzz"), (4, "Ove Lind and milk")]
+    got = e.search_each(spark.createDataFrame(asked, "query_id int, query string"), 4, scope, TODAY).collect()
+    for i, q in asked:
+        own = [(r["id"], r["score"]) for r in sorted((r for r in got if r["query_id"] == i), key=lambda r: r["rank"])]
+        want = [(r["id"], r["score"]) for r in e.search(q, 4, scope, TODAY).collect()]
+        assert [x for x, _ in own] == [x for x, _ in want] and [x for _, x in own] == pytest.approx([x for _, x in want])
+
+
+def test_search_against_brute_force(spark, sf):
+    """The flagship's steps in plain Python over all rows of the smallest tables."""
+    import math
+    import re
+
+    from palimpsest import queries
+    from palimpsest.functions.embed import embed_text
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en' AND text <> ''").select("doc_id", "text").collect()
+    every = [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").where("text <> ''").select("text").collect()]
+    query = "licensed under the general public license"
+    tokens = lambda t: [x for x in re.split(r"[\W_]+", t.lower()) if x]
+    qv, terms = embed_text(query), list(dict.fromkeys(tokens(query)))
+    near = sorted((sum(abs(a - b) for a, b in zip(embed_text(r["text"]), qv, strict=True)), r["doc_id"]) for r in docs)[:500]
+    bags = [tokens(t) for t in every]
+    average, df = sum(map(len, bags)) / len(bags), {t: sum(t in b for b in bags) for t in terms}
+
+    def bm25(b):
+        idf = {t: x if (x := math.log((len(bags) - df[t] + 0.5) / (df[t] + 0.5))) > 0 else 1e-6 for t in terms}
+        return -sum(idf[t] * b.count(t) * 2.2 / (b.count(t) + 1.2 * (0.25 + 0.75 * len(b) / average)) for t in terms)
+
+    hits = dict(sorted(((r["doc_id"], bm25(b)) for r in docs if set(b := tokens(r["text"])) & set(terms)), key=lambda x: (x[1], x[0]))[:500])
+    unit = lambda x, lo, hi: (x - lo) / (hi - lo) if hi > lo else 0.0
+    scores = {i: (unit(d, near[0][0], near[-1][0]) + (unit(hits[i], min(hits.values()), max(hits.values())) if i in hits else 1.0)) / 2 for d, i in near}
+    best = sorted(scores, key=lambda i: (scores[i], i))[:10]
+    bag = {r["doc_id"]: set(tokens(r["text"])) for r in docs}
+    top = [scores[i] for i in best]
+    final = sorted(((unit(scores[i], top[0], top[-1]) + 1 - len(bag[i] & set(terms)) / len(terms)) / 2, i) for i in best)
+    got = [(r["score"], int(r["id"][4:])) for r in queries.flagship(spark, sf).collect()]
+    assert [i for _, i in got] == [i for _, i in final] and [s for s, _ in got] == pytest.approx([s for s, _ in final], abs=1e-5)
 
 
 def test_store_contract(spark):
@@ -108,8 +210,19 @@ def test_snapshots(spark, tmp_path):
     store.save(store.load())
     again = store.load()
     assert again.memories.first()["content"] == "Bob Smith lives here." and again.links.count() == 1
-    snapshots.save_json(e.tables.memories, f"file://{tmp_path}/json")
-    assert snapshots.load_json(spark, f"file://{tmp_path}/json").first()["user_id"] == "u"
+    e.add(said(spark, *(f"fact {i}" for i in range(40))), {"user_id": "u"}, infer=False)
+    for files in (1, 5):
+        json = snapshots.JsonStore(spark, f"file://{tmp_path}/json{files}", files)
+        assert json.load().memories.count() == 0
+        json.save(e.tables)
+        back = json.load()
+        key = lambda r: r["id"]
+        assert sorted(back.memories.collect(), key=key) == sorted(e.tables.memories.collect(), key=key) and back.memories.count() == 41
+        assert back.history.count() == 41 and back.links.count() == 1
+    (tmp_path / "bad.json").write_text('[{"id": "a", ')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        snapshots.load_json(spark, f"file://{tmp_path}/bad.json").collect()
+    assert snapshots.load_json(spark, f"file://{tmp_path}/bad.json", lenient=True).count() == 0
     assert snapshots.load_json(spark, f"file://{tmp_path}/none").count() == 0
     out = snapshots.export_history(e.tables.history).first()
     (tmp_path / "history.json").write_text(f'{{"{out["id"]}": {out["entries"]}}}')

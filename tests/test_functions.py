@@ -72,19 +72,20 @@ def test_number_display():
 
 
 ENTITIES = [
-    ("Alice met Bob Smith at the conference.", [("proper", "Bob Smith")]),
-    ("The weather was nice today.", []),
-    ("New York is large. Golden Gate is a bridge.", [("proper", "New York"), ("proper", "Golden Gate")]),
-    ("New York. Golden Gate is a bridge.", [("proper", "New York"), ("proper", "Golden Gate")]),
-    ('She said "hello world" to everyone.', [("quoted", "hello world")]),
-    ('He said "ok" and left.', []),
-    ("He said 'ok' and left.", []),
-    ("Alice's report was thorough.", []),
-    ("I don't think that's right.", []),
-    ("the term 'quantum entanglement' appears in the paper.", [("quoted", "quantum entanglement")]),
-    ("'opening quote' starts the sentence.", [("quoted", "opening quote")]),
-    ("the sentence ends with 'a closing quote'", [("quoted", "a closing quote")]),
-    ("She loves the phrase 'café résumé' a lot.", [("quoted", "café résumé")]),
+    ("yesterday Marta Vogel repaired the pump.", [("proper", "Marta Vogel")]),
+    ("nobody came to the harbour.", []),
+    ("Red Harbour lies north. Stone Mill stands south.", [("proper", "Red Harbour"), ("proper", "Stone Mill")]),
+    ("we left Red Harbour! Stone Mill burnt", [("proper", "Red Harbour"), ("proper", "Stone Mill")]),
+    ("(Anna) Lind, Ove Berg", [("proper", "Anna Lind Ove Berg")]),
+    ("one Word, then 3D Tools", []),
+    ('the sign read "mind the step" in red.', [("quoted", "mind the step")]),
+    ('they wrote "no" on it.', []),
+    ("they wrote 'no' on it.", []),
+    ("the miller's wheel wasn't the baker's.", []),
+    ("a word like 'slow cooking' comes up often.", [("quoted", "slow cooking")]),
+    ("'first things' come first.", [("quoted", "first things")]),
+    ("it closes with 'the very last'", [("quoted", "the very last")]),
+    ("on the card: 'crème brûlée', twice.", [("quoted", "crème brûlée")]),
     ("", []),
 ]
 
@@ -115,3 +116,11 @@ def test_facts_and_embedding(spark):
     assert row[5] is None and row[6] == "owner-name" and len(row[7]) == 16
     with pytest.raises(Provider):
         embed_text("")
+
+
+def test_small_functions(spark):
+    row = spark.range(1).select(
+        text.facts_of_lines(F.lit(" a \r\n\n b")), text.first_chars(F.lit("é" * 5000)), text.is_date_shaped(F.lit("2024-1-01")), text.is_role(F.lit("user")), text.auth_kind(F.create_map(F.lit("X-Api-Key"), F.lit("k"))),
+        text.text_of_parts(F.array(F.struct(F.lit("text").alias("type"), F.lit("a ").alias("text")))), *(text.faulty(F.lit(t), 3) for t in (None, " \u2003", "abc", "abcd", "éé")),
+    ).first()
+    assert list(row) == [["a", "b"], "é" * 4000, False, True, "api_key", "a", True, True, False, True, True]
