@@ -495,3 +495,35 @@ def test_prefix_entries_never_miss_a_pair():
                 token = s.astype(np.uint64)
                 found.append(set(jaccard_join.prefix_signatures(np.zeros(len(s), int), token, np.array([0, len(s)]), np.array([level[int(t)] for t in s], np.int8), a, b, ks)[2].tolist()))
             assert found[0] & found[1] or set(x.tolist()) == set(y.tolist())
+
+
+def test_next_documents_of_uneven_ids(spark, monkeypatch):
+    """Every row's next one and even ranges, with ids far off the others, null ids and repeated ones."""
+    import random
+
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 4)
+    r = random.Random(7)
+    ids = [*range(300), 10**15, -(10**17), (1 << 62) + 5, *[None] * 80, 7, 7]
+    rows = [(i, f"text {k} " + "x" * r.randint(0, 9)) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tie", F.xxhash64("text"))
+    ties = {x["text"]: x["tie"] for x in docs.collect()}
+    order = [t for i, t in sorted(rows, key=lambda x: (math.inf if x[0] is None else -x[0], ties[x[1]]))]
+    want = dict(zip(order, order[1:] + order[:1], strict=True))
+    found = fingerprints.with_next(docs)
+    got = found.withColumn("next", F.lead("text").over(fingerprints.order())).where("NOT extra").collect()
+    assert {x["text"]: x["next"] for x in got} == want
+    sizes = Counter((x["range"], x["part"]) for x in got)
+    assert max(sizes.values()) <= 16 and len(sizes) > 50
+
+
+def test_likeness_against_exact_shares(spark):
+    """Shares of 0, a quarter, a half and three quarters, ten pairs each; and texts of repeated runs."""
+    word = lambda x, n: " ".join(f"{x}{i}" for i in range(n))
+    rows = [(k, share, "\n".join([word(f"s{k}_", 400 * share // 4), word(f"a{k}_", 400 - 100 * share)]), "\n".join([word(f"s{k}_", 400 * share // 4), word(f"b{k}_", 400 - 100 * share)])) for k in range(10) for share in range(4)]
+    rows += [(99, 9, "one two three " * 300, "one two three " * 290 + word("z", 30))]
+    f = fingerprints
+    out = spark.createDataFrame(rows, "k int, share int, a string, b string").select("share", f.likeness(f.fingerprint(F.col("a")), f.fingerprint(F.col("b"))).alias("x")).collect()
+    for share in range(4):
+        errors = [x["x"] - share / 4 for x in out if x["share"] == share]
+        assert abs(sum(errors)) / 10 < 0.12 and math.sqrt(sum(e * e for e in errors) / 10) < 0.3 * (1 - share / 4) + 0.03
+    assert next(x["x"] for x in out if x["share"] == 9) > 0.8
