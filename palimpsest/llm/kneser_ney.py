@@ -9,7 +9,9 @@ gets a line for each shard.
 
 from __future__ import annotations
 
+import mmap
 import os
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,6 +29,10 @@ HELD_KEYS = 4_000_000
 OUT_ROWS = 250_000
 
 
+#: A map holds no file open where Python can leave that out, so the number of shards has no limit of open files.
+_UNTRACKED = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+
+
 class Arrays:
     """Sorted int64 keys with columns of int64 values, in shards that follow each other in key order."""
 
@@ -47,7 +53,9 @@ class Arrays:
 
         if i not in self._maps:
             number, _, n = self.shards[i]
-            self._maps[i] = np.memmap(f"{self.path}/{number}", np.int64, "r", shape=(self.columns + 1, n))
+            with open(f"{self.path}/{number}", "rb") as file:
+                whole = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, **_UNTRACKED)
+            self._maps[i] = np.frombuffer(whole, np.int64).reshape(self.columns + 1, n)
         return self._maps[i]
 
     def find(self, keys):
