@@ -562,13 +562,13 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     "consolidation_due",
     "WITH l AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events), g AS (SELECT user_id, sum(CASE WHEN b IS NULL OR b <> event_type THEN 1 ELSE 0 END)::BIGINT AS n_sessions FROM l GROUP BY user_id), "
     "m AS (SELECT user_id, count(*) AS n_memories, min(ts) AS last_at FROM events WHERE event_id % 2 = 0 GROUP BY user_id) "
-    "SELECT g.user_id, n_sessions, coalesce(n_memories, 0) AS n_memories, n_sessions >= 5 AND coalesce(n_memories, 0) >= 20 AND (last_at IS NULL OR epoch(TIMESTAMP '2024-01-20 00:00:00') - floor(epoch(last_at)) >= 86400) AS due FROM g LEFT JOIN m USING (user_id)",
+    "SELECT g.user_id, n_sessions, coalesce(n_memories, 0) AS n_memories, n_sessions >= 5 AND coalesce(n_memories, 0) >= 34 AND (last_at IS NULL OR epoch(TIMESTAMP '2024-01-20 00:00:00') - floor(epoch(last_at)) >= 86400) AS due FROM g LEFT JOIN m USING (user_id)",
 )
 def consolidation_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _t(spark, sf_dir, "events")
     half = events.where("event_id % 2 = 0")
     gates = ingest.session_gate(events, "user_id", "event_type", "event_id")
-    return ingest.consolidation_due(gates, half, half.groupBy("user_id").agg(F.min("ts").alias("at")), "2024-01-20 00:00:00", "user_id")
+    return ingest.consolidation_due(gates, half, half.groupBy("user_id").agg(F.min("ts").alias("at")), "2024-01-20 00:00:00", "user_id", least=34)
 
 
 @_register("dates_of_seconds", "SELECT event_id, strftime(epoch_ms(epoch_ms(ts)), '%Y-%m-%d') AS day FROM events")
