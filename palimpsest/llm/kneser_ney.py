@@ -1,10 +1,11 @@
 """Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted arrays, mapped by the workers.
 
 Words go by a 64-bit hash; a word's number is its place in the sorted array of all training hashes, so a
-bigram is one exact 64-bit key of two numbers. Each array is cut by key into shards, files in the shared
-folder that executors map into memory; a shard is written by one task to a name of its own and then renamed, so a
-repeated task does no harm. Nothing of the vocabulary or the counts goes through the driver, which
-gets a line for each shard.
+bigram is one exact 64-bit key of two numbers. Each array is cut by key into shards and these into files of
+SHARD_ROWS keys at most, in the shared folder, which executors map into memory; a file is written by one task to a name
+of its own and then renamed, so a repeated task does no harm. A first word with more than a shard's part of all
+tokens has its bigrams cut by the second word too, so no shard grows with one word. Nothing of the vocabulary or the
+counts goes through the driver, which gets a line for each file, and the words that need such cuts, fewer than the shards.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,22 +25,27 @@ from . import _common as C
 
 #: The hash that stands for the end of a text.
 END = 0x5851F42D4C957F2D
+#: Keys of a file, which a writing task holds in memory.
 SHARD_ROWS = 1_000_000
+#: Bits of a file's number that tell the files of one shard apart.
+FILE_BITS = 24
+#: Files of one array that a worker holds mapped; a system bounds the maps of a process, often at 65,530.
+MAX_MAPS = 8192
 #: Distinct keys that a counting task holds before it passes them on.
 HELD_KEYS = 4_000_000
 OUT_ROWS = 250_000
 
 
-#: A map holds no file open where Python can leave that out, so the number of shards has no limit of open files.
+#: A map holds no file open where Python can leave that out, so the number of files has no limit of open files.
 _UNTRACKED = {"trackfd": False} if sys.version_info >= (3, 13) else {}
 
 
 class Arrays:
-    """Sorted int64 keys with columns of int64 values, in shards that follow each other in key order."""
+    """Sorted int64 keys with columns of int64 values, in files that follow each other in key order."""
 
-    def __init__(self, path: str, columns: int, shards: list[tuple[int, int, int]]):
-        #: shards: number, first key, rows
-        self.path, self.columns, self.shards = path, columns, sorted(shards)
+    def __init__(self, path: str, columns: int, files: list[tuple[int, int, int]]):
+        #: files: number, first key, rows; numbers rise with the keys
+        self.path, self.columns, self.files = path, columns, sorted(files)
         self._maps: dict[int, object] = {}
 
     def __getstate__(self):
@@ -46,35 +53,42 @@ class Arrays:
 
     @property
     def rows(self) -> int:
-        return sum(n for _, _, n in self.shards)
+        return sum(n for _, _, n in self.files)
 
-    def _map(self, i: int):
+    @cached_property
+    def _bounds(self):
+        """The first key of each file, and how many rows lie before it."""
+        import numpy as np
+
+        rows = np.array([n for _, _, n in self.files], np.int64)
+        return np.array([first for _, first, _ in self.files], np.int64), np.cumsum(rows) - rows
+
+    def part(self, i: int):
+        """(rows before it, keys and columns) of the i-th file."""
         import numpy as np
 
         if i not in self._maps:
-            number, _, n = self.shards[i]
+            number, _, n = self.files[i]
             with open(f"{self.path}/{number}", "rb") as file:
                 whole = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, **_UNTRACKED)
+            if len(self._maps) >= MAX_MAPS:
+                del self._maps[next(iter(self._maps))]
             self._maps[i] = np.frombuffer(whole, np.int64).reshape(self.columns + 1, n)
-        return self._maps[i]
+        return self._bounds[1][i], self._maps[i]
 
     def find(self, keys):
         """(place in the whole array or -1, values or 0) of each of ``keys``, which are sorted."""
         import numpy as np
 
         place, values = np.full(len(keys), -1, np.int64), np.zeros((self.columns, len(keys)), np.int64)
-        firsts = np.array([first for _, first, _ in self.shards], np.int64)
-        bounds = np.append(np.searchsorted(keys, firsts), len(keys))
-        offset = 0
-        for i, (_, _, n) in enumerate(self.shards):
+        bounds = np.append(np.searchsorted(keys, self._bounds[0]), len(keys))
+        for i in np.flatnonzero(bounds[1:] > bounds[:-1]):
             lo, hi = bounds[i], bounds[i + 1]
-            if hi > lo:
-                held = self._map(i)
-                at = np.minimum(np.searchsorted(held[0], keys[lo:hi]), n - 1)
-                hit = held[0][at] == keys[lo:hi]
-                place[lo:hi] = np.where(hit, at + offset, -1)
-                values[:, lo:hi] = np.where(hit, held[1:, at], 0)
-            offset += n
+            before, held = self.part(i)
+            at = np.minimum(np.searchsorted(held[0], keys[lo:hi]), held.shape[1] - 1)
+            hit = held[0][at] == keys[lo:hi]
+            place[lo:hi] = np.where(hit, at + before, -1)
+            values[:, lo:hi] = np.where(hit, held[1:, at], 0)
         return place, values
 
     def look_up(self, keys):
@@ -86,11 +100,12 @@ class Arrays:
         return place[back], values[:, back]
 
 
-def write_arrays(df: DataFrame, path: str, columns: list[str], extra=None, extra_schema: str = "") -> tuple[list[tuple[int, int, int]], DataFrame | None]:
-    """Writes ``df`` (shard, key, ``columns``) as Arrays, rows of one key summed, and returns the shards.
+def write_arrays(df: DataFrame, path: str, columns: list[str], extra=None) -> tuple[list[tuple[int, int, int]], DataFrame | None]:
+    """Writes ``df`` (shard, key, ``columns``) as Arrays, rows of one key summed, and returns the files.
 
-    ``shard`` must not fall as ``key`` rises. ``extra(keys, values)`` may give record batches of further
-    rows; these and the shards come back as one table that is written beside the arrays.
+    ``shard`` must not fall as ``key`` rises. A file's number is its shard's, then its place in the shard; files are cut after
+    SHARD_ROWS keys whatever batches the rows come in, so a repeated task writes the same ones. ``extra(keys, values)`` may give
+    record batches of further rows; these and the files come back as one table that is written beside the arrays.
     """
     import numpy as np
     import pyarrow as pa
@@ -100,30 +115,36 @@ def write_arrays(df: DataFrame, path: str, columns: list[str], extra=None, extra
     names = list(columns)
 
     def write(batches: Iterator) -> Iterator:
-        open_shard, parts, last = None, [], None
+        open_shard, piece, parts, held, last = None, 0, [], 0, None
 
         def flush(block):
-            nonlocal open_shard, parts
+            nonlocal open_shard, piece, held
             shards, keys = block[0], block[1]
-            for number in np.unique(shards):
-                if number != open_shard:
+            edges = np.append(np.flatnonzero(np.diff(shards, prepend=shards[:1] - 1)), len(shards))
+            for at, to in zip(edges[:-1], edges[1:], strict=True):
+                if shards[at] != open_shard:
                     yield from close()
-                    open_shard = number
-                at = shards == number
-                parts.append(np.ascontiguousarray(block[1:, at]))
+                    open_shard, piece = shards[at], 0
+                while at < to:
+                    n = min(SHARD_ROWS - held, to - at)
+                    parts.append(np.ascontiguousarray(block[1:, at : at + n]))
+                    at, held = at + n, held + n
+                    if held == SHARD_ROWS:
+                        yield from close()
             if extra is not None and len(keys):
                 yield from (("x", x) for x in extra(keys, block[2:]))
 
         def close():
-            nonlocal parts
+            nonlocal parts, held, piece
             if parts:
                 whole = np.concatenate(parts, axis=1)
+                number = int(open_shard) << FILE_BITS | piece
                 name = f"{where}/{uuid.uuid4().hex}.tmp"
                 with open(name, "wb") as out:
                     out.write(whole.tobytes())
-                os.replace(name, f"{where}/{int(open_shard)}")
-                yield "s", (int(open_shard), int(whole[0, 0]), whole.shape[1])
-                parts = []
+                os.replace(name, f"{where}/{number}")
+                yield "s", (number, int(whole[0, 0]), whole.shape[1])
+                parts, held, piece = [], 0, piece + 1
 
         def steps():
             nonlocal last
@@ -152,7 +173,7 @@ def write_arrays(df: DataFrame, path: str, columns: list[str], extra=None, extra
     done = df.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(write, "kind long, id long, a long, b long")
     if extra is None:
         return [(r["id"], r["a"], r["b"]) for r in done.collect()], None
-    # Sums go by kind and id at once; a shard's line is the only one of its kind and id.
+    # Sums go by kind and id at once; a file's line is the only one of its kind and id.
     table = done.groupBy("kind", "id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     table.write.parquet(f"{path}-extra")
     table = spark.read.schema(table.schema).parquet(f"{path}-extra")
@@ -265,10 +286,51 @@ class Model:
         C.remove(self.path)
 
 
-def _shard_of(key, span: int, rows: int):
-    """A number that rises with a key of 0 to span - 1, for shards of SHARD_ROWS rows of ``rows`` on average."""
-    n = max(1, -(-rows // SHARD_ROWS)) * 2
-    return F.floor(key.cast("double") * n / max(span, 1)).cast("long")
+def _shards(spark: SparkSession, rows: int) -> int:
+    """Shards for about ``rows`` keys: half a file each, but some for each task of a shuffle."""
+    return max(-(-rows // SHARD_ROWS) * 2, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _shard_of(key, span: int, shards: int):
+    """A number that rises with a key of 0 to span - 1."""
+    return F.floor(key.cast("double") * shards / max(span, 1)).cast("long")
+
+
+def _heavy(spark: SparkSession, vocabulary: Arrays, shards: int) -> tuple[int, list[tuple[int, int]]]:
+    """All tokens, and (number, count) of each first word with more than one of so many parts of them, which are fewer than ``shards``."""
+
+    def per_file(rows_of, schema: str) -> DataFrame:
+        def read(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for b in batches:
+                for i in b["id"].to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows_of(*vocabulary.part(i))], [c.split()[0] for c in schema.split(", ")])
+
+        files = len(vocabulary.files)
+        return spark.range(0, files, 1, max(1, min(files, spark.sparkContext.defaultParallelism))).mapInArrow(read, schema)
+
+    tokens = per_file(lambda _, held: (held[1].sum(keepdims=True),), "n long").agg(F.sum("n")).first()[0] or 0
+
+    def above(before, held):
+        import numpy as np
+
+        at = np.flatnonzero(held[1] > tokens // shards)
+        # The end of a text is never a first word; its start, which occurs as often, is.
+        return np.where(held[0][at] == END, vocabulary.rows, at + before), held[1][at]
+
+    return tokens, [(r["id"], r["n"]) for r in per_file(above, "id long, n long").collect()]
+
+
+def _cuts(span: int, shards: int, tokens: int, heavy: list[tuple[int, int]]):
+    """Sorted bigram keys at which shards begin: equal ranges of first words, and within a heavy one as many ranges of second words as its share of the tokens asks for."""
+    import numpy as np
+
+    cuts = [np.arange(1, shards, dtype=np.int64) * span // shards << 32]
+    for number, count in heavy:
+        parts = -(-count * shards // tokens)
+        cuts.append(np.append((number << 32) + np.arange(parts, dtype=np.int64) * span // parts, (number + 1) << 32))
+    return np.unique(np.concatenate(cuts))
 
 
 def train(docs: DataFrame) -> Model:
@@ -283,9 +345,12 @@ def train(docs: DataFrame) -> Model:
         return _counted(_tokens(as_bytes(b["text"]))[0] for b in C.text_blocks(batches))
 
     words = texts.mapInArrow(unigrams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    shards, _ = write_arrays(words.select(F.shiftright("key", 57).alias("shard"), "key", "n"), f"{path}/words", ["n"])
-    vocabulary = Arrays(C.local_path(f"{path}/words"), 1, shards)
+    bits = _shards(spark, 0).bit_length()
+    files, _ = write_arrays(words.select(F.shiftright("key", 64 - bits).alias("shard"), "key", "n"), f"{path}/words", ["n"])
+    vocabulary = Arrays(C.local_path(f"{path}/words"), 1, files)
     size = vocabulary.rows
+    shards = _shards(spark, 20 * size)
+    cuts = _cuts(size + 1, shards, *_heavy(spark, vocabulary, shards))
 
     def bigrams(batches: Iterator) -> Iterator:
         from ._tokens import as_bytes
@@ -300,7 +365,11 @@ def train(docs: DataFrame) -> Model:
                 previous[starts] = size
                 yield previous << 32 | word
 
-        return _counted(keys())
+        import numpy as np
+        import pyarrow as pa
+
+        for b in _counted(keys()):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.searchsorted(cuts, b["key"].to_numpy(), "right"))], ["key", "n", "shard"])
 
     def sums(keys, values):
         """Rows (kind, id, a, b): 10 to 13 of a first word, 20 of a second, 30 of how often a bigram occurs."""
@@ -315,12 +384,10 @@ def train(docs: DataFrame) -> Model:
         for kind, ids, a in rows:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind)), pa.array(ids), pa.array(a.astype(np.int64)), pa.array(np.zeros(len(ids), np.int64))], ["kind", "id", "a", "b"])
 
-    pairs = texts.mapInArrow(bigrams, "key long, n long")
-    sharded = pairs.select(_shard_of(F.shiftright("key", 32), size + 1, 20 * size).alias("shard"), "key", "n")
-    shards, extra = write_arrays(sharded, f"{path}/bigrams", ["n"], sums, "kind long, id long, a long, b long")
-    model = Model(C.local_path(path), vocabulary, Arrays(C.local_path(f"{path}/bigrams"), 1, shards), None, None, 0)
+    files, extra = write_arrays(texts.mapInArrow(bigrams, "key long, n long, shard long"), f"{path}/bigrams", ["n"], sums)
+    model = Model(C.local_path(path), vocabulary, Arrays(C.local_path(f"{path}/bigrams"), 1, files), None, None, 0)
 
-    shard = _shard_of(F.col("id"), size + 1, size).alias("shard")
+    shard = _shard_of(F.col("id"), size + 1, _shards(spark, size)).alias("shard")
     by_first = extra.where("kind BETWEEN 10 AND 13").select(shard, F.col("id").alias("key"), *(F.when(F.col("kind") == 10 + i, F.col("a")).otherwise(0).alias(f"v{i}") for i in range(4)))
     model.contexts = Arrays(C.local_path(f"{path}/contexts"), 4, write_arrays(by_first, f"{path}/contexts", [f"v{i}" for i in range(4)])[0])
     by_second = extra.where("kind = 20")
@@ -332,6 +399,7 @@ def train(docs: DataFrame) -> Model:
     model.types = sum(counts.values())
     model.discounts, model.low_discounts = _discounts(counts), _discounts(low)
     model.low_types = (low.get(1, 0), low.get(2, 0), sum(n for c, n in low.items() if c > 2))
+    C.remove(f"{path}/bigrams-extra")  # all of it is in the arrays and sums
     return model
 
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,6 +273,31 @@ def test_language_model(spark, odd, empty):
     model.delete()
 
 
+def test_language_model_is_cut_evenly(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"the w{(i * 37 + j) % 900}" for j in range(60))) for i in range(60)], "doc_id long, text string")
+    scores = lambda model: {r["doc_id"]: tuple(r) for r in kneser_ney.score(docs, model, "doc_id").collect()}
+    whole = scores(kneser_ney.train(docs))
+    monkeypatch.setattr(kneser_ney, "SHARD_ROWS", 50)
+    monkeypatch.setattr(kneser_ney, "MAX_MAPS", 2)
+    model = kneser_ney.train(docs)
+    assert scores(model) == whole
+    assert max(n for a in (model.words, model.bigrams, model.contexts, model.followers) for *_, n in a.files) <= 50
+    the = model.words.look_up(kneser_ney._tokens([b"the"])[0])[0][0]
+    keys = [model.bigrams.part(i)[1][0] for i in range(len(model.bigrams.files))]
+    assert all((k[1:] > k[:-1]).all() and (a[-1] < b[0]) for k, a, b in zip(keys, keys, keys[1:], strict=False))
+    assert sum((k >> 32 == the).any() for k in keys) >= 100  # its 900 bigrams lie in many shards
+    assert len(model.bigrams._maps) <= 2 and model.bigrams.rows == sum(map(len, keys))
+    # A shard of many keys is written in files of bounded size, and a repeated task writes the same ones.
+    rows = spark.range(1000).select(F.lit(3).cast("long").alias("shard"), F.col("id").alias("key"), F.lit(1).cast("long").alias("n"))
+    path = kneser_ney.C.new_path(spark, "cut")
+    files = kneser_ney.write_arrays(rows.unionByName(rows.where("key < 500")).repartition(5), path, ["n"])[0]
+    assert [n for *_, n in sorted(files)] == [50] * 20
+    assert sorted(files) == sorted(kneser_ney.write_arrays(rows.unionByName(rows.where("key < 500")), path, ["n"])[0])
+    place, (n,) = kneser_ney.Arrays(path, 1, files).look_up(np.array([999, 0, 499, 500, 1000]))
+    assert place.tolist() == [999, 0, 499, 500, -1] and n.tolist() == [1, 2, 2, 1, 0]
+    model.delete()
+
+
 def test_mixing(spark, sf, odd, empty, monkeypatch):
     out = mixing.plan(odd).collect()
     assert len(out) == len(rows_of()) and mixing.plan(empty).count() == 0
