@@ -19,7 +19,7 @@ from . import _common as C
 
 #: Hexadecimal digits by which the hashes are told apart at first, and more at each step.
 FIRST_DIGITS, MORE_DIGITS = 3, 2
-#: Rows that number themselves together within a shard.
+#: Rows that number themselves together within a shard, and rows of one id and text that one step writes.
 SLOT_ROWS = 20_000
 
 #: A run of groups: the hash prefix that they share, how many, their bytes, and the bytes of the largest.
@@ -144,8 +144,16 @@ def shard(docs: DataFrame, n_shards: int = 24) -> DataFrame:
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    numbered = placed.withColumn("place", F.row_number().over(Window.partitionBy("shard", "part").orderBy(F.col("doc_id").asc_nulls_last(), "digest")))
-    return numbered.join(offsets, ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("place") - 1).cast("long").alias("slot"))
+    # Rows of one id and text are alike, so they are counted, numbered as a run, and told apart again at the end.
+    runs = placed.groupBy("shard", "part", "doc_id", "digest", "size", "text_crc32").agg(F.count("*").alias("n"))
+    up_to = Window.partitionBy("shard", "part").orderBy(F.col("doc_id").asc_nulls_last(), "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed_runs = runs.withColumn("first", F.sum("n").over(up_to) - F.col("n")).join(offsets, ["shard", "part"])
+    runs = scratch.keep(placed_runs.select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("first")).alias("first"), "n"), "runs")
+    long = F.col("n") > SLOT_ROWS
+    pieces = runs.where(long).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SLOT_ROWS).cast("long"))))
+    pieces = pieces.withColumn("first", F.col("first") + F.col("at")).withColumn("n", F.least(F.col("n") - F.col("at"), F.lit(SLOT_ROWS))).drop("at").repartition("shard", "first")
+    slots = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot")
+    return runs.where(~long).unionByName(pieces).select("doc_id", "size", "text_crc32", "shard", slots)
 
 
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

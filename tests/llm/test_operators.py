@@ -116,6 +116,17 @@ def test_shards(odd, empty):
     assert sharding.shard(empty, 24).count() == 0
 
 
+def test_shards_of_rows_that_repeat(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 7)
+    docs = spark.createDataFrame([(None, "same")] * 40 + [(5, "same")] * 9 + [(None, None)] * 3 + [(i, f"text {i % 11}") for i in range(50)], "doc_id long, text string")
+    out = sharding.shard(docs, 4)
+    rows = out.collect()
+    assert Counter((r["doc_id"], r["size"]) for r in rows) == Counter((i, len(t or "") + 8) for i, t in docs.collect())
+    for k in range(4):
+        assert sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(sum(r["shard"] == k for r in rows)))
+    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, sharding.shard(docs.repartition(5, F.rand(1)), 4).collect()), key=repr)
+
+
 def test_shard_plans_match_brute_force():
     import random
 
