@@ -1,11 +1,15 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted arrays, mapped by the workers.
+"""Interpolated modified Kneser-Ney model of order 2 or 3: counted in Spark, kept as sorted arrays, mapped by the workers.
 
 Words go by a 64-bit hash; a word's number is its place in the sorted array of all training hashes, so a
 bigram is one exact 64-bit key of two numbers. Each array is cut by key into shards and these into files of
 SHARD_ROWS keys at most, in the shared folder, which executors map into memory; a file is written by one task to a name
 of its own and then renamed, so a repeated task does no harm. A first word with more than a shard's part of all
 tokens has its bigrams cut by the second word too, so no shard grows with one word. Nothing of the vocabulary or the
-counts goes through the driver, which gets a line for each file, and the words that need such cuts, fewer than the shards.
+counts goes through the driver, which gets a line for each file, and the cuts, a few for each shard.
+
+Order 3 keeps the trigrams that occur twice or more. Both bigrams of such a one occur twice too, so only those are counted,
+and none is missed. What trigrams that occur once would hold of a context goes to the bigrams under it, which keep their
+own counts: the counts by different predecessors, which Kneser-Ney takes there, would need all trigrams.
 """
 
 from __future__ import annotations
@@ -41,7 +45,7 @@ _UNTRACKED = {"trackfd": False} if sys.version_info >= (3, 13) else {}
 
 
 class Arrays:
-    """Sorted int64 keys with columns of int64 values, in files that follow each other in key order."""
+    """Sorted int64 keys with columns of values from 0 up, in files that follow each other in key order. A file holds its keys, then its values as wide as its greatest one needs."""
 
     def __init__(self, path: str, columns: int, files: list[tuple[int, int, int]]):
         #: files: number, first key, rows; numbers rise with the keys
@@ -64,7 +68,7 @@ class Arrays:
         return np.array([first for _, first, _ in self.files], np.int64), np.cumsum(rows) - rows
 
     def part(self, i: int):
-        """(rows before it, keys and columns) of the i-th file."""
+        """(rows before it, (keys, columns)) of the i-th file."""
         import numpy as np
 
         if i not in self._maps:
@@ -73,7 +77,8 @@ class Arrays:
                 whole = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, **_UNTRACKED)
             if len(self._maps) >= MAX_MAPS:
                 del self._maps[next(iter(self._maps))]
-            self._maps[i] = np.frombuffer(whole, np.int64).reshape(self.columns + 1, n)
+            wide = (len(whole) - 8 * n) // (n * self.columns)
+            self._maps[i] = np.frombuffer(whole, np.int64, n), np.frombuffer(whole, f"u{wide}", offset=8 * n).reshape(self.columns, n)
         return self._bounds[1][i], self._maps[i]
 
     def find(self, keys):
@@ -84,11 +89,11 @@ class Arrays:
         bounds = np.append(np.searchsorted(keys, self._bounds[0]), len(keys))
         for i in np.flatnonzero(bounds[1:] > bounds[:-1]):
             lo, hi = bounds[i], bounds[i + 1]
-            before, held = self.part(i)
-            at = np.minimum(np.searchsorted(held[0], keys[lo:hi]), held.shape[1] - 1)
-            hit = held[0][at] == keys[lo:hi]
+            before, (own, held) = self.part(i)
+            at = np.minimum(np.searchsorted(own, keys[lo:hi]), len(own) - 1)
+            hit = own[at] == keys[lo:hi]
             place[lo:hi] = np.where(hit, at + before, -1)
-            values[:, lo:hi] = np.where(hit, held[1:, at], 0)
+            values[:, lo:hi] = np.where(hit, held[:, at], 0)
         return place, values
 
     def look_up(self, keys):
@@ -100,8 +105,8 @@ class Arrays:
         return place[back], values[:, back]
 
 
-def write_arrays(df: DataFrame, path: str, columns: list[str], extra=None) -> tuple[list[tuple[int, int, int]], DataFrame | None]:
-    """Writes ``df`` (shard, key, ``columns``) as Arrays, rows of one key summed, and returns the files.
+def write_arrays(df: DataFrame, path: str, columns: list[str], extra=None, least: int = 0) -> tuple[list[tuple[int, int, int]], DataFrame | None]:
+    """Writes ``df`` (shard, key, ``columns``) as Arrays, rows of one key summed, those with ``least`` in the first column, and returns the files.
 
     ``shard`` must not fall as ``key`` rises. A file's number is its shard's, then its place in the shard; files are cut after
     SHARD_ROWS keys whatever batches the rows come in, so a repeated task writes the same ones. ``extra(keys, values)`` may give
@@ -119,6 +124,7 @@ def write_arrays(df: DataFrame, path: str, columns: list[str], extra=None) -> tu
 
         def flush(block):
             nonlocal open_shard, piece, held
+            block = block[:, block[2] >= least] if least else block
             shards, keys = block[0], block[1]
             edges = np.append(np.flatnonzero(np.diff(shards, prepend=shards[:1] - 1)), len(shards))
             for at, to in zip(edges[:-1], edges[1:], strict=True):
@@ -140,8 +146,10 @@ def write_arrays(df: DataFrame, path: str, columns: list[str], extra=None) -> tu
                 whole = np.concatenate(parts, axis=1)
                 number = int(open_shard) << FILE_BITS | piece
                 name = f"{where}/{uuid.uuid4().hex}.tmp"
+                top = int(whole[1:].max())
                 with open(name, "wb") as out:
-                    out.write(whole.tobytes())
+                    out.write(whole[0].tobytes())
+                    out.write(whole[1:].astype(next(t for t in ("u1", "u2", "u4", "u8") if top <= np.iinfo(t).max)).tobytes())
                 os.replace(name, f"{where}/{number}")
                 yield "s", (number, int(whole[0, 0]), whole.shape[1])
                 parts, held, piece = [], 0, piece + 1
@@ -250,19 +258,36 @@ class Model:
     discounts: tuple = ()
     low_discounts: tuple = ()
     low_types: tuple = field(default=(0, 0, 0))
+    #: Of order 3: place of the first bigram * span + number of the third word -> count; place -> count of its trigrams, how many occur twice, more often.
+    trigrams: Arrays | None = None
+    pairs: Arrays | None = None
+    top_discounts: tuple = ()
 
     @property
     def start(self) -> int:
         return self.words.rows
 
-    def score(self, texts: list[bytes]):
-        """n_tokens, n_known, base_score, score of each text."""
+    def bigrams_of(self, texts: list[bytes]):
+        """(numbers of tokens, their counts, numbers of the tokens before, places of the bigrams, their counts, text of each token, where texts start); -1 and 0 for what is unknown."""
         import numpy as np
 
         hashes, doc, starts = _tokens(texts)
         word, (count,) = self.words.look_up(hashes)
         previous = np.concatenate(([0], word[:-1]))
         previous[starts] = self.start
+        both = (word >= 0) & (previous >= 0)
+        place, (n,) = self.bigrams.look_up(np.where(both, previous << 32 | np.maximum(word, 0), -1))
+        return word, count, previous, place, n, doc, starts
+
+    @property
+    def span(self) -> int:
+        return self.words.rows + 1
+
+    def score(self, texts: list[bytes]):
+        """n_tokens, n_known, base_score, score of each text."""
+        import numpy as np
+
+        word, count, previous, place, n, doc, starts = self.bigrams_of(texts)
         total = lambda x: np.bincount(doc, x, len(texts))
         base = np.log10((count + 1) / (self.tokens + self.words.rows + 1))
 
@@ -274,11 +299,16 @@ class Model:
 
         d = np.array([0.0, *self.discounts])
         _, (seen, once, twice, more) = self.contexts.look_up(previous)
-        both = (word >= 0) & (previous >= 0)
-        _, (pairs,) = self.bigrams.look_up(np.where(both, previous << 32 | np.maximum(word, 0), -1))
         left = (d[1] * once + d[2] * twice + d[3] * more) / np.maximum(seen, 1)
-        high = np.maximum(pairs - d[np.minimum(pairs, 3)], 0) / np.maximum(seen, 1)
+        high = np.maximum(n - d[np.minimum(n, 3)], 0) / np.maximum(seen, 1)
         p = np.where(seen > 0, high + left * low, low)
+        if self.trigrams is not None:
+            d = np.array([0.0, *self.top_discounts])
+            context, all_ = np.concatenate(([-1], place[:-1])), np.maximum(np.concatenate(([0], n[:-1])), 1)
+            context[starts] = -1
+            _, (held, twice, more) = self.pairs.look_up(context)
+            _, (n,) = self.trigrams.look_up(np.where((held > 0) & (word >= 0), context * self.span + word, -1))
+            p = (n - d[np.minimum(n, 3)]) / all_ + (1 - (held - d[2] * twice - d[3] * more) / all_) * p
         return total(np.ones(len(doc))).astype(np.int64), total(count > 0).astype(np.int64), total(base), total(np.log10(p))
 
     def delete(self) -> None:
@@ -296,30 +326,33 @@ def _shard_of(key, span: int, shards: int):
     return F.floor(key.cast("double") * shards / max(span, 1)).cast("long")
 
 
-def _heavy(spark: SparkSession, vocabulary: Arrays, shards: int) -> tuple[int, list[tuple[int, int]]]:
-    """All tokens, and (number, count) of each first word with more than one of so many parts of them, which are fewer than ``shards``."""
+def _per_file(spark: SparkSession, arrays: Arrays, rows_of, schema: str) -> DataFrame:
+    """The rows, as arrays of longs, that ``rows_of(i, rows before, keys, columns)`` gives for each file."""
 
-    def per_file(rows_of, schema: str) -> DataFrame:
-        def read(batches: Iterator) -> Iterator:
-            import pyarrow as pa
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-            for b in batches:
-                for i in b["id"].to_pylist():
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows_of(*vocabulary.part(i))], [c.split()[0] for c in schema.split(", ")])
+        for b in batches:
+            for i in b["id"].to_pylist():
+                before, (keys, held) = arrays.part(i)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows_of(i, before, keys, held.astype("int64"))], [c.split()[0] for c in schema.split(", ")])
 
-        files = len(vocabulary.files)
-        return spark.range(0, files, 1, max(1, min(files, spark.sparkContext.defaultParallelism))).mapInArrow(read, schema)
+    files = len(arrays.files)
+    return spark.range(0, files, 1, max(1, min(files, spark.sparkContext.defaultParallelism))).mapInArrow(read, schema)
 
-    tokens = per_file(lambda _, held: (held[1].sum(keepdims=True),), "n long").agg(F.sum("n")).first()[0] or 0
 
-    def above(before, held):
+def _heavy(spark: SparkSession, vocabulary: Arrays, shards: int) -> tuple[int, list[tuple[int, int]]]:
+    """All tokens, and (number, count) of each first word with more than one of so many parts of them, which are fewer than ``shards``."""
+    tokens = _per_file(spark, vocabulary, lambda _, before, keys, held: (held[0].sum(keepdims=True),), "n long").agg(F.sum("n")).first()[0] or 0
+
+    def above(_, before, keys, held):
         import numpy as np
 
-        at = np.flatnonzero(held[1] > tokens // shards)
+        at = np.flatnonzero(held[0] > tokens // shards)
         # The end of a text is never a first word; its start, which occurs as often, is.
-        return np.where(held[0][at] == END, vocabulary.rows, at + before), held[1][at]
+        return np.where(keys[at] == END, vocabulary.rows, at + before), held[0][at]
 
-    return tokens, [(r["id"], r["n"]) for r in per_file(above, "id long, n long").collect()]
+    return tokens, [(r["id"], r["n"]) for r in _per_file(spark, vocabulary, above, "id long, n long").collect()]
 
 
 def _cuts(span: int, shards: int, tokens: int, heavy: list[tuple[int, int]]):
@@ -333,8 +366,85 @@ def _cuts(span: int, shards: int, tokens: int, heavy: list[tuple[int, int]]):
     return np.unique(np.concatenate(cuts))
 
 
-def train(docs: DataFrame) -> Model:
+def _trigram_cuts(spark: SparkSession, model: Model):
+    """Sorted trigram keys at which shards begin: after equal parts of the tokens that follow bigrams which occur twice, and within one with more than a part of them, at as many ranges of third words."""
+    import numpy as np
+
+    end = int(model.words.look_up(np.array([END]))[0][0])
+
+    def weights(keys, held):
+        return np.where((held[0] > 1) & (keys & 0xFFFFFFFF != end), held[0], 0)
+
+    sums = _per_file(spark, model.bigrams, lambda i, _, keys, held: (np.array([i]), weights(keys, held).sum(keepdims=True)), "i long, n long")
+    n = np.zeros(len(model.bigrams.files) + 1, np.int64)
+    for r in sums.collect():  # a line for each file
+        n[r["i"] + 1] = r["n"]
+    before, tokens = np.cumsum(n), int(n.sum())
+    part = max(1, tokens // _shards(spark, tokens))
+
+    def cuts(i, rows, keys, held):
+        w = weights(keys, held)
+        reached = (before[i] + np.cumsum(w)) // part
+        at = rows + np.flatnonzero(np.diff(reached, prepend=before[i] // part))
+        heavy = np.flatnonzero(w > part)
+        within = [(rows + b) * model.span + np.arange(k, dtype=np.int64) * model.span // k for b, k in zip(heavy.tolist(), (-(-w[heavy] // part)).tolist(), strict=True)]
+        return (np.concatenate([(at + 1) * model.span, *within]),)
+
+    return np.array(sorted({r["key"] for r in _per_file(spark, model.bigrams, cuts, "key long").collect()}), np.int64)
+
+
+def _add_trigrams(model: Model, path: str, texts: DataFrame) -> None:
+    """Counts the trigrams of ``texts`` that occur twice or more into ``model``."""
+    import numpy as np
+
+    spark = texts.sparkSession
+    if model.bigrams.rows * model.span >= 2**63:
+        raise ValueError("bigrams times words pass a 64-bit key: train with order=2")
+    cuts = _trigram_cuts(spark, model)
+
+    def trigrams(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        from ._tokens import as_bytes
+
+        def keys():
+            for b in C.text_blocks(batches):
+                word, _, _, place, n, _, starts = model.bigrams_of(as_bytes(b["text"]))
+                again = n > 1
+                again[1:] &= n[:-1] > 1
+                again[starts] = False
+                at = np.flatnonzero(again)
+                yield place[at - 1] * model.span + word[at]
+
+        for b in _counted(keys()):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.searchsorted(cuts, b["key"].to_numpy(), "right"))], ["key", "n", "shard"])
+
+    def sums(keys, values):
+        """Rows (kind, id, a, b): 10 of a bigram, its trigrams' count and how many occur twice and, times 2**32, more often; 30 of how often a trigram occurs."""
+        import pyarrow as pa
+
+        first, n = keys // model.span, values[0]
+        new = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
+        often, times = np.unique(np.minimum(n, 5), return_counts=True)
+        for kind, ids, a, b in ((10, first[new], np.add.reduceat(n, new), np.add.reduceat(np.where(n == 2, 1, 1 << 32), new)), (30, often, times, np.zeros_like(times))):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind)), pa.array(ids), pa.array(a), pa.array(b)], ["kind", "id", "a", "b"])
+
+    files, extra = write_arrays(texts.mapInArrow(trigrams, "key long, n long, shard long"), f"{path}/trigrams", ["n"], sums, least=2)
+    by_pair = extra.where("kind = 10")
+    shard = _shard_of(F.col("id"), model.bigrams.rows, _shards(spark, by_pair.count())).alias("shard")
+    split = by_pair.select(shard, F.col("id").alias("key"), F.col("a").alias("n"), F.col("b").bitwiseAND((1 << 32) - 1).alias("twice"), F.shiftright("b", 32).alias("more"))
+    pairs = Arrays(C.local_path(f"{path}/pairs"), 3, write_arrays(split, f"{path}/pairs", ["n", "twice", "more"])[0])
+    counts = {r["id"]: r["a"] for r in extra.where("kind = 30").collect()}  # four rows at most
+    known, n_texts = by_pair.agg(F.sum("a")).first()[0] or 0, int(model.words.look_up(np.array([END]))[1][0][0])
+    counts[1] = model.tokens - n_texts - known  # every token but a text's first ends a trigram
+    model.trigrams, model.pairs, model.top_discounts = Arrays(C.local_path(f"{path}/trigrams"), 1, files), pairs, _discounts(counts)
+    C.remove(f"{path}/trigrams-extra")
+
+
+def train(docs: DataFrame, order: int = 2) -> Model:
     """A model of the texts of ``docs`` (text; other columns are ignored). A null text counts as empty: it has an end only. Of an empty table, every word is unknown."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
     path = C.new_path(spark, "ngrams")
     texts = docs.select("text")
@@ -400,6 +510,8 @@ def train(docs: DataFrame) -> Model:
     model.discounts, model.low_discounts = _discounts(counts), _discounts(low)
     model.low_types = (low.get(1, 0), low.get(2, 0), sum(n for c, n in low.items() if c > 2))
     C.remove(f"{path}/bigrams-extra")  # all of it is in the arrays and sums
+    if order == 3:
+        _add_trigrams(model, path, texts)
     return model
 
 
@@ -426,7 +538,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """log10 probability of every document under a bigram model of those whose crc32 of the id leaves other than 2 modulo 7."""
+    """log10 probability of every document under a trigram model of those whose crc32 of the id leaves other than 2 modulo 7."""
     docs = C.table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string"), (C.crc32_text(F.col("doc_id")) % 7 == 2).alias("held_out"))
-    model = train(docs.where(~F.col("held_out")))
+    model = train(docs.where(~F.col("held_out")), order=3)
     return score(docs, model, "doc_id", "held_out").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -246,16 +246,13 @@ def test_quality_classifier(spark, sf, odd, empty):
     assert quality_classifier.score(docs, nothing).where("score BETWEEN 0 AND 1").count() == docs.count()
 
 
-def test_language_model(spark, odd, empty):
-    docs = odd.where("doc_id IS NOT NULL")
-    model = kneser_ney.train(docs)
-    out = kneser_ney.score(odd, model, "doc_id", "text").collect()
-    tokens = [words(t) + [None] for i, t, *_ in rows_of() if i is not None]
+def by_counting(tokens):
+    """Counts of words and of bigrams, and a function that gives the bigram model's probability of a word after another."""
     uni, bi = Counter(), Counter()
     for s in tokens:
         uni.update(s)
         bi.update(zip(["<s>", *s[:-1]], s, strict=True))
-    n, v, types = sum(uni.values()), len(uni), len(bi)
+    v, types = len(uni), len(bi)
     cont = Counter(w for _, w in bi)
     d, low_d = kneser_ney._discounts(Counter(bi.values())), kneser_ney._discounts(Counter(cont.values()))
     spread = sum(x * sum(min(c, 3) == k for c in cont.values()) for k, x in enumerate(low_d, 1)) / types
@@ -272,6 +269,15 @@ def test_language_model(spark, odd, empty):
         seen, c = ctx[u], bi.get((u, w), 0)
         return (c - d[min(c, 3) - 1] if c else 0) / seen[0] + sum(x * k for x, k in zip(d, seen[1:], strict=True)) / seen[0] * low
 
+    return uni, bi, p
+
+
+def test_language_model(spark, odd, empty):
+    docs = odd.where("doc_id IS NOT NULL")
+    model = kneser_ney.train(docs)
+    out = kneser_ney.score(odd, model, "doc_id", "text").collect()
+    uni, _, p = by_counting([words(t) + [None] for i, t, *_ in rows_of() if i is not None])
+    n, v = sum(uni.values()), len(uni)
     assert model.tokens == n
     for r in out:
         s = words(r["text"]) + [None]
@@ -284,6 +290,41 @@ def test_language_model(spark, odd, empty):
     model.delete()
 
 
+def test_trigrams(spark, odd, empty, monkeypatch):
+    """Order 3 against counts in a dictionary, over the pruned trigrams and the bigram model."""
+    texts = [f"the cat {('sat', 'ran', 'sat', 'hid')[i % 4]} on the {('mat', 'red mat', 'mat')[i % 3]} and w{i} the cat sat" for i in range(40)] + ["", None, "one", "the cat", "the cat sat on"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(kneser_ney, "SHARD_ROWS", 7)
+    model = kneser_ney.train(docs, order=3)
+    uni, bi, low = by_counting([words(t) + [None] for t in texts])
+    tri = Counter()
+    for t in texts:
+        s = ["<s>", *words(t), None]
+        tri.update(zip(s, s[1:], s[2:], strict=False))
+    d = (0, *kneser_ney._discounts(Counter(tri.values())))
+    kept = {k: n for k, n in tri.items() if n > 1}
+    assert model.top_discounts == pytest.approx(d[1:]) and model.trigrams.rows == len(kept)
+
+    def p(u, v, w):
+        if not bi.get((u, v)):
+            return low(v, w)
+        used = sum(n - d[min(n, 3)] for k, n in kept.items() if k[:2] == (u, v))
+        n = kept.get((u, v, w), 0)
+        return (n - d[min(n, 3)]) / bi[u, v] + (1 - used / bi[u, v]) * low(v, w)
+
+    for t in ["the cat sat on the mat", "the cat flew on the red mat and w3 the", "on the moon", "", "zzz zzz zzz", *texts]:
+        s = ["<s>", *words(t), None]
+        want = math.log10(low(*s[:2])) + sum(math.log10(p(*s[i - 2 : i + 1])) for i in range(2, len(s)))
+        assert model.score([(t or "").encode()])[3][0] == pytest.approx(want)
+    for u, v in (("<s>", b"the"), (b"the", b"cat"), (b"on", b"the"), (b"cat", b"sat"), (b"w3", b"mat")):
+        assert sum(p(u, v, w) for w in (*uni, "unheard of")) == pytest.approx(1)
+    assert {r["doc_id"]: r["score"] for r in kneser_ney.score(docs, model, "doc_id").collect()} == pytest.approx({r["doc_id"]: r["score"] for r in kneser_ney.score(docs.repartition(1), kneser_ney.train(docs.repartition(1), order=3), "doc_id").collect()})
+    untrained = kneser_ney.train(empty, order=3)
+    assert kneser_ney.score(odd, untrained, "doc_id").where("score <= 0").count() == odd.count()
+    with pytest.raises(ValueError):
+        kneser_ney.train(docs, order=4)
+
+
 def test_language_model_is_cut_evenly(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(f"the w{(i * 37 + j) % 900}" for j in range(60))) for i in range(60)], "doc_id long, text string")
     scores = lambda model: {r["doc_id"]: tuple(r) for r in kneser_ney.score(docs, model, "doc_id").collect()}
