@@ -482,23 +482,26 @@ def train(docs: DataFrame, order: int = 2) -> Model:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.searchsorted(cuts, b["key"].to_numpy(), "right"))], ["key", "n", "shard"])
 
     def sums(keys, values):
-        """Rows (kind, id, a, b): 10 to 13 of a first word, 20 of a second, 30 of how often a bigram occurs."""
+        """Rows (kind, id, a, b): 10 of a first word, its count and seconds counted once, 11 those counted twice and more often, 20 of a second, 30 of how often a bigram occurs."""
         import numpy as np
         import pyarrow as pa
 
         first, n = keys >> 32, values[0]
         new = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
-        rows = [(10 + i, first[new], np.add.reduceat(x.astype(np.int64), new)) for i, x in enumerate((n, n == 1, n == 2, n > 2))]
-        rows.append((20, *np.unique(keys & 0xFFFFFFFF, return_counts=True)))
-        rows.append((30, *np.unique(np.minimum(n, 5), return_counts=True)))
-        for kind, ids, a in rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind)), pa.array(ids), pa.array(a.astype(np.int64)), pa.array(np.zeros(len(ids), np.int64))], ["kind", "id", "a", "b"])
+        by_first = [np.add.reduceat(x.astype(np.int64), new) for x in (n, n == 1, n == 2, n > 2)]
+        rows = [(10, first[new], *by_first[:2])]
+        several = (by_first[2] > 0) | (by_first[3] > 0)
+        rows.append((11, first[new][several], by_first[2][several], by_first[3][several]))
+        rows += [(kind, *np.unique(x, return_counts=True), None) for kind, x in ((20, keys & 0xFFFFFFFF), (30, np.minimum(n, 5)))]
+        for kind, ids, a, b in rows:
+            b = np.zeros(len(ids), np.int64) if b is None else b
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind)), pa.array(ids), pa.array(a.astype(np.int64)), pa.array(b)], ["kind", "id", "a", "b"])
 
     files, extra = write_arrays(texts.mapInArrow(bigrams, "key long, n long, shard long"), f"{path}/bigrams", ["n"], sums)
     model = Model(C.local_path(path), vocabulary, Arrays(C.local_path(f"{path}/bigrams"), 1, files), None, None, 0)
 
     shard = _shard_of(F.col("id"), size + 1, _shards(spark, size)).alias("shard")
-    by_first = extra.where("kind BETWEEN 10 AND 13").select(shard, F.col("id").alias("key"), *(F.when(F.col("kind") == 10 + i, F.col("a")).otherwise(0).alias(f"v{i}") for i in range(4)))
+    by_first = extra.where("kind IN (10, 11)").select(shard, F.col("id").alias("key"), *(F.when(F.col("kind") == 10 + i // 2, F.col("ab"[i % 2])).otherwise(0).alias(f"v{i}") for i in range(4)))
     model.contexts = Arrays(C.local_path(f"{path}/contexts"), 4, write_arrays(by_first, f"{path}/contexts", [f"v{i}" for i in range(4)])[0])
     by_second = extra.where("kind = 20")
     model.followers = Arrays(C.local_path(f"{path}/followers"), 1, write_arrays(by_second.select(shard, F.col("id").alias("key"), F.col("a").alias("v")), f"{path}/followers", ["v"])[0])
@@ -538,7 +541,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """log10 probability of every document under a trigram model of those whose crc32 of the id leaves other than 2 modulo 7."""
+    """log10 probability of every document under a bigram model of those whose crc32 of the id leaves other than 2 modulo 7."""
     docs = C.table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string"), (C.crc32_text(F.col("doc_id")) % 7 == 2).alias("held_out"))
-    model = train(docs.where(~F.col("held_out")), order=3)
+    model = train(docs.where(~F.col("held_out")))
     return score(docs, model, "doc_id", "held_out").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
