@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fill_middle import OP12_SQL, op12_fill_middle
 from .fingerprints import op1_fingerprints
 from .jaccard_join import op3_ngram_jaccard_join
 from .kneser_ney import op6_language_model
@@ -24,6 +25,7 @@ _ALL = (
     op8_quality_rules,
     op9_sampled_pieces,
     op10_secret_scan,
+    op12_fill_middle,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL = {"op7_mix_sources": OP7_SQL, "op8_quality_rules": OP8_SQL}
+ORACLE_SQL = {"op7_mix_sources": OP7_SQL, "op8_quality_rules": OP8_SQL, "op12_fill_middle": OP12_SQL}
