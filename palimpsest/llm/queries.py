@@ -8,6 +8,7 @@ from .jaccard_join import op3_ngram_jaccard_join
 from .kneser_ney import op6_language_model
 from .license_scan import op4_license_scan
 from .mixing import OP7_SQL, op7_mix_sources
+from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .quality_classifier import op5_quality_classifier
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .sampled_pieces import op9_sampled_pieces
@@ -25,7 +26,8 @@ _ALL = (
     op8_quality_rules,
     op9_sampled_pieces,
     op10_secret_scan,
+    op11_prefix_trie,
     op12_fill_middle,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL = {"op7_mix_sources": OP7_SQL, "op8_quality_rules": OP8_SQL, "op12_fill_middle": OP12_SQL}
+ORACLE_SQL = {"op7_mix_sources": OP7_SQL, "op8_quality_rules": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op12_fill_middle": OP12_SQL}
