@@ -14,6 +14,7 @@ from .quality_rules import OP8_SQL, op8_quality_rules
 from .sampled_pieces import op9_sampled_pieces
 from .secret_scan import op10_secret_scan
 from .sharding import op2_shards
+from .substring_dedup import OP13_SQL, op13_substring_dedup
 
 _ALL = (
     op1_fingerprints,
@@ -28,6 +29,7 @@ _ALL = (
     op10_secret_scan,
     op11_prefix_trie,
     op12_fill_middle,
+    op13_substring_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL = {"op7_mix_sources": OP7_SQL, "op8_quality_rules": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op12_fill_middle": OP12_SQL}
+ORACLE_SQL = {"op7_mix_sources": OP7_SQL, "op8_quality_rules": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op12_fill_middle": OP12_SQL, "op13_substring_dedup": OP13_SQL}
