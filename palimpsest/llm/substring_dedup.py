@@ -25,7 +25,7 @@ from ._tokens import U, Words, _power_tables, as_bytes, mix
 #: Words of a window. Blocks have half of it, rounded up, which is the most for which every window holds a whole one.
 WIDTH = 20
 #: Text of a chunk, unless a single text is longer; of a range of documents; of what a bucket is asked about.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 3 << 20
 RANGE_BYTES = 32 << 20
 BUCKET_BYTES = 8 << 20
 #: Ranges at most; beyond that they grow, and chunks don't.
@@ -237,7 +237,7 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     cut = ranged.sortWithinPartitions(*order).mapInArrow(_cut, _CHUNKS)
     # Chunks keep their place: a table in buckets meets its replies without moving the texts again.
     scratch.paths.append(path := C.new_path(spark, "chunks"))
-    cut.write.format("parquet").option("path", path).option("compression", "zstd").option("parquet.block.size", 4 * CHUNK_BYTES).bucketBy(ranges, "part").saveAsTable(name)
+    cut.write.format("parquet").option("path", path).option("compression", "zstd").option("parquet.block.size", 16 << 20).bucketBy(ranges, "part").saveAsTable(name)
     chunks = spark.table(name)
 
     def ask_blocks(batches: Iterator) -> Iterator:
