@@ -1,4 +1,4 @@
-"""What can go wrong: an unknown record, a bad request, a bad configuration, a failing provider."""
+"""What can go wrong: an unknown record, a bad request, a bad configuration, a failing provider, a lost race."""
 
 
 class MemoryError_(Exception):
@@ -21,6 +21,10 @@ class Provider(MemoryError_):
     pass
 
 
+class Conflict(MemoryError_):
+    """Another writer changed what a change builds on."""
+
+
 class DimensionMismatch(Provider):
     def __init__(self, expected: int, found: int):
         super().__init__(f"vectors have {expected} numbers, this one {found}")

@@ -21,12 +21,47 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(t for t in regex.split(r"[^\p{Alphabetic}\p{N}]+", query.lower()) if t))
 
 
-def _weight(tf: Column, df: Column, n: Column, length: Column, average: Column) -> Column:
+def bm25_weight(tf: Column, df: Column, n: Column, length: Column, average: Column) -> Column:
     raw = F.ln((n - df + 0.5) / (df + 0.5))
     idf = F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
+#: Weight of a word in a cover. Fixed value.
+COVER_WEIGHT = 0.1
+
+
+def cover_density(entries: Column, n_terms: int) -> Column:
+    """Cover-density rank of a document from where the query's terms stand: array<struct<pos, term>>, ascending, terms numbered from 0.
+
+    A cover is a run of words that holds every term and no shorter such run. It counts COVER_WEIGHT over one more than the words in
+    it that aren't the query's, and the rank is the sum. A single sweep keeps the last place of each term: the least of these
+    starts the shortest run that ends here, and it is a new cover when it starts later than the one before.
+    """
+    start = F.struct(F.lit(0).alias("i"), F.array_repeat(F.lit(-1), n_terms).alias("last"), F.lit(-1).alias("low"), F.lit(0.0).alias("rank"))
+
+    def step(s: Column, e: Column) -> Column:
+        last = F.transform(s["last"], lambda x, t: F.when(t == e["term"], s["i"]).otherwise(x))
+        low = F.array_min(last)
+        noise = (e["pos"] - F.get(entries, low)["pos"]) - (s["i"] - low)
+        gain = F.when(low > s["low"], F.lit(COVER_WEIGHT) / (1 + noise)).otherwise(F.lit(0.0))
+        return F.struct((s["i"] + 1).alias("i"), last.alias("last"), F.greatest(s["low"], low).alias("low"), (s["rank"] + gain).alias("rank"))
+
+    return F.aggregate(entries, start, step, lambda s: s["rank"])
+
+
+def search_covers(docs: DataFrame, query: str, content: str = "content") -> DataFrame:
+    """``docs`` that hold every term of ``query`` with their negative cover-density rank in ``keyword_score``, by a scan. Words are tokens: neither stemmed nor left out as too common."""
+    terms = query_terms(query)
+    if not terms:
+        return docs.withColumn("keyword_score", F.lit(None).cast("double")).limit(0)
+    place = lambda x: F.array_position(F.array(*map(F.lit, terms)), x).cast("int") - 1
+    tokens = token_list(F.coalesce(F.col(content), F.lit("")))
+    entries = F.filter(F.transform(tokens, lambda x, i: F.struct(i.alias("pos"), place(x).alias("term"))), lambda e: e["term"] >= 0)
+    held = docs.withColumn("_entries", entries).where(F.size(F.array_distinct(F.transform("_entries", lambda e: e["term"]))) == len(terms))
+    return held.withColumn("keyword_score", -cover_density(F.col("_entries"), len(terms))).drop("_entries")
+
+
 def _is(term: str) -> Callable[[Column], Column]:
     return lambda x: x == term
 
@@ -45,7 +80,7 @@ def search(docs: DataFrame, query: str, content: str = "content", require_all: b
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_length").alias("_average"), F.array(*(F.count_if(F.col("_tf")[i] > 0) for i in range(len(terms)))).alias("_df"))
     hits = reduce(and_ if require_all else or_, (F.col("_tf")[i] > 0 for i in range(len(terms))))
     scored = counted.where(hits).crossJoin(F.broadcast(stats))  # one row
-    total = sum((_weight(F.col("_tf")[i], F.col("_df")[i], F.col("_n"), F.col("_length"), F.col("_average")) for i in range(len(terms))), F.lit(0.0))
+    total = sum((bm25_weight(F.col("_tf")[i], F.col("_df")[i], F.col("_n"), F.col("_length"), F.col("_average")) for i in range(len(terms))), F.lit(0.0))
     return scored.withColumn("keyword_score", -total).drop("_length", "_tf", "_n", "_average", "_df")
 
 
@@ -61,5 +96,5 @@ def search_each(index: DataFrame, queries: DataFrame, n_docs: int, average_lengt
     hits = index.join(asked.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     joined = hits.join(df, "term").join(asked, "term")
-    weight = _weight(F.col("tf"), F.col("df"), F.lit(n_docs), F.col("length"), F.lit(average_length))
+    weight = bm25_weight(F.col("tf"), F.col("df"), F.lit(n_docs), F.col("length"), F.lit(average_length))
     return joined.groupBy("query_id", "id").agg((-F.sum(weight)).alias("keyword_score"))

@@ -25,6 +25,18 @@ class Tables:
     links: DataFrame
 
 
+@dataclass
+class Change:
+    """What a change adds to a store: rows to put in place of those of their id, ids to drop, entries, links, entities whose links go; and the scope it was worked out on, if it took all of it into account."""
+
+    put: DataFrame | None = None
+    drop: DataFrame | None = None
+    history: DataFrame | None = None
+    links: DataFrame | None = None
+    unlink: DataFrame | None = None
+    scope: dict[str, str] | None = None
+
+
 def value_of(df: DataFrame):
     return lambda name: key(name, df.columns)
 
@@ -72,7 +84,14 @@ def add(tables: Tables, facts: DataFrame, scope: dict[str, str], metadata: dict[
 
 
 def added(tables: Tables, facts: DataFrame, scope: dict[str, str], metadata: dict[str, str] | None = None, max_bytes: int | None = None, max_metadata_bytes: int | None = None, embedding: Embedding | None = None, plain: bool = False) -> tuple[Tables, DataFrame]:
-    """``tables`` with ``facts`` (seq, content, role if they have one) under a scope, and the new rows: facts it doesn't have become memories with history and entity links.
+    """``tables`` with what ``addition`` says, and the new rows."""
+    change = addition(tables, facts, scope, metadata, max_bytes, max_metadata_bytes, embedding, plain)
+    linked = tables.links if change.links is None else tables.links.unionByName(change.links)
+    return Tables(tables.memories.unionByName(change.put), tables.history.unionByName(change.history), linked), change.put
+
+
+def addition(tables: Tables, facts: DataFrame, scope: dict[str, str], metadata: dict[str, str] | None = None, max_bytes: int | None = None, max_metadata_bytes: int | None = None, embedding: Embedding | None = None, plain: bool = False) -> Change:
+    """``facts`` (seq, content, role if they have one) under a scope: those it doesn't have become memories with history and entity links.
 
     A ``content`` in the scope stands for the text in the payload only. A ``plain`` fact is stored whether or not it is
     known, and has no links. An id is fixed by scope, content, place and how much has happened in the store so far, so that no
@@ -91,14 +110,13 @@ def added(tables: Tables, facts: DataFrame, scope: dict[str, str], metadata: dic
     made = F.create_map(*entries)
     if "role" in facts.columns and "role" not in payload:
         made = F.when(F.col("role").isNull(), made).otherwise(F.map_concat(made, F.create_map(F.lit("role"), F.col("role"))))
-    scope_id = "\0".join(f"{k}={scope[k]}" for k in sorted(scope)) + f"\0{tables.history.count()}"
+    happened = getattr(tables, "events", None)
+    scope_id = "\0".join(f"{k}={scope[k]}" for k in sorted(scope)) + f"\0{tables.history.count() if happened is None else happened}"
     id_ = F.concat(F.lit("rec-"), F.substring(F.sha2(F.concat(F.lit(scope_id), F.lit("\0"), F.col("seq").cast("string"), F.lit("\0"), F.col("content")), 256), 1, 24))
     records = fresh.select(id_.alias("id"), (embedding or Embedding()).of_column(F.col("content")).alias("vector"), made.alias("payload"), F.col("content").alias("_fact"), "seq")
-    memories = promote(records)
     log = records.select("id", F.col("seq").cast("bigint"), F.lit("Added").alias("event"), F.col("_fact").alias("content"))
     own = records.select(*(F.lit(scope.get(k)).cast("string").alias(k) for k in SCOPE_KEYS), "id", F.col("seq").cast("bigint"), F.col("_fact").alias("content"))
-    linked = tables.links if plain else tables.links.unionByName(links(own))
-    return Tables(tables.memories.unionByName(memories), tables.history.unionByName(log), linked), memories
+    return Change(put=promote(records), history=log, links=None if plain else links(own), scope=None if plain else {k: scope[k] for k in keys})
 
 
 def upsert(memories: DataFrame, records: DataFrame, dimension: int) -> DataFrame:
@@ -126,13 +144,26 @@ def merged(payload: Column, changes: dict[str, str]) -> Column:
     return F.map_concat(rest, F.create_map(*(F.lit(x) for kv in changes.items() for x in kv)))
 
 
-def update(tables: Tables, id_: str, content: str | None = None, metadata: dict[str, str] | None = None, embedding: Embedding | None = None) -> Tables:
-    """One memory with new content, embedded anew, or merged metadata. Scope keys can't change; history and links stay."""
+def _wanted(tables: Tables, id_: str, content: str | None, metadata: dict[str, str] | None) -> dict[str, str]:
     if set(metadata or {}) & set(SCOPE_KEYS):
         raise Validation("the scope of a memory can't change")
     if not tables.memories.where(F.col("id") == id_).limit(1).count():
         raise NotFound(id_)
-    changes = dict(metadata or {}) | ({"content": content} if content is not None else {})
+    return dict(metadata or {}) | ({"content": content} if content is not None else {})
+
+
+def updating(tables: Tables, id_: str, content: str | None = None, metadata: dict[str, str] | None = None, embedding: Embedding | None = None) -> Change:
+    """``update`` as the one row that changes."""
+    changes = _wanted(tables, id_, content, metadata)
+    if not changes:
+        return Change()
+    vector = F.col("vector") if content is None else (embedding or Embedding()).of_column(F.lit(content))
+    return Change(put=promote(tables.memories.where(F.col("id") == id_).select("id", vector.alias("vector"), merged(F.col("payload"), changes).alias("payload"))))
+
+
+def update(tables: Tables, id_: str, content: str | None = None, metadata: dict[str, str] | None = None, embedding: Embedding | None = None) -> Tables:
+    """One memory with new content, embedded anew, or merged metadata. Scope keys can't change; history and links stay."""
+    changes = _wanted(tables, id_, content, metadata)
     if not changes:
         return tables
     hit = F.col("id") == id_
@@ -140,11 +171,20 @@ def update(tables: Tables, id_: str, content: str | None = None, metadata: dict[
     return Tables(promote(rows), tables.history, tables.links)
 
 
+def _entries(tables: Tables, gone: DataFrame) -> DataFrame:
+    last = tables.history.groupBy("id").agg(F.max("seq").alias("seq"))
+    return gone.where(F.col("content").isNotNull()).join(last, "id", "left").select("id", (F.coalesce("seq", F.lit(-1)) + 1).alias("seq"), F.lit("Deleted").alias("event"), "content")
+
+
 def _without(tables: Tables, doomed: Column) -> tuple[Tables, DataFrame]:
     gone = tables.memories.where(doomed).select("id", "content")
-    last = tables.history.groupBy("id").agg(F.max("seq").alias("seq"))
-    entries = gone.where(F.col("content").isNotNull()).join(last, "id", "left").select("id", (F.coalesce("seq", F.lit(-1)) + 1).alias("seq"), F.lit("Deleted").alias("event"), "content")
-    return Tables(tables.memories.where(~doomed), tables.history.unionByName(entries), tables.links), gone
+    return Tables(tables.memories.where(~doomed), tables.history.unionByName(_entries(tables, gone)), tables.links), gone
+
+
+def deletion(tables: Tables, id_: str) -> Change:
+    """``delete`` as the rows it adds."""
+    gone = tables.memories.where(F.col("id") == id_).select("id", "content")
+    return Change(drop=gone.select("id"), history=_entries(tables, gone))
 
 
 def delete(tables: Tables, id_: str) -> Tables:
@@ -160,13 +200,24 @@ def _matching(df: DataFrame, scope: dict[str, str], spec: dict | None) -> Column
 def reset(tables: Tables, scope: dict[str, str] | None = None, spec: dict | None = None) -> tuple[Tables, int]:
     """Without the memories of a scope that a filter holds for, expired ones too, and without the scope's entity rows, all if neither is given; and how many rows went."""
     kept, gone = _without(tables, _matching(tables.memories, scope or {}, spec))
-    entity_key = F.map_from_arrays(F.array(*(F.lit(k) for k in (*SCOPE_KEYS, "entity_type", "entity_text"))), F.array(*(F.col(k) for k in (*SCOPE_KEYS, "entity_type", "entity_text"))))
-    of = lambda name: entity_key[name]
-    doomed = filters.in_scope(scope or {}, of) & (filters.compile_filter(filters.parse(spec), of) if spec is not None else F.lit(True))
+    doomed = _doomed_entities(scope, spec)
     entity_rows = tables.links.where(doomed).select(*SCOPE_KEYS, "entity_type", "entity_text").distinct()
     return Tables(kept.memories, kept.history, tables.links.where(~doomed)), gone.count() + entity_rows.count()
 
 
+def resetting(tables: Tables, scope: dict[str, str] | None = None, spec: dict | None = None) -> Change:
+    """``reset`` as the rows it adds."""
+    gone = tables.memories.where(_matching(tables.memories, scope or {}, spec)).select("id", "content")
+    entity_rows = tables.links.where(_doomed_entities(scope, spec)).select(*SCOPE_KEYS, "entity_type", "entity_text").distinct()
+    return Change(drop=gone.select("id"), history=_entries(tables, gone), unlink=entity_rows, scope=dict(scope or {}))
+
+
+def _doomed_entities(scope: dict[str, str] | None, spec: dict | None) -> Column:
+    entity_key = F.map_from_arrays(F.array(*(F.lit(k) for k in (*SCOPE_KEYS, "entity_type", "entity_text"))), F.array(*(F.col(k) for k in (*SCOPE_KEYS, "entity_type", "entity_text"))))
+    of = lambda name: entity_key[name]
+    return filters.in_scope(scope or {}, of) & (filters.compile_filter(filters.parse(spec), of) if spec is not None else F.lit(True))
+
+
 def list_memories(memories: DataFrame, scope: dict[str, str] | None, today: str, offset: int = 0, limit: int | None = None, show_expired: bool = False, spec: dict | None = None) -> DataFrame:
     """A page of memories by id, after all filters. ``scope`` None lists all scopes."""
     if scope is not None:
