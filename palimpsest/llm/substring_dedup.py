@@ -285,7 +285,8 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         for kind, x in zip(("block", "window"), replies, strict=False):
             x = x.withColumn("kind", F.lit(kind))
             every = x if every is None else every.unionByName(x)
-        for_part = every.groupBy("part").agg(F.collect_list(F.struct("chunk", "kind", "bucket", "bits")).alias("replies"))
+        # Dealt as the table is, so that Spark moves the replies to the chunks and not the chunks.
+        for_part = every.repartition(ranges, "part").groupBy("part").agg(F.collect_list(F.struct("chunk", "kind", "bucket", "bits")).alias("replies"))
         return chunks.join(for_part, "part", "left").withColumn("replies", F.filter("replies", lambda x: x["chunk"] == F.col("chunk")))
 
     asked = chunks.mapInArrow(ask_blocks, _ASKED)
