@@ -17,7 +17,10 @@ from ..operators.entities import boosted_ids
 from ..operators.knn import nearest, window_size
 from ..operators.lifecycle import Tables, value_of
 from . import batch
-from ..schema import ENTITY_LINKS, HISTORY, MEMORIES
+from ..schema import ENTITY_LINKS, HISTORY, MEMORIES, SCOPE_KEYS
+from ..sources.keyword_index import KeywordIndex
+from ..sources.log_store import LogStore
+from ..sources.vector_index import VectorIndex
 
 
 @dataclass(frozen=True)
@@ -52,11 +55,18 @@ class Engine:
     summarise: Callable[[Column], Column] | None = None
     describe: Callable[[Column], Column] | None = None
     reranker: ranking.Reranker | None = ranking.overlap_reranker
+    #: Where changes are kept; without it they are in ``tables`` alone.
+    store: LogStore | None = None
+    #: What answers searches instead of scans, made by ``index``.
+    keywords: KeywordIndex | None = None
+    vectors: VectorIndex | None = None
 
     def __post_init__(self):
         self.settings.validate()
         if self.settings.dimension != self.embedding.dimension:
             raise Config("the settings and the embedding differ in dimension")
+        if self.store is not None:
+            self.tables = self.store.load()
         if self.tables is None:
             empty = lambda schema: self.spark.createDataFrame([], schema)
             self.tables = Tables(empty(MEMORIES), empty(HISTORY), empty(ENTITY_LINKS))
@@ -80,10 +90,21 @@ class Engine:
         wanted = filters.compile_filter(filters.parse(spec), of) if spec is not None else F.lit(True)
         if not show_expired:
             wanted = wanted & filters.is_live(today, of("expiration_date"))
-        near = nearest(memories, self.embedding.of_text(query), window_size(top_k), self.settings.metric, threshold, scoped & wanted if prefilter else scoped)
+        window, vector = window_size(top_k), self.embedding.of_text(query)
+        indexed = self.keywords is not None and self.vectors is not None and set(scope) <= set(SCOPE_KEYS)
+        if indexed:
+            self.refresh()
+        if indexed and not prefilter:
+            ids = self.vectors.search(vector, window, self.settings.metric, exact=True, scope=scope, threshold=threshold).select("id", "score")
+            near = memories.drop("vector").join(F.broadcast(ids), "id")  # a window of ids
+        else:
+            near = nearest(memories, vector, window, self.settings.metric, threshold, scoped & wanted if prefilter else scoped)
         found = ranking.details(near if prefilter else near.where(wanted), explain)
-        hits = keyword.search(memories.select("id", "content", *[c for c in memories.columns if c in scope and c != "content"], "payload"), query)
-        hits = hits.where(filters.in_scope(scope, value_of(hits))).orderBy("keyword_score", "id").limit(window_size(top_k))
+        if indexed:
+            hits = self.keywords.top_k(query, window, scope)
+        else:
+            hits = keyword.search(memories.select("id", "content", *[c for c in memories.columns if c in scope and c != "content"], "payload"), query)
+            hits = hits.where(filters.in_scope(scope, value_of(hits))).orderBy("keyword_score", "id").limit(window)
         found = ranking.fuse(found, hits.select("id", "keyword_score"))
         asked = self.spark.range(1).select(entities(F.lit(query)).alias("e")).first()["e"]
         if asked:
@@ -100,8 +121,8 @@ class Engine:
             raise Validation("top_k is out of range")
         return batch.search_each(self.tables, queries, top_k, scope, today, spec, show_expired, self.settings.metric, self.embedding, index)
 
-    def add(self, conversations: DataFrame, scope: dict[str, str], infer: bool = True, metadata: dict[str, str] | None = None) -> DataFrame:
-        """The rows that a batch of messages (conv_id, turn, role, text) adds under a scope."""
+    def add(self, conversations: DataFrame, scope: dict[str, str], infer: bool = True, metadata: dict[str, str] | None = None, batch: tuple[str, int] | None = None) -> DataFrame:
+        """The rows that a batch of messages (conv_id, turn, role, text) adds under a scope. With a store, a ``batch`` (stream, number) that is in already adds none."""
         if "images" in conversations.columns:
             if self.describe is None:
                 raise Provider("no provider describes images")
@@ -113,11 +134,58 @@ class Engine:
         else:
             found = lifecycle.facts_of(conversations, infer, self.extract)
             facts = found.select(seq(F.col("pos")), F.col("fact").alias("content"), *([] if infer else ["role"]))
-        self.tables, new = lifecycle.added(self.tables, facts, scope, metadata, self.settings.max_content_bytes, self.settings.max_metadata_bytes, self.embedding, plain)
-        return new
+        args = (self.tables, facts, scope, metadata, self.settings.max_content_bytes, self.settings.max_metadata_bytes, self.embedding, plain)
+        if self.store is None:
+            self.tables, new = lifecycle.added(*args)
+            return new
+        version = self._keep(lifecycle.addition(*args), batch)
+        return self.tables.memories.limit(0) if version is None else self.store.own(version)
+
+    def _keep(self, change: lifecycle.Change, batch: tuple[str, int] | None = None) -> int | None:
+        version = self.store.append(change, self.tables.version, batch)
+        self.tables = self.store.load()
+        return version
 
     def update(self, id_: str, content: str | None = None, metadata: dict[str, str] | None = None) -> None:
-        self.tables = lifecycle.update(self.tables, id_, content, metadata, self.embedding)
+        if self.store is None:
+            self.tables = lifecycle.update(self.tables, id_, content, metadata, self.embedding)
+        elif (change := lifecycle.updating(self.tables, id_, content, metadata, self.embedding)).put is not None:
+            self._keep(change)
+
+    def delete(self, id_: str) -> None:
+        if self.store is None:
+            self.tables = lifecycle.delete(self.tables, id_)
+        else:
+            self._keep(lifecycle.deletion(self.tables, id_))
+
+    def reset(self, scope: dict[str, str] | None = None, spec: dict | None = None) -> int:
+        """How many rows went."""
+        if self.store is None:
+            self.tables, n = lifecycle.reset(self.tables, scope, spec)
+            return n
+        n = lifecycle.reset(self.tables, scope, spec)[1]
+        self._keep(lifecycle.resetting(self.tables, scope, spec))
+        return n
+
+    def index(self, path: str) -> None:
+        """Makes both indexes of the store's memories in a folder; searches use them from now on, and bring them up to date first."""
+        if self.store is None:
+            raise Config("an index goes by a store's versions")
+        now = self.tables = self.store.load()
+        self.keywords = KeywordIndex.create(self.spark, f"{path.rstrip('/')}/keywords", now.memories.select("id", "content", *SCOPE_KEYS), SCOPE_KEYS, source=now.version)
+        self.vectors = VectorIndex.create(self.spark, f"{path.rstrip('/')}/vectors", now.memories.select("id", "vector", *SCOPE_KEYS), SCOPE_KEYS, source=now.version)
+
+    def refresh(self) -> None:
+        """Brings the indexes up to the tables by what has changed since; the price is that of the changes."""
+        for index in (self.keywords, self.vectors):
+            since = index.source
+            if since == self.tables.version:
+                continue
+            ids = self.store.touched(since, self.tables.version)
+            if ids is None:
+                raise Config("the store was replaced: make new indexes")
+            then = self.store.load(since).memories.join(ids, "id", "left_semi")
+            index.update(self.tables.memories.join(ids, "id", "left_semi"), then, self.tables.version)
 
     def health_check(self) -> bool:
         """The providers and the tables answer, in this order."""

@@ -34,14 +34,19 @@ class KeywordIndex:
     # Writing
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, docs: DataFrame, keep: Sequence[str] = (), blocks: int | None = None, buckets: int = 16) -> KeywordIndex:
-        """An index of ``docs`` (id, content, and string columns to ``keep`` for filters); terms are dealt to ``buckets`` folders."""
+    def create(cls, spark: SparkSession, path: str, docs: DataFrame, keep: Sequence[str] = (), blocks: int | None = None, buckets: int = 16, source: int = 0) -> KeywordIndex:
+        """An index of ``docs`` (id, content, and string columns to ``keep`` for filters); terms are dealt to ``buckets`` folders. ``source`` is the version of a store that they are."""
         blocks = blocks or max(1, docs.count() // BLOCK_DOCUMENTS)
         self = cls(spark, path)
         meta = {"blocks": blocks, "buckets": buckets, "keep": list(keep), "id": docs.schema["id"].dataType.simpleString()}
-        self._commit({"meta": meta, "parts": {}, "n": 0, "length": 0}, docs, None)
+        self._commit({"meta": meta, "parts": {}, "n": 0, "length": 0}, docs, None, source)
         return self
 
+    @property
+    def source(self) -> int:
+        """The version of the store that the index stands for."""
+        return self._state()["source"]
+
     def _state(self) -> dict:
         return self.commits.read(self.commits.latest())
 
@@ -62,7 +67,7 @@ class KeywordIndex:
             "deaths": f"id {meta['id']}",
         }[kind]
 
-    def _commit(self, state: dict, new: DataFrame | None, gone: DataFrame | None, compaction: bool = False) -> None:
+    def _commit(self, state: dict, new: DataFrame | None, gone: DataFrame | None, source: int) -> None:
         """A segment with the documents ``new`` and without ``gone`` (id, content as it was)."""
         read, meta = self.commits.latest(), state["meta"]
         version, parts = read + 1, {k: dict(v) for k, v in state["parts"].items()}
@@ -91,11 +96,12 @@ class KeywordIndex:
         if changes:
             df = reduce(DataFrame.unionByName, changes).groupBy("bucket", "term").agg(F.sum("df").alias("df"))
             named("terms", self.commits.put(df.repartitionByRange(meta["buckets"], "bucket", "term").sortWithinPartitions("bucket", "term"), "terms", ("bucket",)))
-        self.commits.write(version, {"meta": meta, "parts": parts, "n": n, "length": length})
+        self.commits.write(version, {"meta": meta, "parts": parts, "n": n, "length": length, "source": source})
 
-    def update(self, new: DataFrame | None = None, gone: DataFrame | None = None) -> None:
+    def update(self, new: DataFrame | None = None, gone: DataFrame | None = None, source: int | None = None) -> None:
         """Adds the documents ``new`` (id, content, kept columns) and takes away ``gone`` (id, content as indexed); a changed one is in both. Only their words are written."""
-        self._commit(self._state(), new, gone)
+        state = self._state()
+        self._commit(state, new, gone, state["source"] if source is None else source)
 
     def compact(self) -> None:
         """Merges all segments: the postings of documents that are gone go."""
@@ -107,7 +113,7 @@ class KeywordIndex:
         name = self.commits.put(merged.repartitionByRange(files, "bucket", "term", "block").sortWithinPartitions("bucket", "term", "block"), "postings", ("bucket",))
         df = self.commits.get("postings", {name: version}, self._schema("postings", meta)).groupBy("bucket", "term").agg(F.sum("n").alias("df"))
         terms = self.commits.put(df.repartitionByRange(meta["buckets"], "bucket", "term").sortWithinPartitions("bucket", "term"), "terms", ("bucket",))
-        self.commits.write(version, {"meta": meta, "parts": {"postings": {name: version}, "terms": {terms: version}}, "n": state["n"], "length": state["length"]})
+        self.commits.write(version, {"meta": meta, "parts": {"postings": {name: version}, "terms": {terms: version}}, "n": state["n"], "length": state["length"], "source": state["source"]})
 
     # Reading
 

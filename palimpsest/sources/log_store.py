@@ -66,6 +66,23 @@ class LogStore:
             links = links.withColumn("_mine", mine).join(gone, F.col("_mine").eqNullSafe(F.col("_key")) & (F.col("_v") < F.col("_until")), "left_anti").drop("_mine")
         return Snapshot(kept, get("history", base("history") | parts("history")).drop("_v"), links.drop("_v"), version, state["events"])
 
+    def own(self, version: int) -> DataFrame:
+        """The memories that a change put."""
+        own = (self.commits.read(version).get("own") or {}).get("put")
+        return self.commits.get("put", {own: version} if own else {}, MEMORIES).drop("_v")
+
+    def touched(self, since: int, until: int) -> DataFrame | None:
+        """id of the memories that the changes after ``since`` up to ``until`` put or dropped; None if one replaced everything."""
+        ids = self.spark.createDataFrame([], "id string")
+        for n in range(since + 1, until + 1):
+            body = self.commits.read(n)
+            if body["own"] is None and not body.get("compaction"):
+                return None
+            for kind in ("put", "drop"):
+                if name := (body["own"] or {}).get(kind):
+                    ids = ids.unionByName(self.commits.get(kind, {name: n}, KINDS[kind]).select("id"))
+        return ids.distinct()
+
     def applied(self, stream: str) -> int:
         """The last batch of a stream that a change came from, -1 for none."""
         return self._state(self.commits.latest())["applied"].get(stream, -1)

@@ -8,12 +8,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..errors import Config
+
 
 def ingest(messages: DataFrame, apply: Callable[[DataFrame], object], checkpoint: str) -> StreamingQuery:
     """Feeds each micro-batch of a stream of messages (conv_id, turn, role, text) to ``apply``, e.g. an engine's add and save."""
     return messages.writeStream.foreachBatch(lambda batch, _: apply(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_once(messages: DataFrame, engine, scope: dict[str, str], stream: str, checkpoint: str, infer: bool = True) -> StreamingQuery:
+    """Feeds a stream of messages to an engine that has a store, each micro-batch exactly once.
+
+    The store commits a batch's number with its rows, so a batch that Spark replays, because it died after the rows were
+    written and before the checkpoint was, finds its number there and adds nothing. ``stream`` names the checkpoint for good.
+    """
+    if engine.store is None:
+        raise Config("exactly-once needs a store that remembers batches")
+    return messages.writeStream.foreachBatch(lambda batch, n: engine.add(batch, scope, infer, batch=(stream, n))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """start, event_type, n, total of a stream or table of events (ts, event_type, value)."""
     watermarked = events.withWatermark("ts", late) if events.isStreaming else events

@@ -175,3 +175,62 @@ def test_cover_density(spark, tmp_path):
             got = [(r["keyword_score"], r["id"]) for r in found.collect()]
             assert sorted(i for _, i in got) == sorted(i for _, i in want) and [s for s, _ in got] == pytest.approx([s for s, _ in want])
     assert keyword.search_covers(docs, "").count() == 0
+
+
+def said(spark, *texts):
+    return spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+
+
+def test_engine_over_a_store_with_indexes(spark, tmp_path):
+    """The same answers as an engine that scans, after every kind of change."""
+    from palimpsest.plans.engine import Engine
+
+    kept, plain = Engine(spark, store=LogStore(spark, f"file://{tmp_path}/log")), Engine(spark)
+    scope = {"user_id": "u"}
+    first = said(spark, "Rust is fun. Bob Smith likes tea.", *(f"Tea of kind {i} is {'green' if i % 2 else 'black'}." for i in range(30)))
+    for e in (kept, plain):
+        e.add(first, scope)
+        e.add(said(spark, "Tea of another user."), {"user_id": "v"})
+    kept.index(f"file://{tmp_path}/indexes")
+
+    def same():
+        for query in ("black tea", "Does Bob Smith like tea"):
+            got, want = ([(r["payload"]["content"], round(r["score"], 5)) for r in e.search(query, 5, scope, TODAY, rerank=True).collect()] for e in (kept, plain))
+            assert sorted(got) == sorted(want)
+
+    same()
+    for e in (kept, plain):
+        ids = {r["content"]: r["id"] for r in e.tables.memories.collect()}
+        e.update(ids["Tea of kind 3 is green."], "Tea of kind 3 is black tea.")
+        e.delete(ids["Tea of kind 4 is black."])
+        e.add(said(spark, "Black tea with milk."), scope)
+    kept.tables = kept.store.load()
+    same()
+    assert kept.keywords.source == kept.vectors.source == kept.tables.version
+    assert kept.reset({"user_id": "v"}) == plain.reset({"user_id": "v"}) == 1
+    same()
+
+
+def test_a_replayed_batch_adds_nothing(spark, tmp_path):
+    """A stream dies after its batch was stored and before Spark noted it; on restart the batch comes again."""
+    from palimpsest.plans.engine import Engine
+    from palimpsest.streaming import ingest
+
+    said(spark, "Step one.").write.parquet(f"{tmp_path}/in")
+    path, scope = f"file://{tmp_path}/log", {"agent_id": "a", "memory_type": "procedural_memory"}
+    stream = lambda: spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{tmp_path}/in")
+
+    class Dies(Engine):
+        def add(self, *args, **kwargs):
+            super().add(*args, **kwargs)
+            raise RuntimeError("killed")
+
+    with pytest.raises(Exception, match="killed"):
+        ingest.ingest_once(stream(), Dies(spark, store=LogStore(spark, path)), scope, "s", f"{tmp_path}/check").awaitTermination()
+    store = LogStore(spark, path)
+    assert store.load().memories.count() == 1 and store.applied("s") == 0
+    ingest.ingest_once(stream(), Engine(spark, store=LogStore(spark, path)), scope, "s", f"{tmp_path}/check").awaitTermination()
+    assert store.load().memories.count() == 1 and store.load().history.count() == 1
+    said(spark, "Step two.").write.mode("append").parquet(f"{tmp_path}/in")
+    ingest.ingest_once(stream(), Engine(spark, store=LogStore(spark, path)), scope, "s", f"{tmp_path}/check").awaitTermination()
+    assert store.load().memories.count() == 2 and store.applied("s") == 1
