@@ -16,6 +16,10 @@ from .functions.vector import METRICS
 from .operators import entities, keyword, lifecycle, ranking
 from .operators.knn import nearest, nearest_for_each, window_size
 from .schema import SCOPE_KEYS, promote
+from .session import shared_path
+from .sources.keyword_index import KeywordIndex
+from .sources.log_store import LogStore
+from .sources.vector_index import VectorIndex, recall
 from .streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -332,6 +336,102 @@ def bm25_scope_after_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword.search(docs, TERMS).where("source = 'src1'").orderBy("keyword_score", "id").limit(20).select("id", F.round("keyword_score", 5).alias("keyword_score"))
 
 
+# Stored indexes and the store
+
+
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("user_id"))
+
+
+_TOP_SQL = "SELECT id, round(keyword_score, 5) AS keyword_score FROM kw {}ORDER BY kw.keyword_score, id LIMIT 20"
+
+
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.select("id", F.round("keyword_score", 5).alias("keyword_score"))
+
+
+@_register("keyword_index_topk", f"WITH {_bm25_sql('documents', 'doc_id', TERMS)} " + _TOP_SQL.format("WHERE source = 'src1' "))
+def keyword_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An inverted index of all documents and a search of it within a scope."""
+    return _rounded(KeywordIndex.create(spark, shared_path(spark, "keywords"), _contents(spark, sf_dir), ["user_id"]).top_k(TERMS, 20, {"user_id": "src1"}))
+
+
+_CHANGED = "(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'licensed ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0)"
+
+
+@_register("keyword_index_updated", f"WITH {_bm25_sql(_CHANGED, 'doc_id', TERMS)} " + _TOP_SQL.format(""))
+def keyword_index_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after a seventh of the documents is gone and a fifth of the others is changed."""
+    docs = _contents(spark, sf_dir).drop("user_id")
+    index = KeywordIndex.create(spark, shared_path(spark, "keywords"), docs)
+    changed = docs.where("id % 5 = 0 AND id % 7 <> 0")
+    index.update(changed.withColumn("content", F.concat(F.lit("licensed "), F.coalesce("content", F.lit("")))), docs.where("id % 7 = 0").unionByName(changed))
+    return _rounded(index.top_k(TERMS, 20))
+
+
+def _covers_sql(query: str) -> str:
+    """keyword_score of every document that holds all terms: entries are where they stand, and a cover is new where its start is later than the one before's."""
+    terms = keyword.query_terms(query)
+    last = [f"max(CASE WHEN word = '{t}' THEN i END) OVER w" for t in terms]
+    return (
+        f"e AS (SELECT doc_id, word, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM (SELECT doc_id, unnest(tokens) AS word, unnest(range(len(tokens))) AS pos FROM (SELECT doc_id, {_TOKENS.format('text')} AS tokens FROM documents)) WHERE word IN ({', '.join(repr(t) for t in terms)})),"
+        f" l AS (SELECT *, CASE WHEN {' AND '.join(f'{x} IS NOT NULL' for x in last)} THEN least({', '.join(last)}) END AS low FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),"
+        " c AS (SELECT *, lag(low) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM l),"
+        " kw AS (SELECT c.doc_id AS id, -sum(0.1::DOUBLE / (1 + (c.pos - s.pos) - (c.i - c.low))) AS keyword_score FROM c JOIN e s ON s.doc_id = c.doc_id AND s.i = c.low WHERE c.before IS NULL OR c.low > c.before GROUP BY c.doc_id)"
+    )
+
+
+COVERED = "licensed the under"
+_COVER_SQL = f"WITH {_covers_sql(COVERED)} SELECT id, round(keyword_score, 6) AS keyword_score FROM kw"
+
+
+@_register("cover_density", _COVER_SQL)
+def cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cover-density rank of every document with all terms, by a scan."""
+    return keyword.search_covers(_contents(spark, sf_dir), COVERED).select("id", F.round("keyword_score", 6).alias("keyword_score"))
+
+
+@_register("cover_density_indexed", _COVER_SQL + " ORDER BY round(kw.keyword_score, 9), id LIMIT 20")
+def cover_density_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best by the positions in an inverted index."""
+    found = KeywordIndex.create(spark, shared_path(spark, "keywords"), _contents(spark, sf_dir).drop("user_id")).cover_density(COVERED, 1 << 30)
+    return found.orderBy(F.round("keyword_score", 9), "id").limit(20).select("id", F.round("keyword_score", 6).alias("keyword_score"))
+
+
+@_register("ann_exact_topk", SQL["knn_l1_topk"])
+def ann_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector index, and an exact search that reads the cells which can hold a neighbour."""
+    rows = _vectors(spark, sf_dir)
+    return VectorIndex.create(spark, shared_path(spark, "vectors"), rows).search(_vector_of(spark, sf_dir, 0), 10, exact=True).select("id", _score())
+
+
+@_register("ann_exact_batch", SQL["knn_batch_topk"])
+def ann_exact_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every id divisible by 50."""
+    rows = _vectors(spark, sf_dir)
+    asked = rows.where(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    return VectorIndex.create(spark, shared_path(spark, "vectors"), rows).search_each(asked, 10, exact=True).select("query_id", "id", _score(), "rank")
+
+
+@_register("ann_recall")
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the true ten nearest a search of sixteen cells finds, for every id divisible by 50."""
+    rows = _vectors(spark, sf_dir)
+    asked = rows.where(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    return recall(VectorIndex.create(spark, shared_path(spark, "vectors"), rows).search_each(asked, 10, probes=16), nearest_for_each(rows, asked, 10))
+
+
+@_register("store_merge_on_read", f"SELECT {_ID} AS id, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE 'old' END AS state, md5(CASE WHEN doc_id % 5 = 0 THEN 'Changed: ' || coalesce(text, '') ELSE text END) AS hash FROM documents WHERE doc_id % 7 <> 0")
+def store_merge_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as memories in three commits: all, a fifth of them changed, a seventh dropped."""
+    store, rows = LogStore(spark, shared_path(spark, "store")), _memories(spark, sf_dir)
+    put = lambda state, df: promote(df.select("id", F.lit(None).cast("array<float>").alias("vector"), F.map_concat(F.map_filter("payload", lambda k, _: ~k.isin("state", "content")), F.create_map(F.lit("state"), F.lit(state), F.lit("content"), F.col("content"))).alias("payload")))
+    store.append(lifecycle.Change(put=put("old", rows)), 0)
+    store.append(lifecycle.Change(put=put("new", rows.where("seq % 5 = 0").withColumn("content", F.concat(F.lit("Changed: "), F.coalesce("content", F.lit("")))))), 1)
+    store.append(lifecycle.Change(drop=rows.where("seq % 7 = 0").select("id")), 2)
+    return store.load().memories.select("id", F.col("payload")["state"].alias("state"), F.md5("content").alias("hash"))
+
+
 _CONV_ID = "(conv_id * 1000 + turn)"
 HYBRID = "the and thathe onand"
 _QV = "[" + ", ".join(f"{int(x)}" for x in embed_text(HYBRID)) + "]"
