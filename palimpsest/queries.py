@@ -21,6 +21,7 @@ from .sources.keyword_index import KeywordIndex
 from .sources.log_store import LogStore
 from .sources.vector_index import VectorIndex, recall
 from .streaming import ingest
+from .streaming.rate_limit import limited
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -251,6 +252,17 @@ def entity_links_proper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.summary(_proper_links(spark, sf_dir)).select("user_id", "agent_id", "entity_text", "n_memories", "first_id")
 
 
+@_register("entity_upsert", f"SELECT user_id, agent_id, entity_text, count(*) AS n_memories, md5(string_agg(id, ',' ORDER BY doc_id % 2, doc_id)) AS ids_hash FROM ({_LINKS_SQL}) GROUP BY user_id, agent_id, entity_text")
+def entity_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities in two batches, documents of even ids and then all: each with its memories in the order of first mention."""
+    found = _proper_links(spark, sf_dir)
+    none = lambda schema: spark.createDataFrame([], schema)
+    one, first = entities.upsert(none(entities.ENTITIES), none(entities.MEMBERS), found.where("seq % 2 = 0"), 0)
+    two, second = entities.upsert(one, first, found, 1)
+    lists = entities.linked_lists(first.unionByName(second), 1 << 30).join(one.unionByName(two), "entity_id")
+    return lists.select("user_id", "agent_id", "entity_text", F.size("ids").cast("long").alias("n_memories"), F.md5(F.array_join("ids", ",")).alias("ids_hash"))
+
+
 _BYTES = "list_transform(regexp_extract_all(hex({}), '..'), lambda h, i: ('0x' || h)::BIGINT * 8 + (i - 1) % 8)"
 _FACTOR = f"list_reduce({_BYTES}, lambda a, x: a * (x // 8 + 1) % 1000003, 1::BIGINT)"
 _TERM = f"list_reduce({_BYTES}, lambda a, x: (a * (x // 8 + 1) + x % 8 + 1) % 1000003, 0::BIGINT)"
@@ -653,6 +665,22 @@ def session_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.session_gate(_t(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
 
 
+_BUCKET = (5.0, 1 / 90)
+
+
+@_register(
+    "rate_limit",
+    f"""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+b AS (SELECT user_id, event_id, n, us, {_BUCKET[0]}::DOUBLE AS had FROM o WHERE n = 1
+      UNION ALL SELECT o.user_id, o.event_id, o.n, o.us, least({_BUCKET[0]}::DOUBLE, CASE WHEN b.had >= 1 THEN b.had - 1 ELSE b.had END + (o.us - b.us)::DOUBLE / 1e6::DOUBLE * {_BUCKET[1]}::DOUBLE) FROM b JOIN o ON o.user_id = b.user_id AND o.n = b.n + 1)
+SELECT user_id, event_id, had >= 1 AS allowed, round(CASE WHEN had >= 1 THEN had - 1 ELSE had END, 6) AS tokens FROM b""",
+)
+def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a request of its user, by buckets of five that refill in 90 seconds a token."""
+    events = _t(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    return limited(events, capacity=_BUCKET[0], refill=_BUCKET[1]).select("user_id", "event_id", "allowed", F.round("tokens", 6).alias("tokens"))
+
+
 @_register("windowed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.windowed_counts(_t(spark, sf_dir, "events"))
