@@ -124,7 +124,7 @@ def upsert(memories: DataFrame, records: DataFrame, dimension: int) -> DataFrame
     wrong = records.where(F.coalesce(F.size("vector"), F.lit(-1)) != dimension).select(F.size("vector").alias("n")).first()
     if wrong is not None:
         raise DimensionMismatch(dimension, wrong["n"])
-    one = records.groupBy("id").agg(F.max_by(F.struct("vector", "payload"), F.to_json("payload")).alias("r")).select("id", "r.vector", "r.payload")
+    one = records.groupBy("id").agg(F.max_by(F.struct("vector", "payload"), F.coalesce(F.to_json("payload"), F.lit(""))).alias("r")).select("id", "r.vector", "r.payload")
     return memories.join(one.select("id"), "id", "left_anti").unionByName(promote(one))
 
 
