@@ -34,7 +34,8 @@ def proper_spans(text: Column) -> Column:
         word = F.regexp_replace(raw, WORD_EDGE, "")
         return F.when(~raw.rlike(CAPITALISED_RAW), mark).when(raw.rlike("[.!?]$"), F.concat(word, mark)).otherwise(word)
 
-    runs = F.split(F.array_join(F.transform(F.split(text, r"(?U)\s+"), marked), " "), "\x01")
+    # A mark that the text has is no letter and ends a run, as any other sign does.
+    runs = F.split(F.array_join(F.transform(F.split(F.replace(text, mark, F.lit("\x02")), r"(?U)\s+"), marked), " "), "\x01")
     return F.filter(F.transform(runs, lambda x: F.trim(x)), lambda x: x.contains(" "))
 
 

@@ -90,11 +90,17 @@ def token_table(docs: DataFrame, id_: str = "id", content: str = "content") -> D
     return rows.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
 
 
+#: Parts that the postings of a term are split into where they meet questions.
+SALTS = 16
+
+
 def search_each(index: DataFrame, queries: DataFrame, n_docs: int, average_length: float) -> DataFrame:
-    """query_id, id, keyword_score of a batch of ``queries`` (query_id, term) over a token table; statistics are the corpus's."""
+    """query_id, id, keyword_score of a batch of ``queries`` (query_id, term) over a token table; statistics are the corpus's. The postings of a common word meet the questions in SALTS parts."""
     asked = queries.select("query_id", "term").distinct()
-    hits = index.join(asked.select("term").distinct(), "term", "left_semi")
+    salted = lambda x: F.pmod(F.xxhash64(x), F.lit(SALTS)).cast("int")
+    parts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
+    hits = index.withColumn("salt", salted("id")).join(asked.select("term").distinct().select("term", parts), ["term", "salt"], "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    joined = hits.join(df, "term").join(asked, "term")
+    joined = hits.join(asked.join(df, "term").select("query_id", "term", "df", parts), ["term", "salt"])
     weight = bm25_weight(F.col("tf"), F.col("df"), F.lit(n_docs), F.col("length"), F.lit(average_length))
     return joined.groupBy("query_id", "id").agg((-F.sum(weight)).alias("keyword_score"))

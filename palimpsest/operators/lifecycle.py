@@ -242,3 +242,13 @@ def list_entities(memories: DataFrame) -> DataFrame:
     """entity_type, entity_id, memory_count of the scope keys, expired memories included."""
     each = memories.select(F.explode(F.array(*(F.struct(F.lit(k).alias("entity_type"), F.col(k).alias("entity_id")) for k in SCOPE_KEYS))).alias("e")).where("e.entity_id IS NOT NULL")
     return each.groupBy("e.entity_type", "e.entity_id").agg(F.count("*").alias("memory_count")).orderBy("entity_type", "entity_id")
+
+
+def as_records(memories: DataFrame) -> DataFrame:
+    """id and payload, as clients are shown memories: without vectors and columns that the payload has."""
+    return memories.select("id", "payload")
+
+
+def as_entries(history_rows: DataFrame) -> DataFrame:
+    """id, seq, event in lower case, content, as clients are shown a history."""
+    return history_rows.select("id", "seq", F.lower("event").alias("event"), "content")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_set
+from ..session import shared_path
 
 #: Fixed values.
 BOOST = 0.15
@@ -71,6 +72,19 @@ def boost(candidates: DataFrame, boosted_ids: DataFrame, id_: str = "id") -> Dat
     return out.drop("_id", "_boost")
 
 
+def numbered(rows: DataFrame, *order: Column, name: str = "pos") -> DataFrame:
+    """``rows`` with their place from 0 in an order, which no task sees whole: sorted ranges are numbered by themselves, and moved on by the sizes of those before, a row for each range."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = shared_path(spark, "ranges")
+    inside = Window.partitionBy("_range").orderBy(*order)
+    rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()).withColumn("_place", F.row_number().over(inside)).write.parquet(path)
+    ranges = spark.read.parquet(path)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # of as many rows as there are ranges
+    moved = ranges.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return ranges.join(F.broadcast(moved), "_range").withColumn(name, F.col("_before") + F.col("_place") - 1).select(*rows.columns, name)
+
+
 def lexical_distance(query: Column, content: Column) -> Column:
     """1 less the part of the query's tokens that the content has; 1 for a query without tokens."""
     q = token_set(query)

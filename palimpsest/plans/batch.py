@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import filters
 from ..functions.embed import Embedding
 from ..functions.text import entities, token_set
-from ..functions.vector import l1
 from ..operators import keyword, lifecycle
 from ..operators.knn import nearest_for_each, window_size
 from ..operators.lifecycle import Tables, value_of
@@ -49,9 +48,12 @@ def search_each(tables: Tables, queries: DataFrame, top_k: int, scope: dict[str,
     named = queries.select("query_id", F.explode(entities(F.col("query"))).alias("e")).select("query_id", F.col("e.type").alias("entity_type"), F.col("e.text").alias("asked")).distinct()
     links = tables.links.where(filters.in_scope({k: v for k, v in scope.items() if k in tables.links.columns}, F.col))
     known = links.select("entity_type", "entity_text").distinct().withColumn("v", of_column(F.col("entity_text")))
-    pairs = named.withColumn("w", of_column(F.col("asked"))).join(known, "entity_type").select("query_id", "entity_type", "asked", "entity_text", l1(F.col("v"), F.col("w")).alias("d"))
-    place = F.row_number().over(Window.partitionBy("query_id", "entity_type", "asked").orderBy("d", "entity_text"))
-    meant = pairs.withColumn("_place", place).where(F.col("_place") <= ENTITY_NEIGHBOURS).select("query_id", "entity_type", "entity_text").distinct()
+    near_by_type = []
+    for kind in ("proper", "quoted"):  # the names asked for meet the known ones in bounded broadcasts, the five best of each part move
+        asked_for = named.where(F.col("entity_type") == kind).select(F.struct("query_id", "asked").alias("query_id"), of_column(F.col("asked")).alias("query_vector"))
+        best = nearest_for_each(known.where(F.col("entity_type") == kind), asked_for, ENTITY_NEIGHBOURS, "l1", "v", "entity_text")
+        near_by_type.append(best.select("query_id.query_id", F.lit(kind).alias("entity_type"), F.col("id").alias("entity_text")))
+    meant = near_by_type[0].unionByName(near_by_type[1]).distinct()
     boosted = links.join(meant, ["entity_type", "entity_text"]).select("query_id", "id", F.lit(True).alias("_boost")).distinct()
     found = found.join(boosted, ["query_id", "id"], "left")
     found = found.withColumn("score", F.when(F.col("_boost"), (F.col("score") * F.lit(1 - BOOST).cast("float")).cast("float")).otherwise(F.col("score")))

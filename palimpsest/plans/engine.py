@@ -13,7 +13,7 @@ from ..functions import filters
 from ..functions.embed import Embedding
 from ..functions.text import entities, sentence_facts
 from ..operators import keyword, lifecycle, ranking
-from ..operators.entities import boosted_ids
+from ..operators.entities import boosted_ids, entity_id
 from ..operators.knn import nearest, window_size
 from ..operators.lifecycle import Tables, value_of
 from . import batch
@@ -71,11 +71,12 @@ class Engine:
             empty = lambda schema: self.spark.createDataFrame([], schema)
             self.tables = Tables(empty(MEMORIES), empty(HISTORY), empty(ENTITY_LINKS))
 
-    def search(self, query: str, top_k: int, scope: dict[str, str], today: str, threshold: float | None = None, show_expired: bool = False, spec: dict | None = None, rerank: bool = False, explain: bool = False, prefilter: bool = False) -> DataFrame:
-        """id, score, payload, score_details of the best ``top_k``, best first.
+    def search(self, query: str, top_k: int, scope: dict[str, str], today: str, threshold: float | None = None, show_expired: bool = False, spec: dict | None = None, rerank: bool = False, explain: bool = False, prefilter: bool = False, entity_slots: bool = False) -> DataFrame:
+        """id, score, payload, score_details of the best ``top_k``, best first; where scores tie, the order before fusion, boost and rerank stands, and at last that of ids.
 
         The nearest max(20 * top_k, 500) of the scope come first and are filtered after, so a match beyond them
-        isn't found; ``prefilter`` filters before instead, which finds it but is another result.
+        isn't found; ``prefilter`` filters before instead, which finds it but is another result. With ``entity_slots`` the scope's entities
+        take places of that window by their own embeddings, as in a store that keeps both in one table, and go before the rest is ranked.
         """
         if rerank and self.reranker is None:
             raise Validation("no reranker is set")
@@ -94,27 +95,37 @@ class Engine:
         indexed = self.keywords is not None and self.vectors is not None and set(scope) <= set(SCOPE_KEYS)
         if indexed:
             self.refresh()
-        if indexed and not prefilter:
+        if entity_slots:
+            near = self._beside_entities(memories.where(scoped & wanted if prefilter else scoped), vector, window, scope, threshold)
+        elif indexed and not prefilter:
             ids = self.vectors.search(vector, window, self.settings.metric, exact=True, scope=scope, threshold=threshold).select("id", "score")
             near = memories.drop("vector").join(F.broadcast(ids), "id")  # a window of ids
         else:
             near = nearest(memories, vector, window, self.settings.metric, threshold, scoped & wanted if prefilter else scoped)
-        found = ranking.details(near if prefilter else near.where(wanted), explain)
+        found = ranking.details(near if prefilter else near.where(wanted), explain).withColumn("_semantic", F.col("score"))
         if indexed:
             hits = self.keywords.top_k(query, window, scope)
         else:
             hits = keyword.search(memories.select("id", "content", *[c for c in memories.columns if c in scope and c != "content"], "payload"), query)
             hits = hits.where(filters.in_scope(scope, value_of(hits))).orderBy("keyword_score", "id").limit(window)
-        found = ranking.fuse(found, hits.select("id", "keyword_score"))
+        found = ranking.fuse(found, hits.select("id", "keyword_score")).withColumn("_fused", F.col("score"))
         asked = self.spark.range(1).select(entities(F.lit(query)).alias("e")).first()["e"]
         if asked:
             scope_links = self.tables.links.where(filters.in_scope({k: v for k, v in scope.items() if k in self.tables.links.columns}, F.col))
             found = ranking.boost(found, boosted_ids(scope_links, [(e["type"], e["text"]) for e in asked]))
-        best = found.orderBy("score", "id").limit(top_k)
+        ties = ("_fused", "_semantic", "id")
+        best = found.orderBy("score", *ties).limit(top_k)
         if rerank:
-            best = self.reranker(best, query).orderBy("score", "id")
+            best = self.reranker(best.withColumn("_before", F.col("score")), query).orderBy("score", "_before", *ties)
         return best.select("id", "score", "payload", "score_details")
 
+    def _beside_entities(self, memories: DataFrame, vector: list[float], window: int, scope: dict[str, str], threshold: float | None) -> DataFrame:
+        """The memories among the ``window`` nearest of memories and entities of a scope."""
+        named = self.tables.links.where(filters.in_scope({k: v for k, v in scope.items() if k in self.tables.links.columns}, F.col)).select(*SCOPE_KEYS, "entity_type", "entity_text").distinct()
+        slots = named.select(entity_id().alias("id"), self.embedding.of_column(F.col("entity_text")).alias("vector"), F.lit(True).alias("_slot"))
+        every = memories.withColumn("_slot", F.lit(False)).unionByName(slots, allowMissingColumns=True)
+        return nearest(every, vector, window, self.settings.metric, threshold).where(~F.col("_slot")).drop("_slot")
+
     def search_each(self, queries: DataFrame, top_k: int, scope: dict[str, str], today: str, spec: dict | None = None, show_expired: bool = False, index: DataFrame | None = None) -> DataFrame:
         """query_id, rank, id, score, payload of a batch of ``queries`` (query_id, query)."""
         if top_k < 1 or (self.settings.max_top_k is not None and top_k > self.settings.max_top_k):

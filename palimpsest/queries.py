@@ -186,6 +186,15 @@ def history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.history(lifecycle.Tables(None, log, None), "7", 2, 20)
 
 
+@_register("records_and_entries", f"SELECT {_ID} AS id, source AS user_id, md5(text) AS hash, 'added' AS event FROM documents")
+def records_and_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What clients are shown of memories and of their history."""
+    rows = _memories(spark, sf_dir)
+    log = rows.select("id", F.lit(0).cast("long").alias("seq"), F.lit("Added").alias("event"), "content")
+    shown = lifecycle.as_records(rows).join(lifecycle.as_entries(log), "id")
+    return shown.select("id", F.col("payload")["user_id"].alias("user_id"), F.md5(F.col("payload")["content"]).alias("hash"), "event")
+
+
 @_register("list_entities_counts", "SELECT 'user_id' AS entity_type, source AS entity_id, count(*) AS memory_count FROM documents WHERE source IS NOT NULL GROUP BY source UNION ALL SELECT 'agent_id', lang, count(*) FROM documents WHERE lang IS NOT NULL GROUP BY lang")
 def list_entities_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.list_entities(_memories(spark, sf_dir))
@@ -558,9 +567,9 @@ def count_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("fetch_in_order", f"SELECT (row_number() OVER (ORDER BY doc_id DESC) - 1)::BIGINT AS pos, {_ID} AS id, text AS content FROM documents WHERE doc_id % 50 = 0")
 def fetch_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _memories(spark, sf_dir)
-    asked = [r["id"] for r in rows.where("seq % 50 = 0").select("id").orderBy(F.desc("id")).toLocalIterator()]
-    ids = spark.createDataFrame([*enumerate(asked), (len(asked), "rec-unknown")], "pos long, id string")
-    return lifecycle.fetch(rows, ids).select("pos", "id", "content")
+    ids = ranking.numbered(rows.where("seq % 50 = 0").select("id"), F.desc("id"))
+    unknown = spark.range(1).select(F.lit("rec-unknown").alias("id"), F.lit(-1).cast("long").alias("pos"))
+    return lifecycle.fetch(rows, ids.unionByName(unknown)).select("pos", "id", "content")
 
 
 @_register("upsert_records", "SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE label::VARCHAR END AS label, round(CASE WHEN vec_id % 3 = 0 THEN embedding[1] + 1 ELSE embedding[1] END::DOUBLE, 4) AS first FROM embeddings")
@@ -710,21 +719,41 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = _memories(spark, sf_dir).where("content <> ''").withColumn("vector", hash_embedding(F.col("content")))
     tables = lifecycle.Tables(rows, None, entities.links(rows))
-    return Engine(spark, tables=tables).search("licensed under the general public license", 10, {"agent_id": "en"}, TODAY, rerank=True, explain=True)
+    return Engine(spark, tables=tables).search(ASKED_FOR, 10, {"agent_id": "en"}, TODAY, rerank=True, explain=True)
 
 
 QUERIES["search"] = flagship
 
+ASKED_FOR = "licensed under the general public license"
+_ASKED_VECTOR = "[" + ", ".join(f"{int(x)}" for x in embed_text(ASKED_FOR)) + "]"
+_ASKED_FAR = f"list_reduce(list_transform(list_zip({_hash_sql('text')}, {_ASKED_VECTOR}), lambda x: abs(x[1] - x[2])::FLOAT), lambda a, b: (a + b)::FLOAT, 0::FLOAT)"
+_ASKED_TOKENS = f"list_distinct({_TOKENS.format(chr(39) + ASKED_FOR + chr(39))})"
+
+
+@_register(
+    "search_scores",
+    f"""WITH {_bm25_sql("(SELECT * FROM documents WHERE text <> '')", "doc_id", ASKED_FOR)},
+sem AS (SELECT doc_id AS id, text, {_ASKED_FAR} AS s FROM documents WHERE lang = 'en' AND text <> '' ORDER BY 3, 1 LIMIT 500),
+kwl AS (SELECT id, keyword_score::FLOAT AS k FROM kw WHERE lang = 'en' ORDER BY keyword_score, id LIMIT 500),
+b AS (SELECT (SELECT min(s) FROM sem) AS s0, (SELECT max(s) FROM sem) AS s1, (SELECT min(k) FROM kwl) AS k0, (SELECT max(k) FROM kwl) AS k1),
+f AS (SELECT sem.id, text, s, (CASE WHEN s1 > s0 THEN (s - s0)::DOUBLE / (s1 - s0) ELSE 0 END + CASE WHEN k IS NULL THEN 1 WHEN k1 > k0 THEN (k - k0)::DOUBLE / (k1 - k0) ELSE 0 END) / 2 AS score FROM sem LEFT JOIN kwl ON sem.id = kwl.id, b),
+top AS (SELECT * FROM f ORDER BY score, s, id LIMIT 10), t AS (SELECT min(score) AS t0, max(score) AS t1 FROM top)
+SELECT {_ID.replace("doc_id", "id")} AS id, round((CASE WHEN t1 > t0 THEN (score - t0) / (t1 - t0) ELSE 0 END + 1 - len(list_intersect({_ASKED_TOKENS}, list_distinct({_TOKENS.format('text')})))::DOUBLE / len({_ASKED_TOKENS})) / 2, 4) AS score FROM top, t""",
+)
+def search_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and scores of the flagship search."""
+    return flagship(spark, sf_dir).select("id", _score())
+
 
 @_register("search_batch")
 def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A search for the first 60 characters of every conversation's first turn, over all turns as memories."""
+    """A search for the first 60 characters of the first turn of every conversation whose id is divisible by 50, over all turns as memories."""
     from .plans.engine import Engine
 
     c = _t(spark, sf_dir, "conversations").where("text <> ''")
     payload = F.create_map(F.lit("user_id"), F.lit("u"), F.lit("agent_id"), F.col("role"), F.lit("content"), F.col("text"))
     rows = promote(c.select(F.concat_ws("-", F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("id"), hash_embedding(F.col("text")).alias("vector"), payload.alias("payload")))
     linked = entities.links(rows.withColumn("seq", F.lit(0).cast("long")))
-    asked = c.where("turn = 0").select(F.col("conv_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    asked = c.where("turn = 0 AND conv_id % 50 = 0").select(F.col("conv_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
     found = Engine(spark, tables=lifecycle.Tables(rows, None, linked)).search_each(asked, 5, {"user_id": "u"}, TODAY)
     return found.select("query_id", "rank", "id", "score")

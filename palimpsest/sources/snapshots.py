@@ -58,9 +58,16 @@ def _load_arrays(spark: SparkSession, path: str, schema: str, lenient: bool = Fa
     return rows
 
 
+#: Text of a file of a JSON array, which is made in one task.
+FILE_BYTES = 64 << 20
+
+
 def _save_arrays(df: DataFrame, path: str, key: str, files: int) -> None:
-    """``df`` as ``files`` files of a JSON array each, dealt by ``key``; an array is made in one task, so large tables need many files."""
-    dealt = df.select(F.pmod(F.xxhash64(key), F.lit(files)).cast("int").alias("file"), F.to_json(F.struct(*df.columns)).alias("row"))
+    """``df`` as ``files`` files of a JSON array each, or as many as keep them to about FILE_BYTES, dealt by all columns, so that rows of one ``key`` spread too."""
+    rows = df.select(key, F.to_json(F.struct(*df.columns)).alias("row"))
+    size = rows.agg(F.sum(F.octet_length("row").cast("long") + 2)).first()[0] or 0
+    files = max(files, -(-size // FILE_BYTES))
+    dealt = rows.select(F.pmod(F.xxhash64(key, "row"), F.lit(files)).cast("int").alias("file"), "row")
     arrays = dealt.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("row"), ",\n"), F.lit("]")).alias("value"))
     arrays.write.mode("overwrite").partitionBy("file").text(path)
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.errors import Config, DimensionMismatch, NotFound, Provider, Validation
-from palimpsest.functions.embed import Embedding
+from palimpsest.functions.embed import Embedding, embed_text
 from palimpsest.operators import keyword, lifecycle, ranking
 from palimpsest.operators.knn import nearest, window_size
 from palimpsest.plans.engine import Engine, Settings
@@ -27,14 +27,16 @@ def test_add_search_update_delete(spark):
     assert e.add(said(spark, "Rust is fun."), {"user_id": "bob"}).count() == 1
     assert e.tables.links.count() == 1
     found = e.search("Rust", 5, scope, TODAY, explain=True).collect()
-    assert found[0]["payload"]["content"] == "Rust is fun." and len(found) == 2
-    assert found[0]["score_details"]["bm25_score"] is not None and found[1]["score_details"]["bm25_score"] is None
+    by_content = {r["payload"]["content"]: r for r in found}
+    assert by_content["Rust is fun."]["score_details"]["bm25_score"] is not None and by_content["Bob Smith lives in Berlin."]["score_details"]["bm25_score"] is None
+    assert len(found) == 2 and found[0]["score"] == found[1]["score"]  # the nearer one lacks the word: a tie, in which the nearer one stays first
+    assert found[0]["score_details"]["semantic_score"] < found[1]["score_details"]["semantic_score"]
     boosted = {r["payload"]["content"]: r for r in e.search("Tell me about Bob Smith", 5, scope, TODAY, explain=True, rerank=True).collect()}
     assert boosted["Bob Smith lives in Berlin."]["score_details"]["entity_boost"] == pytest.approx(0.15)
     plain = [r["id"] for r in e.search("Rust", 5, scope, TODAY).collect()]
     assert plain == [r["id"] for r in found]
 
-    id_ = found[0]["id"]
+    id_ = by_content["Rust is fun."]["id"]
     changed = lifecycle.update(e.tables, id_, "Go is fun.", {"topic": "go"})
     row = lifecycle.get(changed.memories, id_).first()
     assert row["content"] == "Go is fun." and row["payload"]["topic"] == "go" and row["payload"]["user_id"] == "alice"
@@ -241,3 +243,55 @@ def test_streamed_ingest(spark, tmp_path):
     events = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (1, "b", 3)], "u int, s string, o int")
     assert ingest.session_gate(events, "u", "s", "o", 2).first()["due"]
     assert [r["o"] for r in ingest.last_requests(events, "o", 2).select(F.col("o")).collect()] == [2, 3]
+
+
+def test_ties_keep_the_order_before(spark):
+    e, scope = Engine(spark), {"user_id": "u"}
+    e.add(said(spark, *(f"same words {i}" for i in range(6))), scope, infer=False)
+    flat = lambda results, query: results.withColumn("score", F.lit(0.5).cast("float"))
+    e.reranker = flat
+    before = [r["id"] for r in e.search("same", 6, scope, TODAY).collect()]
+    assert [r["id"] for r in e.search("same", 6, scope, TODAY, rerank=True).collect()] == before
+
+
+def test_entities_take_window_slots(spark, monkeypatch):
+    from palimpsest.plans import engine
+
+    monkeypatch.setattr(engine, "window_size", lambda k: 4)
+    e, scope = Engine(spark), {"user_id": "u"}
+    names = ["Ada Brandt", "Ove Lind", "Bo Ek", "Eva Holm", "Ulf Dahl"]
+    e.add(said(spark, *(f"{n} is here" for n in names)), scope, infer=False)
+    query = "Ada Brandt"  # the entity itself is nearest, at distance 0
+    plain, slots = e.search(query, 4, scope, TODAY).count(), e.search(query, 4, scope, TODAY, entity_slots=True).count()
+    vectors = [(embed_text(n), False) for n in names] + [(embed_text(f"{n} is here"), True) for n in names]
+    nearest_four = sorted(vectors, key=lambda v: sum(abs(a - b) for a, b in zip(v[0], embed_text(query), strict=True)))[:4]
+    assert plain == 4 and slots == sum(is_memory for _, is_memory in nearest_four) < 4
+
+
+def test_numbering_and_marks(spark):
+    from palimpsest.functions import text
+
+    rows = spark.range(500).select((F.col("id") * 37 % 500).alias("v"))
+    assert sorted((r["v"], r["pos"]) for r in ranking.numbered(rows, F.desc("v")).collect()) == [(v, 499 - v) for v in range(500)]
+    cut = spark.createDataFrame([("Ada Brandt\x01Ove Lind met Bo Ek",)], "t string").select(text.proper_spans(F.col("t")).alias("s")).first()["s"]
+    assert cut == ["Bo Ek"]  # the sign within a word ends both runs
+
+
+def test_batch_search_of_registered_query(spark, sf):
+    """Some of its questions, each asked alone."""
+    from palimpsest import queries
+    from palimpsest.operators import entities
+
+    got = queries.search_batch(spark, sf).collect()
+    c = spark.read.parquet(f"{sf}/conversations.parquet").where("text <> ''")
+    asked = {r["conv_id"]: r["text"][:60] for r in c.where("turn = 0 AND conv_id % 50 = 0").collect()}
+    assert asked and {r["query_id"] for r in got} == set(asked)
+    payload = F.create_map(F.lit("user_id"), F.lit("u"), F.lit("agent_id"), F.col("role"), F.lit("content"), F.col("text"))
+    from palimpsest.functions.embed import hash_embedding
+    from palimpsest.schema import promote
+
+    rows = promote(c.select(F.concat_ws("-", F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("id"), hash_embedding(F.col("text")).alias("vector"), payload.alias("payload"))).cache()
+    e = Engine(spark, tables=lifecycle.Tables(rows, None, entities.links(rows.withColumn("seq", F.lit(0).cast("long"))).cache()))
+    q = min(asked)
+    own = [(r["id"], round(r["score"], 4)) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])]
+    assert sorted(own) == sorted((r["id"], round(r["score"], 4)) for r in e.search(asked[q], 5, {"user_id": "u"}, TODAY).collect())
