@@ -9,7 +9,9 @@ can take its place.
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,8 +21,9 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 MARK = "[SECRET]"
-SHORTEST = 10
-#: Code points beside a candidate that its features look at.
+#: Code points of a candidate by its shape, and of a value after a key word.
+SHORTEST, SHORTEST_VALUE = 10, 4
+#: Code points right beside a candidate that are kept for what stands against it; the neighbouring words are looked at whole.
 CONTEXT = 200
 #: Words that stand before keys, words that stand before other long codes, words of samples. Fixed values.
 KEY_WORDS = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "auth", "bearer", "credential", "credentials", "private")
@@ -37,9 +40,11 @@ DICTIONARY = (
 #: Words of passphrases, and plain words and names of types that stand after key words. Fixed values.
 PASS_WORDS = "apple arrow banjo barrel bishop bottle candle canyon copper cobalt dragon eagle falcon feather garden ginger hammer harbor island ivory jacket jungle kitten lantern lemon magnet marble meadow nickel ocean orange parrot pepper pirate pocket purple quartz rabbit ribbon river rocket saddle salmon silver spider sunset thunder tiger timber turtle velvet violet walnut whisper winter yellow zebra".split()
 PLAIN_WORDS = "required optional authentication authorization identifier unavailable undefined description information application international confidential importantly everything understanding string|null unspecified deprecated configuration expiration_date case-sensitive Optional[str] process.env credentials_provider username/password encryption documentation permissions environment".split()
+SHORT_WORDS = "true false null none string user users name type value values basic bearer digest public private primary foreign index hash enabled disabled required optional default text bytes object array number int64 utf8 login admin guest client server session cookie header".split()
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{%d,}={0,2}" % SHORTEST)
 _PREFIX = re.compile("|".join(map(re.escape, PREFIXES)))
-_WORD = re.compile(r"[a-z_]+[0-9]*")
+_WORD = re.compile(r"[A-Za-z_]+[0-9]*")
+_SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 #: A key word, = or :, and a value: in quotes, or up to a space or quote.
 _ASSIGNED = re.compile(
@@ -52,8 +57,46 @@ _PAIRS = frozenset(w[i : i + 2] for w in DICTIONARY for i in range(len(w) - 1))
 FEATURES = ("length", "transitions", "word_pairs", "digits", "capitals", "distinct", "hex", "coverage", "path", "key_word", "code_word", "sample_word", "assigned", "prefix", "symbols", "spaces", "quoted", "slashes")
 
 
-def features(value: str, before: str, after: str, path: str) -> list[float]:
-    """Of a candidate, up to three words before it with what stands right before, the word after, and its path."""
+class _Around:
+    """The words of a text as neighbours: each is looked at once, however many candidates stand beside or in it."""
+
+    def __init__(self, text: str):
+        self.text, self.spans, self.known = text, [m.span() for m in _SPLIT.finditer(text)], {}
+        self.starts = [a for a, _ in self.spans]
+
+    def _word(self, i: int) -> tuple[list[int], list[set[str]], float]:
+        """Ends and parts of a word's terms, and where its first sample word ends."""
+        if i not in self.known:
+            word = self.text[slice(*self.spans[i])]
+            found = list(_WORD.finditer(word))
+            parts = [{p for w in [_CAMEL.sub("_", m[0]).lower()] for p in (w, *w.split("_"))} for m in found]
+            low = word.lower()
+            self.known[i] = [m.end() for m in found], parts, min((at + len(w) for w in SAMPLE_WORDS if (at := low.find(w)) >= 0), default=math.inf)
+        return self.known[i]
+
+    def flags(self, start: int, end: int) -> tuple[float, float, float]:
+        """Whether key, code and sample words stand before: in the last three terms of its word before it and of each of three words before that. A sample word may follow, too."""
+        i = bisect_right(self.starts, start) - 1
+        inside = i >= 0 and self.spans[i][1] > start
+        terms, sample = [], False
+        if inside:
+            ends, parts, first = self._word(i)
+            k = bisect_right(ends, start - self.starts[i])
+            terms += parts[max(0, k - 3) : k]
+            sample = first <= start - self.starts[i]
+        here = i if inside else i + 1
+        for j in range(max(0, here - 3), here):
+            _, parts, first = self._word(j)
+            terms += parts[-3:]
+            sample = sample or first < math.inf
+        after = bisect_left(self.starts, end)
+        sample = sample or (after < len(self.starts) and self._word(after)[2] < math.inf)
+        near = set().union(*terms)
+        return float(not near.isdisjoint(KEY_WORDS)), float(not near.isdisjoint(CODE_WORDS)), float(sample)
+
+
+def features(value: str, before: str, after: str, path: str, flags: tuple[float, float, float] | None = None) -> list[float]:
+    """Of a candidate, the words before it with what stands right before, the word after, its path, and what ``_Around`` says of it, if that saw more words than these."""
     n = len(value)
     kind = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in value]
     low = value.lower()
@@ -63,9 +106,9 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
         size = next((k for k in range(min(10, n - i), 2, -1) if low[i : i + k] in _LONG_WORDS), 0)
         covered += size
         i += size or 1
-    near = _WORD.findall(_CAMEL.sub("_", before).lower())[-3:]
-    parts = {p for w in near for p in (w, *w.split("_"))}
-    around = f"{before} {value} {after}".lower()
+    if flags is None:
+        flags = _Around(f"{before}{value} {after}").flags(len(before), len(before) + n)
+    key_word, code_word, sample_word = flags
     return [
         float(n),
         sum(a != b for a, b in zip(kind, kind[1:], strict=False)) / max(n - 1, 1),
@@ -76,9 +119,9 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
         float(all(c in "0123456789abcdef" for c in low)),
         covered / n,
         float(bool(_PATHS.search(path))),
-        float(any(p in KEY_WORDS for p in parts)),
-        float(any(p in CODE_WORDS for p in parts)),
-        float(any(w in around for w in SAMPLE_WORDS)),
+        key_word,
+        code_word,
+        float(sample_word or any(w in low for w in SAMPLE_WORDS)),
         float(before.rstrip(" \t\"'`").endswith(("=", ":"))),
         float(bool(_PREFIX.match(value))),
         sum(not c.isalnum() and not c.isspace() for c in value) / n,
@@ -165,8 +208,10 @@ def _assigned(n: int, seed: int) -> list[tuple[str, str, str, str, int]]:
         key = r.choice((key, key, key.upper(), f"db_{key}", f"user{key.capitalize()}"))
         before, quote = f"{plain()} {plain()} {key}{r.choice(('=', ' = ', ': ', ':'))}", r.choice(('"', "'", '"', ""))
         if i % 2:
-            kind = r.randrange(5)
-            if kind == 0:
+            kind = r.randrange(7)
+            if kind >= 5:  # short ones: a word and digits, or anything
+                value = rare() + text("0123456789", 1, 4) if kind == 5 else text(letters + letters.upper() + "0123456789" + symbols, 6, 9)
+            elif kind == 0:
                 value = "".join(rare() for _ in range(r.randint(3, 5)))
             elif kind == 1:
                 value, quote = r.choice((" ", "-", ".")).join(rare() for _ in range(r.randint(4, 6))), quote or '"'
@@ -178,8 +223,11 @@ def _assigned(n: int, seed: int) -> list[tuple[str, str, str, str, int]]:
                 word = "".join(r.choice((c, c, c.upper(), {"a": "@", "o": "0", "i": "1", "s": "$", "e": "3"}.get(c, c))) for c in rare() + rare())
                 value = (word + r.choice(symbols) + text(letters + "0123456789" + symbols, 3, 8))[:24]
         else:
-            kind = r.randrange(6)
-            if kind == 0:
+            kind = r.randrange(8)
+            if kind >= 6:  # short words of types, settings and prose, and small numbers
+                value = r.choice((r.choice(SHORT_WORDS), plain(), plain().capitalize(), str(r.randint(1000, 99999)), f"{plain()}_{plain()}"))
+                quote = r.choice(("", "", quote))
+            elif kind == 0:
                 value, quote = r.choice(PLAIN_WORDS), r.choice(("", "", quote))
             elif kind == 1:
                 value, quote = " ".join(plain() for _ in range(r.randint(3, 12))).capitalize() + r.choice(("", ".")), quote or '"'
@@ -193,7 +241,7 @@ def _assigned(n: int, seed: int) -> list[tuple[str, str, str, str, int]]:
                 value = r.choice(("https://", "http://", "/")) + "/".join(plain() for _ in range(r.randint(2, 5)))
                 if r.random() < 0.6:  # the secret in it is a candidate of its own
                     value += f"?{r.choice(KEY_WORDS)}={text('0123456789abcdef' if r.random() < 0.5 else letters + letters.upper() + '0123456789', 16, 48)}"
-        if len(value) >= SHORTEST:
+        if len(value) >= SHORTEST_VALUE:
             out.append((value, before + quote, plain(), r.choice(("src0", "web", "src12", "config/app.ini", "notes")), i % 2))
     return out
 
@@ -266,7 +314,7 @@ def train(labelled: list[tuple[str, str, str, str, int]] | None = None) -> Fores
 
 
 def _candidates(texts: list[bytes]):
-    """For each text the spans of its candidates as (start, end, words before, word after), in code points."""
+    """For each text its candidates as (start, end, value, what stands before, word after, flags of whole neighbouring words), in code points."""
     import numpy as np
 
     from ._tokens import Words
@@ -283,6 +331,13 @@ def _candidates(texts: list[bytes]):
             prefixed[np.searchsorted(words.start, at, "right") - 1] = True
             at = text.find(p, at + 1)
     out: list[list] = [[] for _ in texts]
+    around: dict[int, _Around] = {}
+
+    def beside(d: int) -> _Around:
+        if d not in around:
+            around[d] = _Around(texts[d].decode())
+        return around[d]
+
     for i in np.flatnonzero((has_digit | prefixed) & (words.end - words.start >= SHORTEST)).tolist():
         d = int(words.doc[i])
         start, end = int(words.start[i]), int(words.end[i])
@@ -297,11 +352,11 @@ def _candidates(texts: list[bytes]):
                 first = max(int(words.first[d]), i - 3)
                 lead = text[int(words.start[first]) : start].decode()[-CONTEXT:]
                 after = text[int(words.start[i + 1]) : int(words.end[i + 1])].decode()[:CONTEXT] if i + 1 < words.first[d + 1] else ""
-            out[d].append((base + m.start(), base + m.end(), value, (lead + word[max(0, m.start() - CONTEXT) : m.start()])[-CONTEXT:], after))
-    for own, raw in zip(out, texts, strict=True):
+            out[d].append((base + m.start(), base + m.end(), value, (lead + word[max(0, m.start() - CONTEXT) : m.start()])[-CONTEXT:], after, beside(d).flags(base + m.start(), base + m.end())))
+    for d, (own, raw) in enumerate(zip(out, texts, strict=True)):
         if b"=" in raw or b":" in raw:
             known = {c[:2] for c in own}
-            own += [c for c in _values(raw.decode()) if c[:2] not in known]
+            own += [(*c, beside(d).flags(*c[:2])) for c in _values(raw.decode()) if c[:2] not in known]
             own.sort(key=lambda c: c[:2])
     return out
 
@@ -314,7 +369,7 @@ def _values(text: str) -> Iterator[tuple[int, int, str, str, str]]:
         if m.lastindex == 4:
             value = value.rstrip(",;")
             end = start + len(value)
-        if len(value) < SHORTEST:
+        if len(value) < SHORTEST_VALUE:
             continue
         lead, rest = text[max(0, start - CONTEXT) : start], text[end : end + 2 * CONTEXT]
         words, later = lead.split(), rest.split()
@@ -339,6 +394,8 @@ def scan(docs: DataFrame, forest: Forest, path: str = "source", threshold: float
 
     With ``redact``, instead, the columns of ``docs`` with every secret replaced by MARK, and n_chars, if there, counted
     anew where that was so. Null texts stay null and have no candidates; columns named like the new ones are replaced.
+    Rows are independent, so repeated ones are judged alike, and an empty table gives an empty one. Texts and their words are read
+    whole, in blocks; a text's time grows with its length, however long its words are.
     """
     shared = docs.sparkSession.sparkContext.broadcast(forest)
     new = [] if redact else ["n_candidates", "secrets"]
@@ -356,7 +413,7 @@ def scan(docs: DataFrame, forest: Forest, path: str = "source", threshold: float
         for b in C.text_blocks(batches):
             paths = b["_path"].to_pylist()
             candidates = _candidates(as_bytes(b["text"]))
-            rows = [features(c[2], c[3], c[4], p) for own, p in zip(candidates, paths, strict=True) for c in own]
+            rows = [features(c[2], c[3], c[4], p, c[5]) for own, p in zip(candidates, paths, strict=True) for c in own]
             scores = iter(shared.value.score(np.array(rows)).tolist() if rows else [])
             spans = [_apart([s for c in own if (s := {"start": c[0], "end": c[1], "score": next(scores)})["score"] >= threshold]) for own in candidates]
             columns = {c: b[c] for c in kept}

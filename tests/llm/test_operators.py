@@ -449,6 +449,20 @@ def test_secrets(spark, odd, empty):
     assert right.mean() > 0.95
 
 
+def test_short_secrets_and_far_words(spark):
+    """Values of a few characters after a key word, and words beside candidates that a long word parts from them."""
+    secret = ["password=hunter2", 'password: "Tr0ub4dor"', "pwd=s3cr3t!9", "db_password = kitten42", "secret: x9$Qa7!"]
+    plain = ["password: string", "token: none", "auth: basic", "key: value", 'token: "user"', "the secret: they left", "auth = true", "key: 4096"]
+    docs = spark.createDataFrame([(i, f"some words {t} and more") for i, t in enumerate(secret + plain)], "doc_id long, text string")
+    got = {r["doc_id"]: [r["text"][s["start"] : s["end"]] for s in r["secrets"]] for r in secret_scan.scan(docs, secret_scan.train()).collect()}
+    assert [got[i] for i in range(len(secret))] == [["hunter2"], ["Tr0ub4dor"], ["s3cr3t!9"], ["kitten42"], ["x9$Qa7!"]]
+    assert all(not got[len(secret) + i] for i in range(len(plain)))
+    url = "https://host/" + "/".join(["path"] * 200)
+    value = "0123456789abcdef0123456789abcdef"
+    for lead, want in ((f"the token {url} {value} end", (1.0, 0.0, 0.0)), (f"an example {url} {value}", (0.0, 0.0, 1.0)), (f"commit {url} {value}", (0.0, 1.0, 0.0)), (f"so {url} {value}", (0.0, 0.0, 0.0)), (f"so {value} {url}/sample", (0.0, 0.0, 1.0))):
+        assert next(c for c in secret_scan._candidates([lead.encode()])[0] if c[2] == value)[5] == want, lead[:20]
+
+
 def test_secrets_without_digits(spark):
     secret = {
         'password = "correcthorsebatterystaple" end': "correcthorsebatterystaple", 'é dbPassword: \'P@ss-w0rd!x\', end': "P@ss-w0rd!x", "password=P@ss-w0rd!x": "P@ss-w0rd!x",
