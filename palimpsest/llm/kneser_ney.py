@@ -38,6 +38,8 @@ MAX_MAPS = 8192
 #: Distinct keys that a counting task holds before it passes them on.
 HELD_KEYS = 4_000_000
 OUT_ROWS = 250_000
+#: Numbers of words are halves of a bigram's key, of which the higher one has a sign.
+MOST_WORDS = (1 << 31) - 1
 
 
 #: A map holds no file open where Python can leave that out, so the number of files has no limit of open files.
@@ -459,6 +461,8 @@ def train(docs: DataFrame, order: int = 2) -> Model:
     files, _ = write_arrays(words.select(F.shiftright("key", 64 - bits).alias("shard"), "key", "n"), f"{path}/words", ["n"])
     vocabulary = Arrays(C.local_path(f"{path}/words"), 1, files)
     size = vocabulary.rows
+    if size >= MOST_WORDS:
+        raise ValueError(f"{size} words and a place for starts pass the halves of a 64-bit key")
     shards = _shards(spark, 20 * size)
     cuts = _cuts(size + 1, shards, *_heavy(spark, vocabulary, shards))
 

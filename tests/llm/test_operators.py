@@ -619,3 +619,9 @@ def test_likeness_against_exact_shares(spark):
         errors = [x["x"] - share / 4 for x in out if x["share"] == share]
         assert abs(sum(errors)) / 10 < 0.12 and math.sqrt(sum(e * e for e in errors) / 10) < 0.3 * (1 - share / 4) + 0.03
     assert next(x["x"] for x in out if x["share"] == 9) > 0.8
+
+
+def test_language_model_guards_its_keys(spark, sf, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "MOST_WORDS", 10)
+    with pytest.raises(ValueError, match="64-bit"):
+        kneser_ney.train(spark.read.parquet(f"{sf}/documents.parquet"))
