@@ -10,6 +10,7 @@ is exact: the weights that speak for a class, of all the model's words in it and
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Callable
@@ -114,6 +115,11 @@ def _let(column: Column, use) -> Column:
     return F.element_at(F.transform(F.array(column), use), 1)
 
 
+def _constant(rows: list, kind: str) -> Column:
+    """A value of an SQL type, given as JSON: the optimiser makes one literal of it, wherever it stands."""
+    return F.from_json(F.lit(json.dumps(rows)), kind)
+
+
 def _words(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(f"({_TOKEN})"), F.lit(1))
 
@@ -139,13 +145,12 @@ def _may_be_licence(model: Model):
     least = math.log(SURE / (1 - SURE) / (len(CLASSES) - 1)) * model.temperature
     gains = [[_whole(max(round(float(w[c]), 6) - round(float(w[0]), 6), 0.0), up=True) for c in range(1, len(CLASSES))] for w in model.weights]
     needs = [_whole(least - float(model.bias[c]) + float(model.bias[0])) - 1 for c in range(1, len(CLASSES))]
-    numbers = lambda g: [F.lit(x).cast("long").alias(f"g{c}") for c, x in enumerate(g)]
+    numbers = lambda g: {f"g{c}": x for c, x in enumerate(g)}
     singles = [(t, g) for t, g in zip(model.vocabulary, gains, strict=True) if " " not in t]
     pairs = [(t.split(" "), g) for t, g in zip(model.vocabulary, gains, strict=True) if " " in t and any(g)]
-    known = F.array(*(F.lit(t) for t, _ in singles))
-    word_table = F.array(*(F.struct(F.lit(t).alias("a"), F.lit(t).alias("b"), *numbers(g)) for t, g in singles if any(g)))
-    pair_table = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), *numbers(g)) for (a, b), g in pairs))
-    table = F.concat(word_table, pair_table)
+    known = _constant([t for t, _ in singles], "array<string>")
+    rows = [{"a": t, "b": t, **numbers(g)} for t, g in singles if any(g)] + [{"a": a, "b": b, **numbers(g)} for (a, b), g in pairs]
+    table = _constant(rows, "array<struct<a: string, b: string, " + ", ".join(f"g{c}: bigint" for c in range(len(needs))) + ">>")
 
     def reaches(held: Column) -> Column:
         here = F.filter(table, lambda v: F.array_contains(held, v["a"]) & F.array_contains(held, v["b"]))
@@ -159,9 +164,9 @@ def _may_be_licence(model: Model):
 
 def _bears_out(grams: Column) -> Column:
     """Whether the terms reach BORNE_OUT of any template; if a text's don't, no part's do."""
-    own = [F.array(*map(F.lit, sorted(terms(text)))) for _, text in TEMPLATES]
-    every = F.array(*map(F.lit, sorted({t for _, text in TEMPLATES for t in terms(text)})))
-    reaches = lambda held: F.exists(F.array(*own), lambda t: F.size(F.array_intersect(t, held)) >= BORNE_OUT * F.size(t))
+    own = _constant([sorted(terms(text)) for _, text in TEMPLATES], "array<array<string>>")
+    every = _constant(sorted({t for _, text in TEMPLATES for t in terms(text)}), "array<string>")
+    reaches = lambda held: F.exists(own, lambda t: F.size(F.array_intersect(t, held)) >= BORNE_OUT * F.size(t))
     return _let(F.array_intersect(every, grams), lambda held: F.exists(held, lambda t: t.contains(" ")) & reaches(held))
 
 
@@ -192,9 +197,9 @@ def _judged(unit: Column, model: Model) -> Column:
     """rank, more, less (what ``_settled`` orders by), place, last (numbers of lines), family, probability, borne_out of a unit; null if it isn't licence-like."""
     own = [terms(text) for _, text in TEMPLATES]
     z_names, t_names = [f"z{i}" for i in range(len(CLASSES))], [f"t{i}" for i in range(len(own))]
-    row = lambda t, w: F.struct(F.lit(t).alias("term"), *(F.lit(_whole(round(float(x), 6))).cast("long").alias(n) for n, x in zip(z_names, w, strict=True)), *(F.lit(int(t in o)).cast("long").alias(n) for n, o in zip(t_names, own, strict=True)))
-    table = F.array(*(row(t, w) for t, w in zip(model.vocabulary, model.weights, strict=True)))
-    known = F.array(*map(F.lit, model.vocabulary))
+    row = lambda t, w: {"term": t, **{n: _whole(round(float(x), 6)) for n, x in zip(z_names, w, strict=True)}, **{n: int(t in o) for n, o in zip(t_names, own, strict=True)}}
+    table = _constant([row(t, w) for t, w in zip(model.vocabulary, model.weights, strict=True)], "array<struct<term: string, " + ", ".join(f"{n}: bigint" for n in (*z_names, *t_names)) + ">>")
+    known = _constant(model.vocabulary, "array<string>")
     zero = F.struct(*(F.lit(0).cast("long").alias(n) for n in (*z_names, *t_names)))
     add = lambda acc, v: F.struct(*((acc[n] + v[n]).alias(n) for n in (*z_names, *t_names)))
 
