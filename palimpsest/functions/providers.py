@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import Conflict, Provider
+from ..errors import Conflict, DimensionMismatch, Provider
 from ..sources.commits import Commits
+from .embed import Embedding
 from .text import score_in
 
 #: Where a local server listens, and how long it may take for an embedding and for a text. Fixed values.
@@ -134,6 +135,40 @@ def ask_each(texts: DataFrame, ask: Ask, kind: str, policy: Policy = Policy()) -
     return texts.repartition(policy.tasks, "hash").mapInPandas(run, f"hash string, answer {kind}, error string")
 
 
+#: What a model is asked to make of a conversation.
+FACTS = "List the facts that the text states about people and their world, one on each line, and nothing else."
+SUMMARY = "Summarise what was done in this conversation, step by step."
+
+
+def column_of(ask: Ask, kind: str = "string", policy: Policy = Policy()) -> Callable[[Column], Column]:
+    """A provider as a Column of a Column: each different text of a batch of rows is asked once; null stays null, and a call that keeps failing fails the job."""
+
+    @F.pandas_udf(kind)
+    def answers(texts: pd.Series) -> pd.Series:
+        different, known = [t for t in dict.fromkeys(texts) if t is not None], {}
+        for at in range(0, len(different), policy.batch):
+            some = different[at : at + policy.batch]
+            found, error = _patiently(ask, some, policy)
+            if found is None:
+                raise Provider(error)
+            known |= zip(some, found, strict=True)
+        return pd.Series([known.get(t) for t in texts], dtype="object")
+
+    return answers
+
+
+def embedding_of(ask: Ask, dimension: int, policy: Policy = Policy()) -> Embedding:
+    """A provider as the embedding of an engine, for records and queries alike."""
+
+    def of_text(text: str) -> list[float]:
+        found = ask([text])[0]
+        if len(found) != dimension:
+            raise DimensionMismatch(dimension, len(found))
+        return found
+
+    return Embedding(of_text, column_of(ask, "array<float>", policy), dimension)
+
+
 class Cache:
     """Answers of one provider and model, kept by the hash of the text in a folder that executors share."""
 

@@ -19,7 +19,7 @@ def trimmed(x: Column) -> Column:
 
 def token_list(text: Column) -> Column:
     """Lower-cased runs of letters and digits, in order."""
-    return F.filter(F.split(F.lower(text), TOKEN_BREAK), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(text), TOKEN_BREAK), "")
 
 
 def token_set(text: Column) -> Column:

@@ -76,7 +76,8 @@ def search(docs: DataFrame, query: str, content: str = "content", require_all: b
     if not terms:
         return docs.withColumn("keyword_score", F.lit(None).cast("double")).limit(0)
     tokens = docs.withColumn("_tokens", token_list(F.coalesce(F.col(content), F.lit(""))))
-    counted = tokens.withColumn("_length", F.size("_tokens")).withColumn("_tf", F.array(*(F.size(F.filter("_tokens", _is(t))) for t in terms))).drop("_tokens")
+    held = tokens.withColumn("_length", F.size("_tokens")).withColumn("_held", F.filter("_tokens", lambda x: x.isin(*terms))).drop("_tokens")  # one pass, whatever the number of terms
+    counted = held.withColumn("_tf", F.array(*(F.size(F.filter("_held", _is(t))) for t in terms))).drop("_held")
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_length").alias("_average"), F.array(*(F.count_if(F.col("_tf")[i] > 0) for i in range(len(terms)))).alias("_df"))
     hits = reduce(and_ if require_all else or_, (F.col("_tf")[i] > 0 for i in range(len(terms))))
     scored = counted.where(hits).crossJoin(F.broadcast(stats))  # one row

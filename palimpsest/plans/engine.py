@@ -9,15 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import Config, Provider, Validation
-from ..functions import filters
+from ..functions import filters, providers
 from ..functions.embed import Embedding
-from ..functions.text import entities, sentence_facts
+from ..functions.text import entities, facts_of_lines, sentence_facts
 from ..operators import keyword, lifecycle, ranking
 from ..operators.entities import boosted_ids, entity_id
 from ..operators.knn import nearest, window_size
 from ..operators.lifecycle import Tables, value_of
 from . import batch
 from ..schema import ENTITY_LINKS, HISTORY, MEMORIES, SCOPE_KEYS
+from ..session import shared_path
 from ..sources.keyword_index import KeywordIndex
 from ..sources.log_store import LogStore
 from ..sources.vector_index import VectorIndex
@@ -108,7 +109,9 @@ class Engine:
         else:
             hits = keyword.search(memories.select("id", "content", *[c for c in memories.columns if c in scope and c != "content"], "payload"), query)
             hits = hits.where(filters.in_scope(scope, value_of(hits))).orderBy("keyword_score", "id").limit(window)
-        found = ranking.fuse(found, hits.select("id", "keyword_score")).withColumn("_fused", F.col("score"))
+        hits = hits.select("id", "keyword_score")
+        hits = self.spark.createDataFrame(hits.collect(), hits.schema)  # a window of ids and scores, which is read more than once
+        found = ranking.fuse(found, hits).withColumn("_fused", F.col("score"))
         asked = self.spark.range(1).select(entities(F.lit(query)).alias("e")).first()["e"]
         if asked:
             scope_links = self.tables.links.where(filters.in_scope({k: v for k, v in scope.items() if k in self.tables.links.columns}, F.col))
@@ -145,6 +148,9 @@ class Engine:
         else:
             found = lifecycle.facts_of(conversations, infer, self.extract)
             facts = found.select(seq(F.col("pos")), F.col("fact").alias("content"), *([] if infer else ["role"]))
+        if self.store is not None:  # written once: a provider isn't asked again for each table that a change has
+            facts.write.parquet(path := shared_path(self.spark, "facts"))
+            facts = self.spark.read.schema(facts.schema).parquet(path)
         args = (self.tables, facts, scope, metadata, self.settings.max_content_bytes, self.settings.max_metadata_bytes, self.embedding, plain)
         if self.store is None:
             self.tables, new = lifecycle.added(*args)
@@ -178,6 +184,21 @@ class Engine:
         self._keep(lifecycle.resetting(self.tables, scope, spec))
         return n
 
+    @classmethod
+    def over_server(cls, spark: SparkSession, url: str | None, settings: Settings, folder: str | None = None) -> Engine:
+        """An engine whose embeddings and facts come from the server at ``url``, by the settings' model, dimension and temperature; its memories are kept below ``folder`` in the settings' collection."""
+        settings.validate()
+        say = lambda instruction: providers.column_of(providers.chatter(url, settings.model, instruction, settings.temperature))
+        facts, summary = say(providers.FACTS), say(providers.SUMMARY)
+        return cls(
+            spark,
+            settings,
+            embedding=providers.embedding_of(providers.embedder(url, settings.model), settings.dimension),
+            extract=lambda text: facts_of_lines(facts(text)),
+            summarise=summary,
+            store=LogStore(spark, f"{folder.rstrip('/')}/{settings.collection}") if folder else None,
+        )
+
     def index(self, path: str) -> None:
         """Makes both indexes of the store's memories in a folder; searches use them from now on, and bring them up to date first."""
         if self.store is None:

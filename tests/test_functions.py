@@ -96,7 +96,7 @@ def test_entities(spark):
 
 
 def test_scores_and_dates(spark):
-    said = {"0.85": 0.85, "The score is 0.72 out of 1.0.": 0.72, "Score: 1": 1.0, "Score: 0": 0.0, "2.5": 1.0, "-0.3": 0.0, "none": 0.5}
+    said = {"0.375": 0.375, "I'd give this 0.4, or 0.9 at best": 0.4, "relevance 1 of 1": 1.0, "0, as it is about boats": 0.0, "7.25 stars": 1.0, "minus: -1.5": 0.0, "can't tell": 0.5, "3 of 10, so 0.3": 0.3}
     days = {0: "1970-01-01", 86400: "1970-01-02", 1609459200: "2021-01-01", 946684800: "2000-01-01", 951782400: "2000-02-29"}
     row = spark.range(1).select(*(text.score_in(F.lit(s)) for s in said), *(text.date_of(F.lit(s)) for s in days)).first()
     assert list(row) == [*said.values(), *days.values()]

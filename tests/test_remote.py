@@ -183,5 +183,27 @@ def test_servers_without_batches_and_chats(spark, tmp_path):
         assert [(r["conv_id"], r["pos"], r["fact"]) for r in facts.collect()] == [(1, 0, "0"), (1, 1, "9")]
 
 
+def test_engine_over_a_server(spark, tmp_path):
+    from palimpsest.plans.engine import Engine, Settings
+
+    def answer(method, path, body):
+        if path == "/api/embed":
+            return 200, {"embeddings": [[float(x.count("tea")), float(x.count("milk")), float(len(x))] for x in body["input"]]}
+        return 200, {"message": {"content": "\n".join(body["messages"][-1]["content"].split(" and "))}}
+
+    with Server(answer) as server:
+        settings = Settings(collection="c", dimension=3, model="some-model", temperature=0.5)
+        e = Engine.over_server(spark, server.url, settings, f"file://{tmp_path}/kept")
+        messages = spark.createDataFrame([(0, 0, "user", "tea is hot and milk is cold"), (1, 0, "user", "tea is hot")], "conv_id long, turn long, role string, text string")
+        assert {r["content"] for r in e.add(messages, {"user_id": "u"}).collect()} == {"tea is hot", "milk is cold"}
+        assert e.search("milk is cold", 1, {"user_id": "u"}, "2026-01-01").first()["payload"]["content"] == "milk is cold"
+        chats = [b for _, p, b in server.calls if p == "/api/chat"]
+        assert len(chats) == 2  # one for each message
+        assert all(b["model"] == "some-model" and b["options"] == {"temperature": 0.5} for b in chats)
+        assert (tmp_path / "kept" / "c" / "commits").exists()
+        again = Engine.over_server(spark, server.url, settings, f"file://{tmp_path}/kept")
+        assert again.tables.memories.count() == 2
+
+
 def test_addresses():
     assert [providers.base_url(x) for x in (None, " ", "http://h/", "h", "h:1", "https://h:2/")] == ["http://localhost:11434", "http://localhost:11434", "http://h", "http://h:11434", "http://h:1", "https://h:2"]
