@@ -155,9 +155,20 @@ def export_history(history: DataFrame) -> DataFrame:
     return history.groupBy("id").agg(F.to_json(entries).alias("entries"))
 
 
+def save_history(history: DataFrame, path: str, files: int = 1) -> None:
+    """The export as ``files`` files of a JSON object id -> [{event, content}] each, or as many as keep them to about FILE_BYTES."""
+    entry = F.to_json(F.create_map("id", F.from_json("entries", "array<struct<event:string,content:string>>")))
+    rows = export_history(history).select("id", F.substring(entry, F.lit(2), F.length(entry) - 2).alias("row"))
+    size = rows.agg(F.sum(F.octet_length("row").cast("long") + 2)).first()[0] or 0
+    files = max(files, -(-size // FILE_BYTES))
+    dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(files)).cast("int").alias("file"), "row")
+    objects = dealt.groupBy("file").agg(F.concat(F.lit("{"), F.array_join(F.collect_list("row"), ",\n"), F.lit("}")).alias("value"))
+    objects.write.mode("overwrite").partitionBy("file").text(path)
+
+
 def import_history(spark: SparkSession, path: str) -> DataFrame:
-    """Change history of a JSON object id -> [{event, content}]; it replaces what was there."""
-    text = spark.read.text(path, wholetext=True)
+    """Change history of a file, or a folder of files, of a JSON object id -> [{event, content}]; it replaces what was there."""
+    text = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     entries = text.select(F.explode(F.from_json("value", "map<string,array<struct<event:string,content:string>>>")).alias("id", "entries"))
     return entries.select("id", F.posexplode("entries").alias("seq", "e")).select("id", F.col("seq").cast("bigint"), "e.event", "e.content")
 

@@ -229,6 +229,12 @@ def test_snapshots(spark, tmp_path):
     out = snapshots.export_history(e.tables.history).first()
     (tmp_path / "history.json").write_text(f'{{"{out["id"]}": {out["entries"]}}}')
     assert snapshots.import_history(spark, f"file://{tmp_path}/history.json").first()["event"] == "Added"
+    log = e.tables.history.unionByName(spark.createDataFrame([('odd "id" é', 0, "Added", 'a "quoted"\nline'), ('odd "id" é', 1, "Deleted", "x")], "id string, seq bigint, event string, content string"))
+    for files in (1, 4):
+        snapshots.save_history(log, f"file://{tmp_path}/log{files}", files)
+        again = snapshots.import_history(spark, f"file://{tmp_path}/log{files}")
+        assert sorted((r["id"], r["event"], r["content"]) for r in again.collect()) == sorted((r["id"], r["event"], r["content"]) for r in log.collect())
+        assert [r["seq"] for r in again.where("id LIKE 'odd%'").orderBy("seq").collect()] == [0, 1]
     text_rows = spark.createDataFrame([("a", "[1.0, 2.0]", '{"user_id": "u"}')], "id string, vector string, payload string")
     assert snapshots.load_text_layout(text_rows).first()["vector"] == [1.0, 2.0]
 
