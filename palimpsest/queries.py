@@ -436,10 +436,10 @@ def ann_exact_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("ann_recall")
 def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of the true ten nearest a search of sixteen cells finds, for every id divisible by 50."""
+    """How many of the true ten nearest a search of as many cells as the index found to be needed finds, for every id divisible by 50."""
     rows = _vectors(spark, sf_dir)
     asked = rows.where(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
-    return recall(VectorIndex.create(spark, shared_path(spark, "vectors"), rows).search_each(asked, 10, probes=16), nearest_for_each(rows, asked, 10))
+    return recall(VectorIndex.create(spark, shared_path(spark, "vectors"), rows).search_each(asked, 10), nearest_for_each(rows, asked, 10))
 
 
 @_register("store_merge_on_read", f"SELECT {_ID} AS id, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE 'old' END AS state, md5(CASE WHEN doc_id % 5 = 0 THEN 'Changed: ' || coalesce(text, '') ELSE text END) AS hash FROM documents WHERE doc_id % 7 <> 0")

@@ -1,7 +1,8 @@
 """A stored index of vectors: cells around k-means centroids as partitions, so that a search opens the cells near its question only.
 
 With ``exact`` a search goes on to every cell that could still hold a nearer vector: by the triangle inequality none of a cell's is
-nearer than its centroid less the cell's radius. Without, it stops after ``probes`` cells, and ``recall`` says what that costs.
+nearer than its centroid less the cell's radius. Without, it stops after ``probes`` cells, as many as were found to hold
+nearly all true neighbours when the index was made, and ``recall`` says what that costs.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ from pyspark.sql import functions as F
 
 from ..errors import DimensionMismatch, Validation
 from ..functions.vector import METRICS, l1, l2, literal
+from ..operators.knn import nearest_for_each
 from .commits import Commits
 
 #: Rows that centroids are fitted on, at most; cells, at most (their centroids are broadcast); bytes of questions that meet the cells together.
 SAMPLE, MAX_CELLS, MAX_QUERY_BYTES = 50_000, 4096, 8 << 20
+#: Rows that are asked about to find how many cells a search needs.
+CHECKED = 100
 #: Distances are single-precision sums; a bound gives way by this share of what it is made of.
 SLACK = 1e-5
 
@@ -33,11 +37,13 @@ class VectorIndex:
     # Writing
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, rows: DataFrame, keep: Sequence[str] = (), cells: int | None = None, sample: int = SAMPLE, iterations: int = 10, seed: int = 7, source: int = 0) -> VectorIndex:
+    def create(cls, spark: SparkSession, path: str, rows: DataFrame, keep: Sequence[str] = (), cells: int | None = None, sample: int = SAMPLE, iterations: int = 10, seed: int = 7, source: int = 0, recall_of: float = 0.95, metric: str = "l1") -> VectorIndex:
         """An index of all ``rows`` (id, vector, and string columns to ``keep`` for filters).
 
         Centroids are fitted on the ``sample`` rows whose ids have the smallest hashes; every row is then dealt to the
-        nearest one. By default there are as many cells as the square root of the rows, MAX_CELLS at most. Rows without a vector aren't found. ``source`` is the version of a store that the rows are.
+        nearest one. By default there are as many cells as the square root of the rows, MAX_CELLS at most. Rows without a vector aren't found. ``source`` is the version of a store that the rows are. How many cells a search
+        reads unless it is told is measured: for CHECKED rows as questions, all rows are scanned for the ten nearest by ``metric``, and the
+        cells are as many as hold the share ``recall_of`` of these. Vectors without clusters need most cells.
         """
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
@@ -56,8 +62,23 @@ class VectorIndex:
         spark.createDataFrame([(i, c) for i, c in enumerate(centroids)], "cell int, centroid array<float>").coalesce(1).write.parquet(f"{self.commits.path}/centroids")
         meta = {"keep": list(keep), "id": rows.schema["id"].dataType.simpleString(), "dimension": most or 0}
         self._commit({"meta": meta, "parts": {}, "radii": {}}, have, None, source)
+        if n:
+            state = self._state()
+            state["meta"]["probes"] = self._needed(state, recall_of, metric)
+            self.commits.write(self.commits.latest() + 1, state)
         return self
 
+    def _needed(self, state: dict, share: float, metric: str) -> int:
+        """In how many of the nearest cells that ``share`` of true neighbours lie."""
+        rows = self._live(state, None, {})
+        asked = rows.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CHECKED).select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+        asked = self.spark.createDataFrame(asked.collect(), asked.schema)  # CHECKED rows
+        true = nearest_for_each(rows, asked, 11, metric).where(F.col("id") != F.col("query_id")).join(rows.select("id", "cell"), "id")
+        apart = (l1 if metric == "l1" else l2)(F.col("query_vector"), F.col("centroid"))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(apart, "cell"))
+        cells = asked.crossJoin(F.broadcast(self._centroids())).select("query_id", "cell", place.alias("place"))
+        return int(true.join(cells, ["query_id", "cell"]).agg(F.coalesce(F.percentile("place", share), F.lit(1))).first()[0] + 0.999)
+
     @property
     def source(self) -> int:
         """The version of the store that the index stands for."""
@@ -128,15 +149,21 @@ class VectorIndex:
             rows = rows.join(gone, (F.col("id") == F.col("_gone")) & (F.col("_v") < F.col("_until")), "left_anti")
         return rows.drop("_v")
 
+    @staticmethod
+    def _first(state: dict, exact: bool) -> int:
+        """The cells that a search begins with: a few, if it goes on to all that are needed."""
+        return 4 if exact else state["meta"].get("probes", 1)
+
     @staticmethod
     def _check(metric: str) -> None:
         if metric not in METRICS:
             raise Validation(f"no metric {metric}")
 
-    def search(self, query: Sequence[float], k: int, metric: str = "l1", probes: int = 8, exact: bool = False, scope: dict[str, str] | None = None, threshold: float | None = None) -> DataFrame:
-        """id, the kept columns and score of the ``k`` nearest vectors of a ``scope`` in the ``probes`` nearest cells, or with ``exact`` of all; ties go by id."""
+    def search(self, query: Sequence[float], k: int, metric: str = "l1", probes: int | None = None, exact: bool = False, scope: dict[str, str] | None = None, threshold: float | None = None) -> DataFrame:
+        """id, the kept columns and score of the ``k`` nearest vectors of a ``scope`` in the ``probes`` nearest cells, by default as many as ``create`` measured, or with ``exact`` of all; ties go by id."""
         self._check(metric)
         state, scope = self._state(), scope or {}
+        probes = self._first(state, exact) if probes is None else probes
         if state["meta"]["dimension"] and len(query) != state["meta"]["dimension"]:
             raise DimensionMismatch(state["meta"]["dimension"], len(query))
         q, which = np.array(query, np.float64), 0 if metric == "l1" else 1
@@ -168,7 +195,7 @@ class VectorIndex:
         held = self.spark.createDataFrame([tuple(r) for r in near], kept.schema)
         return held.unionByName(of(more)).orderBy("score", "id").limit(k) if more else held
 
-    def search_each(self, queries: DataFrame, k: int, metric: str = "l1", probes: int = 8, exact: bool = False, scope: dict[str, str] | None = None) -> DataFrame:
+    def search_each(self, queries: DataFrame, k: int, metric: str = "l1", probes: int | None = None, exact: bool = False, scope: dict[str, str] | None = None) -> DataFrame:
         """query_id, id, score, rank: what ``search`` finds for each of a stated set of ``queries`` (query_id, query_vector).
 
         Questions meet the rows of their cells where these lie, by broadcasts in blocks of MAX_QUERY_BYTES or less; k rows for each
@@ -176,6 +203,7 @@ class VectorIndex:
         """
         self._check(metric)
         state, scope = self._state(), scope or {}
+        probes = self._first(state, exact) if probes is None else probes
         dimension, which = state["meta"]["dimension"], 0 if metric == "l1" else 1
         radii = self.spark.createDataFrame([(int(c), float(r[which])) for c, r in state["radii"].items()], "cell int, radius double")
         known = self._centroids().join(radii, "cell")
