@@ -169,7 +169,8 @@ def edits(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the
     next document, by descending doc_id, the first after the last. A null text counts as empty; a table of one
-    row is its own next; an empty table gives no rows; other columns are ignored.
+    row is its own next; an empty table gives no rows; other columns are ignored. Texts of any length are read whole; a row takes
+    memory for its own text and the next one's.
     """
     rows = with_next(docs).withColumn("next_text", F.lead("text").over(order())).withColumn("n_chars", F.char_length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")

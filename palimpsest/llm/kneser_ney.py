@@ -444,7 +444,7 @@ def _add_trigrams(model: Model, path: str, texts: DataFrame) -> None:
 
 
 def train(docs: DataFrame, order: int = 2) -> Model:
-    """A model of the texts of ``docs`` (text; other columns are ignored). A null text counts as empty: it has an end only. Of an empty table, every word is unknown."""
+    """A model of the texts of ``docs`` (text; other columns are ignored). A null text counts as empty: it has an end only. Of an empty table, every word is unknown. Repeated rows count each; texts are read whole, in blocks."""
     if order not in (2, 3):
         raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession

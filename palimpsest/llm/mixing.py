@@ -101,7 +101,7 @@ def plan(docs: DataFrame, **how) -> DataFrame:
     fraction. There are DRAWS of them; each source uses the one whose sum comes nearest to its target
     (the first on ties), so reruns agree: with one draw a source of a few long documents may end far from its target. Null
     sources are a source, null texts have size 0, an empty table gives no rows; rows that repeat a doc_id are drawn alike;
-    other columns, whatever their names, are ignored.
+    other columns, whatever their names, are ignored. Of a text of any length only its number of words goes on.
     """
     scratch = C.Scratch(docs.sparkSession)
     base = scratch.keep(_sized(docs), "sizes")
@@ -115,7 +115,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` as often as ``plan`` takes them, with all their columns; each row, repeated ids and null ones included, by its own draw.
 
     The second pass over the texts meets the rates of the sources and nothing else, so no text is shuffled
-    unless the sources are too many for a broadcast. Columns of any name are kept, and an empty table stays empty.
+    unless the sources are too many for a broadcast. Columns of any name are kept, and an empty table stays empty; texts are whole, however long.
     """
     scratch = C.Scratch(docs.sparkSession)
     rates, small = _rates(scratch.keep(_sized(docs), "sizes"), **how)

@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, test: tuple[int, int] = (5, 0)) ->
 
     An id that is labelled both ways isn't used; of rows that repeat an id, the text of smallest hash is. Null ids, null
     labels and ids without a document are left out; null texts count as empty; without any labels every score is
-    about one half. Texts stay on the executors: the driver gets the sums of the context vectors (8 MB) and 97 numbers for each text.
+    about one half. Other columns of both tables, whatever their names, are ignored. Texts are read whole and stay on the executors: the driver gets the sums of the context vectors (8 MB) and 97 numbers for each text.
     """
     import numpy as np
 
@@ -229,7 +229,11 @@ def train(docs: DataFrame, labels: DataFrame, test: tuple[int, int] = (5, 0)) ->
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with ``score``, 0 to 1; a null text counts as empty and gets the score of a text without words. A column ``score`` of ``docs`` is replaced."""
+    """The rows of ``docs`` with ``score``, 0 to 1; a null text counts as empty and gets the score of a text without words. A column ``score`` of ``docs`` is replaced.
+
+    Rows are independent: those that repeat each other score alike, an empty table gives an empty one, and a long text is read whole, one
+    block of memory at a time or by itself.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c != "score"]
 

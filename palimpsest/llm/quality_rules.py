@@ -63,7 +63,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements and ``failed``, a mask of RULES, for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     A null text counts as empty: no words, so it fails few_words. Rows are independent; equal rows give
-    equal results, and an empty table gives none. Everything stays within the row, without a shuffle.
+    equal results, and an empty table gives none. Texts are measured whole, however long. Everything stays within the row, without a shuffle.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     ends = rf"^{C.SPACE}+|{C.SPACE}+$"

@@ -130,7 +130,7 @@ def shard(docs: DataFrame, n_shards: int = 24) -> DataFrame:
     share a shard. The largest shard is as small as any contiguous partition of the groups in hash order can
     make it; below that, cuts go where they even out the rest. Slots number a shard's rows from 0 without
     gaps, rows that repeat each other included, in an order that the rows fix. With fewer groups than shards
-    some shards are empty; an empty table gives no rows.
+    some shards are empty; an empty table gives no rows. Texts of any length are hashed where they are read and don't move.
     """
     spark = docs.sparkSession
     scratch = C.Scratch(spark)
