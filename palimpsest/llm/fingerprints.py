@@ -43,14 +43,20 @@ def _paragraphs(text: Column) -> Column:
 
 
 def _runs(paragraph: Column) -> Column:
-    """Hashes of a paragraph's runs of three words, or of all its words if they are fewer."""
+    """Hashes of a paragraph's runs of three words, or of all its words if they are fewer, in order of the hash; a run's repetitions are numbered, so that they count as so many different runs."""
     words = F.filter(F.split(paragraph, f"{C.SPACE}+"), lambda w: w != "")
 
     def runs(h: Column) -> Column:
         n = F.size(h)
         part = lambda i: F.slice(h, i, n - (RUN - 1))
         whole = F.zip_with(F.zip_with(part(1), part(2), lambda a, b: F.xxhash64(a, b)), part(3), lambda a, b: F.xxhash64(a, b))
-        return F.when(n >= RUN, whole).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(n >= RUN, _let(F.sort_array(whole), numbered)).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+
+    def numbered(s: Column) -> Column:
+        """Equal hashes stand together: how many of them come before one is found by halving steps."""
+        steps = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))  # a constant
+        before = lambda x, i: F.aggregate(steps, F.lit(0), lambda r, p: r + F.when((i - r - p >= 0) & (F.get(s, i - r - p) == x), p).otherwise(0))
+        return F.transform(s, lambda x, i: F.when((i > 0) & (F.get(s, i - 1) == x), F.xxhash64(x, before(x, i))).otherwise(x))
 
     return _let(F.transform(words, lambda w: F.xxhash64(w)), runs)
 

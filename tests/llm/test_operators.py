@@ -614,12 +614,14 @@ def test_likeness_against_exact_shares(spark):
     word = lambda x, n: " ".join(f"{x}{i}" for i in range(n))
     rows = [(k, share, "\n".join([word(f"s{k}_", 400 * share // 4), word(f"a{k}_", 400 - 100 * share)]), "\n".join([word(f"s{k}_", 400 * share // 4), word(f"b{k}_", 400 - 100 * share)])) for k in range(10) for share in range(4)]
     rows += [(99, 9, "one two three " * 300, "one two three " * 290 + word("z", 30))]
+    rows += [(98, 8, word("s", 200), word("s", 100) + " z" * 100)]
     f = fingerprints
     out = spark.createDataFrame(rows, "k int, share int, a string, b string").select("share", f.likeness(f.fingerprint(F.col("a")), f.fingerprint(F.col("b"))).alias("x")).collect()
     for share in range(4):
         errors = [x["x"] - share / 4 for x in out if x["share"] == share]
         assert abs(sum(errors)) / 10 < 0.04 and math.sqrt(sum(e * e for e in errors) / 10) < 0.08 * (1 - share / 4) + 0.01
-    assert next(x["x"] for x in out if x["share"] == 9) > 0.8
+    assert abs(next(x["x"] for x in out if x["share"] == 9) - 2 * 868 / (898 + 898)) < 0.05
+    assert abs(next(x["x"] for x in out if x["share"] == 8) - 2 * 98 / (198 + 198)) < 0.08
 
 
 def test_language_model_guards_its_keys(spark, sf, monkeypatch):
