@@ -34,3 +34,56 @@ def test_stages(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "source", "n_pieces", "lossless", "pieces"]
+
+
+def odd_rows():
+    text = " ".join(f"word{i % 400} and then" for i in range(1500))
+    long_text = "\n".join(f"line {i} of a text that goes on " + " ".join(f"t{(i * 7919 + k) % 50021}" for k in range(30)) for i in range(14000))  # above one block of 2 MB
+    assert len(long_text) > 2 << 20
+    rows = [(1, text, "a"), (1, text, "a"), (2, text, None), (None, text + " end", "b"), (None, None, None), (3, "", "b"), (4, None, "b"), (5, "   \n\t", "a"), (6, long_text, "b"), (7, "one two", "a"), (8, "one two", "a")]
+    return [(i, t, "en", s, len(t or ""), "x", i, "y", -1) for i, t, s in rows]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, component_id long, hash string, size int"
+
+
+def test_stages_of_odd_rows(spark, sf):
+    """Nulls, ties, repeated rows, a text above one block and columns named like the stages' own; each stage on the same rows."""
+    docs = spark.createDataFrame(odd_rows(), SCHEMA)
+    rows = docs.collect()
+    stages = dict(corpus_pipeline.STAGES)
+
+    single = stages["n-gram Jaccard join"](spark, docs, sf)
+    assert single.columns == docs.columns
+    # Rows 1, 1, 2 and the null id with one word more are one group; 7 and 8 another; texts without words are linked with nothing.
+    got = single.collect()
+    assert Counter((r["doc_id"], (r["text"] or "")[:5]) for r in got) == Counter([(1, "word0"), (None, ""), (3, ""), (4, ""), (5, "   \n\t"[:5]), (6, "line "), (7, "one t")])
+    assert all(r in rows for r in got)
+
+    clean = stages["secret scans"](spark, docs, sf)
+    assert clean.columns == docs.columns and Counter(clean.collect()) == Counter(rows)
+
+    mixed = stages["mixing sources to target weights"](spark, docs, sf)
+    assert mixed.columns == docs.columns and set(mixed.collect()) <= set(rows)
+
+    pieces = stages["SentencePiece encoding and decoding"](spark, docs, sf)
+    assert Counter((r["doc_id"], r["source"], r["lossless"]) for r in pieces.collect()) == Counter((r["doc_id"], r["source"], True) for r in rows)
+
+
+def test_stages_of_an_empty_table(spark, sf):
+    empty = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, empty, sf)
+        assert out.count() == 0, name
+        assert name.startswith("SentencePiece") or out.columns == empty.columns
+
+
+def test_quality_stage_keeps_odd_columns(spark, sf):
+    """Fitted on the labelled documents beside the odd rows; rows that repeat each other are kept or lost together."""
+    plain = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(r[0] and r[0] + 10**9, *r[1:]) for r in odd_rows()], SCHEMA)
+    docs = plain.selectExpr("doc_id", "text", "lang", "source", "n_chars", "'x' score", "doc_id component_id", "'y' hash", "-1 size").unionByName(odd)
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, sf)
+    assert kept.columns == docs.columns
+    of = Counter(r["doc_id"] for r in kept.where(f"doc_id = {10**9 + 1}").collect())
+    assert set(of.values()) <= {2}
