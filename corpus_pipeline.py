@@ -23,7 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the quality classifier, fitted on the labelled ones among them, scores LEAST_QUALITY or more. Rows that repeat each other score alike."""
     C.shared_dir(spark)
     model = quality_classifier.train(docs, C.table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model).where(f"score >= {LEAST_QUALITY}").select(*docs.columns)
+    own = "_" * (1 + max(map(len, docs.columns)))  # a column score that the documents bring keeps its values
+    good = quality_classifier.score(docs.withColumnRenamed("score", own), model).where(f"score >= {LEAST_QUALITY}").drop("score")
+    return good.withColumnRenamed(own, "score").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
