@@ -84,6 +84,7 @@ def test_quality_stage_keeps_odd_columns(spark, sf):
     odd = spark.createDataFrame([(r[0] and r[0] + 10**9, *r[1:]) for r in odd_rows()], SCHEMA)
     docs = plain.selectExpr("doc_id", "text", "lang", "source", "n_chars", "'x' score", "doc_id component_id", "'y' hash", "-1 size").unionByName(odd)
     kept = corpus_pipeline.STAGES[0][1](spark, docs, sf)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()} and kept.count() > 10
     of = Counter(r["doc_id"] for r in kept.where(f"doc_id = {10**9 + 1}").collect())
     assert set(of.values()) <= {2}
