@@ -76,3 +76,32 @@ def test_updates(spark, vectors, tmp_path):
         index.search([1.0], 3)
     none = VectorIndex.create(spark, f"file://{tmp_path}/none", vectors.limit(0))
     assert none.search([1.0] * 8, 3, exact=True).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["l1", "l2", "l2_squared"])
+def test_blocks_give_what_the_folds_give(spark, monkeypatch, metric):
+    """Vectors of unequal length, nulls, ties, strings as ids, over several blocks of rows and of questions."""
+    from pyspark.sql import Window
+
+    from palimpsest.functions.vector import METRICS
+    from palimpsest.operators import knn
+
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(knn, "BLOCK_ASKED", 7)
+    monkeypatch.setattr(knn, "TILE_ROWS", 16)
+    vector = F.transform(F.sequence(F.lit(0), (F.col("n") % 3 + 2).cast("int")), lambda i: ((F.col("n") * 37 + i * 11) % 23 / 7).cast("float"))
+    rows = spark.range(150).toDF("n").select(F.concat(F.lit("r"), F.col("n").cast("string")).alias("id"), F.when(F.col("n") != 20, vector).alias("vector"))
+    asked = spark.range(0, 150, 8).toDF("n").select(F.struct("n").alias("query_id"), F.when(F.col("n") != 40, vector).alias("query_vector"))
+    scored = rows.crossJoin(asked).select("query_id", "id", METRICS[metric](F.col("vector"), F.col("query_vector")).alias("score"))
+    want = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).where("rank <= 6")
+    key = lambda df: sorted((r["query_id"]["n"], r["rank"], r["id"], r["score"]) for r in df.collect())
+    found = nearest_for_each(rows, asked, 6, metric)
+    assert key(found) == key(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan  # no row for each pair
+
+
+def test_a_batch_passes_over_the_rows_once(spark, vectors, index):
+    asked = vectors.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    plan = index.search_each(asked, 3, probes=2)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "Union" not in plan  # neither questions beside all centroids, nor a scan for each block of them
