@@ -234,3 +234,13 @@ def test_a_replayed_batch_adds_nothing(spark, tmp_path):
     said(spark, "Step two.").write.mode("append").parquet(f"{tmp_path}/in")
     ingest.ingest_once(stream(), Engine(spark, store=LogStore(spark, path)), scope, "s", f"{tmp_path}/check").awaitTermination()
     assert store.load().memories.count() == 2 and store.applied("s") == 1
+
+
+def test_blocks_of_a_keyword_index_are_bounded(spark, tmp_path):
+    """A block is some documents that lie together, not what a hash deals to it; a document's words are in one."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts_of(200))], "id long, content string").coalesce(2)
+    index = KeywordIndex.create(spark, f"file://{tmp_path}/index", docs, blocks=20, buckets=2)
+    placed = index._postings(index._state()).select("block", F.explode("postings.id").alias("id")).distinct().collect()
+    assert len({r["id"] for r in placed}) == len(placed) == 200
+    blocks = [r["block"] for r in placed]
+    assert max(map(blocks.count, blocks)) <= 10
