@@ -124,3 +124,16 @@ def test_small_functions(spark):
         text.text_of_parts(F.array(F.struct(F.lit("text").alias("type"), F.lit("a ").alias("text")))), *(text.faulty(F.lit(t), 3) for t in (None, " \u2003", "abc", "abcd", "éé")),
     ).first()
     assert list(row) == [["a", "b"], "é" * 4000, False, True, "api_key", "a", True, True, False, True, True]
+
+
+def test_embedding_of_texts_longer_than_a_piece():
+    """Whole batches as the driver embeds each: nulls, bytes beyond ASCII, ends of pieces and of groups of steps, slices."""
+    import pyarrow as pa
+
+    from palimpsest.functions import embed
+
+    texts = [None, "", "a", "café ñ", "y" * 64, "z" * 65, "é \n" * 30_000, "w" * embed.PIECE, "w" * (embed.PIECE + 1), "x" * 4096, "x" * 4097]
+    want = [embed_text(t) if t else None for t in texts]
+    assert embed._embedded(pa.array(texts)).to_pylist() == want
+    assert embed._embedded(pa.array(texts).slice(3, 5)).to_pylist() == want[3:8]
+    assert embed._embedded(pa.array([None, ""], pa.string())).to_pylist() == [None, None]
