@@ -31,7 +31,8 @@ are left; links within a component change nothing.
   f, where each pair meets once. Pairs with a common rare token have a list of it.
 
 Exact bounds come before the whole sets: sizes, and parity bitmaps, whose differing bits never exceed the symmetric
-difference. Pairs that remain are verified on the whole sets. Texts with equal sets are one class throughout.
+difference. Bitmaps of one width for all fill up in long texts, so these bring wider ones to the lists of rare tokens where texts are
+left, else every pair on a list of long texts would come out of it. Pairs that remain are verified on the whole sets. Texts with equal sets are one class throughout.
 """
 
 from __future__ import annotations
@@ -200,7 +201,7 @@ def _entries_of(doc, token, first, level, a: int, b: int, ks: tuple[int, ...]):
 
 
 def _described(docs: DataFrame, shared, width: int, a: int, b: int, ks: tuple[int, ...]) -> DataFrame:
-    """doc_id, hash of the text, class of equal sets and a second hash of it, size, rare tokens, parity bitmap, index entries."""
+    """doc_id, hash of the text, class of equal sets and a second hash of it, size, rare tokens, parity bitmap, one of the text's own width as bytes and, if that is wider than the other, as words, index entries."""
 
     def describe(batches: Iterator) -> Iterator:
         import numpy as np
@@ -219,13 +220,14 @@ def _described(docs: DataFrame, shared, width: int, a: int, b: int, ks: tuple[in
             bytes_to = np.concatenate(([0], np.cumsum(wide // 8)))
             raw = np.packbits(_parity(doc, token, wide)).tobytes()
             sketch = pa.array([raw[i:j] for i, j in zip(bytes_to[:-1], bytes_to[1:], strict=True)], pa.binary())
+            bits = pa.array([np.frombuffer(raw[i:j], np.int64) if j - i > 8 * PARITY_WORDS else None for i, j in zip(bytes_to[:-1], bytes_to[1:], strict=True)], pa.list_(pa.int64()))
             rare, lists = _entries_of(doc, token, first, _levels(token, shared.value), a, b, ks)
             yield pa.RecordBatch.from_arrays(
-                [block["doc_id"], block["key"], *map(pa.array, (*sums, n.astype(np.int64))), rare, *(pa.array(parity[:, i].copy()) for i in range(PARITY_WORDS)), sketch, lists],
-                ["doc_id", "key", "cls", "cls2", "n", "rare", *_PARITY, "sketch", "entries"],
+                [block["doc_id"], block["key"], *map(pa.array, (*sums, n.astype(np.int64))), rare, *(pa.array(parity[:, i].copy()) for i in range(PARITY_WORDS)), bits, sketch, lists],
+                ["doc_id", "key", "cls", "cls2", "n", "rare", *_PARITY, "bits", "sketch", "entries"],
             )
 
-    schema = "doc_id long, key long, cls long, cls2 long, n long, rare long, " + ", ".join(f"{p} long" for p in _PARITY) + ", sketch binary, entries array<long>"
+    schema = "doc_id long, key long, cls long, cls2 long, n long, rare long, " + ", ".join(f"{p} long" for p in _PARITY) + ", bits array<long>, sketch binary, entries array<long>"
     return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(describe, schema)
 
 
@@ -244,16 +246,27 @@ def _told_apart(described: DataFrame, scratch: C.Scratch) -> DataFrame:
     return described
 
 
-def _can_link(x: str, y: str, a: int, b: int, rare_list: Column | None = None) -> Column:
-    """Exact bounds that any linked pair meets: sizes, and the symmetric difference by parity bitmaps; and, but on a rare token's list, by rare tokens that aren't common."""
+def _differing(x: Column, y: Column) -> Column:
+    """Differing bits of two texts' wide bitmaps, the wider folded to half its width if that is the other's; null if one has none, or if the widths are further apart."""
+    xor = lambda u, v: u.bitwiseXOR(v)
+
+    def like(bits: Column, other: Column) -> Column:
+        half = F.size(other)
+        return F.when(F.size(bits) == 2 * half, F.zip_with(F.slice(bits, 1, half), F.slice(bits, half + 1, half), xor)).otherwise(bits)
+
+    return F.aggregate(F.zip_with(like(x, y), like(y, x), xor), F.lit(0).cast("long"), lambda total, w: total + F.bit_count(w))
+
+
+def _can_link(x: str, y: str, a: int, b: int, rare_list: Column | None = None, wide: bool = False) -> Column:
+    """Exact bounds that any linked pair meets: sizes, and the symmetric difference by parity bitmaps, with ``wide`` by the wide ones after the narrow; and, but on a rare token's list, by rare tokens that aren't common."""
     c = lambda side, name: F.col(f"{side}.{name}")
     most = (c(x, "n") + c(y, "n")) * (b - a)
     differ = sum((F.bit_count(c(x, p).bitwiseXOR(c(y, p))).cast("long") for p in _PARITY), F.lit(0).cast("long"))
     bounds = (c(x, "n") * b >= c(y, "n") * a) & (c(y, "n") * b >= c(x, "n") * a) & (differ * (b + a) <= most)
-    if rare_list is None:
-        return bounds
-    others = c(x, "n") - c(x, "rare") - c(y, "n") + c(y, "rare")
-    return bounds & (rare_list | ((c(x, "rare") + c(y, "rare") + F.abs(others)) * (b + a) <= most))
+    if rare_list is not None:
+        others = c(x, "n") - c(x, "rare") - c(y, "n") + c(y, "rare")
+        bounds = bounds & (rare_list | ((c(x, "rare") + c(y, "rare") + F.abs(others)) * (b + a) <= most))
+    return bounds if not wide else bounds & F.coalesce(_differing(c(x, "bits"), c(y, "bits")) * (b + a) <= most, F.lit(True))
 
 
 def _meet(pairs: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
@@ -430,7 +443,7 @@ def _refined(entries: DataFrame, sizes: DataFrame, docs: DataFrame, reps: DataFr
         members = _shared(entries, scratch)
 
 
-def _left_over(members: DataFrame, pivots: DataFrame, roots: DataFrame, a: int, b: int, scratch: C.Scratch) -> DataFrame:
+def _left_over(members: DataFrame, pivots: DataFrame, roots: DataFrame, described: DataFrame, a: int, b: int, scratch: C.Scratch) -> DataFrame:
     """(x, y) pairs of classes on one list that are in different components and may link, where one isn't in its pivot's."""
     rooted = roots.withColumnRenamed("node", "cls")
     pivot_roots = pivots.select("sig", "cls").join(rooted, "cls", "left").select("sig", F.coalesce("root", "cls").alias("home"))
@@ -438,8 +451,11 @@ def _left_over(members: DataFrame, pivots: DataFrame, roots: DataFrame, a: int,
     mixed = placed.groupBy("sig").agg(F.bool_or(F.col("root") != F.col("home")).alias("mixed")).where("mixed").select("sig")
     placed = scratch.keep(placed.join(mixed, "sig", "left_semi"), "placed")
 
-    rare = placed.where("sig & 1 = 1")
-    on_list = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & _can_link("x", "y", a, b)
+    rare, longer = placed.where("sig & 1 = 1"), F.col("n") > 2 * 64 * PARITY_WORDS  # those have wide bitmaps
+    bits = described.where(longer).select("cls", "bits").dropDuplicates(["cls"])
+    rare = rare.where(~longer).withColumn("bits", F.lit(None).cast("array<long>")).unionByName(rare.where(longer).join(bits, "cls"))
+    once = (F.col("y.root") == F.col("y.home")) | (F.col("x.cls") < F.col("y.cls"))  # else the pair comes from either side
+    on_list = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & once & _can_link("x", "y", a, b, wide=True)
     listed = rare.where("root != home").alias("x").join(rare.alias("y"), on_list).select("x.cls", F.col("y.cls").alias("other"))
 
     own = [F.first(c).alias(c) for c in ("root", "n", "rare", *_PARITY)]
@@ -491,7 +507,7 @@ def groups(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 10
     starred = scratch.keep(members.alias("x").join(pivots.alias("y"), on_list).select(*in_order).distinct(), "pairs")
     links = _verified(_near(starred, described, a, b, scratch), docs, reps, width, a, b, scratch)
     roots = components(links, scratch)
-    more = scratch.keep(_left_over(members, pivots, roots, a, b, scratch).join(starred, ["x", "y"], "left_anti"), "pairs")
+    more = scratch.keep(_left_over(members, pivots, roots, described, a, b, scratch).join(starred, ["x", "y"], "left_anti"), "pairs")
     if more.limit(1).count():
         roots = components(links.unionByName(_verified(_near(more, described, a, b, scratch), docs, reps, width, a, b, scratch)), scratch)
 

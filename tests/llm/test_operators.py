@@ -628,3 +628,21 @@ def test_language_model_guards_its_keys(spark, sf, monkeypatch):
     monkeypatch.setattr(kneser_ney, "MOST_WORDS", 10)
     with pytest.raises(ValueError, match="64-bit"):
         kneser_ney.train(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
+def test_long_texts_that_differ_do_not_leave_the_lists(spark):
+    """256 bits are full in texts of thousands of tokens; the wider bitmaps still tell them apart, and no linked pair is lost by them."""
+    from functools import reduce
+
+    texts = [" ".join(f"w{i}" for i in range(at, at + n)) for at, n in ((0, 3000), (900, 3000), (1800, 3000), (150, 3000), (0, 2090), (0, 1990), (0, 500), (20, 530))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in texts]
+    for a, least in ((9, 4), (8, 6)):
+        shared = spark.sparkContext.broadcast(jaccard_join.frequent_tokens(docs, 3))
+        d = jaccard_join._described(docs, shared, 3, a, 10, jaccard_join.combination_sizes(a, 10)).cache()
+        pairs = d.alias("x").join(d.alias("y"), (F.col("x.doc_id") < F.col("y.doc_id")) & jaccard_join._can_link("x", "y", a, 10, wide=True)).select("x.doc_id", F.col("y.doc_id").alias("other"))
+        got = {tuple(r) for r in pairs.collect()}
+        linked = {(i, j) for j in range(len(sets)) for i in range(j) if 10 * len(sets[i] & sets[j]) >= a * len(sets[i] | sets[j])}
+        assert linked and linked <= got and len(got) < least
+        narrow = reduce(lambda x, p: x + F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))), jaccard_join._PARITY, F.lit(0))
+        assert d.alias("x").join(d.alias("y"), F.expr("x.doc_id < y.doc_id AND x.n = 2998 AND y.n = 2998") & (narrow * (10 + a) <= 5996 * (10 - a))).count() == 6
