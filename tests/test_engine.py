@@ -301,3 +301,28 @@ def test_batch_search_of_registered_query(spark, sf):
     q = min(asked)
     own = [(r["id"], round(r["score"], 4)) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])]
     assert sorted(own) == sorted((r["id"], round(r["score"], 4)) for r in e.search(asked[q], 5, {"user_id": "u"}, TODAY).collect())
+
+
+def test_keyword_batch_moves_the_best_only(spark, monkeypatch):
+    """The k best of each question in many blocks, as the scan of each finds them, without a row for each posting and question."""
+    import random
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(f"id{i:03}", " ".join(r.choice(words[: r.randrange(1, 31)]) for _ in range(r.randrange(0, 12)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "id string, content string").cache()
+    asked = [(q, w) for q in range(8) for w in r.sample(words, 4)] + [(9, "absent")]
+    queries = spark.createDataFrame(asked, "query_id int, term string")
+    average = sum(len(t.split()) for _, t in rows) / 300
+    monkeypatch.setattr(keyword, "BLOCK_TOKENS", 100)
+    within = docs.where("id >= 'id100'")
+    for index in (keyword.token_lists(docs), keyword.token_table(docs)):
+        found = keyword.search_each(index, queries, 300, average, 7, within)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroups" in plan
+        found = found.collect()
+        for q in range(8):
+            alone = keyword.search(docs, " ".join(w for p, w in asked if p == q)).where("id >= 'id100'").orderBy("keyword_score", "id").limit(7).collect()
+            got = sorted((round(x["keyword_score"], 9), x["id"]) for x in found if x["query_id"] == q)
+            assert got[:7] == [(round(x["keyword_score"], 9), x["id"]) for x in alone]
+        assert len(found) <= 8 * 14 and not [x for x in found if x["query_id"] == 9]
