@@ -16,6 +16,10 @@ entries of class j leave one that both texts index; what lies before the first c
 it is within both texts' prefixes. A text of which no class has enough also indexes its first e + 1 tokens singly,
 the plain prefix. Which tokens count as frequent never matters for the result, only for the lists' lengths.
 
+Long texts share single rare tokens with many texts that are not like them, and no short bitmap tells them apart. So a
+text of more than T = long_from(a, b) tokens indexes combinations of two for its rare tokens too, k_0 = 2. Texts up to
+T b/a tokens have entries of the first form, longer ones than T of the second; two texts that link have either a common form.
+
 The table of classes is bounded and goes to every worker. A rare token that the table missed shows by its list,
 longer than LONG: the texts of such lists are indexed again with these tokens in class 1, from a distributed table,
 until no list of a rare token is long.
@@ -29,6 +33,8 @@ are left; links within a component change nothing.
   f other tokens), so they link only if the intervals [f + g, f - g], g = r - n(b-a)/(b+a), meet: A <= B' and A' <= B.
   Texts with g > 0 never meet each other; they, and those with g <= 0, are dealt to cells of a logarithmic grid of
   f, where each pair meets once. Pairs with a common rare token have a list of it.
+* That is not so of long texts, whose rare tokens are in combinations: r counts as 0 there. Of these lists those up to LONG
+  are compared as those of rare tokens, longer ones as the others.
 
 Exact bounds come before the whole sets: sizes, and parity bitmaps, whose differing bits never exceed the symmetric
 difference. Bitmaps of one width for all fill up in long texts, so these bring wider ones to the lists of rare tokens where texts are
@@ -53,6 +59,8 @@ MAX_K = 4
 #: A rare token's list of more classes is refined.
 LONG = 96
 PARITY_WORDS = 4
+#: Differing bits that two texts of ``long_from`` tokens may have and link; of 64 * PARITY_WORDS bits, half differ at random.
+LONG_BITS = 48
 #: Keys that hold more than this part of all rows are fewer than this number; a table of them is broadcast (32 bytes each).
 MAX_HOT = 1 << 14
 #: A key's pairs are dealt to tasks by this part of all pairs.
@@ -89,6 +97,14 @@ def combination_sizes(a: int, b: int) -> tuple[int, ...]:
     return (1, 2, *(k for k in range(3, MAX_K + 1) if n * (b - a) // b + (k - 1) * (n * (b - a) // a) + 1 <= n - k + 1))
 
 
+def long_from(a: int, b: int) -> int:
+    """Texts of more tokens index combinations of rare tokens: about where the bound on the narrow bitmap, half of whose bits differ in any two long texts, stops telling them apart."""
+    n = 32
+    if a == b or n * (b - a) // b + n * (b - a) // a + 1 > n - 1:
+        return 1 << 40  # only equal sets link, or combinations seldom suffice
+    return LONG_BITS * (b + a) // (b - a)
+
+
 def frequent_tokens(docs: DataFrame, width: int):
     """(tokens, classes) of tokens of many texts, at most MAX_FREQUENT, from the counts that each partition keeps of its common ones."""
     import numpy as np
@@ -135,14 +151,14 @@ def _levels(token, table, more=()):
 
 
 def _single(token):
-    """The entry of a rare token: odd, while those of frequent tokens are even."""
+    """The entry of a rare token: odd, while those of frequent tokens are even. The second bit is set in the entries of long texts."""
     from ._tokens import U, mix
 
-    return mix(token ^ U(1)) | U(1)
+    return mix(token ^ U(1)) & ~U(2) | U(1)
 
 
 def prefix_signatures(doc, token, first, level, a: int, b: int, ks: tuple[int, ...]):
-    """(rare tokens of each text, text and hash of each index entry)."""
+    """(rare tokens of each text, text and hash of each index entry); the form for long texts if rare tokens make combinations too, that is if ks[0] > 1."""
     import numpy as np
 
     from ._tokens import U, mix
@@ -154,6 +170,7 @@ def prefix_signatures(doc, token, first, level, a: int, b: int, ks: tuple[int, .
     e, d = n * (b - a) // b, n * (b - a) // a
     rank = np.arange(len(doc)) - first[:-1][doc]
     unmet = d > 0  # else only an equal set can link
+    form = U(2 if ks[0] > 1 else 0)
     texts, entries, used, before, rare = [], [], [], np.zeros(len(n), np.int64), None
     for j, k in enumerate(ks):
         at = np.flatnonzero(level == j)
@@ -163,19 +180,19 @@ def prefix_signatures(doc, token, first, level, a: int, b: int, ks: tuple[int, .
         wanted = e + (k - 1) * d + 1 - sum(k * w // ks[i] for i, w in enumerate(used))
         used.append(np.where(unmet, np.clip(wanted, 0, have), 0))
         at = at[(rank - before[doc])[at] < used[-1][doc[at]]]
-        if j:
+        if k > 1:
             h = np.full(len(at), U(k), U)
             for i in range(k):
                 h = mix(h * U(0x9E3779B97F4A7C15) + token[at + i])
-            h &= ~U(1)
+            h = h & ~U(3) | form | U(j == 0)
         else:
             h = _single(token[at])
         texts.append(doc[at])
         entries.append(h)
         unmet &= wanted > have
         before += size
-    at = np.flatnonzero((level > 0) & unmet[doc] & (rank <= e[doc]))
-    return rare, np.concatenate((*texts, doc[at])), np.concatenate((*entries, _single(token[at]) & ~U(1)))
+    at = np.flatnonzero((level >= (0 if form else 1)) & unmet[doc] & (rank <= e[doc]))
+    return rare, np.concatenate((*texts, doc[at])), np.concatenate((*entries, _single(token[at]) & ~U(3) | form))
 
 
 def _parity(doc, token, width):
@@ -189,12 +206,18 @@ def _parity(doc, token, width):
     return (np.bincount(place, minlength=int(width.sum())) & 1).astype(np.uint8)
 
 
-def _entries_of(doc, token, first, level, a: int, b: int, ks: tuple[int, ...]):
-    """(rare tokens of each text, its entries as a list) as Arrow arrays."""
+def _entries_of(doc, token, first, level, a: int, b: int, ks: tuple[int, ...], base=None):
+    """(rare tokens of each text, its entries as a list) as Arrow arrays. ``base``: the classes for the form of long texts, where they are others."""
     import numpy as np
     import pyarrow as pa
 
-    rare, at, entry = prefix_signatures(doc, token, first, level, a, b, ks)
+    base, n, least = level if base is None else base, np.diff(first), long_from(a, b)
+    rare, found = np.bincount(doc[level == 0], minlength=len(n)), []
+    for held, of, sizes in ((n * a <= least * b, level, ks), (n > least, base, (2, *ks[1:]))):
+        own = held[doc]
+        mine = doc[own]
+        found.append(prefix_signatures(mine, token[own], np.searchsorted(mine, np.arange(len(first))), of[own], a, b, sizes)[1:])
+    at, entry = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(at, kind="stable")
     starts = np.searchsorted(at[order], np.arange(len(first)))
     return pa.array(rare.astype(np.int64)), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(entry[order].view(np.int64)))
@@ -426,11 +449,11 @@ def _refined(entries: DataFrame, sizes: DataFrame, docs: DataFrame, reps: DataFr
 
         for block, doc, token, first in _word_batches(batches, width):
             more = block["more"].flatten().to_numpy(zero_copy_only=False).view(np.uint64)  # each text's are complete, so all hold for all
-            yield pa.RecordBatch.from_arrays([block["cls"], *_entries_of(doc, token, first, _levels(token, shared.value, more), a, b, ks)], ["cls", "rare", "entries"])
+            yield pa.RecordBatch.from_arrays([block["cls"], *_entries_of(doc, token, first, _levels(token, shared.value, more), a, b, ks, _levels(token, shared.value))], ["cls", "rare", "entries"])
 
     members, known = _shared(entries, scratch), None
     while True:
-        long = scratch.keep(members.where("sig & 1 = 1").groupBy("sig").count().where(F.col("count") > LONG).select("sig"), "long")
+        long = scratch.keep(members.where("sig & 3 = 1").groupBy("sig").count().where(F.col("count") > LONG).select("sig"), "long")
         if not long.limit(1).count():
             return members, sizes
         known = long if known is None else scratch.keep(known.unionByName(long).distinct(), "known")
@@ -446,20 +469,21 @@ def _refined(entries: DataFrame, sizes: DataFrame, docs: DataFrame, reps: DataFr
 def _left_over(members: DataFrame, pivots: DataFrame, roots: DataFrame, described: DataFrame, a: int, b: int, scratch: C.Scratch) -> DataFrame:
     """(x, y) pairs of classes on one list that are in different components and may link, where one isn't in its pivot's."""
     rooted = roots.withColumnRenamed("node", "cls")
-    pivot_roots = pivots.select("sig", "cls").join(rooted, "cls", "left").select("sig", F.coalesce("root", "cls").alias("home"))
+    pivot_roots = pivots.select("sig", "cls", ((F.col("sig") % 2 != 0) & (F.col("rows") <= LONG)).alias("short")).join(rooted, "cls", "left").select("sig", "short", F.coalesce("root", "cls").alias("home"))
     placed = members.join(rooted, "cls", "left").withColumn("root", F.coalesce("root", "cls")).join(pivot_roots, "sig")
     mixed = placed.groupBy("sig").agg(F.bool_or(F.col("root") != F.col("home")).alias("mixed")).where("mixed").select("sig")
     placed = scratch.keep(placed.join(mixed, "sig", "left_semi"), "placed")
 
-    rare, longer = placed.where("sig & 1 = 1"), F.col("n") > 2 * 64 * PARITY_WORDS  # those have wide bitmaps
+    rare, longer = placed.where("short"), F.col("n") > max(2 * 64 * PARITY_WORDS, long_from(a, b))  # those have wide bitmaps, and the narrow ones don't tell
     bits = described.where(longer).select("cls", "bits").dropDuplicates(["cls"])
     rare = rare.where(~longer).withColumn("bits", F.lit(None).cast("array<long>")).unionByName(rare.where(longer).join(bits, "cls"))
     once = (F.col("y.root") == F.col("y.home")) | (F.col("x.cls") < F.col("y.cls"))  # else the pair comes from either side
     on_list = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & once & _can_link("x", "y", a, b, wide=True)
     listed = rare.where("root != home").alias("x").join(rare.alias("y"), on_list).select("x.cls", F.col("y.cls").alias("other"))
 
-    own = [F.first(c).alias(c) for c in ("root", "n", "rare", *_PARITY)]
-    texts = placed.where("sig & 1 = 0").groupBy("home", "cls").agg(*own)
+    own = [F.first(c).alias(c) for c in ("root", "n", *_PARITY)]
+    form = F.col("sig").bitwiseAND(2).alias("form")
+    texts = placed.where("NOT short").groupBy("home", "cls", form).agg(*own, F.first(F.when(form == 0, F.col("rare")).otherwise(0)).alias("rare"))
     g, f = F.col("rare") * (b + a) - F.col("n") * (b - a), (F.col("n") - F.col("rare")) * (b + a)
     cell = lambda x: F.floor(F.log(F.greatest(x, F.lit(1)).cast("double")) * (CELLS / _log(b, a))).cast("int")
     poor = g <= 0
@@ -467,7 +491,7 @@ def _left_over(members: DataFrame, pivots: DataFrame, roots: DataFrame, describe
     texts = texts.withColumn("cells", F.when(poor, F.sequence(cell(F.col("lo")), cell(F.col("hi")))).otherwise(F.array(cell(f))))
     texts = scratch.keep(texts.withColumn("start", F.col("cells")[0]).withColumn("cell", F.explode("cells")).drop("cells"), "cells")
     once = F.when(F.col("x.poor") & F.col("y.poor"), F.col("x.cell") == F.greatest("x.start", "y.start")).otherwise(F.col("x.poor") | F.col("y.poor"))
-    in_cell = (F.col("x.home") == F.col("y.home")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.root") != F.col("y.root"))
+    in_cell = (F.col("x.home") == F.col("y.home")) & (F.col("x.form") == F.col("y.form")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.root") != F.col("y.root"))
     in_cell = in_cell & once & (F.col("x.lo") <= F.col("y.hi")) & (F.col("y.lo") <= F.col("x.hi")) & _can_link("x", "y", a, b)
     met = texts.where("root != home").alias("x").join(texts.alias("y"), in_cell).select("x.cls", F.col("y.cls").alias("other"))
     return listed.unionByName(met).select(F.least("cls", "other").alias("x"), F.greatest("cls", "other").alias("y")).distinct()
@@ -501,9 +525,9 @@ def groups(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 10
     members, sizes = _refined(entries, sizes, docs, reps, shared, width, a, b, ks, scratch)
     members = scratch.keep(members.join(sizes, "cls"), "members")
     # The pivot of a list is the class with fewest rare tokens.
-    pivots = scratch.keep(members.groupBy("sig").agg(F.min(F.struct("rare", "cls", "n", *_PARITY)).alias("pivot")), "lists").select("sig", "pivot.*")
+    pivots = scratch.keep(members.groupBy("sig").agg(F.min(F.struct("rare", "cls", "n", *_PARITY)).alias("pivot"), F.count("*").alias("rows")), "lists").select("sig", "rows", "pivot.*")
     in_order = [F.least("x.cls", "y.cls").alias("x"), F.greatest("x.cls", "y.cls").alias("y")]
-    on_list = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") != F.col("y.cls")) & _can_link("x", "y", a, b, F.col("x.sig").bitwiseAND(1) == 1)
+    on_list = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") != F.col("y.cls")) & _can_link("x", "y", a, b, F.col("x.sig").bitwiseAND(3) != 0)
     starred = scratch.keep(members.alias("x").join(pivots.alias("y"), on_list).select(*in_order).distinct(), "pairs")
     links = _verified(_near(starred, described, a, b, scratch), docs, reps, width, a, b, scratch)
     roots = components(links, scratch)
