@@ -292,14 +292,25 @@ def _can_link(x: str, y: str, a: int, b: int, rare_list: Column | None = None, w
     return bounds if not wide else bounds & F.coalesce(_differing(c(x, "bits"), c(y, "bits")) * (b + a) <= most, F.lit(True))
 
 
-def _meet(pairs: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
-    """``pairs`` joined with ``table``, one row for each ``key``. A key with more than one in SPLIT of all pairs has its pairs dealt by the column ``by`` and its row repeated, so that no task gets all of them."""
-    total = pairs.count()
-    hot = pairs.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * SPLIT > total).select(key, F.ceil(F.col("_n") * SPLIT / total).cast("int").alias("_parts"))
-    hot = F.broadcast(hot)  # fewer than SPLIT rows
-    left = pairs.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0).cast("long"))).drop("_parts")
-    right = table.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)).cast("long") - 1))).drop("_parts")
-    return left.join(right, [key, "_part"]).drop("_part")
+def _some(rows: DataFrame) -> DataFrame | None:
+    """``rows``, or None if there are none: a plan without the joins that only few keys need is much smaller, and so is what the driver holds for it."""
+    return rows if rows.limit(1).count() else None
+
+
+def _meet(pairs: DataFrame, x: DataFrame, y: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """(x, y) ``pairs`` joined with two tables, one row for each ``x`` and for each ``y``. A key with more than one in SPLIT of all pairs has its pairs dealt by the other column and its row repeated, so that no task gets all of them."""
+    total, found = pairs.count(), pairs
+    for key, by, table in (("x", "y", x), ("y", "x", y)):
+        hot = pairs.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * SPLIT > total).select(key, F.ceil(F.col("_n") * SPLIT / total).cast("int").alias("_parts"))
+        hot = _some(scratch.keep(hot, "hot"))
+        if hot is None:
+            found = found.join(table, key)
+            continue
+        hot = F.broadcast(hot)  # fewer than SPLIT rows
+        left = found.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0).cast("long"))).drop("_parts")
+        right = table.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)).cast("long") - 1))).drop("_parts")
+        found = left.join(right, [key, "_part"]).drop("_part")
+    return found
 
 
 def _near(pairs: DataFrame, described: DataFrame, a: int, b: int, scratch: C.Scratch) -> DataFrame:
@@ -322,7 +333,7 @@ def _near(pairs: DataFrame, described: DataFrame, a: int, b: int, scratch: C.Scr
     asked = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
     one = scratch.keep(described.where("n > 0").select("cls", "n", "sketch").join(asked, "cls", "left_semi").dropDuplicates(["cls"]), "sketches")
     side = lambda c, n, s: one.select(F.col("cls").alias(c), F.col("n").alias(n), F.col("sketch").alias(s))
-    both = _meet(_meet(pairs, side("x", "n", "s"), "x", "y"), side("y", "m", "t"), "y", "x")
+    both = _meet(pairs, side("x", "n", "s"), side("y", "m", "t"), scratch)
     return scratch.keep(both.select("x", "y", "n", "m", "s", "t").mapInArrow(near, "x long, y long"), "near")
 
 
@@ -373,7 +384,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, a:
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
     texts = scratch.keep(_texts_of(wanted, docs, reps, scratch).mapInArrow(packed, "cls long, packed binary").dropDuplicates(["cls"]), "texts")
     side = lambda c, s: texts.select(F.col("cls").alias(c), F.col("packed").alias(s))
-    both = _meet(_meet(pairs, side("x", "s"), "x", "y"), side("y", "t"), "y", "x")
+    both = _meet(pairs, side("x", "s"), side("y", "t"), scratch)
     return scratch.keep(both.select("x", "y", "s", "t").mapInArrow(linked, "x long, y long"), "links")
 
 
@@ -382,12 +393,14 @@ def _hot(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).count().where(F.col("count") > rows.count() / MAX_HOT).select(key)
 
 
-def _by_key(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+def _by_key(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
     """``rows`` left-joined with ``table``, which has one row of a few numbers for each key.
 
     The keys of ``hot`` meet their rows where they are, by a broadcast, so that no task gets all rows of one; the
-    others meet by a shuffle.
+    others, all if there is no such key, meet by a shuffle.
     """
+    if hot is None:
+        return rows.join(table, key, "left")
     few = F.broadcast(table.join(F.broadcast(hot), key, "left_semi"))
     return rows.join(few, key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key, "left"))
 
@@ -400,16 +413,16 @@ def components(links: DataFrame, scratch: C.Scratch) -> DataFrame:
     """
     edges = scratch.keep(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x != y").distinct(), "edges")
     roots = scratch.keep(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("root")), "roots")
-    hubs = scratch.keep(_hot(edges, "y"), "hubs")
+    hubs = _some(scratch.keep(_hot(edges, "y"), "hubs"))
     while True:
-        of_neighbours = _by_key(edges, roots.select(F.col("node").alias("y"), "root"), "y", hubs).select(F.col("x").alias("node"), "root")
-        seen = scratch.keep(of_neighbours.unionByName(roots).groupBy("node").agg(F.min("root").alias("root")), "seen")
+        of_neighbours = _by_key(edges, roots.select(F.col("node").alias("y"), "root"), "y", hubs).select(F.col("x").alias("node"), "root", F.lit(None).cast("long").alias("old"))
+        seen = of_neighbours.unionByName(roots.select("node", "root", F.col("root").alias("old"))).groupBy("node").agg(F.min("root").alias("root"), F.max("old").alias("old"))
+        seen = scratch.keep(seen, "seen")
         up = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        after = _by_key(seen, up, "root", _hot(seen, "root")).select("node", F.least("root", F.coalesce("above", "root")).alias("root"))
+        after = _by_key(seen, up, "root", _some(scratch.keep(_hot(seen, "root"), "hot"))).select("node", F.least("root", F.coalesce("above", "root")).alias("root"), "old")
         after = scratch.keep(after, "roots")
-        changed = after.join(roots.withColumnRenamed("root", "old"), "node").where("root != old").limit(1).count()
-        roots = after
-        if not changed:
+        roots = after.select("node", "root")
+        if not after.where("root != old").limit(1).count():
             return roots
 
 
@@ -537,13 +550,13 @@ def groups(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 10
 
     linked = scratch.keep(classes.select("cls", "row.doc_id", "rows").join(roots.withColumnRenamed("node", "cls"), "cls"), "linked")
     names = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = _by_key(linked.select("cls", "root", "rows"), names, "root", _hot(linked, "root"))
+    named = _by_key(linked.select("cls", "root", "rows"), names, "root", _some(scratch.keep(_hot(linked, "root"), "hot")))
     alone = classes.join(linked.select("cls"), "cls", "left_anti").select("cls", F.col("cls").alias("root"), "rows", F.col("row.doc_id").alias("component_id"))
     homes = scratch.keep(named.select(*alone.columns).unionByName(alone), "homes")
     rows = described.select("doc_id", "key", F.col("n").alias("n_shingles"), "cls")
     bare = rows.where("n_shingles = 0").select("doc_id", "key", F.col("cls").alias("root"), "n_shingles", F.col("doc_id").alias("component_id"))
     rows = rows.where("n_shingles > 0")
-    large = homes.where(F.col("rows") > rows.count() / MAX_HOT).select("cls")
+    large = _some(homes.where(F.col("rows") > rows.count() / MAX_HOT).select("cls"))
     out = _by_key(rows, homes.drop("rows"), "cls", large).select(*bare.columns).unionByName(bare)
     out = out.checkpoint()
     scratch.drop()

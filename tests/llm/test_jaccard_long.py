@@ -1,10 +1,12 @@
-"""Long texts in the n-gram Jaccard join: the index's second form."""
+"""Long texts in the n-gram Jaccard join: the index's second form, and what the driver plans for keys that aren't hot."""
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from palimpsest.llm import _common as C
 from palimpsest.llm import jaccard_join
 
+
 def test_two_forms_of_entries_never_miss_a_pair(monkeypatch):
     """Sets on either side of ``long_from`` that link have an entry in common, whatever classes their tokens have."""
     r = np.random.default_rng(5)
@@ -42,3 +44,18 @@ def test_long_texts_that_share_single_runs_have_no_list(spark):
     lists = described.select("cls", F.explode("entries").alias("sig")).distinct().groupBy("sig").count()
     assert described.agg(F.min("n")).first()[0] > 2 * jaccard_join.long_from(9, 10)
     assert lists.where("count > 1").count() <= 5  # neighbours in hash order by chance
+
+
+def test_pairs_meet_without_plans_for_hot_keys(spark, monkeypatch):
+    """Keys that aren't hot need no broadcast; hot ones give the same rows."""
+    C.shared_dir(spark)
+    scratch = C.Scratch(spark)
+    pairs = scratch.keep(spark.range(3000).select(F.col("id").alias("x"), (F.col("id") + 1).alias("y")), "pairs")
+    side = lambda c, v: scratch.keep(spark.range(3001).select(F.col("id").alias(c), (F.col("id") * 2).alias(v)), "side")
+    plain = jaccard_join._meet(pairs, side("x", "s"), side("y", "t"), scratch)
+    assert "hot" not in plain._jdf.queryExecution().toString() and "_parts" not in plain._jdf.queryExecution().toString()
+    monkeypatch.setattr(jaccard_join, "SPLIT", 1 << 20)  # all are hot
+    dealt = jaccard_join._meet(pairs, side("x", "s"), side("y", "t"), scratch)
+    same = lambda d: sorted(map(tuple, d.select("x", "y", "s", "t").collect()))
+    assert same(plain) == same(dealt) == [(i, i + 1, 2 * i, 2 * i + 2) for i in range(3000)]
+    scratch.drop()
