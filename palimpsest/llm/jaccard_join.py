@@ -65,6 +65,8 @@ LONG_BITS = 48
 MAX_HOT = 1 << 14
 #: A key's pairs are dealt to tasks by this part of all pairs.
 SPLIT = 1 << 10
+#: A key of so few rows is never hot, whatever part of all rows they are: any task holds them, and in small tables all keys would be hot, each with a plan and a broadcast that the driver pays for.
+LEAST_HOT = 64
 #: Cells of the grid between a size and the least that links with it.
 CELLS = 8
 
@@ -261,9 +263,9 @@ def _told_apart(described: DataFrame, scratch: C.Scratch) -> DataFrame:
     """``described`` where different sets that share their first hash, to be expected once in 10**9 to 10**10 texts, have classes of their own."""
     for turn in range(1, 9):
         clash = described.groupBy("cls").agg((F.min("cls2") != F.max("cls2")).alias("clash")).where("clash")
-        clash = scratch.keep(clash, "clash")
-        if not clash.limit(1).count():
+        if clash.isEmpty():
             break
+        clash = scratch.keep(clash, "clash")
         described = described.join(clash, "cls", "left").withColumn("cls", F.when(F.col("clash"), F.xxhash64("cls2", F.lit(turn))).otherwise(F.col("cls"))).drop("clash")
         described = scratch.keep(described, "described")
     return described
@@ -294,21 +296,25 @@ def _can_link(x: str, y: str, a: int, b: int, rare_list: Column | None = None, w
 
 def _some(rows: DataFrame) -> DataFrame | None:
     """``rows``, or None if there are none: a plan without the joins that only few keys need is much smaller, and so is what the driver holds for it."""
-    return rows if rows.limit(1).count() else None
+    return None if rows.isEmpty() else rows
 
 
 def _meet(pairs: DataFrame, x: DataFrame, y: DataFrame, scratch: C.Scratch) -> DataFrame:
-    """(x, y) ``pairs`` joined with two tables, one row for each ``x`` and for each ``y``. A key with more than one in SPLIT of all pairs has its pairs dealt by the other column and its row repeated, so that no task gets all of them."""
-    total, found = pairs.count(), pairs
+    """(x, y) ``pairs`` joined with two tables, one row for each ``x`` and for each ``y``. A key with more than LEAST_HOT pairs and one in SPLIT of all has them dealt by the other column and its row repeated, so that no task gets all of them."""
+    total, found, sides = pairs.count(), pairs, set()
+    most = max(total / SPLIT, LEAST_HOT)
+    if total > most:
+        keys = pairs.select(F.explode(F.array(*(F.struct(F.lit(c).alias("_side"), F.col(c).alias("_key")) for c in "xy"))).alias("k")).select("k.*")
+        hot = keys.groupBy("_side", "_key").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+        hot = scratch.keep(hot.select("_side", "_key", F.ceil(F.col("_n") / F.lit(most)).cast("int").alias("_parts")), "hot")
+        sides = {r["_side"] for r in hot.select("_side").collect()}  # fewer than SPLIT rows of either side
     for key, by, table in (("x", "y", x), ("y", "x", y)):
-        hot = pairs.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * SPLIT > total).select(key, F.ceil(F.col("_n") * SPLIT / total).cast("int").alias("_parts"))
-        hot = _some(scratch.keep(hot, "hot"))
-        if hot is None:
+        if key not in sides:
             found = found.join(table, key)
             continue
-        hot = F.broadcast(hot)  # fewer than SPLIT rows
-        left = found.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0).cast("long"))).drop("_parts")
-        right = table.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)).cast("long") - 1))).drop("_parts")
+        own = F.broadcast(hot.where(F.col("_side") == key).select(F.col("_key").alias(key), "_parts"))
+        left = found.join(own, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0).cast("long"))).drop("_parts")
+        right = table.join(own, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)).cast("long") - 1))).drop("_parts")
         found = left.join(right, [key, "_part"]).drop("_part")
     return found
 
@@ -388,9 +394,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, a:
     return scratch.keep(both.select("x", "y", "s", "t").mapInArrow(linked, "x long, y long"), "links")
 
 
-def _hot(rows: DataFrame, key: str) -> DataFrame:
-    """Keys with more than one in MAX_HOT of all rows, which are fewer than MAX_HOT."""
-    return rows.groupBy(key).count().where(F.col("count") > rows.count() / MAX_HOT).select(key)
+def _least_hot(total: int) -> float:
+    """Keys with more rows are hot in a table of ``total`` rows: fewer than MAX_HOT, and none in small tables."""
+    return max(total / MAX_HOT, LEAST_HOT)
+
+
+def _hot(rows: DataFrame, key: str, total: int, scratch: C.Scratch) -> DataFrame | None:
+    """The hot keys of ``rows``, or None if there are none."""
+    if total <= _least_hot(total):
+        return None
+    return _some(scratch.keep(rows.groupBy(key).count().where(F.col("count") > _least_hot(total)).select(key), "hot"))
 
 
 def _by_key(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
@@ -413,16 +426,16 @@ def components(links: DataFrame, scratch: C.Scratch) -> DataFrame:
     """
     edges = scratch.keep(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x != y").distinct(), "edges")
     roots = scratch.keep(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("root")), "roots")
-    hubs = _some(scratch.keep(_hot(edges, "y"), "hubs"))
+    nodes, hubs = roots.count(), _hot(edges, "y", edges.count(), scratch)
     while True:
         of_neighbours = _by_key(edges, roots.select(F.col("node").alias("y"), "root"), "y", hubs).select(F.col("x").alias("node"), "root", F.lit(None).cast("long").alias("old"))
         seen = of_neighbours.unionByName(roots.select("node", "root", F.col("root").alias("old"))).groupBy("node").agg(F.min("root").alias("root"), F.max("old").alias("old"))
         seen = scratch.keep(seen, "seen")
         up = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        after = _by_key(seen, up, "root", _some(scratch.keep(_hot(seen, "root"), "hot"))).select("node", F.least("root", F.coalesce("above", "root")).alias("root"), "old")
+        after = _by_key(seen, up, "root", _hot(seen, "root", nodes, scratch)).select("node", F.least("root", F.coalesce("above", "root")).alias("root"), "old")
         after = scratch.keep(after, "roots")
         roots = after.select("node", "root")
-        if not after.where("root != old").limit(1).count():
+        if after.where("root != old").isEmpty():
             return roots
 
 
@@ -467,7 +480,7 @@ def _refined(entries: DataFrame, sizes: DataFrame, docs: DataFrame, reps: DataFr
     members, known = _shared(entries, scratch), None
     while True:
         long = scratch.keep(members.where("sig & 3 = 1").groupBy("sig").count().where(F.col("count") > LONG).select("sig"), "long")
-        if not long.limit(1).count():
+        if long.isEmpty():
             return members, sizes
         known = long if known is None else scratch.keep(known.unionByName(long).distinct(), "known")
         texts = scratch.keep(_texts_of(members.join(long, "sig", "left_semi").select("cls").distinct(), docs, reps, scratch).dropDuplicates(["cls"]), "texts")
@@ -545,18 +558,18 @@ def groups(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 10
     links = _verified(_near(starred, described, a, b, scratch), docs, reps, width, a, b, scratch)
     roots = components(links, scratch)
     more = scratch.keep(_left_over(members, pivots, roots, described, a, b, scratch).join(starred, ["x", "y"], "left_anti"), "pairs")
-    if more.limit(1).count():
+    if not more.isEmpty():
         roots = components(links.unionByName(_verified(_near(more, described, a, b, scratch), docs, reps, width, a, b, scratch)), scratch)
 
     linked = scratch.keep(classes.select("cls", "row.doc_id", "rows").join(roots.withColumnRenamed("node", "cls"), "cls"), "linked")
     names = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = _by_key(linked.select("cls", "root", "rows"), names, "root", _some(scratch.keep(_hot(linked, "root"), "hot")))
+    named = _by_key(linked.select("cls", "root", "rows"), names, "root", _hot(linked, "root", linked.count(), scratch))
     alone = classes.join(linked.select("cls"), "cls", "left_anti").select("cls", F.col("cls").alias("root"), "rows", F.col("row.doc_id").alias("component_id"))
     homes = scratch.keep(named.select(*alone.columns).unionByName(alone), "homes")
     rows = described.select("doc_id", "key", F.col("n").alias("n_shingles"), "cls")
     bare = rows.where("n_shingles = 0").select("doc_id", "key", F.col("cls").alias("root"), "n_shingles", F.col("doc_id").alias("component_id"))
     rows = rows.where("n_shingles > 0")
-    large = _some(homes.where(F.col("rows") > rows.count() / MAX_HOT).select("cls"))
+    large = _some(homes.where(F.col("rows") > _least_hot(rows.count())).select("cls"))
     out = _by_key(rows, homes.drop("rows"), "cls", large).select(*bare.columns).unionByName(bare)
     out = out.checkpoint()
     scratch.drop()
@@ -578,7 +591,7 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
         which = which.select(F.col("doc_id").cast("long").alias("_id"), F.col("key").alias("_key"))
         return docs.join(which, docs["doc_id"].eqNullSafe(which["_id"]) & (F.xxhash64(docs["text"]) == which["_key"]), "left_semi")
 
-    if not first.where("repeats").limit(1).count():
+    if first.where("repeats").isEmpty():
         return rows_of(chosen)
     return rows_of(chosen.where("NOT repeats")).unionByName(rows_of(chosen.where("repeats")).dropDuplicates(["doc_id", "text"]))
 

@@ -223,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, test: tuple[int, int] = (5, 0)) ->
 
     kind = dict(rows.dtypes)["doc_id"]
     table = rows.mapInArrow(features, f"doc_id {kind}, quality long, held boolean, x array<float>").toArrow().sort_by("doc_id")
-    x = np.stack(table["x"].to_pylist()).astype(np.float32) if table.num_rows else np.zeros((0, 3 * DIM + 1), np.float32)
+    x = table["x"].combine_chunks().flatten().to_numpy().reshape(-1, 3 * DIM + 1)  # as lists of Python's numbers they take ten times as much
     scratch.drop()
     return fit(vectors, x, table["quality"].to_numpy(), table["held"].to_numpy(zero_copy_only=False))
 

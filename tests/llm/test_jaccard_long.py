@@ -59,3 +59,29 @@ def test_pairs_meet_without_plans_for_hot_keys(spark, monkeypatch):
     same = lambda d: sorted(map(tuple, d.select("x", "y", "s", "t").collect()))
     assert same(plain) == same(dealt) == [(i, i + 1, 2 * i, 2 * i + 2) for i in range(3000)]
     scratch.drop()
+
+
+def test_small_tables_have_no_hot_keys(spark, monkeypatch):
+    """A key of few rows gets no table and no broadcast of its own, also where it is a large part of all; without the lower bound, and in groups above it, hot keys give the same rows."""
+    C.shared_dir(spark)
+    kept, keep = [], C.Scratch.keep
+    monkeypatch.setattr(C.Scratch, "keep", lambda self, df, name: (kept.append(name), keep(self, df, name))[1])
+
+    def found(groups, size):
+        kept.clear()
+        rows = [(100 * g + i, " ".join(f"g{g}w{k}" for k in range(200)) + f" end{i}") for g in range(groups) for i in range(size)]
+        out = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, (90, 100)).collect()
+        assert {(r["doc_id"], r["component_id"]) for r in out} == {(i, i // 100 * 100) for i, _ in rows} and len(out) == len(rows)
+        return kept.count("hot")
+
+    assert found(3, 5) == 0
+    assert found(2, 90) > 0
+    monkeypatch.setattr(jaccard_join, "LEAST_HOT", 0)
+    assert found(3, 5) > 0
+    for most in (1, 20):
+        monkeypatch.setattr(jaccard_join, "MAX_HOT", most)
+        found(2, 12)
+    pairs = C.Scratch(spark).keep(spark.createDataFrame([(0, i) for i in range(1, 40)] + [(i, 50) for i in range(1, 30)], "x long, y long"), "pairs")
+    side = lambda c, v: spark.range(60).select(F.col("id").alias(c), (F.col("id") * 2).alias(v))
+    met = jaccard_join._meet(pairs, side("x", "s"), side("y", "t"), C.Scratch(spark)).select("x", "y", "s", "t").collect()
+    assert sorted(map(tuple, met)) == sorted((r["x"], r["y"], 2 * r["x"], 2 * r["y"]) for r in pairs.collect())
