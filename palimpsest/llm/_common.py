@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -50,11 +51,28 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self) -> None:
+    def release(self, *names: str, last: int = 0) -> None:
+        """Removes kept tables of these names, of each but the ``last`` ones, that nothing reads any more."""
+        for name in names:
+            found = [p for p in self.paths if re.fullmatch(re.escape(name) + "-[0-9a-f]{32}", p.rsplit("/", 1)[-1])]
+            self._delete(gone := found[: len(found) - last])
+            self.paths = [p for p in self.paths if p not in gone]
+
+    def free_shuffles(self) -> None:
+        """Lets go of the shuffle files of steps that are done: Spark removes them when the driver collects its garbage, which large inputs don't make it do any sooner."""
+        import gc
+
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+    def _delete(self, paths: list[str]) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for path in self.paths:
+        for path in paths:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
+
+    def drop(self) -> None:
+        self._delete(self.paths)
         self.paths = []
 
 

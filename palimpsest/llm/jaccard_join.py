@@ -58,6 +58,10 @@ FREQUENT_FROM, STEP = 24, 16
 MAX_K = 4
 #: A rare token's list of more classes is refined.
 LONG = 96
+#: Tokens that lists showed to be frequent go to every worker up to this number (8 bytes each); more are looked up by a join.
+MAX_KNOWN = 1 << 21
+#: Entries of texts that are indexed anew meet the others' by a broadcast up to this number, else by a shuffle.
+MAX_TOUCHED = 1_000_000
 PARITY_WORDS = 4
 #: Differing bits that two texts of ``long_from`` tokens may have and link; of 64 * PARITY_WORDS bits, half differ at random.
 LONG_BITS = 48
@@ -139,7 +143,7 @@ def frequent_tokens(docs: DataFrame, width: int):
 
 
 def _levels(token, table, more=()):
-    """Each token's class: the table's, or 1 for those whose single entry is in ``more``."""
+    """Each token's class: the table's, or 1 for those whose single entry is in ``more``, which ascends."""
     import numpy as np
 
     known, of = table
@@ -148,10 +152,19 @@ def _levels(token, table, more=()):
         at = np.minimum(np.searchsorted(known, token), len(known) - 1)
         level = np.where(known[at] == token, of[at], np.int8(0))
     if len(more):
-        level = np.where((level == 0) & np.isin(_single(token), more), np.int8(1), level)
+        open_ = np.flatnonzero(level == 0)
+        single = _single(token[open_])
+        level[open_[more[np.minimum(np.searchsorted(more, single), len(more) - 1)] == single]] = 1
     return level
 
 
+def _ascending(sigs):
+    """Entries, an Arrow column, as an ascending array."""
+    import numpy as np
+
+    return np.sort(sigs.to_numpy(zero_copy_only=False).view(np.uint64)) if len(sigs) else np.empty(0, np.uint64)
+
+
 def _single(token):
     """The entry of a rare token: odd, while those of frequent tokens are even. The second bit is set in the entries of long texts."""
     from ._tokens import U, mix
@@ -391,7 +404,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, a:
     texts = scratch.keep(_texts_of(wanted, docs, reps, scratch).mapInArrow(packed, "cls long, packed binary").dropDuplicates(["cls"]), "texts")
     side = lambda c, s: texts.select(F.col("cls").alias(c), F.col("packed").alias(s))
     both = _meet(pairs, side("x", "s"), side("y", "t"), scratch)
-    return scratch.keep(both.select("x", "y", "s", "t").mapInArrow(linked, "x long, y long"), "links")
+    links = scratch.keep(both.select("x", "y", "s", "t").mapInArrow(linked, "x long, y long"), "links")
+    scratch.release("texts", "wanted", "sketches", "near")
+    scratch.free_shuffles()
+    return links
 
 
 def _least_hot(total: int) -> float:
@@ -460,7 +476,11 @@ def _shared(entries: DataFrame, scratch: C.Scratch) -> DataFrame:
 
 
 def _refined(entries: DataFrame, sizes: DataFrame, docs: DataFrame, reps: DataFrame, shared, width: int, a: int, b: int, ks: tuple[int, ...], scratch: C.Scratch):
-    """(members, sizes with new ``rare``) once no rare token's list is longer than LONG: those texts' entries are made anew with its token in class 1."""
+    """(members, sizes with new ``rare``) once no rare token's list is longer than LONG: those texts' entries are made anew with its token in class 1.
+
+    Only lists of entries that were made anew change, so a round looks these up among the others' entries and leaves the
+    other lists as they are; what a round takes of disk and shuffles goes with the texts that it changes.
+    """
 
     def rare_tokens(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -469,27 +489,56 @@ def _refined(entries: DataFrame, sizes: DataFrame, docs: DataFrame, reps: DataFr
             own = _levels(token, shared.value) == 0
             yield pa.RecordBatch.from_arrays([block["cls"].take(pa.array(doc[own])), pa.array(_single(token[own]).view("int64"))], ["cls", "sig"])
 
-    def again(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
+    def again(held=None):
+        def made(batches: Iterator) -> Iterator:
+            import pyarrow as pa
 
-        for block, doc, token, first in _word_batches(batches, width):
-            more = block["more"].flatten().to_numpy(zero_copy_only=False).view(np.uint64)  # each text's are complete, so all hold for all
-            yield pa.RecordBatch.from_arrays([block["cls"], *_entries_of(doc, token, first, _levels(token, shared.value, more), a, b, ks, _levels(token, shared.value))], ["cls", "rare", "entries"])
+            for block, doc, token, first in _word_batches(batches, width):
+                more = _ascending(block["more"].flatten()) if held is None else held.value  # each text's are complete, so all hold for all
+                yield pa.RecordBatch.from_arrays([block["cls"], *_entries_of(doc, token, first, _levels(token, shared.value, more), a, b, ks, _levels(token, shared.value))], ["cls", "rare", "entries"])
 
-    members, known = _shared(entries, scratch), None
+        return made
+
+    schema = "cls long, rare long, entries array<long>"
+    exploded = lambda rows: rows.select("cls", F.explode("entries").alias("sig"))
+    members, known, changed = _shared(entries, scratch), None, None
     while True:
+        scratch.free_shuffles()
         long = scratch.keep(members.where("sig & 3 = 1").groupBy("sig").count().where(F.col("count") > LONG).select("sig"), "long")
         if long.isEmpty():
-            return members, sizes
-        known = long if known is None else scratch.keep(known.unionByName(long).distinct(), "known")
-        texts = scratch.keep(_texts_of(members.join(long, "sig", "left_semi").select("cls").distinct(), docs, reps, scratch).dropDuplicates(["cls"]), "texts")
-        found = texts.mapInArrow(rare_tokens, "cls long, sig long").join(known, "sig").groupBy("cls").agg(F.collect_list("sig").alias("more"))  # a text's own tokens
-        anew = scratch.keep(texts.join(found, "cls").mapInArrow(again, "cls long, rare long, entries array<long>"), "anew")
-        entries = scratch.keep(entries.join(anew, "cls", "left_anti").unionByName(anew.select("cls", F.explode("entries").alias("sig"))), "entries")
-        sizes = sizes.join(anew.select("cls", F.col("rare").alias("_rare")), "cls", "left").withColumn("rare", F.coalesce("_rare", "rare")).drop("_rare")
+            break
+        known = scratch.keep(long if known is None else known.unionByName(long).distinct(), "known")
+        texts = _texts_of(members.join(long, "sig", "left_semi").select("cls").distinct(), docs, reps, scratch)
+        if known.count() <= MAX_KNOWN:
+            held = docs.sparkSession.sparkContext.broadcast(_ascending(known.toArrow()["sig"]))
+            anew = scratch.keep(texts.mapInArrow(again(held), schema).dropDuplicates(["cls"]), "anew")
+            held.destroy()
+        else:
+            texts = scratch.keep(texts.dropDuplicates(["cls"]), "texts")
+            found = texts.mapInArrow(rare_tokens, "cls long, sig long").join(known, "sig").groupBy("cls").agg(F.collect_list("sig").alias("more"))  # a text's own tokens
+            anew = scratch.keep(texts.join(found, "cls").mapInArrow(again(), schema), "anew")
+        scratch.release("texts", "wanted", "long")
+        scratch.free_shuffles()
+
+        new, before = exploded(anew), changed
+        rest = None if before is None else before.join(anew.select("cls"), "cls", "left_anti")
+        changed = anew if before is None else scratch.keep(rest.unionByName(anew), "changed")
+        touched = scratch.keep(new.select("sig").distinct(), "touched")
+        if touched.count() <= MAX_TOUCHED:  # 24 MB at most
+            touched = F.broadcast(touched)
+        others = entries.join(touched, "sig", "left_semi").join(changed.select("cls"), "cls", "left_anti")
+        if before is not None:  # a text that was made anew has its last entries
+            others = others.unionByName(exploded(rest).join(touched, "sig", "left_semi"))
+        meeting = scratch.keep(others.unionByName(new), "meeting")
+        scratch.free_shuffles()
+        members = _shared(members.join(anew.select("cls"), "cls", "left_anti").unionByName(meeting), scratch)
+        scratch.release("touched", "meeting", *(["anew"] if before is not None else []))
+        scratch.release("members", "known", "changed", last=1)
+    if changed is not None:
+        sizes = sizes.join(changed.select("cls", F.col("rare").alias("_rare")), "cls", "left").withColumn("rare", F.coalesce("_rare", "rare")).drop("_rare")
         sizes = scratch.keep(sizes, "sizes")
-        members = _shared(entries, scratch)
+    scratch.release("anew", "changed", "known", "long")
+    return members, sizes
 
 
 def _left_over(members: DataFrame, pivots: DataFrame, roots: DataFrame, described: DataFrame, a: int, b: int, scratch: C.Scratch) -> DataFrame:
@@ -541,6 +590,7 @@ def groups(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 10
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     shared = spark.sparkContext.broadcast(frequent_tokens(docs, width))  # 900 KB at most
     described = _told_apart(scratch.keep(_described(docs, shared, width, a, b, ks), "described"), scratch)
+    scratch.release("described", last=1)
     classes = described.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("row"), F.count("*").alias("rows"))
     classes = scratch.keep(classes, "classes")
     reps = classes.select("cls", "row.doc_id", "row.key")
@@ -550,14 +600,20 @@ def groups(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 10
     sizes = described.where("n > 0").select("cls", "n", "rare", *_PARITY).dropDuplicates(["cls"])
     members, sizes = _refined(entries, sizes, docs, reps, shared, width, a, b, ks, scratch)
     members = scratch.keep(members.join(sizes, "cls"), "members")
+    scratch.release("members", last=1)
+    scratch.release("sizes")
+    scratch.free_shuffles()
     # The pivot of a list is the class with fewest rare tokens.
     pivots = scratch.keep(members.groupBy("sig").agg(F.min(F.struct("rare", "cls", "n", *_PARITY)).alias("pivot"), F.count("*").alias("rows")), "lists").select("sig", "rows", "pivot.*")
     in_order = [F.least("x.cls", "y.cls").alias("x"), F.greatest("x.cls", "y.cls").alias("y")]
     on_list = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") != F.col("y.cls")) & _can_link("x", "y", a, b, F.col("x.sig").bitwiseAND(3) != 0)
     starred = scratch.keep(members.alias("x").join(pivots.alias("y"), on_list).select(*in_order).distinct(), "pairs")
+    scratch.free_shuffles()
     links = _verified(_near(starred, described, a, b, scratch), docs, reps, width, a, b, scratch)
     roots = components(links, scratch)
     more = scratch.keep(_left_over(members, pivots, roots, described, a, b, scratch).join(starred, ["x", "y"], "left_anti"), "pairs")
+    scratch.release("members", "lists", "placed", "cells")
+    scratch.free_shuffles()
     if not more.isEmpty():
         roots = components(links.unionByName(_verified(_near(more, described, a, b, scratch), docs, reps, width, a, b, scratch)), scratch)
 
